@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import guarded_ratio
-from .ranking import best_row, exact_quantiles
+from .ranking import best_row, distribution
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 DECILES = {"q10": 0.10, "q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.90}
@@ -52,34 +52,23 @@ def group_summary(
     quantiles: dict[str, float] | None = None,
     **split: int,
 ) -> DataFrame:
-    """Moments from one combinable aggregate, joined with exact quantiles from distributed ranks."""
+    """Moments, sign fractions and exact quantiles of each group, with the distinct ``unit`` count if asked for."""
     by = list(by)
-    aggregates = [
-        F.count(value).alias("n"),
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("sd"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        fraction(F.col(value) > 0).alias("fraction_positive"),
-        fraction(F.col(value) < 0).alias("fraction_negative"),
-    ]
-    if unit:
-        aggregates.append(F.count_distinct(unit).alias("n_units"))
-    if threshold is not None:
-        aggregates.append(fraction(F.col(value) >= threshold).alias("fraction_at_least"))
-    moments = df.groupBy(*by).agg(*aggregates)
-    probs = {"median": 0.5} if quantiles is None else quantiles
-    ordered = exact_quantiles(df, by, value, probs, **split)
-    return moments.join(ordered, by, "left") if by else moments.join(F.broadcast(ordered), F.lit(True), "left")
+    summary = distribution(df, by, value, {"median": 0.5} if quantiles is None else quantiles, threshold=threshold, **split)
+    if unit is None:
+        return summary
+    units = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count_distinct(unit).alias("n_units"))
+    return summary.join(units, by)
 
 
 def two_level_summary(df: DataFrame, by: Sequence[str], replicate: Sequence[str], value: str, **split: int) -> DataFrame:
     """Mean inside each replicate, then mean, SEM and median over the replicates."""
     by = list(by)
     inner = df.groupBy(*by, *replicate).agg(F.avg(value).alias("_m"))
-    outer = inner.groupBy(*by).agg(F.avg("_m").alias("mean"), sem("_m").alias("sem"), F.count("_m").alias("n_replicates"))
-    middle = exact_quantiles(inner, by, "_m", {"median": 0.5}, **split)
-    return outer.join(middle, by, "left")
+    outer = distribution(inner, by, "_m", {"median": 0.5}, **split)
+    return outer.select(
+        *by, "mean", (F.col("sd") / F.sqrt(F.col("n").cast("double"))).alias("sem"), "median", F.col("n").alias("n_replicates")
+    )
 
 
 def joined_labels(df: DataFrame, by: Sequence[str], label: str, *, separator: str = ",", name: str = "labels") -> DataFrame:

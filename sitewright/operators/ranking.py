@@ -1,109 +1,98 @@
 """Order statistics that never put a whole group into one task.
 
-A group with more than ``split_rows`` ordered entries is cut into at most ``SPLIT_POINTS + 1`` cells. The cut
-points are the entries with the smallest content hash (a bottom-k sample), so every evaluation of the plan finds
-the same ones and a lost executor cannot shift them. Ranks inside a cell come from a window over (group, cell);
-the entries in earlier cells come from a small per-cell aggregate.
+Every group is cut into at most ``SPLIT_POINTS + 1`` cells. The cut points are taken from the entries whose content
+hash falls on a fixed grid (about one in ``SPLIT_EVERY``, the smallest hashes first), so small groups stay in one
+cell, huge ones get the full number, and every evaluation of the plan finds the same points: a lost executor cannot
+shift them. Ranks inside a cell come from a window over (group, cell); the entries in earlier cells come from a
+small per-cell aggregate.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPLIT_ROWS = 2_000_000
+SPLIT_EVERY = 4096
 SPLIT_POINTS = 255
 
 UP_TO_PREVIOUS = (Window.unboundedPreceding, -1)
 
 
-def _cut_points(df: DataFrame, by: list[str], value: str, split_rows: int, split_points: int) -> DataFrame:
-    sample_order = Window.partitionBy(*by).orderBy(F.xxhash64(F.col(value)), F.col(value))
-    if by:
-        large = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > split_rows).select(*by)
-        df = df.join(large, by, "left_semi")
-        return (
-            df.select(*by, value)
-            .withColumn("_r", F.row_number().over(sample_order))
-            .where(F.col("_r") <= split_points)
-            .groupBy(*by)
-            .agg(F.sort_array(F.collect_list(value)).alias("_cuts"))
-        )
-    top = df.select(value).orderBy(F.xxhash64(F.col(value)), F.col(value)).limit(split_points)
-    size = df.agg(F.count(F.lit(1)).alias("_m"))
-    cuts = top.agg(F.sort_array(F.collect_list(value)).alias("_cuts"))
-    return cuts.join(F.broadcast(size), F.col("_m") > split_rows).select("_cuts")
-
-
-def with_cells(
-    df: DataFrame, by: Sequence[str], value: str, *, split_rows: int = SPLIT_ROWS, split_points: int = SPLIT_POINTS
-) -> DataFrame:
+def _cut_points(df: DataFrame, by: list[str], value: str, split_every: int) -> DataFrame:
+    hashed = df.select(*by, value, F.xxhash64(F.col(value)).alias("_h")).where(F.pmod("_h", F.lit(split_every)) == 0)
+    if not by:
+        hashed = hashed.orderBy("_h", value).limit(SPLIT_POINTS)
+        return hashed.agg(F.sort_array(F.collect_list(value)).alias("_cuts"))
+    smallest = Window.partitionBy(*by).orderBy("_h", value)
+    return (
+        hashed.withColumn("_r", F.row_number().over(smallest))
+        .where(F.col("_r") <= SPLIT_POINTS)
+        .groupBy(*by)
+        .agg(F.sort_array(F.collect_list(value)).alias("_cuts"))
+    )
+
+
+def with_cells(df: DataFrame, by: Sequence[str], value: str, *, split_every: int = SPLIT_EVERY) -> DataFrame:
     """Add ``_cell``, a bucket number that grows with ``value`` inside each group (0 everywhere in small groups)."""
     by = list(by)
-    cuts = _cut_points(df, by, value, split_rows, split_points)
+    cuts = _cut_points(df, by, value, split_every)
     entry = F.col(value)
-    if by:
-        joined = df.join(cuts, by, "left")
-    else:
-        # one row with at most ``split_points`` entries
-        joined = df.join(F.broadcast(cuts), F.lit(True), "left")
+    # without keys the right side is one row with at most SPLIT_POINTS entries
+    joined = df.join(cuts, by, "left") if by else df.join(F.broadcast(cuts), F.lit(True), "left")
     cell = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("_cuts", lambda c: c < entry)))
     return joined.withColumn("_cell", cell).drop("_cuts")
 
 
-def value_ranks(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    *,
-    weight: str | None = None,
-    split_rows: int = SPLIT_ROWS,
-    split_points: int = SPLIT_POINTS,
+def _ranked(
+    df: DataFrame, by: list[str], value: str, weight: str | None, split_every: int, with_mean: bool
 ) -> DataFrame:
-    """One row per distinct (group, value): ``n`` entries (or summed weight) equal to the value, ``n_less`` entries
-    below it and ``n_total`` entries in the group. NULL values do not take part."""
-    by = list(by)
     size = F.count(F.lit(1)) if weight is None else F.sum(weight)
     distinct = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(size.cast("bigint").alias("n"))
-    celled = with_cells(distinct, by, value, split_rows=split_rows, split_points=split_points)
-    across = Window.partitionBy(*by).orderBy("_cell")
-    per_cell = (
-        celled.groupBy(*by, "_cell")
-        .agg(F.sum("n").alias("_n"))
-        .select(
-            *by,
-            "_cell",
-            F.coalesce(F.sum("_n").over(across.rowsBetween(*UP_TO_PREVIOUS)), F.lit(0)).alias("_before"),
-            F.sum("_n").over(Window.partitionBy(*by)).alias("n_total"),
-        )
-    )
+    celled = with_cells(distinct, by, value, split_every=split_every)
+    across = Window.partitionBy(*by).orderBy("_cell").rowsBetween(*UP_TO_PREVIOUS)
+    whole = Window.partitionBy(*by)
+    sums = [F.sum("n").alias("_n")]
+    carried = [
+        F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_before"),
+        F.sum("_n").over(whole).alias("n_total"),
+    ]
+    if with_mean:
+        sums.append(F.sum(F.col("n") * F.col(value)).alias("_s"))
+        carried.append((F.sum("_s").over(whole) / F.sum("_n").over(whole)).alias("mean"))
+    per_cell = celled.groupBy(*by, "_cell").agg(*sums).select(*by, "_cell", *carried)
     within = Window.partitionBy(*by, "_cell").orderBy(value).rowsBetween(*UP_TO_PREVIOUS)
-    joined = celled.join(per_cell, [*by, "_cell"])
-    return joined.select(
+    return celled.join(per_cell, [*by, "_cell"]).select(
         *by,
         value,
         "n",
         (F.col("_before") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("n_less"),
         "n_total",
+        *(["mean"] if with_mean else []),
     )
 
 
+def value_ranks(
+    df: DataFrame, by: Sequence[str], value: str, *, weight: str | None = None, split_every: int = SPLIT_EVERY
+) -> DataFrame:
+    """One row per distinct (group, value): ``n`` entries (or summed weight) equal to the value, ``n_less`` entries
+    below it and ``n_total`` entries in the group. NULL values do not take part."""
+    return _ranked(df, list(by), value, weight, split_every, False)
+
+
 def row_positions(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[Column],
     *,
     name: str = "position",
-    split_rows: int = SPLIT_ROWS,
-    split_points: int = SPLIT_POINTS,
+    split_every: int = SPLIT_EVERY,
 ) -> DataFrame:
     """Dense 1-based position of every row in its group under an ascending, total ``order``."""
     by = list(by)
     keyed = df.withColumn("_order", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
-    celled = with_cells(keyed, by, "_order", split_rows=split_rows, split_points=split_points)
+    celled = with_cells(keyed, by, "_order", split_every=split_every)
     across = Window.partitionBy(*by).orderBy("_cell").rowsBetween(*UP_TO_PREVIOUS)
     before = (
         celled.groupBy(*by, "_cell")
@@ -118,26 +107,61 @@ def row_positions(
     )
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], **split: int) -> DataFrame:
-    """Linearly interpolated quantiles per group, one column per entry of ``probs`` (name -> probability)."""
-    ranks = value_ranks(df, by, value, **split)
-    return _quantiles_from_ranks(ranks, list(by), value, probs)
-
-
-def _quantiles_from_ranks(ranks: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    aggregates = [F.max("n_total").alias("n_total")]
+def _quantile_parts(probs: dict[str, float], value: str) -> tuple[list[Column], list[Column]]:
+    """Aggregates that pick the two neighbouring order statistics, and the interpolations between them."""
+    aggregates, columns = [], []
     for name, p in probs.items():
         place = F.lit(float(p)) * (F.col("n_total") - 1)
         for side, target in (("lo", F.floor(place)), ("hi", F.ceil(place))):
             covers = (F.col("n_less") <= target) & (target < F.col("n_less") + F.col("n"))
             aggregates.append(F.max(F.when(covers, F.col(value).cast("double"))).alias(f"_{name}_{side}"))
-    wide = ranks.groupBy(*by).agg(*aggregates)
-    columns = []
-    for name, p in probs.items():
-        place = F.lit(float(p)) * (F.col("n_total") - 1)
         low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         columns.append((low + (high - low) * (place - F.floor(place))).alias(name))
-    return wide.select(*by, *columns)
+    return aggregates, columns
+
+
+def exact_quantiles(
+    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], *, split_every: int = SPLIT_EVERY
+) -> DataFrame:
+    """Linearly interpolated quantiles per group, one column per entry of ``probs`` (name -> probability)."""
+    aggregates, columns = _quantile_parts(probs, value)
+    ranks = value_ranks(df, by, value, split_every=split_every)
+    return ranks.groupBy(*by).agg(F.max("n_total").alias("n_total"), *aggregates).select(*by, *columns)
+
+
+def distribution(
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    probs: dict[str, float],
+    *,
+    threshold: float | None = None,
+    split_every: int = SPLIT_EVERY,
+) -> DataFrame:
+    """Count, mean, sd, extremes, sign fractions and exact quantiles per group from one pass over the input:
+    everything after it works on the distinct values and their counts."""
+    v, n = F.col(value).cast("double"), F.col("n")
+
+    def share(condition: Column) -> Column:
+        return F.sum(F.when(condition, n).otherwise(F.lit(0))) / F.sum(n)
+
+    aggregates, columns = _quantile_parts(probs, value)
+    spread = F.sum(n * (v - F.col("mean")) * (v - F.col("mean")))
+    grouped = _ranked(df, list(by), value, None, split_every, True).groupBy(*by).agg(
+        F.max("n_total").alias("n_total"),
+        F.max("mean").alias("mean"),
+        F.sqrt(spread / F.when(F.sum(n) > 1, F.sum(n) - 1)).alias("sd"),
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+        share(v > 0).alias("fraction_positive"),
+        share(v < 0).alias("fraction_negative"),
+        *([share(v >= threshold).alias("fraction_at_least")] if threshold is not None else []),
+        *aggregates,
+    )
+    extra = ["fraction_at_least"] if threshold is not None else []
+    return grouped.select(
+        *by, F.col("n_total").alias("n"), "mean", "sd", "min", "max", "fraction_positive", "fraction_negative", *extra, *columns
+    )
 
 
 def mid_rank(ranks_n: Column | None = None, ranks_less: Column | None = None) -> Column:
@@ -222,7 +246,3 @@ def cohorts(df: DataFrame, by: Sequence[str], order: Sequence[Column], size: int
         joined.withColumn("cohort", F.explode(F.array_compact(F.array(*labels))))
         .drop("_total")
     )
-
-
-def all_true(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
