@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,3 +27,18 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Round every double so that the order of floating-point sums does not show."""
+    return df.select(
+        *[
+            F.round(F.col(f.name), digits).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name)
+            for f in df.schema.fields
+        ]
+    )
+
+
+def cents(column: str):
+    """Two-decimal amounts as integers, so that sums are exact in any order."""
+    return F.round(F.col(column) * 100).cast("bigint")
