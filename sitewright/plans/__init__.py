@@ -1,4 +1,4 @@
-from . import effects
+from . import contact_maps, effects, positions, resampled, variants
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

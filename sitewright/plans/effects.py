@@ -541,10 +541,10 @@ g AS (
 p AS (SELECT o.upstream, o.downstream, o.n_units AS outside_n_units, i.n_units AS inside_n_units, o.mean AS om, i.mean AS im, o.median AS omd, i.median AS imd,
              o.sd AS outside_sd, i.sd AS inside_sd, o.min AS outside_min, i.min AS inside_min, o.max AS outside_max, i.max AS inside_max, o.fal AS ofal, i.fal AS ifal
       FROM g o JOIN g i ON o.upstream = i.upstream AND o.downstream = i.downstream AND o.cond = 'outside' AND i.cond = 'inside')
-SELECT upstream, downstream, outside_n_units, inside_n_units, round(om, 6) AS outside_mean, round(im, 6) AS inside_mean,
-       round(omd, 6) AS outside_median, round(imd, 6) AS inside_median, round(outside_sd, 6) AS outside_sd, round(inside_sd, 6) AS inside_sd,
-       round(outside_min, 6) AS outside_min, round(inside_min, 6) AS inside_min, round(outside_max, 6) AS outside_max, round(inside_max, 6) AS inside_max,
-       round(ofal, 6) AS outside_fraction_at_least, round(ifal, 6) AS inside_fraction_at_least,
+SELECT upstream, downstream, outside_n_units, inside_n_units, round(om, 9) AS outside_mean, round(im, 9) AS inside_mean,
+       round(omd, 9) AS outside_median, round(imd, 9) AS inside_median, round(outside_sd, 9) AS outside_sd, round(inside_sd, 9) AS inside_sd,
+       round(outside_min, 9) AS outside_min, round(inside_min, 9) AS inside_min, round(outside_max, 9) AS outside_max, round(inside_max, 9) AS inside_max,
+       round(ofal, 9) AS outside_fraction_at_least, round(ifal, 9) AS inside_fraction_at_least,
        om >= 0.5 AND im <= 0.5 AND downstream >= 8 AS passes_mean, omd >= 0.5 AND im <= 0.5 AND downstream >= 8 AS passes_median
 FROM p
 """,
@@ -564,7 +564,8 @@ def boundary_surface(spark, sf_dir):
         ag.boundary_surface(
             rows, ["upstream", "downstream"], condition="cond", outside="outside", inside="inside", value="retention", replicate="seed",
             keep_at_least=0.5, keep_at_most=0.5, extra_criterion=F.col("downstream") >= 8,
-        )
+        ),
+        9,
     )
 
 
