@@ -108,6 +108,10 @@ def complement_windows(df: DataFrame, *, sequence: str, width: int, step: int) -
     )
 
 
+def _texts(key: Sequence[Column]) -> list[Column]:
+    return [k.cast("string") for k in key]
+
+
 def shuffled(text: Column, *key: Column, protected: Column | None = None) -> Column:
     """Permute the canonical bases of ``text`` by keyed digest order. ``protected`` is an array of 0-based indices
     that stay; non-canonical characters stay too."""
@@ -120,7 +124,7 @@ def shuffled(text: Column, *key: Column, protected: Column | None = None) -> Col
     free = F.filter(letters, movable)
     fixed = F.filter(letters, lambda x: ~movable(x))
     keyed = F.array_sort(
-        F.transform(free, lambda x: F.struct(F.md5(F.concat_ws(":", *key, x["i"])).alias("k"), x["i"].alias("i"), x["c"].alias("c")))
+        F.transform(free, lambda x: F.struct(F.md5(F.concat_ws(":", *_texts(key), x["i"].cast("string"))).alias("k"), x["i"].alias("i"), x["c"].alias("c")))
     )
     moved = F.zip_with(free, keyed, lambda place, drawn: F.struct(place["i"].alias("i"), drawn["c"].alias("c")))
     return F.array_join(F.transform(F.array_sort(F.concat(moved, fixed)), lambda x: x["c"]), "")
