@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,13 +33,21 @@ def variant_label(position: str | Column, ref: str | Column, alt: str | Column)
     return F.concat(col(position).cast("string"), F.lit(":"), col(ref), F.lit(">"), col(alt))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once, even where ``use`` refers to it inside another lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def occurrences(s: str | Column, pattern: str) -> Column:
     """0-based starts of every occurrence of ``pattern``, overlapping ones included."""
     k = len(pattern)
-    last = F.length(col(s)) - F.lit(k)
-    text = col(s)
-    starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.filter(starts, lambda i: F.substring(text, i + F.lit(1), F.lit(k)) == F.lit(pattern))
+
+    def find(text: Column) -> Column:
+        last = F.length(text) - F.lit(k)
+        starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        return F.filter(starts, lambda i: F.substring(text, i + F.lit(1), F.lit(k)) == F.lit(pattern))
+
+    return bound(col(s), find)
 
 
 def canonical_count(s: str | Column) -> Column:

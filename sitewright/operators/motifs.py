@@ -83,12 +83,12 @@ def _scan_one(sequence: str, weights: np.ndarray, floor: float, starts: int) ->
         lookup[ord(letter)] = i
     codes = lookup[np.frombuffer(sequence.encode("latin-1", "replace"), dtype=np.uint8)]
     table = np.column_stack([np.asarray(weights, dtype=float).reshape(length, 4), np.full(length, -np.inf)])
-    opposite = table[::-1][:, [3, 2, 1, 0, 4]]
+    paired = np.array([3, 2, 1, 0, 4])[codes]
     forward, reverse = np.zeros(n), np.zeros(n)
     for k in range(length):
-        window = codes[k : k + n]
-        forward += table[k][window]
-        reverse += opposite[k][window]
+        # both strands add matrix positions in the same order, so a palindrome ties exactly
+        forward += table[k][codes[k : k + n]]
+        reverse += table[k][paired[length - 1 - k : length - 1 - k + n]]
     best = np.where(forward >= reverse, forward, reverse)
     found = np.flatnonzero(best >= floor)
     return [(int(i), "+" if forward[i] >= reverse[i] else "-", float(best[i])) for i in found]

@@ -1,4 +1,4 @@
-from . import contact_maps, designs, effects, positions, resampled, variants
+from . import contact_maps, designs, effects, motif_scans, positions, resampled, variants
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
