@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -108,29 +109,37 @@ def with_checks(df: DataFrame, condition: Column, message: Column | str) -> Data
     return df.where(check(condition, message, F.lit(True)))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def format_general(x: str | Column, digits: int = 10) -> Column:
     """printf-style general float rendering with ``digits`` significant digits, no trailing zeros."""
     v = col(x).cast("double")
-    magnitude = F.floor(F.log10(F.when(v != 0, F.abs(v))))
-    scientific = F.format_string(f"%.{digits - 1}e", v)
-    exponent = F.regexp_extract(scientific, r"e([+-]\d+)$", 1).cast("int")
-    mantissa = F.regexp_replace(F.regexp_extract(scientific, r"^(.*)e", 1), r"\.?0+$", "")
-    sci_text = F.concat(
-        mantissa,
-        F.lit("e"),
-        F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
-    )
-    plain = F.lit(None).cast("string")
-    for e in range(-4, digits):
-        decimals = max(digits - 1 - e, 0)
-        text = F.format_string(f"%.{decimals}f", v)
-        if decimals:
-            text = F.regexp_replace(text, r"\.?0+$", "")
-        plain = F.when(exponent == e, text).otherwise(plain)
-    return (
-        F.when(v == 0, F.lit("0"))
-        .when(magnitude.isNull(), F.lit(None).cast("string"))
-        .when((exponent < -4) | (exponent >= digits), sci_text)
-        .otherwise(plain)
-    )
+    scientific = F.format_string(f"%.{digits - 1}e", F.abs(v))
+
+    def split(sci: Column) -> Column:
+        return F.struct(
+            F.regexp_extract(sci, r"e([+-][0-9]+)$", 1).try_cast("int").alias("e"),
+            F.regexp_replace(F.regexp_replace(sci, "e.*$", ""), "[.]", "").alias("f"),
+        )
+
+    def render(parts: Column) -> Column:
+        exponent, figures = parts["e"], parts["f"]
+        plain = (exponent >= -4) & (exponent < digits)
+        # where the decimal point goes, and the zeros in front of a small number
+        lead = F.when(plain & (exponent < 0), F.repeat(F.lit("0"), F.greatest(-exponent, F.lit(0)))).otherwise(F.lit(""))
+        at = F.when(plain & (exponent >= 0), exponent + 1).otherwise(F.lit(1))
+        text = F.concat(lead, figures)
+        pointed = F.concat(F.substring(text, F.lit(1), at), F.lit("."), F.substring(text, at + 1, F.lit(2 * digits)))
+        size = F.abs(exponent).cast("string")
+        power = F.concat(
+            F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(size, F.greatest(F.lit(2), F.length(size)), F.lit("0"))
+        )
+        return F.concat(F.regexp_replace(pointed, r"[.]?0*$", ""), F.when(plain, F.lit("")).otherwise(power))
+
+    body = bound(bound(scientific, split), render)
+    signed = F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), body)
+    is_number = ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
+    return F.when(v == 0, F.lit("0")).when(is_number, signed).otherwise(v.cast("string"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .expressions import col
+from .expressions import bound, col
 
 BASES = "ACGT"
 
@@ -33,11 +31,6 @@ def variant_label(position: str | Column, ref: str | Column, alt: str | Column)
     return F.concat(col(position).cast("string"), F.lit(":"), col(ref), F.lit(">"), col(alt))
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value evaluated once, even where ``use`` refers to it inside another lambda."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def occurrences(s: str | Column, pattern: str) -> Column:
     """0-based starts of every occurrence of ``pattern``, overlapping ones included."""
     k = len(pattern)

@@ -177,8 +177,10 @@ def repair_outcomes(df: DataFrame, *, experiment: str) -> DataFrame:
     )
     ranked = row_positions(typed, [experiment], [-F.col("reads"), F.col("position"), F.col("Cons")], name="rank_in_experiment")
     totals = typed.groupBy(experiment).agg(F.sum("reads").alias("_t"))
+    rank = F.col("rank_in_experiment").cast("string")
+    padded = F.when(F.col("rank_in_experiment") < 1000, F.lpad(rank, 3, "0")).otherwise(rank)
     label = F.concat_ws(
-        "_", F.col(experiment), F.concat(F.lit("rank"), F.lpad(F.col("rank_in_experiment").cast("string"), 3, "0")),
+        "_", F.col(experiment), F.concat(F.lit("rank"), padded),
         F.col("position").cast("string"), F.regexp_replace("Cons", r"^\*/", ""),
     )
     return (
