@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
-from ..functions.expressions import col, with_checks
+from ..functions.expressions import bound, col, with_checks
 from ..functions.intervals import overlap_length, upstream_placement_start
 
 BASE_LIST = ("A", "C", "G", "T")
@@ -115,31 +115,41 @@ def _texts(key: Sequence[Column]) -> list[Column]:
 def shuffled(text: Column, *key: Column, protected: Column | None = None) -> Column:
     """Permute the canonical bases of ``text`` by keyed digest order. ``protected`` is an array of 0-based indices
     that stay; non-canonical characters stay too."""
-    letters = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c, i: F.struct(i.alias("i"), c.alias("c")))
 
     def movable(x: Column) -> Column:
         free = x["c"].isin(*BASE_LIST)
         return free if protected is None else free & ~F.array_contains(protected, x["i"])
 
-    free = F.filter(letters, movable)
-    fixed = F.filter(letters, lambda x: ~movable(x))
-    keyed = F.array_sort(
-        F.transform(free, lambda x: F.struct(F.md5(F.concat_ws(":", *_texts(key), x["i"].cast("string"))).alias("k"), x["i"].alias("i"), x["c"].alias("c")))
-    )
-    moved = F.zip_with(free, keyed, lambda place, drawn: F.struct(place["i"].alias("i"), drawn["c"].alias("c")))
-    return F.array_join(F.transform(F.array_sort(F.concat(moved, fixed)), lambda x: x["c"]), "")
+    def keyed(x: Column) -> Column:
+        digest = F.md5(F.concat_ws(":", *_texts(key), x["i"].cast("string")))
+        return F.struct(digest.alias("k"), x["i"].alias("i"), x["c"].alias("c"))
+
+    def permute(letters: Column) -> Column:
+        def place(free: Column) -> Column:
+            order = F.array_sort(F.transform(free, keyed))
+            moved = F.zip_with(free, order, lambda spot, drawn: F.struct(spot["i"].alias("i"), drawn["c"].alias("c")))
+            fixed = F.filter(letters, lambda x: ~movable(x))
+            return F.array_join(F.transform(F.array_sort(F.concat(moved, fixed)), lambda x: x["c"]), "")
+
+        return bound(F.filter(letters, movable), place)
+
+    letters = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c, i: F.struct(i.alias("i"), c.alias("c")))
+    return bound(letters, permute)
 
 
 def shuffled_until_different(text: Column, *key: Column, protected: Column | None = None, attempts: int = 100) -> Column:
     """The first keyed shuffle that differs from ``text``; later attempts are evaluated only when needed and
     running out of them fails the job."""
 
-    def attempt(found: Column, k: Column) -> Column:
-        candidate = shuffled(text, *key, k, protected=protected)
-        return F.when(found.isNotNull(), found).otherwise(F.when(candidate != text, candidate))
+    def search(original: Column) -> Column:
+        def attempt(found: Column, k: Column) -> Column:
+            fresh = bound(shuffled(original, *key, k, protected=protected), lambda c: F.when(c != original, c))
+            return F.when(found.isNotNull(), found).otherwise(fresh)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(attempts - 1)), F.lit(None).cast("string"), attempt)
 
-    result = F.aggregate(F.sequence(F.lit(0), F.lit(attempts - 1)), F.lit(None).cast("string"), attempt)
-    return F.coalesce(result, F.raise_error(F.lit("no composition-preserving shuffle differs from the input")).cast("string"))
+    failed = F.raise_error(F.lit("no composition-preserving shuffle differs from the input")).cast("string")
+    return F.coalesce(bound(text, search), failed)
 
 
 def shuffle_range(s: Column, start0: Column, end0: Column, *key: Column, must_differ: bool = False, anchor0: Column | None = None) -> Column:

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import best_row
+
 TILE = 1 << 18
 UP_TO_PREVIOUS = (Window.unboundedPreceding, -1)
 
@@ -180,20 +182,20 @@ def greedy_non_overlapping(
     margin: int = 0,
     limit: int,
     step: int = 1,
+    unique_starts: bool = False,
 ) -> DataFrame:
     """Take windows of one fixed width in ``order``, skipping any that comes within ``margin`` of a taken one,
     until ``limit`` are taken per group; ``pick`` is the order in which they were taken.
 
-    Starts are unique per group and multiples of ``step`` apart, so a taken window blocks at most
-    2 * ((width - 1 + margin) // step) others and the first ``limit`` picks always lie among the first
-    limit * (blocked + 1) candidates: exactly those are folded, however large the group is."""
+    Starts are made unique per group (skipped when they are known to be) and lie at least ``step`` apart, so a taken
+    window blocks at most 2 * ((width - 1 + margin) // step) others and the first ``limit`` picks always lie among
+    the first limit * (blocked + 1) candidates: exactly those are folded, however large the group is."""
     by = list(by)
     reach = width - 1 + margin
     needed = limit * (2 * (reach // step) + 1)
-    keyed = df.withColumn("_k", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
-    best_per_start = keyed.groupBy(*by, start).agg(F.min_by(F.struct(*[c for c in keyed.columns if c not in (*by, start)]), "_k").alias("_row"))
-    unique = best_per_start.withColumn("_k", F.col("_row._k"))
-    ranked = unique.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_k", start))).where(F.col("_r") <= needed)
+    if not unique_starts:
+        df = best_row(df, [*by, start], list(order))
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order, start))).where(F.col("_r") <= needed)
     starts = ranked.groupBy(*by).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct(F.col("_r"), F.col(start).cast("bigint").alias("s")))), lambda x: x["s"]
@@ -209,10 +211,7 @@ def greedy_non_overlapping(
     picks = starts.select(*by, F.posexplode(taken).alias("_i", start)).select(
         *by, F.col(start), (F.col("_i") + 1).alias("pick")
     )
-    rest = [c for c in df.columns if c not in (*by, start)]
-    return ranked.select(*by, start, *[F.col(f"_row.{c}").alias(c) for c in rest]).join(
-        picks.withColumn(start, F.col(start).cast(df.schema[start].dataType)), [*by, start]
-    )
+    return ranked.drop("_r").join(picks.withColumn(start, F.col(start).cast(df.schema[start].dataType)), [*by, start])
 
 
 def covered_positions(df: DataFrame, by: Sequence[str], *, start: str, end: str) -> DataFrame:

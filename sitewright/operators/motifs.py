@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.expressions import col
 from ..functions.intervals import overlap_fraction
@@ -37,13 +37,6 @@ FAMILY_PREFIXES = (
     ("SMAD", "SMAD"),
 )
 
-HITS = ArrayType(
-    StructType(
-        [StructField("offset", IntegerType()), StructField("strand", StringType()), StructField("score", DoubleType())]
-    )
-)
-
-
 def classify_by_prefix(name: str | Column, rules: Sequence[tuple[str, str]] = FAMILY_PREFIXES) -> Column:
     """Class of the first rule with a matching prefix (case ignored), else the name itself."""
     upper = F.upper(col(name))
@@ -73,14 +66,12 @@ def pack_matrices(weights: DataFrame, *, matrix: str, offset: str, base: str) ->
     return packed.join(score_range, matrix).withColumn("length", (F.size("weights") / 4).cast("int"))
 
 
-def _scan_one(sequence: str, weights: np.ndarray, floor: float, starts: int) -> list[tuple[int, str, float]]:
+def _scan_one(sequence: str, weights: np.ndarray, floor: float, starts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets, forward flags and best scores of one matrix along one sequence."""
     length = len(weights) // 4
-    n = min(len(sequence) - length + 1, starts)
-    if n <= 0:
-        return []
+    n = max(min(len(sequence) - length + 1, starts), 0)
     lookup = np.full(256, 4, dtype=np.int64)
-    for i, letter in enumerate("ACGT"):
-        lookup[ord(letter)] = i
+    lookup[np.frombuffer(b"ACGT", dtype=np.uint8)] = np.arange(4)
     codes = lookup[np.frombuffer(sequence.encode("latin-1", "replace"), dtype=np.uint8)]
     table = np.column_stack([np.asarray(weights, dtype=float).reshape(length, 4), np.full(length, -np.inf)])
     paired = np.array([3, 2, 1, 0, 4])[codes]
@@ -89,14 +80,9 @@ def _scan_one(sequence: str, weights: np.ndarray, floor: float, starts: int) ->
         # both strands add matrix positions in the same order, so a palindrome ties exactly
         forward += table[k][codes[k : k + n]]
         reverse += table[k][paired[length - 1 - k : length - 1 - k + n]]
-    best = np.where(forward >= reverse, forward, reverse)
+    best = np.maximum(forward, reverse)
     found = np.flatnonzero(best >= floor)
-    return [(int(i), "+" if forward[i] >= reverse[i] else "-", float(best[i])) for i in found]
-
-
-@F.pandas_udf(HITS)
-def scan_hits(sequence: pd.Series, weights: pd.Series, floor: pd.Series, starts: pd.Series) -> pd.Series:
-    return pd.Series([_scan_one(s, w, f, n) for s, w, f, n in zip(sequence, weights, floor, starts)])
+    return found, forward[found] >= reverse[found], best[found]
 
 
 def scan_matrices(
@@ -120,13 +106,25 @@ def scan_matrices(
     floor = F.lit(float("-inf")) if min_fraction is None else F.col("lowest") + F.lit(min_fraction) * span - F.lit(1e-9)
     pairs = keyed.join(copies, "_part")
     keep = [c for c in (*tiles.columns, *matrices.columns) if c not in (sequence, "weights")]
-    hits = pairs.withColumn("_h", F.explode(scan_hits(F.col(sequence), F.col("weights"), floor, F.lit(tile))))
-    out = hits.select(
+    ready = pairs.select(*keep, F.col(sequence).alias("_s"), F.col("weights").alias("_w"), floor.alias("_f"))
+    found = [StructField("_o", IntegerType()), StructField("_p", BooleanType()), StructField("score", DoubleType())]
+    schema = StructType([ready.schema[c] for c in keep] + found)
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            hits = [_scan_one(s, w, f, tile) for s, w, f in zip(frame["_s"], frame["_w"], frame["_f"])]
+            rows = np.repeat(np.arange(len(frame)), [len(h[0]) for h in hits])
+            out = frame[keep].iloc[rows].reset_index(drop=True)
+            for i, name in enumerate(("_o", "_p", "score")):
+                out[name] = np.concatenate([h[i] for h in hits]) if hits else []
+            yield out.astype({"_o": "int32", "_p": "bool"})
+
+    out = ready.mapInPandas(scan, schema).select(
         *keep,
-        (F.col(tile_start) + F.col("_h.offset")).alias("start"),
-        F.col("_h.strand").alias("strand"),
-        F.col("_h.score").alias("score"),
-        ((F.col("_h.score") - F.col("lowest")) / span).alias("score_fraction"),
+        (F.col(tile_start) + F.col("_o")).alias("start"),
+        F.when(F.col("_p"), "+").otherwise("-").alias("strand"),
+        "score",
+        ((F.col("score") - F.col("lowest")) / span).alias("score_fraction"),
     ).drop(tile_start)
     if min_fraction is not None:
         out = out.where(F.col("score_fraction") >= min_fraction)

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import sequences as sq
 from .design import complement_windows, substitutions
-from .intervals import covered_positions, greedy_non_overlapping
+from .intervals import greedy_non_overlapping
 from .ranking import best_row
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
@@ -121,16 +121,20 @@ def coarse_windows(df: DataFrame, *, sequence: str, width: int, step: int, key:
 
 
 def fine_candidates(
-    scored_windows: DataFrame, bases: DataFrame, by: Sequence[str], *, score: Column, width: int, limit: int
+    scored_windows: DataFrame, by: Sequence[str], *, score: Column, native: str, width: int, limit: int
 ) -> DataFrame:
     """Second stage of a coarse-to-fine scan: the top non-overlapping windows of each key, every position they
-    cover, and the three substitutions there. ``bases`` holds (by..., position, ref)."""
+    cover, and the three substitutions there. Each window brings its own native bases, so no sequence is read
+    again; one window per start is expected."""
     picked = greedy_non_overlapping(
-        scored_windows, by, start="window_start", width=width, order=[-score, F.col("window_start")], limit=limit
+        scored_windows, by, start="window_start", width=width, order=[-score, F.col("window_start")], limit=limit, unique_starts=True
+    )
+    covered = picked.select(*by, "window_start", F.posexplode(F.split(F.col(native), "")).alias("_i", "ref")).where(
+        sq.is_single_base("ref")
     )
-    covered = covered_positions(picked, by, start="window_start", end="window_end")
     return (
-        covered.join(bases, [*by, "position"])
+        covered.select(*by, (F.col("window_start") + F.col("_i")).alias("position"), "ref")
+        .distinct()
         .withColumn("alt", F.explode(F.array(*[F.lit(b) for b in "ACGT"])))
         .where(F.col("alt") != F.col("ref"))
     )

@@ -11,7 +11,7 @@ from ..functions import sequences as sq
 from ..operators import quality as qc
 from ..session import fresh_folder
 from ..sources import readers, writers
-from .registry import cents, query, rounded, table
+from .registry import cents, query, rounded, spread, table
 
 PAIR_SQL = """
 g AS (SELECT l_suppkey, l_returnflag, avg(round(l_discount * 100)::BIGINT) AS d, CASE WHEN l_suppkey % 17 = 3 THEN NULL ELSE avg(round(l_tax * 100)::BIGINT) END AS t FROM lineitem GROUP BY 1, 2),
@@ -196,7 +196,7 @@ def association_scan(spark, sf_dir):
         F.concat(F.lit("chr"), "l_returnflag", F.lit(":"), F.col("l_partkey").cast("string")).alias("SNP_hg19"), F.concat(F.lit("rs"), F.col("l_orderkey").cast("string")).alias("rsid"),
         F.lit("a").alias("A1"), F.lit("g").alias("A2"), F.round(F.col("l_discount") - 0.05, 6).alias("beta"), F.col("l_tax").alias("se"), F.col("l_quantity").alias("P-value"),
     )
-    writers.write_delimited(lines, path, digits=12)
+    writers.write_delimited(spread(lines, "rsid"), path, digits=12)
     return rounded(readers.association_table(spark, path, chrom="chrN", low=100, high=900))
 
 
@@ -377,7 +377,8 @@ SELECT doc_id::VARCHAR AS chrom, tile_start, substr(s, tile_start + 1, 64) AS se
 def sequence_tiles(spark, sf_dir):
     """Lines of 50 letters per sequence re-cut into tiles of 64."""
     letters = F.regexp_replace("text", "[^A-Za-z]", "")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chrom"), letters.alias("s"))
+    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = texts.select(F.col("doc_id").cast("string").alias("chrom"), letters.alias("s"))
     starts = F.when(F.length("s") > 0, F.sequence(F.lit(0), F.length("s") - 1, F.lit(50)))
     lines = docs.withColumn("line_start", F.explode(starts)).select("chrom", F.col("line_start").cast("bigint").alias("line_start"), F.substring(F.col("s"), F.col("line_start") + 1, F.lit(50)).alias("text"))
     return readers.fasta_tiles(lines, tile=64)

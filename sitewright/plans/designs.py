@@ -8,7 +8,7 @@ from ..functions import sequences as sq
 from ..operators import catalog as ct
 from ..operators import design as ds
 from ..operators import intervals as op
-from .registry import query, rounded, table
+from .registry import query, rounded, spread, table
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FOLDED = "".join("ACGT"[i % 4] for i in range(26))
@@ -20,7 +20,9 @@ long AS (SELECT doc_id, seq, length(seq) AS n, length(seq) // 2 AS a FROM nuc WH
 
 
 def nucleotides(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", sq.as_nucleotides("text").alias("seq"))
+    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    # a generator row: filters on seq stay above it instead of repeating the folding per condition
+    return texts.select("doc_id", F.explode(F.array(sq.as_nucleotides("text"))).alias("seq"))
 
 
 def long_sequences(spark, sf_dir):
@@ -421,7 +423,8 @@ FROM nuc JOIN documents USING (doc_id) WHERE length(seq) > 0
 """,
 )
 def sequence_composition(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", sq.as_nucleotides("text").alias("seq")).where(F.length("seq") > 0)
+    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    rows = texts.withColumn("seq", F.explode(F.array(sq.as_nucleotides("text")))).where(F.length("seq") > 0)
     return rounded(
         rows.select(
             "doc_id",

@@ -83,17 +83,16 @@ FROM pos p JOIN nuc USING (doc_id), (VALUES ('A'), ('C'), ('G'), ('T')) v(alt) W
 """,
 )
 def coarse_to_fine_scan(spark, sf_dir):
-    sequences = nucleotides(spark, sf_dir)
-    tiles = ds.tile_sequences(sequences, sequence="seq", tile=1000, halo=9)
+    tiles = ds.tile_sequences(nucleotides(spark, sf_dir), sequence="seq", tile=1000, halo=9)
     windows = sc.coarse_windows(tiles, sequence="seq", width=10, step=5, key="doc_id").where("window_start < 1000")
     scored = windows.select(
         "doc_id",
         (F.col("tile_start") + F.col("window_start")).cast("bigint").alias("window_start"),
         (F.col("tile_start") + F.col("window_end")).cast("bigint").alias("window_end"),
         (F.length("native") - F.length(F.replace("native", F.lit("A"), F.lit("")))).alias("v"),
+        "native",
     )
-    letters = sequences.select("doc_id", F.posexplode(F.split("seq", "")).alias("_p", "ref")).select("doc_id", F.col("_p").cast("bigint").alias("position"), "ref")
-    fine = sc.fine_candidates(scored, letters.where(sq.is_single_base("ref")), ["doc_id"], score=F.col("v"), width=10, limit=3)
+    fine = sc.fine_candidates(scored, ["doc_id"], score=F.col("v"), native="native", width=10, limit=3)
     return fine.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_candidates"), F.sum("position").alias("position_sum"), F.count(F.when(F.col("alt") == "G", 1)).alias("n_to_g")
     )
