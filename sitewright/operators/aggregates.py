@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import guarded_ratio
+from ..functions.expressions import guarded_ratio, neg_log10
 from .ranking import best_row, distribution
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
@@ -107,8 +107,6 @@ def inverse_variance(df: DataFrame, by: Sequence[str], *, beta: str, variance: s
         F.sqrt(F.lit(1.0) / F.sum(w)).alias("se_ivw"),
     ]
     if p_value:
-        from ..functions.expressions import neg_log10
-
         aggregates += [F.min(p_value).alias("min_p"), F.max(neg_log10(p_value)).alias("max_neglog10_p")]
     if unit:
         aggregates.append(F.count_distinct(unit).alias("n_units"))
@@ -325,6 +323,6 @@ def composition_percentages(df: DataFrame, *, total: Column, unedited: Column, m
     return sums.select(
         "*",
         (edited - F.col("modeled_reads")).alias("other_reads"),
-        (F.lit(100.0) * edited / F.col("total_reads")).alias("edited_percent"),
-        (F.lit(100.0) * F.col("modeled_reads") / edited).alias("modeled_percent"),
+        guarded_ratio(F.lit(100.0) * edited, F.col("total_reads"), 0.0).alias("edited_percent"),
+        guarded_ratio(F.lit(100.0) * F.col("modeled_reads"), edited, 0.0).alias("modeled_percent"),
     )

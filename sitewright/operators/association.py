@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.expressions import Z95, finite, fisher_bound, fisher_z, guarded_ratio
+from ..functions.expressions import Z95, col, finite, fisher_bound, fisher_z, guarded_ratio
 from .ranking import SPLIT_EVERY, mid_rank, value_ranks
 
 
@@ -20,6 +20,14 @@ def complete_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.withColumn(x, finite(x)).withColumn(y, finite(y)).where(F.col(x).isNotNull() & F.col(y).isNotNull())
 
 
+def pearson(x: str | Column, y: str | Column) -> Column:
+    """Correlation aggregate over complete pairs; NULL when either side is constant."""
+    a, b = col(x), col(y)
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return guarded_ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b), 0.0)
+
+
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, *, split_every: int = SPLIT_EVERY) -> DataFrame:
     """Rank correlation with mid-ranks over the complete pairs of each group.
 
@@ -50,7 +58,7 @@ def correlation_summary(df: DataFrame, by: Sequence[str], x: str, y: str, *, spl
     by = list(by)
     clean = complete_pairs(df, x, y)
     linear = clean.groupBy(*by).agg(
-        F.corr(x, y).alias("pearson"), F.avg((F.signum(x) == F.signum(y)).cast("double")).alias("direction_agreement")
+        pearson(x, y).alias("pearson"), F.avg((F.signum(x) == F.signum(y)).cast("double")).alias("direction_agreement")
     )
     ranked = spearman(df, by, x, y, split_every=split_every)
     joined = ranked.join(linear, by) if by else ranked.join(F.broadcast(linear), F.lit(True))

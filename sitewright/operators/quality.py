@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import finite
+from .association import pearson
 from .joins import compare_sides
 from .resampling import proportion_tolerance
 
@@ -43,12 +44,11 @@ def compare_values(joined: DataFrame, specs: Sequence[Tolerance]) -> DataFrame:
     gap = F.when(both, F.abs(fg - fr))
     gone_g, gone_r = g.isNull() | F.isnan(g), r.isNull() | F.isnan(r)
     close = ~gone_g & ~gone_r & F.coalesce((gap <= F.col("atol") + F.col("rtol") * F.abs(fr)) | (g == r), F.lit(False))
-    varies = (F.stddev_samp(F.when(both, fg)) > 0) & (F.stddev_samp(F.when(both, fr)) > 0)
     summary = long.groupBy("column", "rtol", "atol", "min_r").agg(
         F.count(gap).alias("n"),
         F.max(gap).alias("max_abs_difference"),
         F.avg(gap).alias("mean_abs_difference"),
-        F.when(varies, F.corr(F.when(both, fg), F.when(both, fr))).alias("pearson_r"),
+        pearson(F.when(both, fg), F.when(both, fr)).alias("pearson_r"),
         F.bool_and(close | (gone_g & gone_r)).alias("all_close"),
     )
     correlated = F.col("min_r").isNull() | F.coalesce(F.col("pearson_r") >= F.col("min_r"), F.lit(False))
@@ -159,7 +159,7 @@ def is_placeholder(column: str, prefixes: Sequence[str]) -> Column:
 
 def unknown_tokens(column: str, allowed: Sequence[str], separator: str = ";") -> Column:
     """True when a token list holds anything outside the vocabulary; blanks are ignored."""
-    tokens = F.filter(F.transform(F.split(F.coalesce(F.col(column), F.lit("")), separator), F.trim), lambda t: t != "")
+    tokens = F.filter(F.transform(F.split(F.coalesce(F.col(column), F.lit("")), separator), lambda t: F.trim(t)), lambda t: t != "")
     return F.size(F.array_except(tokens, F.array(*[F.lit(a) for a in allowed]))) > 0
 
 
