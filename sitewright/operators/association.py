@@ -28,7 +28,9 @@ def pearson(x: str | Column, y: str | Column) -> Column:
     return guarded_ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b), 0.0)
 
 
-def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, *, split_every: int = SPLIT_EVERY) -> DataFrame:
+def spearman(
+    df: DataFrame, by: Sequence[str], x: str, y: str, *, weight: str | None = None, split_every: int = SPLIT_EVERY
+) -> DataFrame:
     """Rank correlation with mid-ranks over the complete pairs of each group.
 
     Pairs are counted per distinct (x, y), ranked on each axis, and summed about the known mean rank."""
@@ -36,7 +38,7 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, *, split_every: i
     pairs = (
         complete_pairs(df, x, y)
         .groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
-        .agg(F.count(F.lit(1)).alias("_w"))
+        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).cast("bigint").alias("_w"))
     )
     rank_x = value_ranks(pairs, by, "_x", weight="_w", split_every=split_every).select(
         *by, "_x", mid_rank().alias("_rx"), F.col("n_total").alias("_n")

@@ -44,21 +44,9 @@ def cluster_bootstrap(
         F.count(F.lit(1)).alias("n_clusters"),
         (F.sum("_positive") / F.sum("_size")).alias("fraction"),
     )
-    numbers = F.sequence(F.lit(0), F.lit(replicates - 1))
-    if method == "poisson":
-        drawn = clusters.withColumn("_b", F.explode(numbers))
-        drawn = drawn.withColumn("_times", poisson_weight(seed, F.col(cluster), F.col("_b"), *[F.col(c) for c in by]))
-    else:
-        indexed = row_positions(clusters, by, [F.col(cluster)], name="_slot", split_every=split_every)
-        sizes = point.select(*by, F.col("n_clusters").alias("_k"))
-        slots = indexed.join(sizes, by) if by else indexed.join(F.broadcast(sizes), F.lit(True))
-        draws = (
-            slots.select(*by, "_slot", "_k", F.explode(numbers).alias("_b"))
-            .select(*by, "_b", (hash_index(F.col("_k"), seed, F.col("_b"), F.col("_slot")) + 1).alias("_slot"))
-            .groupBy(*by, "_slot", "_b")
-            .agg(F.count(F.lit(1)).alias("_times"))
-        )
-        drawn = draws.join(indexed, [*by, "_slot"])
+    drawn = cluster_draws(
+        clusters, by, cluster=cluster, replicates=replicates, seed=seed, method=method, split_every=split_every
+    )
     sums = drawn.groupBy(*by, "_b").agg(
         guarded_ratio(F.sum(F.col("_times") * F.col("_positive")), F.sum(F.col("_times") * F.col("_size")), 0.0).alias("_f")
     )
@@ -70,6 +58,34 @@ def cluster_bootstrap(
     )
 
 
+def cluster_draws(
+    clusters: DataFrame,
+    by: Sequence[str],
+    *,
+    cluster: str,
+    replicates: int,
+    seed: int,
+    method: str = "multinomial",
+    split_every: int = SPLIT_EVERY,
+) -> DataFrame:
+    """How often (``_times``) each cluster enters each replicate (``_b``); ``clusters`` has one row per cluster."""
+    by = list(by)
+    numbers = F.sequence(F.lit(0), F.lit(replicates - 1))
+    if method == "poisson":
+        drawn = clusters.withColumn("_b", F.explode(numbers))
+        return drawn.withColumn("_times", poisson_weight(seed, F.col(cluster), F.col("_b"), *[F.col(c) for c in by]))
+    indexed = row_positions(clusters, by, [F.col(cluster)], name="_slot", split_every=split_every)
+    sizes = clusters.groupBy(*by).agg(F.count(F.lit(1)).alias("_k"))
+    slots = indexed.join(sizes, by) if by else indexed.join(F.broadcast(sizes), F.lit(True))
+    draws = (
+        slots.select(*by, "_slot", "_k", F.explode(numbers).alias("_b"))
+        .select(*by, "_b", (hash_index(F.col("_k"), seed, F.col("_b"), F.col("_slot")) + 1).alias("_slot"))
+        .groupBy(*by, "_slot", "_b")
+        .agg(F.count(F.lit(1)).alias("_times"))
+    )
+    return draws.join(indexed, [*by, "_slot"])
+
+
 def poisson_weight(seed: int, *key: Column) -> Column:
     """Poisson(1) count from a keyed 32-bit hash by inverting the distribution function."""
     u = hash_index(2**32, seed, *key) / F.lit(float(2**32))

@@ -1,4 +1,4 @@
-from . import checks, contact_maps, designs, effects, motif_scans, positions, resampled, scored, variants
+from . import checks, contact_maps, designs, effects, motif_scans, positions, prespecified_plans, resampled, scored, variants
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
