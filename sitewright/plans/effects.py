@@ -531,7 +531,7 @@ def scaled_by_largest(spark, sf_dir):
     """
 WITH r AS (
   SELECT l_linenumber AS upstream, l_quantity::INTEGER AS downstream, CASE WHEN l_linestatus = 'O' THEN 'outside' ELSE 'inside' END AS cond,
-         l_suppkey AS seed, avg(round(l_discount * 100)::BIGINT) / 10 AS retention
+         l_suppkey AS seed, sum(round(l_discount * 100)::BIGINT)::DOUBLE / 16 AS retention
   FROM lineitem GROUP BY 1, 2, 3, 4),
 g AS (
   SELECT upstream, downstream, cond, count(DISTINCT seed) AS n_units, avg(retention) AS mean, quantile_cont(retention, 0.5) AS median,
@@ -558,7 +558,8 @@ def boundary_surface(spark, sf_dir):
             F.when(F.col("l_linestatus") == "O", "outside").otherwise("inside").alias("cond"),
             F.col("l_suppkey").alias("seed"),
         )
-        .agg((F.avg(cents("l_discount")) / 10).alias("retention"))
+        # sixteenths are exact in binary, so the thresholds cannot hang on the order of a sum
+        .agg((F.sum(cents("l_discount")).cast("double") / 16).alias("retention"))
     )
     return rounded(
         ag.boundary_surface(
