@@ -52,3 +52,29 @@ def fold(id_column: str | Column, folds: int) -> Column:
 def keyed_rank(id_column: str, seed: int) -> Column:
     """A repeatable pseudo-random order of rows that depends on their id alone."""
     return F.xxhash64(F.lit(seed), F.col(id_column))
+
+
+def text_column_udf(make, returns):
+    """An Arrow column function over whole texts. ``make()`` runs once per task and gives a function from a list of
+    texts to an Arrow array; texts reach it in slices. It is marked non-deterministic, so that a filter on its result
+    is not evaluated a second time below it."""
+    import pyarrow as pa
+    from pyspark.sql.functions import arrow_udf
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        apply = make()
+        for batch in batches:
+            texts = [text or "" for text in batch.to_pylist()]
+            parts = [apply(texts[a:b]) for a, b in slices(texts)]
+            yield pa.concat_arrays(parts) if parts else apply([])
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return arrow_udf(run, returns).asNondeterministic()
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that the DataFrame does not have (names differ by more than case)."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .access_codes import encode_codes
-from .common import documents
+from .common import documents, fold
+from .language_centroids import fit_languages, identify_languages
 from .packing import pack_sequences
+from .quality_network import fit_quality, score_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +36,17 @@ def packing(spark, sf_dir):
 @query("op8_token_codes")
 def token_codes(spark, sf_dir):
     return encode_codes(documents(spark, sf_dir)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op5_quality_network")
+def quality_network(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    net = fit_quality(docs, documents(spark, sf_dir, "labels"))
+    return score_quality(docs, net).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op10_language_centroids")
+def language_centroids(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    found = identify_languages(docs, fit_languages(docs))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
