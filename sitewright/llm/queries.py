@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .access_codes import encode_codes
+from .chosen_path import near_duplicate_classes
 from .common import documents, fold
 from .language_centroids import fit_languages, identify_languages
 from .packing import pack_sequences
@@ -50,3 +51,8 @@ def language_centroids(spark, sf_dir):
     docs = documents(spark, sf_dir)
     found = identify_languages(docs, fit_languages(docs))
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op9_chosen_path_join")
+def chosen_path_join(spark, sf_dir):
+    return near_duplicate_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "kept")
