@@ -13,6 +13,7 @@ from .common import documents, fold
 from .language_centroids import fit_languages, identify_languages
 from .packing import pack_sequences
 from .quality_network import fit_quality, score_quality
+from .surrogates import replace_entities
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +57,8 @@ def language_centroids(spark, sf_dir):
 @query("op9_chosen_path_join")
 def chosen_path_join(spark, sf_dir):
     return near_duplicate_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "kept")
+
+
+@query("op3_surrogates")
+def surrogates(spark, sf_dir):
+    return replace_entities(documents(spark, sf_dir), length_column="n_chars").select("doc_id", "text", "n_chars", "n_entities")
