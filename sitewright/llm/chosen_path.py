@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -27,6 +28,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@cache
+def shingler(n: int) -> Shingler:
+    """The shingler of this worker process, which knows the words of earlier tasks."""
+    return Shingler(n)
+
+
 class Shingler:
     """Sets of hashed word n-grams; words are what white space parts. A text with fewer words than n has one n-gram of
     all its words, a text without words none."""
@@ -39,7 +46,7 @@ class Shingler:
     def sets(self, texts: list[str]) -> list[np.ndarray]:
         words = [text.split() for text in texts]
         if len(self.known) > KEPT_WORDS:
-            self.known = {}
+            self.known.clear()
         known = self.known
         for word in set(chain.from_iterable(words)):
             if word not in known:
@@ -123,12 +130,12 @@ def near_duplicate_classes(
     source = docs.select(F.col(id_column).alias("id"), row_key(id_column, text_column).alias("row_key"), F.col(text_column).alias("text"))
 
     def sketched(batches):
-        shingler = Shingler(n)
+        words = shingler(n)
         for batch in batches:
             keys, sizes, sketches = [], [], []
             texts = texts_of(batch)
             for a, b in slices(texts):
-                for grams in shingler.sets(texts[a:b]):
+                for grams in words.sets(texts[a:b]):
                     sizes.append(len(grams))
                     keys.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)
                     sketches.append(sketch_of(grams, coordinates).tobytes())
@@ -268,11 +275,11 @@ def _verified(source: DataFrame, sets: DataFrame, groups: DataFrame, n: int, thr
     texts = source.select("row_key", "text").join(wanted, "row_key").drop("row_key").dropDuplicates(["node"])
 
     def shingled(batches):
-        shingler = Shingler(n)
+        words = shingler(n)
         for batch in batches:
             texts = texts_of(batch)
             for a, b in slices(texts):
-                grams = [g.tobytes() for g in shingler.sets(texts[a:b])]
+                grams = [g.tobytes() for g in words.sets(texts[a:b])]
                 kept = batch.slice(a, b - a).select(["node", "copies", "group", "parts"])
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(grams, pa.binary())], names=[*kept.schema.names, "grams"])
 

@@ -13,7 +13,10 @@ from .common import documents, fold
 from .language_centroids import fit_languages, identify_languages
 from .packing import pack_sequences
 from .quality_network import fit_quality, score_quality
+from .robust_outliers import robust_outliers
+from .secret_tagger import fit_tagger, scan_secrets
 from .surrogates import replace_entities
+from .vector_cells import near_duplicate_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +65,20 @@ def chosen_path_join(spark, sf_dir):
 @query("op3_surrogates")
 def surrogates(spark, sf_dir):
     return replace_entities(documents(spark, sf_dir), length_column="n_chars").select("doc_id", "text", "n_chars", "n_entities")
+
+
+@query("op6_robust_outliers")
+def outliers(spark, sf_dir):
+    return robust_outliers(documents(spark, sf_dir))
+
+
+@query("op7_vector_cells")
+def vector_cells(spark, sf_dir):
+    return near_duplicate_vectors(documents(spark, sf_dir, "embeddings"))
+
+
+@query("op1_secret_tagger")
+def secret_tagger(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    found = scan_secrets(docs, fit_tagger(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
