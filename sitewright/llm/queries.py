@@ -12,6 +12,7 @@ from .chosen_path import near_duplicate_classes
 from .common import documents, fold
 from .language_centroids import fit_languages, identify_languages
 from .packing import pack_sequences
+from .piece_transducer import encode_pieces
 from .quality_network import fit_quality, score_quality
 from .robust_outliers import robust_outliers
 from .secret_tagger import fit_tagger, scan_secrets
@@ -82,3 +83,10 @@ def secret_tagger(spark, sf_dir):
     docs = documents(spark, sf_dir)
     found = scan_secrets(docs, fit_tagger(docs))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+@query("op4_piece_transducer")
+def piece_transducer(spark, sf_dir):
+    pieces = encode_pieces(documents(spark, sf_dir))
+    decoded = F.sha2(F.col("decoded").cast("binary"), 256)
+    return pieces.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), decoded.alias("decoded_sha256"))
