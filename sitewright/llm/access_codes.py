@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..session import fresh_folder
 from .common import slices, texts_of
-from .tokens import Encoder
+from .tokens import encoder
 
 #: Bits of a chunk, and bits of a continuation bitmap covered by one entry of its rank directory.
 CHUNK_BITS = 8
@@ -97,24 +97,25 @@ def write_codes(
 ) -> str:
     """Encode all documents in ascending id order and write segment files to ``folder``, through Spark's own writer, so
     any store that Spark writes to will do. A file row is a segment: ``part`` and ``segment`` (their order is the order
-    of the ids), ``n_tokens``, ``index`` (documents in order with their number of tokens) and ``levels``.
+    of the ids), ``first`` (ids of the part before it), ``n_tokens``, ``index`` (documents in order with their number of tokens) and ``levels``.
 
     Rows are ranged by id before they are encoded, so equal ids (and null ids, which come first) are neighbours; a
     document never straddles segments. Null or empty text: the end id alone. Ties are ordered by text."""
 
     def run(batches):
-        encoder, part = Encoder(vocabulary), TaskContext.get().partitionId()
+        codes, part = encoder(vocabulary), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
-        number, names, sizes, held, total, kind = 0, [], [], [], 0, None
+        number, first, names, sizes, held, total, kind = 0, 0, [], [], [], 0, None
 
         def segment():
-            nonlocal number, names, sizes, held, total
+            nonlocal number, first, names, sizes, held, total
             levels = Segment.encode(np.frombuffer(b"".join(held), "<u4"))
             index = [{"id": n, "n_tokens": s} for n, s in zip(names, sizes)]
             row = pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()),
                     pa.array([number], pa.int32()),
+                    pa.array([first], pa.int64()),
                     pa.array([total], pa.int64()),
                     pa.array([index], pa.list_(pa.struct([("id", kind), ("n_tokens", pa.int64())]))),
                     pa.array(
@@ -122,16 +123,16 @@ def write_codes(
                         pa.list_(pa.struct([(n, pa.binary()) for n in ("chunks", "continues", "ranks")])),
                     ),
                 ],
-                names=["part", "segment", "n_tokens", "index", "levels"],
+                names=["part", "segment", "first", "n_tokens", "index", "levels"],
             )
-            number, names, sizes, held, total = number + 1, [], [], [], 0
+            number, first, names, sizes, held, total = number + 1, first + total, [], [], [], 0
             return row
 
         for batch in batches:
             kind = kind or batch.schema.field(0).type
             ids, texts = batch.column(0).to_pylist(), texts_of(batch, batch.schema.names[1])
             for a, b in slices(texts):
-                for name, code in zip(ids[a:b], encoder.encode(texts[a:b])):
+                for name, code in zip(ids[a:b], codes.encode(texts[a:b])):
                     names.append(name)
                     sizes.append(len(code) // 4 + 1)
                     held.append(code + end)
@@ -146,6 +147,7 @@ def write_codes(
         [
             T.StructField("part", T.IntegerType(), False),
             T.StructField("segment", T.IntegerType(), False),
+            T.StructField("first", T.LongType(), False),
             T.StructField("n_tokens", T.LongType(), False),
             T.StructField("index", index, False),
             T.StructField("levels", LEVEL, False),
@@ -186,14 +188,12 @@ def read_codes(segments: DataFrame, id_column: str = "doc_id") -> DataFrame:
             T.StructField("ids", T.BinaryType(), False),
         ]
     )
-    # one row per written part, then per segment within its part: what precedes a part is summed over parts, of which
-    # there are as many as shuffle partitions, so the side that is broadcast does not grow with the input
+    # what precedes a part is summed over parts, of which there are as many as shuffle partitions, so the side that is
+    # broadcast does not grow with the input
     parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("size"))
     parts = parts.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
-    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("segment")) - F.col("n_tokens")
-    bases = segments.select("part", "segment", "n_tokens").withColumn("within", within)
-    bases = bases.join(F.broadcast(parts), "part").select("part", "segment", (F.col("before") + F.col("within")).alias("base"))
-    return segments.join(bases, ["part", "segment"]).select("base", "index", "levels").mapInArrow(run, schema)
+    based = segments.join(F.broadcast(parts), "part")
+    return based.select((F.col("before") + F.col("first")).alias("base"), "index", "levels").mapInArrow(run, schema)
 
 
 def encode_codes(docs: DataFrame, **options) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import fresh_folder
 
 #: Texts are worked on in slices of about so many characters, so a task's memory does not follow its Arrow batch.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 8_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import slices, texts_of
-from .tokens import Encoder
+from .tokens import encoder
 
 PIECES = T.StructType(
     [
@@ -109,7 +109,7 @@ def pack_sequences(
     gives no rows; further columns are not read."""
 
     def run(batches):
-        encoder, packer = Encoder(vocabulary), LevelPacker(window, open_limit)
+        codes, packer = encoder(vocabulary), LevelPacker(window, open_limit)
         number = TaskContext.get().partitionId() * SEQUENCES_PER_TASK
         end = np.array([end_id], "<u4").tobytes()
         rows: list[tuple] = []
@@ -133,7 +133,7 @@ def pack_sequences(
             schema = schema or pa.schema([pa.field(id_column, batch.schema.field(0).type), *arrow_fields()])
             names, texts = batch.column(0).to_pylist(), texts_of(batch, batch.schema.names[1])
             for a, b in slices(texts):
-                for doc, ids in zip(names[a:b], encoder.encode(texts[a:b])):
+                for doc, ids in zip(names[a:b], codes.encode(texts[a:b])):
                     ids += end
                     total = len(ids) // 4
                     whole = total - total % window
