@@ -108,7 +108,7 @@ def robust_outliers(
     docs: DataFrame,
     least_words: int = 10,
     most_repeated_percent: int = 20,
-    cutoff: float = 100.0,
+    cutoff: float = 28.0,
     inside: float = 0.75,
     steps: int = 6,
     least_rows: int = 60,
@@ -124,7 +124,7 @@ def robust_outliers(
     documents share a pool of their language, languages with fewer a common one, and if that is smaller still its documents are
     kept. In each pool the location and scatter with the smallest determinant are sought by concentration steps: from
     medians and median deviations on, the ``inside`` share of rows nearest to the estimate gives the next one. Distances are
-    squared and scaled so that a pool's median is that of a chi-square; ``kept`` is false above ``cutoff``.
+    squared, and shrink so that a pool's median is at most that of a chi-square; ``kept`` is false above ``cutoff`` (about the 0.9999 quantile of that chi-square).
 
     Everything is estimated from all rows: each step is two grouped aggregates over the small table of statistics,
     combined before they are shuffled, and a join of rows with their pool's estimate, spread over salts.
@@ -155,10 +155,12 @@ def robust_outliers(
         sums += [F.covar_pop(v[i], v[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)]
         estimate = staged(core.groupBy("pool").agg(*sums).mapInArrow(_inverted, "pool string, mean array<double>, inverse array<double>"), "estimate")
     near = _distances(judged, estimate)
-    # medians of squared distances and of the chi-square with as many degrees of freedom
-    middle = near.groupBy("pool").agg(F.greatest(F.percentile_approx("distance", 0.5, 2000), F.lit(1e-9)).alias("half"))
+    # the nearest share is less scattered than all rows: where half of the distances exceed the median of the chi-square
+    # with as many degrees of freedom, they shrink to it
+    usual = F.lit(p * (1 - 2 / (9 * p)) ** 3)
+    middle = near.groupBy("pool").agg(F.greatest(F.percentile_approx("distance", 0.5, 2000), usual).alias("half"))
     final = _salted(rows, staged(estimate.join(middle, "pool"), "final"), "left")
-    final = final.withColumn("distance", _quadratic() / F.col("half") * (p * (1 - 2 / (9 * p)) ** 3))
+    final = final.withColumn("distance", _quadratic() / F.col("half") * usual)
     return final.select(
         F.col("id").alias(id_column),
         *STATISTICS[:5],
