@@ -87,9 +87,10 @@ def largest_of(columns: list[str | Column]) -> Column:
 
 
 def hash_index(modulus: int | Column, *parts: object) -> Column:
-    """Deterministic pseudo-random index in [0, modulus) keyed by ``parts`` (columns or literals)."""
+    """Deterministic pseudo-random index in [0, modulus) keyed by ``parts`` (columns or literals): a 60-bit digest, so the
+    remainder is even for any number of rows."""
     text = F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
-    number = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    number = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
     return number % (modulus if isinstance(modulus, Column) else F.lit(int(modulus)))
 
 

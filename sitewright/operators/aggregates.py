@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import guarded_ratio, neg_log10
-from .ranking import best_row, distribution
+from .ranking import best_row, distribution, join_back
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 DECILES = {"q10": 0.10, "q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.90}
@@ -115,20 +115,21 @@ def inverse_variance(df: DataFrame, by: Sequence[str], *, beta: str, variance: s
 
 def modal_value(df: DataFrame, by: Sequence[str], value: str, *, preferred: Column | None = None) -> DataFrame:
     """Most frequent value of each key among preferred rows, among all rows when none is preferred.
-    Ties go to the smaller value."""
+    Ties go to the smaller value; a missing value is never the mode, so a key with nothing else has none."""
     by = list(by)
     flag = F.coalesce(preferred, F.lit(False)) if preferred is not None else F.lit(True)
     counts = df.groupBy(*by, value).agg(
         F.count(F.when(flag, 1)).alias("_preferred"), F.count(F.lit(1)).alias("_all")
     )
+    known = F.col(value).isNotNull()
     best = counts.groupBy(*by).agg(
-        F.min(F.when(F.col("_preferred") > 0, F.struct(-F.col("_preferred"), F.col(value)))).alias("_p"),
-        F.min(F.struct(-F.col("_all"), F.col(value))).alias("_a"),
+        F.min(F.when(known & (F.col("_preferred") > 0), F.struct(-F.col("_preferred"), F.col(value)))).alias("_p"),
+        F.min(F.when(known, F.struct(-F.col("_all"), F.col(value)))).alias("_a"),
     )
     return best.select(
         *by,
         F.coalesce(F.col(f"_p.{value}"), F.col(f"_a.{value}")).alias(value),
-        (-F.coalesce(F.col("_p.col1"), F.col("_a.col1"))).alias("support"),
+        (-F.coalesce(F.col("_p.col1"), F.col("_a.col1"), F.lit(0))).alias("support"),
         F.col("_p").isNotNull().alias("from_preferred"),
     )
 
@@ -137,7 +138,7 @@ def share_of_total(df: DataFrame, by: Sequence[str], value: str, *, name: str =
     """value / sum(value) of its key: totals are aggregated first and joined back."""
     by = list(by)
     totals = df.groupBy(*by).agg(F.sum(value).alias("_total"))
-    joined = df.join(totals, by) if by else df.join(F.broadcast(totals), F.lit(True))
+    joined = join_back(df, totals, by)
     return joined.withColumn(name, guarded_ratio(value, "_total", 0.0)).drop("_total")
 
 

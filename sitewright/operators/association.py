@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.expressions import Z95, col, finite, fisher_bound, fisher_z, guarded_ratio
-from .ranking import SPLIT_EVERY, mid_rank, value_ranks
+from .ranking import SPLIT_EVERY, join_back, mid_rank, value_ranks
 
 
 def complete_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -47,8 +47,7 @@ def spearman(
     center = (F.col("_n") + 1) / F.lit(2.0)
     dx, dy, w = F.col("_rx") - center, F.col("_ry") - center, F.col("_w")
     sums = (
-        pairs.join(rank_x, [*by, "_x"])
-        .join(rank_y, [*by, "_y"])
+        join_back(join_back(pairs, rank_x, [*by, "_x"]), rank_y, [*by, "_y"])
         .groupBy(*by)
         .agg(F.sum(w * dx * dy).alias("_xy"), F.sum(w * dx * dx).alias("_xx"), F.sum(w * dy * dy).alias("_yy"), F.sum(w).alias("n"))
     )
@@ -63,7 +62,7 @@ def correlation_summary(df: DataFrame, by: Sequence[str], x: str, y: str, *, spl
         pearson(x, y).alias("pearson"), F.avg((F.signum(x) == F.signum(y)).cast("double")).alias("direction_agreement")
     )
     ranked = spearman(df, by, x, y, split_every=split_every)
-    joined = ranked.join(linear, by) if by else ranked.join(F.broadcast(linear), F.lit(True))
+    joined = join_back(ranked, linear, by)
     return joined.withColumn("spearman_low", fisher_bound("spearman", "n", -1)).withColumn(
         "spearman_high", fisher_bound("spearman", "n", 1)
     )
@@ -110,7 +109,7 @@ def random_effects(df: DataFrame, by: Sequence[str], *, r: str, n: str, with_p:
         F.sum(F.col("_w") * F.col("_w")).alias("_sw2"),
         F.sum(F.col("_w") * F.col("_z")).alias("_swz"),
     )
-    joined = studies.join(fixed, by) if by else studies.join(F.broadcast(fixed), F.lit(True))
+    joined = join_back(studies, fixed, by)
     center = F.col("_swz") / F.col("_sw")
     spread = joined.groupBy(*by, "k", "_sw", "_sw2").agg(
         F.sum(F.col("_w") * (F.col("_z") - center) * (F.col("_z") - center)).alias("q")
@@ -120,7 +119,7 @@ def random_effects(df: DataFrame, by: Sequence[str], *, r: str, n: str, with_p:
     between = spread.select(
         *by, "k", "q", F.greatest(F.lit(0.0), F.coalesce(guarded_ratio(F.col("q") - freedom, scale, 0.0), F.lit(0.0))).alias("tau2")
     )
-    weighted = studies.join(between, by) if by else studies.join(F.broadcast(between), F.lit(True))
+    weighted = join_back(studies, between, by)
     w = F.lit(1.0) / (F.lit(1.0) / F.col("_w") + F.col("tau2"))
     pooled = weighted.groupBy(*by, "k", "q", "tau2").agg(
         (F.sum(w * F.col("_z")) / F.sum(w)).alias("_pz"), F.sqrt(F.lit(1.0) / F.sum(w)).alias("_se")
@@ -217,7 +216,7 @@ def tagging_model(
     coefficient leaves the direct one."""
     by = list(by)
     anchors = df.groupBy(*by).agg(F.max(F.when(is_anchor, F.col(direct))).alias("_anchor_effect"))
-    joined = df.join(anchors, by, "left") if by else df.join(F.broadcast(anchors), F.lit(True))
+    joined = join_back(df, anchors, by, "left")
     tagged = F.col(direct) + F.col(coefficient) * F.col("_anchor_effect")
     return joined.withColumn(
         name, F.when(is_anchor, F.col(direct)).otherwise(F.coalesce(tagged, F.col(direct)))

@@ -112,9 +112,10 @@ def _texts(key: Sequence[Column]) -> list[Column]:
     return [k.cast("string") for k in key]
 
 
-def shuffled(text: Column, *key: Column, protected: Column | None = None) -> Column:
+def shuffled(text: Column, *key: Column, protected: Column | None = None, must_differ: bool = False) -> Column:
     """Permute the canonical bases of ``text`` by keyed digest order. ``protected`` is an array of 0-based indices
-    that stay; non-canonical characters stay too."""
+    that stay; non-canonical characters stay too. With ``must_differ`` a draw that repeats the text is turned by one
+    base, and the result is NULL where the free bases are all the same, so that no other order exists."""
 
     def movable(x: Column) -> Column:
         free = x["c"].isin(*BASE_LIST)
@@ -126,8 +127,15 @@ def shuffled(text: Column, *key: Column, protected: Column | None = None) -> Col
 
     def permute(letters: Column) -> Column:
         def place(free: Column) -> Column:
-            order = F.array_sort(F.transform(free, keyed))
-            moved = F.zip_with(free, order, lambda spot, drawn: F.struct(spot["i"].alias("i"), drawn["c"].alias("c")))
+            drawn = F.transform(F.array_sort(F.transform(free, keyed)), lambda x: x["c"])
+            own = F.transform(free, lambda x: x["c"])
+
+            def other(order: Column) -> Column:
+                turned = F.concat(F.slice(order, 2, F.size(order)), F.slice(order, 1, 1))
+                return F.when(order != own, order).when(turned != own, turned)
+
+            order = bound(drawn, other) if must_differ else drawn
+            moved = F.zip_with(free, order, lambda spot, base: F.struct(spot["i"].alias("i"), base.alias("c")))
             fixed = F.filter(letters, lambda x: ~movable(x))
             return F.array_join(F.transform(F.array_sort(F.concat(moved, fixed)), lambda x: x["c"]), "")
 
@@ -137,27 +145,12 @@ def shuffled(text: Column, *key: Column, protected: Column | None = None) -> Col
     return bound(letters, permute)
 
 
-def shuffled_until_different(text: Column, *key: Column, protected: Column | None = None, attempts: int = 100) -> Column:
-    """The first keyed shuffle that differs from ``text``; later attempts are evaluated only when needed and
-    running out of them fails the job."""
-
-    def search(original: Column) -> Column:
-        def attempt(found: Column, k: Column) -> Column:
-            fresh = bound(shuffled(original, *key, k, protected=protected), lambda c: F.when(c != original, c))
-            return F.when(found.isNotNull(), found).otherwise(fresh)
-
-        return F.aggregate(F.sequence(F.lit(0), F.lit(attempts - 1)), F.lit(None).cast("string"), attempt)
-
-    failed = F.raise_error(F.lit("no composition-preserving shuffle differs from the input")).cast("string")
-    return F.coalesce(bound(text, search), failed)
-
-
 def shuffle_range(s: Column, start0: Column, end0: Column, *key: Column, must_differ: bool = False, anchor0: Column | None = None) -> Column:
     """Shuffle the half-open slice [start0, end0); with ``anchor0`` that index keeps its base."""
     piece = F.substring(s, start0 + 1, end0 - start0)
     protected = None if anchor0 is None else F.array((anchor0 - start0).cast("int"))
-    pick = shuffled_until_different if must_differ else shuffled
-    return F.when(end0 > start0, sq.replace_segment(s, start0, end0, pick(piece, *key, protected=protected))).otherwise(s)
+    order = shuffled(piece, *key, protected=protected, must_differ=must_differ)
+    return F.when(end0 > start0, sq.replace_segment(s, start0, end0, order)).otherwise(s)
 
 
 def component_design(

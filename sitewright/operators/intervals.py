@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import best_row
+from .ranking import best_row, join_back, window_order
 
 TILE = 1 << 18
 UP_TO_PREVIOUS = (Window.unboundedPreceding, -1)
@@ -25,7 +25,7 @@ def _carry(df: DataFrame, by: list[str], column: str, aggregate: Column, name: s
     across = Window.partitionBy(*by).orderBy("_tile").rowsBetween(*UP_TO_PREVIOUS)
     combine = F.max if over == "max" else F.sum
     per_tile = df.groupBy(*by, "_tile").agg(aggregate.alias(column)).select(*by, "_tile", combine(column).over(across).alias(name))
-    return df.join(per_tile, [*by, "_tile"])
+    return join_back(df, per_tile, [*by, "_tile"])
 
 
 def merge_intervals(df: DataFrame, by: Sequence[str], start: str, end: str, *, tile: int = TILE) -> DataFrame:
@@ -195,7 +195,7 @@ def greedy_non_overlapping(
     needed = limit * (2 * (reach // step) + 1)
     if not unique_starts:
         df = best_row(df, [*by, start], list(order))
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order, start))).where(F.col("_r") <= needed)
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*window_order(order), start))).where(F.col("_r") <= needed)
     starts = ranked.groupBy(*by).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct(F.col("_r"), F.col(start).cast("bigint").alias("s")))), lambda x: x["s"]
@@ -211,7 +211,7 @@ def greedy_non_overlapping(
     picks = starts.select(*by, F.posexplode(taken).alias("_i", start)).select(
         *by, F.col(start), (F.col("_i") + 1).alias("pick")
     )
-    return ranked.drop("_r").join(picks.withColumn(start, F.col(start).cast(df.schema[start].dataType)), [*by, start])
+    return join_back(ranked.drop("_r"), picks.withColumn(start, F.col(start).cast(df.schema[start].dataType)), [*by, start])
 
 
 def covered_positions(df: DataFrame, by: Sequence[str], *, start: str, end: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.expressions import guarded_ratio, keyed_digest
 from .association import complete_pairs, spearman
-from .ranking import SPLIT_EVERY, exact_quantiles, row_positions, top_rows, value_ranks, with_cells
+from .ranking import SPLIT_EVERY, exact_quantiles, join_back, row_positions, top_rows, value_ranks, with_cells
 from .resampling import cluster_draws
 
 
@@ -52,7 +52,7 @@ def ranking_quality(df: DataFrame, by: Sequence[str], *, score: str, positive: C
     )
     negatives, negatives_below = F.col("n") - F.col("p"), F.col("n_less") - F.col("p_less")
     precision = (F.col("p_total") - F.col("p_less")) / (F.col("n_total") - F.col("n_less"))
-    sums = everything.join(hits, [*by, score]).groupBy(*by).agg(
+    sums = join_back(everything, hits, [*by, score]).groupBy(*by).agg(
         F.max("n_total").alias("n"),
         F.max("p_total").alias("n_positive"),
         F.sum(F.col("p") * (negatives_below + F.lit(0.5) * negatives)).alias("_u"),
@@ -112,17 +112,18 @@ def adjusted_p_values(df: DataFrame, by: Sequence[str], p: str, *, name: str = "
     later = Window.partitionBy(*by).orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
     per_cell = celled.groupBy(*by, "_cell").agg(F.min("_q").alias("_m")).select(*by, "_cell", F.min("_m").over(later).alias("_later"))
     onwards = Window.partitionBy(*by, "_cell").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    adjusted = celled.join(per_cell, [*by, "_cell"]).select(
+    adjusted = join_back(celled, per_cell, [*by, "_cell"]).select(
         *by, p, F.least(F.min("_q").over(onwards), F.col("_later"), F.lit(1.0)).alias(name)
     )
-    return df.join(adjusted, [*by, p], "left")
+    return join_back(df, adjusted, [*by, p], "left")
 
 
 def control_adjusted(df: DataFrame, by: Sequence[str], *, effect: str, is_control: Column, split_every: int = SPLIT_EVERY) -> DataFrame:
     """Effects of the non-control rows minus the median control effect of their key."""
     by = list(by)
     medians = exact_quantiles(df.where(is_control), by, effect, {"control_median": 0.5}, split_every=split_every)
-    return df.where(~is_control).join(medians, by, "left").withColumn("adjusted_effect", F.col(effect) - F.col("control_median"))
+    adjusted = join_back(df.where(~is_control), medians, by, "left")
+    return adjusted.withColumn("adjusted_effect", F.col(effect) - F.col("control_median"))
 
 
 def top_sign_agreement(df: DataFrame, by: Sequence[str], *, order: Sequence[Column], n: int, x: str, y: str) -> DataFrame:
@@ -140,10 +141,10 @@ def bootstrap_spearman(
     by = list(by)
     pairs = complete_pairs(df, x, y)
     draws = cluster_draws(pairs.select(*by, cluster).distinct(), by, cluster=cluster, replicates=replicates, seed=seed, split_every=split_every)
-    drawn = pairs.join(draws.select(*by, cluster, "_b", "_times"), [*by, cluster])
+    drawn = join_back(pairs, draws.select(*by, cluster, "_b", "_times"), [*by, cluster])
     resampled = spearman(drawn, [*by, "_b"], x, y, weight="_times", split_every=split_every)
     # at most ``replicates`` values per key
     interval = resampled.groupBy(*by).agg(F.percentile("spearman", [0.025, 0.975]).alias("_ci"))
     point = spearman(pairs, by, x, y, split_every=split_every)
-    joined = point.join(interval, by) if by else point.join(F.broadcast(interval), F.lit(True))
+    joined = join_back(point, interval, by)
     return joined.select(*by, "n", "spearman", F.col("_ci")[0].alias("ci_low"), F.col("_ci")[1].alias("ci_high"))

@@ -3,7 +3,7 @@
 Every group is cut into at most ``SPLIT_POINTS + 1`` cells. The cut points are taken from the entries whose content
 hash falls on a fixed grid (about one in ``SPLIT_EVERY``, the smallest hashes first), so small groups stay in one
 cell, huge ones get the full number, and every evaluation of the plan finds the same points: a lost executor cannot
-shift them. Ranks inside a cell come from a window over (group, cell); the entries in earlier cells come from a
+shift them. NULL keys form a group like any other. Ranks inside a cell come from a window over (group, cell); the entries in earlier cells come from a
 small per-cell aggregate.
 """
 
@@ -14,12 +14,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import null_matching_join
+
 SPLIT_EVERY = 4096
 SPLIT_POINTS = 255
 
 UP_TO_PREVIOUS = (Window.unboundedPreceding, -1)
 
 
+def join_back(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join an aggregate back to the rows it came from: NULL keys match; without keys the aggregate is one row."""
+    if keys:
+        return null_matching_join(left, right, list(keys), how=how)
+    return left.join(F.broadcast(right), F.lit(True), how)
+
+
+def nulls_last(order: Sequence[Column]) -> list[Column]:
+    """The ascending ``order`` with missing values after all others."""
+    return [part for c in order for part in (c.isNull(), c)]
+
+
+def window_order(order: Sequence[Column]) -> list[Column]:
+    """An order for windows with missing values last; a column that states its direction keeps it (descending columns
+    have missing values last by themselves)."""
+    return [c if str(c).rstrip("'>").endswith(("NULLS FIRST", "NULLS LAST")) else c.asc_nulls_last() for c in order]
+
+
 def _cut_points(df: DataFrame, by: list[str], value: str, split_every: int) -> DataFrame:
     hashed = df.select(*by, value, F.xxhash64(F.col(value)).alias("_h")).where(F.pmod("_h", F.lit(split_every)) == 0)
     if not by:
@@ -39,8 +59,7 @@ def with_cells(df: DataFrame, by: Sequence[str], value: str, *, split_every: int
     by = list(by)
     cuts = _cut_points(df, by, value, split_every)
     entry = F.col(value)
-    # without keys the right side is one row with at most SPLIT_POINTS entries
-    joined = df.join(cuts, by, "left") if by else df.join(F.broadcast(cuts), F.lit(True), "left")
+    joined = join_back(df, cuts, by, "left")
     cell = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("_cuts", lambda c: c < entry)))
     return joined.withColumn("_cell", cell).drop("_cuts")
 
@@ -63,7 +82,7 @@ def _ranked(
         carried.append((F.sum("_s").over(whole) / F.sum("_n").over(whole)).alias("mean"))
     per_cell = celled.groupBy(*by, "_cell").agg(*sums).select(*by, "_cell", *carried)
     within = Window.partitionBy(*by, "_cell").orderBy(value).rowsBetween(*UP_TO_PREVIOUS)
-    return celled.join(per_cell, [*by, "_cell"]).select(
+    return join_back(celled, per_cell, [*by, "_cell"]).select(
         *by,
         value,
         "n",
@@ -101,7 +120,7 @@ def row_positions(
     )
     within = Window.partitionBy(*by, "_cell").orderBy("_order")
     return (
-        celled.join(before, [*by, "_cell"])
+        join_back(celled, before, [*by, "_cell"])
         .withColumn(name, (F.col("_before") + F.row_number().over(within)).cast("bigint"))
         .drop("_order", "_cell", "_before")
     )
@@ -175,7 +194,7 @@ def attach_ranks(df: DataFrame, by: Sequence[str], value: str, columns: dict[str
     """Join rank columns (expressions over n, n_less, n_total) back to the rows; NULL values get NULL ranks."""
     by = list(by)
     ranks = value_ranks(df, by, value, **split).select(*by, value, *[c.alias(k) for k, c in columns.items()])
-    return df.join(ranks, [*by, value], "left")
+    return join_back(df, ranks, [*by, value], "left")
 
 
 def min_rank_descending() -> Column:
@@ -190,36 +209,36 @@ def average_percentile() -> Column:
 
 def top_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, *, name: str = "rank") -> DataFrame:
     """The first ``n`` rows of each group; Spark trims every input partition to ``n`` rows before the shuffle."""
-    window = Window.partitionBy(*by).orderBy(*order)
+    window = Window.partitionBy(*by).orderBy(*window_order(order))
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= n)
 
 
 def best_row(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each group under an ascending ``order``: one combinable aggregate, no window."""
+    """The first row of each group under an ascending ``order``, missing values last: one combinable aggregate, no
+    window."""
     by = list(by)
     payload = [c for c in df.columns if c not in by]
-    keyed = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    keyed = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(nulls_last(order))])
     # only the order key is compared, so the payload may hold any type
     best = df.groupBy(*by).agg(F.min_by(F.struct(*payload), keyed).alias("_best"))
     return best.select(*by, *[F.col(f"_best.{c}").alias(c) for c in payload])
 
 
 def force_member(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, member: Column, *, name: str = "rank") -> DataFrame:
-    """Top ``n`` per group where the mandatory row takes the last place if it did not make the cut."""
+    """Top ``n`` per group where the mandatory row takes the last place if it did not make the cut. Equal rows stay
+    separate."""
     by = list(by)
-    flagged = df.withColumn("_must", member)
-    window = Window.partitionBy(*by).orderBy(*order)
-    must = flagged.where("_must").withColumn("_r", F.row_number().over(window)).where("_r = 1").drop("_r")
-    top = flagged.withColumn("_r", F.row_number().over(window)).where(F.col("_r") <= n)
-    merged = top.drop("_r").unionByName(must).dropDuplicates()
-    ordered = Window.partitionBy(*by).orderBy(*order)
-    ranked = merged.withColumn("_r", F.row_number().over(ordered))
-    has_extra = F.max("_r").over(Window.partitionBy(*by)) > n
-    kept = ranked.withColumn("_extra", has_extra).where(
-        ~F.col("_extra") | (F.col("_r") < n) | (F.col("_r") > n)
-    )
-    final = Window.partitionBy(*by).orderBy((~F.col("_must")).cast("int"), *order)
-    return kept.withColumn(name, F.row_number().over(final)).drop("_r", "_extra", "_must")
+    flagged = df.withColumn("_must", F.coalesce(member, F.lit(False)))
+    top = top_rows(flagged, by, order, n, name="_r")
+    top = top.withColumn("_has", F.max("_must").over(Window.partitionBy(*by)))
+    best = top_rows(flagged.where("_must"), by, order, 1, name="_r").drop("_r")
+    present = top.where("_has").select(*by, F.lit(True).alias("_in")).distinct()
+    missing = join_back(best, present, by, "left").where(F.col("_in").isNull()).drop("_in")
+    wanted = missing.select(*by, F.lit(True).alias("_wanted"))
+    full = join_back(top, wanted, by, "left")
+    kept = full.where(F.col("_wanted").isNull() | (F.col("_r") < n)).drop("_r", "_has", "_wanted")
+    final = Window.partitionBy(*by).orderBy((~F.col("_must")).cast("int"), *window_order(order))
+    return kept.unionByName(missing).withColumn(name, F.row_number().over(final)).drop("_must")
 
 
 def cohort_bounds(total: Column, size: int) -> dict[str, tuple[Column, Column]]:
@@ -237,7 +256,7 @@ def cohorts(df: DataFrame, by: Sequence[str], order: Sequence[Column], size: int
     by = list(by)
     positioned = row_positions(df, by, order, name="cohort_position", **split)
     totals = positioned.groupBy(*by).agg(F.max("cohort_position").alias("_total"))
-    joined = positioned.join(totals, by) if by else positioned.join(F.broadcast(totals), F.lit(True))
+    joined = join_back(positioned, totals, by)
     labels = [
         F.when(F.col("cohort_position").between(low, high), F.lit(label))
         for label, (low, high) in cohort_bounds(F.col("_total"), size).items()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import Z95, guarded_ratio, hash_index, keyed_digest
-from .ranking import SPLIT_EVERY, exact_quantiles, row_positions, value_ranks
+from .ranking import SPLIT_EVERY, exact_quantiles, join_back, row_positions, value_ranks
 
 
 def cluster_counts(df: DataFrame, by: Sequence[str], cluster: str, positive: Column) -> DataFrame:
@@ -34,7 +34,7 @@ def cluster_bootstrap(
 ) -> DataFrame:
     """Share of positive rows per stratum with a percentile interval over resampled clusters.
 
-    "multinomial" draws n cluster indices with replacement per replicate by keyed hashing. Draws are counted per
+    "multinomial" draws n cluster indices with replacement per replicate and stratum by keyed hashing. Draws are counted per
     (cluster, replicate) before they meet the clusters. "poisson" gives every cluster its own Poisson(1)
     weight per replicate and needs no join, for very many clusters."""
     by = list(by)
@@ -52,7 +52,7 @@ def cluster_bootstrap(
     )
     # at most ``replicates`` values per stratum, so the built-in exact percentile is safe here
     interval = sums.groupBy(*by).agg(F.percentile("_f", [low, high]).alias("_ci"))
-    joined = point.join(interval, by) if by else point.join(F.broadcast(interval), F.lit(True))
+    joined = join_back(point, interval, by)
     return joined.select(
         *by, "n", "n_clusters", "fraction", F.col("_ci")[0].alias("ci_low"), F.col("_ci")[1].alias("ci_high")
     )
@@ -76,18 +76,18 @@ def cluster_draws(
         return drawn.withColumn("_times", poisson_weight(seed, F.col(cluster), F.col("_b"), *[F.col(c) for c in by]))
     indexed = row_positions(clusters, by, [F.col(cluster)], name="_slot", split_every=split_every)
     sizes = clusters.groupBy(*by).agg(F.count(F.lit(1)).alias("_k"))
-    slots = indexed.join(sizes, by) if by else indexed.join(F.broadcast(sizes), F.lit(True))
+    slots = join_back(indexed, sizes, by)
     draws = (
         slots.select(*by, "_slot", "_k", F.explode(numbers).alias("_b"))
-        .select(*by, "_b", (hash_index(F.col("_k"), seed, F.col("_b"), F.col("_slot")) + 1).alias("_slot"))
+        .select(*by, "_b", (hash_index(F.col("_k"), seed, *[F.col(c) for c in by], F.col("_b"), F.col("_slot")) + 1).alias("_slot"))
         .groupBy(*by, "_slot", "_b")
         .agg(F.count(F.lit(1)).alias("_times"))
     )
-    return draws.join(indexed, [*by, "_slot"])
+    return join_back(draws, indexed, [*by, "_slot"])
 
 
 def poisson_weight(seed: int, *key: Column) -> Column:
-    """Poisson(1) count from a keyed 32-bit hash by inverting the distribution function."""
+    """Poisson(1) count from a keyed hash by inverting the distribution function."""
     u = hash_index(2**32, seed, *key) / F.lit(float(2**32))
     expression, cumulative = F.lit(12), 0.0
     steps = []
@@ -122,7 +122,7 @@ def quantile_bins(
     probs = {f"_e{i}": i / bins for i in range(bins + 1)}
     edges = exact_quantiles(df, by, value, probs, split_every=split_every)
     packed = edges.select(*by, F.array_sort(F.array_distinct(F.array(*probs))).alias("_edges"))
-    joined = df.join(packed, by, "left") if by else df.join(F.broadcast(packed), F.lit(True), "left")
+    joined = join_back(df, packed, by, "left")
     v = F.col(value)
     below = F.size(F.filter("_edges", lambda e: e < v))
     inside = v.isNotNull() & (F.size("_edges") > 1)
@@ -142,8 +142,8 @@ def observed_in_null(
     moments = null.groupBy(*by).agg(
         F.count(value).alias("null_n"), F.avg(value).alias("null_mean"), F.stddev_samp(value).alias("null_sd")
     )
-    joined = observed.join(ranks, [*by, value], "left")
-    joined = joined.join(moments, by, "left") if by else joined.join(F.broadcast(moments), F.lit(True))
+    joined = join_back(observed, ranks, [*by, value], "left")
+    joined = join_back(joined, moments, by, "left")
     n = F.col("null_n")
     return (
         joined.withColumn("z", guarded_ratio(F.col(value) - F.col("null_mean"), "null_sd", 0.0))

@@ -8,19 +8,21 @@ from ..functions import sequences as sq
 from ..operators import catalog as ct
 from ..operators import design as ds
 from ..operators import intervals as op
-from .registry import query, rounded, spread, table
+from .registry import query, rounded, table
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FOLDED = "".join("ACGT"[i % 4] for i in range(26))
 
+ROOM = 200
+
 NUC_SQL = f"""
 nuc AS (SELECT doc_id, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{LETTERS + LETTERS.lower()}', '{FOLDED + FOLDED}') AS seq FROM documents),
-long AS (SELECT doc_id, seq, length(seq) AS n, length(seq) // 2 AS a FROM nuc WHERE length(seq) >= 200)
+long AS (SELECT doc_id, seq, length(seq) AS n, length(seq) // 2 AS a FROM nuc WHERE length(seq) >= {ROOM})
 """
 
 
 def nucleotides(spark, sf_dir):
-    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     # a generator row: filters on seq stay above it instead of repeating the folding per condition
     return texts.select("doc_id", F.explode(F.array(sq.as_nucleotides("text"))).alias("seq"))
 
@@ -28,7 +30,32 @@ def nucleotides(spark, sf_dir):
 def long_sequences(spark, sf_dir):
     """Sequences with room for a design around their middle base ``a`` (0-based)."""
     n = F.length("seq")
-    return nucleotides(spark, sf_dir).where(n >= 200).withColumn("n", n).withColumn("a", F.floor(n / 2).cast("int"))
+    return nucleotides(spark, sf_dir).where(n >= ROOM).withColumn("n", n).withColumn("a", F.floor(n / 2).cast("int"))
+
+
+def designed(name: str, sql: str, *, may_fail: bool = False):
+    """Register a design query that answers for every text: a text without ``ROOM`` bases, or (``may_fail``) one whose
+    state cannot be built, comes out with the reason in ``design_status``."""
+    status = "CASE WHEN sequence_sha256 IS NULL THEN 'no other order' ELSE 'designed' END" if may_fail else "'designed'"
+    full = f"""
+SELECT *, {status} AS design_status FROM ({sql})
+UNION ALL BY NAME SELECT doc_id, 'too short' AS design_status FROM (WITH {NUC_SQL} SELECT doc_id FROM nuc WHERE coalesce(length(seq), 0) < {ROOM})
+"""
+
+    def register(fn):
+        @query(name, full)
+        def every_text(spark, sf_dir):
+            states = fn(spark, sf_dir)
+            made = F.lit("designed")
+            if may_fail:
+                made = F.when(F.col("sequence_sha256").isNull(), "no other order").otherwise(made)
+            short = nucleotides(spark, sf_dir).where(F.coalesce(F.length("seq"), F.lit(0)) < ROOM)
+            short = short.select("doc_id", F.lit("too short").alias("design_status"))
+            return states.withColumn("design_status", made).unionByName(short, allowMissingColumns=True)
+
+        return fn
+
+    return register
 
 
 def sql_shuffle(text: str, *key: str) -> str:
@@ -58,7 +85,7 @@ def substitutions(spark, sf_dir):
     )
 
 
-@query(
+@designed(
     "deletion_grid",
     f"""
 WITH {NUC_SQL}
@@ -72,7 +99,7 @@ def deletion_grid(spark, sf_dir):
     return grid.select("doc_id", "upstream", "downstream", "sequence_sha256")
 
 
-@query(
+@designed(
     "repair_event_states",
     f"""
 WITH {NUC_SQL}
@@ -115,12 +142,12 @@ def complement_windows(spark, sf_dir):
     "composition_shuffle",
     f"""
 WITH {NUC_SQL}
-SELECT doc_id, sha256({sql_shuffle('seq', "'12740374'", 'doc_id')}) AS shuffled_sha256 FROM nuc WHERE length(seq) > 0
+SELECT doc_id, sha256({sql_shuffle('seq', "'20'", 'doc_id')}) AS shuffled_sha256 FROM nuc WHERE length(seq) > 0
 """,
 )
 def composition_shuffle(spark, sf_dir):
     base = nucleotides(spark, sf_dir).where(F.length("seq") > 0)
-    return base.select("doc_id", sq.content_hash(ds.shuffled(F.col("seq"), F.lit("12740374"), F.col("doc_id"))).alias("shuffled_sha256"))
+    return base.select("doc_id", sq.content_hash(ds.shuffled(F.col("seq"), F.lit("20"), F.col("doc_id"))).alias("shuffled_sha256"))
 
 
 HALF = 40
@@ -134,7 +161,7 @@ grid AS (SELECT *, substr(CASE WHEN cond = 'outside_scramble' THEN t ELSE seq EN
 """
 
 
-@query(
+@designed(
     "boundary_design",
     f"""
 WITH {NUC_SQL}, {BOUNDARY_SQL}
@@ -149,7 +176,7 @@ def boundary_design(spark, sf_dir):
     return states.select("doc_id", "seed", "upstream", "downstream", "condition", "allele", "sequence_sha256")
 
 
-@query(
+@designed(
     "recovery_design",
     f"""
 WITH {NUC_SQL},
@@ -174,61 +201,52 @@ def recovery_design(spark, sf_dir):
 COMPONENTS = [("native", "control", []), ("hotspot", "hotspot", [(-30, -19)]), ("motif", "positive_control", [(-1, 8)]), ("both_arms", "arm", [(-25, -2), (9, 25)])]
 
 
-def _attempts(text: str, *key: str) -> str:
-    tries = [sql_shuffle(text, *key, str(k)) for k in range(3)]
-    return "CASE " + " ".join(f"WHEN {t} <> {text} THEN {t}" for t in tries) + " END"
+def _differing(text: str, *key: str) -> str:
+    """A keyed order that differs: turned by one letter if the draw repeats the text, NULL for a single letter."""
+    drawn = sql_shuffle(text, *key)
+    turned = f"substr({drawn}, 2) || substr({drawn}, 1, 1)"
+    return f"CASE WHEN {drawn} <> {text} THEN {drawn} WHEN {turned} <> {text} THEN {turned} END"
 
 
-@query(
+@designed(
     "component_design",
     f"""
 WITH {NUC_SQL},
-mixed AS (SELECT * FROM long WHERE length(replace(substr(seq, a - 29, 12), substr(seq, a - 29, 1), '')) > 2 AND length(replace(substr(seq, a, 1) || substr(seq, a + 2, 8), substr(seq, a, 1), '')) > 2
-  AND length(replace(substr(seq, a - 24, 24), substr(seq, a - 24, 1), '')) > 2 AND length(replace(substr(seq, a + 10, 17), substr(seq, a + 10, 1), '')) > 2),
-cut AS (SELECT doc_id, seq, a, substr(seq, a - 29, 12) AS h, substr(seq, a, 1) || substr(seq, a + 2, 8) AS m, substr(seq, a - 24, 24) AS up, substr(seq, a + 10, 17) AS down FROM mixed),
-s AS (SELECT *, {_attempts('h', "'3'", "'hotspot'", "'0'")} AS hs, {_attempts('up', "'3'", "'both_arms'", "'0'")} AS us, {_attempts('down', "'3'", "'both_arms'", "'1'")} AS dns FROM cut),
+cut AS (SELECT doc_id, seq, a, substr(seq, a - 29, 12) AS h, substr(seq, a, 1) || substr(seq, a + 2, 8) AS m, substr(seq, a - 24, 24) AS up, substr(seq, a + 10, 17) AS down FROM long),
+s AS (SELECT *, {_differing('h', "'3'", "'hotspot'", "'0'")} AS hs, {_differing('up', "'3'", "'both_arms'", "'0'")} AS us, {_differing('down', "'3'", "'both_arms'", "'1'")} AS dns FROM cut),
 bg AS (
   SELECT doc_id, a, 'native' AS component, seq AS bg FROM s
   UNION ALL SELECT doc_id, a, 'hotspot', substr(seq, 1, a - 30) || hs || substr(seq, a - 17) FROM s
   UNION ALL SELECT doc_id, a, 'both_arms', substr(seq, 1, a - 25) || us || substr(seq, a, 10) || dns || substr(seq, a + 27) FROM s)
 SELECT doc_id, component, allele, sha256(substr(bg, 1, a) || base || substr(bg, a + 2)) AS sequence_sha256 FROM bg, (VALUES ('REF', 'G'), ('ALT', 'T')) v(allele, base)
 """,
+    may_fail=True,
 )
 def component_design(spark, sf_dir):
-    a = F.col("a")
-    flat = [
-        F.substring(F.col("seq"), a - 29, F.lit(12)),
-        F.concat(F.substring(F.col("seq"), a, F.lit(1)), F.substring(F.col("seq"), a + 2, F.lit(8))),
-        F.substring(F.col("seq"), a - 24, F.lit(24)),
-        F.substring(F.col("seq"), a + 10, F.lit(17)),
-    ]
-    rows = long_sequences(spark, sf_dir)
-    for piece in flat:
-        rows = rows.where(F.length(F.replace(piece, F.substring(piece, 1, 1), F.lit(""))) > 2)
     states = ds.component_design(
-        rows, sequence="seq", anchor="a", components=[c for c in COMPONENTS if c[0] != "motif"], seeds=[3], alleles={"REF": "G", "ALT": "T"}
+        long_sequences(spark, sf_dir), sequence="seq", anchor="a", components=[c for c in COMPONENTS if c[0] != "motif"], seeds=[3], alleles={"REF": "G", "ALT": "T"}
     )
     return states.select("doc_id", "component", "allele", "sequence_sha256")
 
 
-@query(
+@designed(
     "motif_component_states",
     f"""
 WITH {NUC_SQL},
-mixed AS (SELECT * FROM long WHERE length(replace(substr(seq, a, 1) || substr(seq, a + 2, 8), substr(seq, a, 1), '')) > 2)
-SELECT doc_id, allele, length(seq)::INTEGER AS n_bases, substr(seq, 1, a - 1) AS before, CASE allele WHEN 'REF' THEN 'G' ELSE 'T' END AS anchor_base, substr(seq, a + 10) AS after,
-       array_to_string(list_sort(string_split(substr(seq, a, 1) || substr(seq, a + 2, 8), '')), '') AS composition
-FROM mixed, (VALUES ('REF'), ('ALT')) v(allele)
+m AS (SELECT *, substr(seq, a, 1) || substr(seq, a + 2, 8) AS piece FROM long),
+s AS (SELECT *, piece = repeat(substr(piece, 1, 1), 9) AS plain FROM m)
+SELECT doc_id, allele, CASE WHEN NOT plain THEN length(seq)::INTEGER END AS n_bases, CASE WHEN NOT plain THEN substr(seq, 1, a - 1) END AS before,
+       CASE WHEN NOT plain THEN CASE allele WHEN 'REF' THEN 'G' ELSE 'T' END END AS anchor_base, CASE WHEN NOT plain THEN substr(seq, a + 10) END AS after,
+       CASE WHEN NOT plain THEN array_to_string(list_sort(string_split(piece, '')), '') END AS composition, NOT plain AS changed
+FROM s, (VALUES ('REF'), ('ALT')) v(allele)
 """,
 )
 def motif_component_states(spark, sf_dir):
     """Scramble around a protected anchor: everything outside and the composition inside must be kept."""
     a = F.col("a")
-    piece = F.concat(F.substring(F.col("seq"), a, F.lit(1)), F.substring(F.col("seq"), a + 2, F.lit(8)))
-    rows = long_sequences(spark, sf_dir).where(F.length(F.replace(piece, F.substring(piece, 1, 1), F.lit(""))) > 2)
     states = ds.component_design(
-        rows, sequence="seq", anchor="a", components=[c for c in COMPONENTS if c[0] == "motif"], seeds=[3], alleles={"REF": "G", "ALT": "T"}
-    ).where("n_changed > 0")
+        long_sequences(spark, sf_dir), sequence="seq", anchor="a", components=[c for c in COMPONENTS if c[0] == "motif"], seeds=[3], alleles={"REF": "G", "ALT": "T"}
+    )
     inside = F.concat(F.substring(F.col("edited"), a, F.lit(1)), F.substring(F.col("edited"), a + 2, F.lit(8)))
     letters = F.filter(F.split(inside, ""), lambda c: c != "")
     return states.select(
@@ -239,10 +257,11 @@ def motif_component_states(spark, sf_dir):
         sq.base_at("edited", a).alias("anchor_base"),
         F.substring(F.col("edited"), a + 10, F.length("edited")).alias("after"),
         F.array_join(F.array_sort(letters), "").alias("composition"),
+        (F.coalesce("n_changed", F.lit(0)) > 0).alias("changed"),
     )
 
 
-@query(
+@designed(
     "donor_transfer",
     f"""
 WITH {NUC_SQL},
@@ -264,7 +283,7 @@ def donor_transfer(spark, sf_dir):
     return placed.select("doc_id", "donor_group", "distance", "placement_start", "sequence_sha256")
 
 
-@query(
+@designed(
     "scrambled_donors",
     f"""
 WITH {NUC_SQL},
@@ -279,7 +298,7 @@ def scrambled_donors(spark, sf_dir):
     return donors.where("donor_group = 'scrambled'").select("doc_id", "donor")
 
 
-@query(
+@designed(
     "site_states",
     f"""
 WITH {NUC_SQL},
@@ -296,7 +315,7 @@ def site_states(spark, sf_dir):
     return states.select("doc_id", "role", "construct", "sequence_sha256")
 
 
-@query(
+@designed(
     "spanning_deletion",
     f"""
 WITH {NUC_SQL},
@@ -312,7 +331,7 @@ def spanning_deletion(spark, sf_dir):
     return out.select("doc_id", "position", "ref", "alt")
 
 
-@query(
+@designed(
     "combined_edits",
     f"""
 WITH {NUC_SQL},
@@ -340,7 +359,7 @@ st AS (SELECT *, CASE WHEN d = 0 AND len(h) > 0 THEN 'retained' WHEN len(c) > 0
 """
 
 
-@query(
+@designed(
     "junction_audit",
     f"""
 WITH {NUC_SQL}, {AUDIT_SQL}
@@ -381,7 +400,7 @@ def junction_group_summary(spark, sf_dir):
     return rounded(out.select("display_group", F.col("n").alias("n_designs"), "median", "mean", "min", "max"))
 
 
-@query(
+@designed(
     "reference_allele_report",
     f"""
 WITH {NUC_SQL},
@@ -397,7 +416,7 @@ def reference_allele_report(spark, sf_dir):
     return ds.reference_allele_report(rows, sequence="seq", index0="a", candidates=["x", "y"]).select("doc_id", "reference_base", "ref", "alt", "reference_ok")
 
 
-@query(
+@designed(
     "region_fetch",
     f"""
 WITH {NUC_SQL} SELECT doc_id, n // 4 AS s, n // 2 + 30 AS e, sha256(substr(seq, n // 4 + 1, n // 2 + 30 - n // 4)) AS region_sha256 FROM long
@@ -423,7 +442,7 @@ FROM nuc JOIN documents USING (doc_id) WHERE length(seq) > 0
 """,
 )
 def sequence_composition(spark, sf_dir):
-    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = texts.withColumn("seq", F.explode(F.array(sq.as_nucleotides("text")))).where(F.length("seq") > 0)
     return rounded(
         rows.select(

@@ -9,7 +9,7 @@ from ..operators import ranking as rk
 from ..operators import resampling as rs
 from .registry import cents, query, rounded, table
 
-DRAW = "('0x' || substr(md5(concat_ws(':', {seed}, b, slot)), 1, 8))::BIGINT % k"
+DRAW = "('0x' || substr(md5(concat_ws(':', {seed}, {stratum}b, slot)), 1, 15))::BIGINT % k"
 
 
 def bootstrap_sql(cells: str, by: str, seed: int, replicates: int) -> str:
@@ -19,7 +19,7 @@ def bootstrap_sql(cells: str, by: str, seed: int, replicates: int) -> str:
     using = f"USING ({by})" if by else "ON true"
     join = f"JOIN c ON c.slot = d.pick AND c.{by} = d.{by}" if by else "JOIN c ON c.slot = d.pick"
     pick = f"d.{by}, " if by else ""
-    draw = DRAW.format(seed=seed)
+    draw = DRAW.format(seed=seed, stratum=f"c.{by}, " if by else "")
     return f"""
 {cells},
 c AS (SELECT {keys}cluster, n, p, row_number() OVER ({part}ORDER BY cluster) AS slot FROM (
@@ -35,11 +35,11 @@ FROM f JOIN k {using} GROUP BY {"k." + by + ", " if by else ""}k.n, k.k, k.fract
 
 @query(
     "cluster_bootstrap",
-    bootstrap_sql("WITH cells AS (SELECT l_suppkey AS cluster, l_extendedprice > 50000 AS pos FROM lineitem)", "", 12740374, 200),
+    bootstrap_sql("WITH cells AS (SELECT l_suppkey AS cluster, l_extendedprice > 50000 AS pos FROM lineitem)", "", 20, 200),
 )
 def cluster_bootstrap(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("cluster"), (F.col("l_extendedprice") > 50000).alias("pos"))
-    return rounded(rs.cluster_bootstrap(rows, [], cluster="cluster", positive=F.col("pos"), replicates=200, seed=12740374))
+    return rounded(rs.cluster_bootstrap(rows, [], cluster="cluster", positive=F.col("pos"), replicates=200, seed=20))
 
 
 BANDS = [0, 10, 20, 30, 40, 50]
@@ -121,16 +121,16 @@ def observed_in_null(spark, sf_dir):
 @query(
     "seeded_sample",
     """
-WITH s AS (SELECT p_partkey, substr('ACGT', (p_size % 4 + 1)::INTEGER, 1) AS ref FROM part ORDER BY md5(concat_ws(':', 12740374, p_partkey)), p_partkey LIMIT 100)
-SELECT p_partkey, ref, substr(replace('ACGT', ref, ''), (('0x' || substr(md5(concat_ws(':', 12740374, 'alt', p_partkey)), 1, 8))::BIGINT % 3 + 1)::INTEGER, 1) AS alt FROM s
+WITH s AS (SELECT p_partkey, substr('ACGT', (p_size % 4 + 1)::INTEGER, 1) AS ref FROM part ORDER BY md5(concat_ws(':', 20, p_partkey)), p_partkey LIMIT 100)
+SELECT p_partkey, ref, substr(replace('ACGT', ref, ''), (('0x' || substr(md5(concat_ws(':', 20, 'alt', p_partkey)), 1, 15))::BIGINT % 3 + 1)::INTEGER, 1) AS alt FROM s
 """,
 )
 def seeded_sample(spark, sf_dir):
     from .variants import pick_base
 
     rows = table(spark, sf_dir, "part").select("p_partkey", pick_base(F.col("p_size")).alias("ref"))
-    drawn = rs.sample_without_replacement(rows, 100, seed=12740374, key=["p_partkey"])
-    return drawn.withColumn("alt", rs.random_alternate("ref", seed=12740374, key=["p_partkey"]))
+    drawn = rs.sample_without_replacement(rows, 100, seed=20, key=["p_partkey"])
+    return drawn.withColumn("alt", rs.random_alternate("ref", seed=20, key=["p_partkey"]))
 
 
 @query(

@@ -11,7 +11,7 @@ from ..functions.expressions import missing_to_null
 from ..functions.intervals import bin_start
 from ..functions.sequences import base_identifier, packed_field
 from ..operators.joins import matching
-from ..operators.ranking import best_row, row_positions
+from ..operators.ranking import best_row, join_back, row_positions
 
 ASSOCIATION = "SNP_hg19 string, rsid string, A1 string, A2 string, beta double, se double, `P-value` double"
 EQTL = "gene_id string, variant_id string, slope double, slope_se double, pval_nominal double"
@@ -184,7 +184,7 @@ def repair_outcomes(df: DataFrame, *, experiment: str) -> DataFrame:
         F.col("position").cast("string"), F.regexp_replace("Cons", r"^\*/", ""),
     )
     return (
-        ranked.join(totals, experiment)
+        join_back(ranked, totals, [experiment])
         .withColumn("share", F.col("reads") / F.col("_t"))
         .withColumn("edit_id", F.translate(label, "+/", "__"))
         .drop("_t")

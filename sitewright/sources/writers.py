@@ -19,8 +19,9 @@ def write_delimited(df: DataFrame, path: str, *, sep: str = "\t", digits: int =
 
 
 def write_summary(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
-    """Nested summary rows as JSON lines; a summary is a handful of rows, so one file holds them."""
-    df.coalesce(1).write.mode(mode).json(path)
+    """Nested summary rows as JSON lines; a summary is a handful of rows, so one file holds them. They are gathered by a
+    shuffle, which leaves the work before it as parallel as it was."""
+    df.repartition(1).write.mode(mode).json(path)
 
 
 def append_results(df: DataFrame, path: str) -> None:

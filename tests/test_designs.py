@@ -59,10 +59,16 @@ def test_boundary_conditions_are_complementary(one):
     assert states["outside_scramble"][:180] != DNA[:180]
 
 
-def test_impossible_shuffle_fails(spark):
-    df = spark.createDataFrame([("AAAAAA",)], "s string")
-    with pytest.raises(Exception, match="no composition-preserving shuffle"):
-        df.select(ds.shuffled_until_different(F.col("s"), F.lit(1)).alias("x")).collect()
+def test_a_shuffle_that_must_differ(spark):
+    texts = ["AAAAAA", "AAAC", "CA", "GATTACA", "A", "ANNA", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    rows = df.select("s", *[ds.shuffled(F.col("s"), F.lit(k), must_differ=True).alias(f"x{k}") for k in range(6)]).collect()
+    for row in rows:
+        for drawn in row[1:]:
+            if len(set(row.s.replace("N", ""))) < 2:
+                assert drawn is None  # no other order: the row stays, without a state
+            else:
+                assert drawn != row.s and sorted(drawn) == sorted(row.s)
 
 
 def test_wrong_deletion_and_wrong_anchor_base_fail(spark, one):
