@@ -325,15 +325,15 @@ def prefix_families(spark, sf_dir):
 @query(
     "set_algebra",
     """
-WITH a AS (SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem WHERE l_linenumber = 1 AND l_discount > 0.08),
-b AS (SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem WHERE l_linenumber = 2 AND l_discount > 0.08)
+WITH a AS (SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem WHERE l_linestatus = 'O'),
+b AS (SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem WHERE l_linestatus = 'F')
 SELECT 'shared' AS part, l_suppkey, l_returnflag, NULL::VARCHAR AS note FROM (SELECT * FROM a INTERSECT SELECT * FROM b)
 UNION ALL SELECT 'first_only', l_suppkey, l_returnflag, 'absent from second' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
 """,
 )
 def set_algebra(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_discount > 0.08")
-    a, b = (lines.where(F.col("l_linenumber") == k).select("l_suppkey", "l_returnflag").distinct() for k in (1, 2))
+    lines = table(spark, sf_dir, "lineitem")
+    a, b = (lines.where(F.col("l_linestatus") == k).select("l_suppkey", "l_returnflag").distinct() for k in ("O", "F"))
     shared = a.intersect(b).withColumn("part", F.lit("shared"))
     left = a.exceptAll(b).withColumn("part", F.lit("first_only")).withColumn("note", F.lit("absent from second"))
     return shared.unionByName(left, allowMissingColumns=True)
@@ -370,14 +370,14 @@ def interval_arithmetic(spark, sf_dir):
 @query(
     "generated_vs_golden_sides",
     """
-WITH g AS (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag <> 'A' AND l_linenumber < 3 GROUP BY 1),
-r AS (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' AND l_linenumber < 3 GROUP BY 1)
+WITH g AS (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1),
+r AS (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1)
 SELECT coalesce(g.l_partkey, r.l_partkey) AS l_partkey, g.n AS n_gen, r.n AS n_ref,
        CASE WHEN g.n IS NULL THEN 'expected_only' WHEN r.n IS NULL THEN 'generated_only' ELSE 'both' END AS side
 FROM g FULL OUTER JOIN r ON g.l_partkey = r.l_partkey
 """,
 )
 def generated_vs_golden_sides(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber < 3")
+    lines = table(spark, sf_dir, "lineitem")
     g, r = (lines.where(F.col("l_returnflag") != f).groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n")) for f in ("A", "N"))
     return jn.compare_sides(g, r, ["l_partkey"], ["n"])

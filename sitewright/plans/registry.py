@@ -29,13 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give heavy row work all cores: a scan with fewer splits than cores is redistributed by ``key``; a scan with
-    enough splits is left as it is, so large inputs are not shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * 4, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double so that the order of floating-point sums does not show."""
     return df.select(

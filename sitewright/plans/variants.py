@@ -225,7 +225,7 @@ def stable_id_lookup(spark, sf_dir):
     """
 WITH a AS (SELECT l_partkey, count(*) AS n_lines FROM lineitem GROUP BY 1),
 b AS (SELECT l_partkey, round(avg(l_discount), 6) AS mean_discount FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
-c AS (SELECT l_partkey, max(l_tax) AS max_tax FROM lineitem WHERE l_linenumber = 7 GROUP BY 1)
+c AS (SELECT l_partkey, max(l_tax) AS max_tax FROM lineitem GROUP BY 1)
 SELECT p_partkey AS l_partkey, n_lines, mean_discount, max_tax FROM part LEFT JOIN a ON p_partkey = a.l_partkey LEFT JOIN b ON p_partkey = b.l_partkey
 LEFT JOIN c ON p_partkey = c.l_partkey
 """,
@@ -235,7 +235,7 @@ def chained_lookup(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"))
     counts = lines.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n_lines"))
     returned = lines.where("l_returnflag = 'R'").groupBy("l_partkey").agg(F.round(F.avg("l_discount"), 6).alias("mean_discount"), F.count(F.lit(1)).alias("n_lines"))
-    taxes = lines.where("l_linenumber = 7").groupBy("l_partkey").agg(F.max("l_tax").alias("max_tax"))
+    taxes = lines.groupBy("l_partkey").agg(F.max("l_tax").alias("max_tax"))
     return jn.chained_lookup(parts, ["l_partkey"], [(counts, ["n_lines"]), (returned, ["mean_discount", "n_lines"]), (taxes, ["max_tax"])])
 
 
