@@ -66,23 +66,32 @@ def pack_matrices(weights: DataFrame, *, matrix: str, offset: str, base: str) ->
     return packed.join(score_range, matrix).withColumn("length", (F.size("weights") / 4).cast("int"))
 
 
-def _scan_one(sequence: str, weights: np.ndarray, floor: float, starts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Offsets, forward flags and best scores of one matrix along one sequence."""
+LETTER_CODES = np.full(256, 4, dtype=np.int64)
+LETTER_CODES[np.frombuffer(b"ACGT", dtype=np.uint8)] = np.arange(4)
+PAIRED = np.array([3, 2, 1, 0, 4])
+
+
+def _encoded(sequences: list[str], gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Base codes of all sequences in a row with ``gap`` foreign codes after each; every place's sequence and offset."""
+    sizes = np.array([len(s) + gap for s in sequences])
+    joined = "".join(s + "." * gap for s in sequences)
+    codes = LETTER_CODES[np.frombuffer(joined.encode("latin-1", "replace"), dtype=np.uint8)]
+    row = np.repeat(np.arange(len(sequences)), sizes)
+    return codes, row, np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _scan(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and reverse score of one matrix at every place of the encoded sequences."""
     length = len(weights) // 4
-    n = max(min(len(sequence) - length + 1, starts), 0)
-    lookup = np.full(256, 4, dtype=np.int64)
-    lookup[np.frombuffer(b"ACGT", dtype=np.uint8)] = np.arange(4)
-    codes = lookup[np.frombuffer(sequence.encode("latin-1", "replace"), dtype=np.uint8)]
+    n = max(len(codes) - length + 1, 0)
     table = np.column_stack([np.asarray(weights, dtype=float).reshape(length, 4), np.full(length, -np.inf)])
-    paired = np.array([3, 2, 1, 0, 4])[codes]
+    paired = PAIRED[codes]
     forward, reverse = np.zeros(n), np.zeros(n)
     for k in range(length):
         # both strands add matrix positions in the same order, so a palindrome ties exactly
         forward += table[k][codes[k : k + n]]
         reverse += table[k][paired[length - 1 - k : length - 1 - k + n]]
-    best = np.maximum(forward, reverse)
-    found = np.flatnonzero(best >= floor)
-    return found, forward[found] >= reverse[found], best[found]
+    return forward, reverse
 
 
 def scan_matrices(
@@ -93,33 +102,47 @@ def scan_matrices(
     tile: int,
     tile_start: str = "tile_start",
     min_fraction: float | None = None,
-    spread: int = 64,
+    libraries: int = 1,
 ) -> DataFrame:
     """Best strand ('+' on ties) and score of every matrix at every offset of tiled sequences.
 
-    Tiles carry a halo of at least the longest matrix minus one; each start belongs to one tile. The matrices are
-    copied ``spread`` times and met on a hash of the tile, so tiles are never gathered by matrix. With
-    ``min_fraction`` offsets below that share of the matrix's score range are dropped inside the scan."""
-    copies = matrices.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    keyed = tiles.withColumn("_part", F.pmod(F.xxhash64(sequence, tile_start), F.lit(spread)).cast("int"))
+    Tiles carry a halo of at least the longest matrix minus one; each start belongs to one tile. The matrices are packed
+    into ``libraries`` rows (by a hash) that meet every tile, so a tile is sent and encoded once per library and
+    all matrices of it run over the tiles of a batch together; choose more libraries when one outweighs a tile.
+    With ``min_fraction`` offsets below that share of the matrix's score range are dropped inside the scan."""
     span = F.greatest(F.col("highest") - F.col("lowest"), F.lit(1e-9))
     floor = F.lit(float("-inf")) if min_fraction is None else F.col("lowest") + F.lit(min_fraction) * span - F.lit(1e-9)
-    pairs = keyed.join(copies, "_part")
-    keep = [c for c in (*tiles.columns, *matrices.columns) if c not in (sequence, "weights")]
-    ready = pairs.select(*keep, F.col(sequence).alias("_s"), F.col("weights").alias("_w"), floor.alias("_f"))
+    described = [c for c in matrices.columns if c != "weights"]
+    entry = F.struct(*described, F.col("weights").alias("_w"), floor.alias("_f"))
+    part = F.pmod(F.xxhash64(*described), F.lit(libraries))
+    library = matrices.groupBy(part.alias("_part")).agg(F.collect_list(entry).alias("_library"))
+    # at most ``libraries`` rows on this side
+    ready = tiles.withColumnRenamed(sequence, "_s").join(F.broadcast(library), F.lit(True))
+    kept = [c for c in tiles.columns if c != sequence]
+    keep = [*kept, *described]
     found = [StructField("_o", IntegerType()), StructField("_p", BooleanType()), StructField("score", DoubleType())]
-    schema = StructType([ready.schema[c] for c in keep] + found)
+    schema = StructType([*(tiles.schema[c] for c in kept), *(matrices.schema[c] for c in described), *found])
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            hits = [_scan_one(s, w, f, tile) for s, w, f in zip(frame["_s"], frame["_w"], frame["_f"])]
-            rows = np.repeat(np.arange(len(frame)), [len(h[0]) for h in hits])
-            out = frame[keep].iloc[rows].reset_index(drop=True)
-            for i, name in enumerate(("_o", "_p", "score")):
-                out[name] = np.concatenate([h[i] for h in hits]) if hits else []
-            yield out.astype({"_o": "int32", "_p": "bool"})
-
-    out = ready.mapInPandas(scan, schema).select(
+            for _, own in frame.groupby("_part", sort=False):
+                entries = own["_library"].iloc[0]
+                gap = max(len(e["_w"]) for e in entries) // 4
+                sequences = own["_s"].tolist()
+                codes, row, offset = _encoded(sequences, gap)
+                room = np.array([len(s) for s in sequences])[row] - offset
+                for e in entries:
+                    forward, reverse = _scan(codes, e["_w"])
+                    n, length = len(forward), len(e["_w"]) // 4
+                    best = np.maximum(forward, reverse)
+                    hit = np.flatnonzero((best >= e["_f"]) & (offset[:n] < tile) & (room[:n] >= length))
+                    out = own[kept].iloc[row[hit]].reset_index(drop=True)
+                    for c in described:
+                        out[c] = e[c]
+                    out["_o"], out["_p"], out["score"] = offset[hit].astype("int32"), forward[hit] >= reverse[hit], best[hit]
+                    yield out
+
+    out = ready.select(*kept, "_s", "_part", "_library").mapInPandas(scan, schema).select(
         *keep,
         (F.col(tile_start) + F.col("_o")).alias("start"),
         F.when(F.col("_p"), "+").otherwise("-").alias("strand"),
