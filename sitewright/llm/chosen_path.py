@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 from .common import slices, staged, texts_of
 from .components import components, local_roots
 
-KEPT_WORDS = 400_000
+#: Words known to a worker, and characters of texts that are parted into words at once.
+KEPT_WORDS, SLICE_WORDS = 400_000, 2_000_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,7 +135,7 @@ def near_duplicate_classes(
         for batch in batches:
             keys, sizes, sketches = [], [], []
             texts = texts_of(batch)
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE_WORDS):
                 for grams in words.sets(texts[a:b]):
                     sizes.append(len(grams))
                     keys.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)
@@ -278,7 +279,7 @@ def _verified(source: DataFrame, sets: DataFrame, groups: DataFrame, n: int, thr
         words = shingler(n)
         for batch in batches:
             texts = texts_of(batch)
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE_WORDS):
                 grams = [g.tobytes() for g in words.sets(texts[a:b])]
                 kept = batch.slice(a, b - a).select(["node", "copies", "group", "parts"])
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(grams, pa.binary())], names=[*kept.schema.names, "grams"])
