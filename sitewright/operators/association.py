@@ -76,25 +76,24 @@ def linear_fit(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     )
 
 
-def _chi2_tail(q: float, df: int) -> float:
-    """P(X > q) for a chi-square with df degrees of freedom, by the two-step recurrence in df."""
-    if q <= 0 or df <= 0:
-        return 1.0
-    half = q / 2.0
-    if df % 2 == 0:
-        tail, k = math.exp(-half), 2
-    else:
-        tail, k = math.erfc(math.sqrt(half)), 1
-    while k < df:
-        tail += math.exp((k / 2.0) * math.log(half) - half - math.lgamma(k / 2.0 + 1.0))
-        k += 2
-    return min(1.0, tail)
+def _chi2_tails(q: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """P(X > q) for chi-squares with df degrees of freedom, by the two-step recurrence in df, whole columns at once."""
+    half = np.maximum(q, 1e-300) / 2.0
+    even = df % 2 == 0
+    tail = np.where(even, np.exp(-half), np.vectorize(math.erfc, otypes=[float])(np.sqrt(half)))
+    k = np.where(even, 2, 1)
+    while (more := k < df).any():
+        step = np.exp((k / 2.0) * np.log(half) - half - np.vectorize(math.lgamma, otypes=[float])(k / 2.0 + 1.0))
+        tail, k = tail + np.where(more, step, 0.0), k + 2
+    return np.where((q <= 0) | (df <= 0), 1.0, np.minimum(tail, 1.0))
 
 
 @F.pandas_udf(DoubleType())
 def chi2_tail(q: pd.Series, df: pd.Series) -> pd.Series:
-    """Upper chi-square tail; meant for one row per stratum."""
-    return pd.Series([np.nan if pd.isna(a) or pd.isna(b) else _chi2_tail(float(a), int(b)) for a, b in zip(q, df)])
+    """Upper chi-square tail; NULL where either is missing."""
+    known = (q.notna() & df.notna()).to_numpy()
+    tails = _chi2_tails(q.fillna(0.0).to_numpy(float), df.fillna(0).to_numpy(np.int64)) if len(q) else np.zeros(0)
+    return pd.Series(np.where(known, tails, np.nan))
 
 
 def random_effects(df: DataFrame, by: Sequence[str], *, r: str, n: str, with_p: bool = True) -> DataFrame:
@@ -108,12 +107,11 @@ def random_effects(df: DataFrame, by: Sequence[str], *, r: str, n: str, with_p:
         F.sum("_w").alias("_sw"),
         F.sum(F.col("_w") * F.col("_w")).alias("_sw2"),
         F.sum(F.col("_w") * F.col("_z")).alias("_swz"),
+        F.sum(F.col("_w") * F.col("_z") * F.col("_z")).alias("_swzz"),
     )
-    joined = join_back(studies, fixed, by)
-    center = F.col("_swz") / F.col("_sw")
-    spread = joined.groupBy(*by, "k", "_sw", "_sw2").agg(
-        F.sum(F.col("_w") * (F.col("_z") - center) * (F.col("_z") - center)).alias("q")
-    )
+    # correlations are bounded, so the sum of squares about the mean may be taken from the plain sums
+    about = F.greatest(F.lit(0.0), F.col("_swzz") - F.col("_swz") * F.col("_swz") / F.col("_sw"))
+    spread = fixed.withColumn("q", about)
     freedom = F.col("k") - F.lit(1)
     scale = F.col("_sw") - F.col("_sw2") / F.col("_sw")
     between = spread.select(

@@ -19,10 +19,20 @@ from .resampling import cluster_draws
 
 
 def matched_sample(
-    cases: DataFrame, controls: DataFrame, levels: Sequence[Sequence[str]], *, key: str, seed: int, split_every: int = SPLIT_EVERY
+    cases: DataFrame,
+    controls: DataFrame,
+    levels: Sequence[Sequence[str]],
+    *,
+    key: str,
+    seed: int,
+    store: str | None = None,
+    split_every: int = SPLIT_EVERY,
 ) -> DataFrame:
     """One control per case without replacement, drawn at random inside strata. ``levels`` lists the stratum columns
-    from strict to relaxed; a case left over at one level tries the next with the controls still free."""
+    from strict to relaxed; a case left over at one level tries the next with the controls still free.
+
+    Each level reads the pairs of all levels before it. With ``store``, a folder that all executors share, a level's
+    pairs are written there once, so the work grows with the number of levels; without it the plan repeats them."""
     strata = sorted({c for level in levels for c in level})
     free_cases, free_controls, found = cases.select(key, *strata), controls.select(key, *strata), None
     for number, level in enumerate(levels):
@@ -36,6 +46,10 @@ def matched_sample(
             .join(placed(free_controls, "control").select(*level, "_place", F.col(key).alias("control")), [*level, "_place"])
             .select(F.col(key).alias("case"), "control", F.lit(number).alias("level"))
         )
+        if store is not None:
+            path = f"{store}/level-{number}"
+            pairs.write.parquet(path)
+            pairs = pairs.sparkSession.read.schema(pairs.schema).parquet(path)
         found = pairs if found is None else found.unionByName(pairs)
         free_cases = free_cases.join(pairs.select(F.col("case").alias(key)), key, "left_anti")
         free_controls = free_controls.join(pairs.select(F.col("control").alias(key)), key, "left_anti")
@@ -64,44 +78,54 @@ def ranking_quality(df: DataFrame, by: Sequence[str], *, score: str, positive: C
     )
 
 
-def _incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x <= 0.0 or x >= 1.0:
-        return float(x >= 1.0)
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - _incomplete_beta(b, a, 1.0 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    fraction, c, d = 1.0, 1.0, 0.0
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function of whole columns, by its continued fraction."""
+    x = np.clip(x, 1e-300, 1 - 1e-16)
+    flip = x > (a + 1.0) / (a + b + 2.0)  # the fraction converges fast on the other side
+    a, b, x = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1.0 - x, x)
+    front = np.exp(_lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+    fraction, c, d = np.ones_like(x), np.ones_like(x), np.zeros_like(x)
     for i in range(400):
         m = i // 2
         if i == 0:
-            term = 1.0
+            term = np.ones_like(x)
         elif i % 2 == 0:
             term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         else:
             term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1.0 / (1.0 + term * d or 1e-300)
-        c = 1.0 + term / c or 1e-300
-        fraction *= c * d
-        if abs(c * d - 1.0) < 1e-15:
+        d = 1.0 + term * d
+        d = 1.0 / np.where(d == 0, 1e-300, d)
+        c = 1.0 + term / c
+        c = np.where(c == 0, 1e-300, c)
+        fraction = fraction * c * d
+        if (np.abs(c * d - 1.0) < 1e-15).all():
             break
-    return front * (fraction - 1.0)
+    out = front * (fraction - 1.0)
+    return np.where(flip, 1.0 - out, out)
 
 
-def _beta_quantile(p: float, a: float, b: float) -> float:
-    low, high = 0.0, 1.0
-    for _ in range(200):
+def _beta_quantile(p: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bisection of whole columns at once."""
+    low, high = np.zeros_like(a), np.ones_like(a)
+    for _ in range(60):
         middle = 0.5 * (low + high)
-        low, high = (middle, high) if _incomplete_beta(a, b, middle) < p else (low, middle)
+        below = _incomplete_beta(a, b, middle) < p
+        low, high = np.where(below, middle, low), np.where(below, high, middle)
     return 0.5 * (low + high)
 
 
 @F.pandas_udf(StructType([StructField("low", DoubleType()), StructField("high", DoubleType())]))
 def exact_binomial_interval(k: pd.Series, n: pd.Series) -> pd.DataFrame:
-    """Exact 95% interval of a proportion; meant for one row per aggregate."""
-    low = [np.nan if b == 0 else 0.0 if a == 0 else _beta_quantile(0.025, a, b - a + 1) for a, b in zip(k, n)]
-    high = [np.nan if b == 0 else 1.0 if a == b else _beta_quantile(0.975, a + 1, b - a) for a, b in zip(k, n)]
-    return pd.DataFrame({"low": low, "high": high}, dtype=float)
+    """Exact 95% interval of a proportion; NULL where there are no trials."""
+    k, n = k.to_numpy(float), n.to_numpy(float)
+    known = n > 0
+    a, rest = np.where(known, k, 1.0), np.where(known, n - k, 1.0)
+    low = np.where(a == 0, 0.0, _beta_quantile(0.025, np.maximum(a, 1.0), rest + 1.0))
+    high = np.where(rest == 0, 1.0, _beta_quantile(0.975, a + 1.0, np.maximum(rest, 1.0)))
+    return pd.DataFrame({"low": np.where(known, low, np.nan), "high": np.where(known, high, np.nan)})
 
 
 def adjusted_p_values(df: DataFrame, by: Sequence[str], p: str, *, name: str = "q", split_every: int = SPLIT_EVERY) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import prespecified as ps
 from ..operators import ranking as rk
+from ..session import fresh_folder
 from .registry import cents, query, rounded, table
 
 
@@ -25,7 +26,7 @@ SELECT * FROM m0 UNION ALL SELECT * FROM m1
 def matched_sampling(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_brand", "p_type", "p_size")
     chosen = F.col("p_size") % 4 == 0
-    return ps.matched_sample(parts.where(chosen), parts.where(~chosen), [["p_brand", "p_type"], ["p_brand"]], key="k", seed=1)
+    return ps.matched_sample(parts.where(chosen), parts.where(~chosen), [["p_brand", "p_type"], ["p_brand"]], key="k", seed=1, store=fresh_folder(spark, "matched"))
 
 
 @query(
