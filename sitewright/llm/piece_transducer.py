@@ -13,10 +13,10 @@ from pyspark.sql import types as T
 
 from .common import slices, texts_of
 
-#: The default vocabulary's file name, the sign for a blank, and what is kept by a worker.
+#: The default vocabulary's file name, the sign for a blank, and what is kept by a worker (parts in two generations).
 PIECE_MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
-KEPT_PARTS, KEPT_PAIRS = 300_000, 500_000
+KEPT_PARTS, KEPT_PAIRS = 250_000, 500_000
 FALLBACK, FALLBACK_COST = -1, 1e9
 
 
@@ -48,6 +48,7 @@ class Transducer:
         self.split = self.last_merges()
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         # an input may be cut where no piece has the two characters side by side
         marks = [m for m in ".,;:!?" if not any(b[1] == m and b[0] != m and b[0].isalpha() for b in inner)]
@@ -137,19 +138,21 @@ class Transducer:
         """Per text its ids as little-endian unsigned 32-bit integers; an empty text has none."""
         parts = [self.parts.findall((" " + text).replace(" ", BLANK)) if text else [] for text in texts]
         if len(self.known) > KEPT_PARTS:
-            self.known = {}
-        known = self.known
-        for part in set(chain.from_iterable(parts)):
-            if part not in known:
-                head, mark = part[:-1], part[-1]
-                if mark in self.marks and head[-1:].isalpha():
-                    for piece in (head, mark):
-                        if piece not in known:
-                            known[piece] = np.array(self.shortest_path(piece), "<u4").tobytes()
-                    known[part] = known[head] + known[mark]
-                else:
-                    known[part] = np.array(self.shortest_path(part), "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, row)) for row in parts]
+            self.known, self.older = {}, self.known
+        for part in set(chain.from_iterable(parts)).difference(self.known):
+            self.look_up(part)
+        return [b"".join(map(self.known.__getitem__, row)) for row in parts]
+
+    def look_up(self, part: str) -> bytes:
+        """The ids of a part; one that ends in a mark is cut before it where that is exact."""
+        ids = self.known.get(part) or self.older.get(part)
+        if ids is None:
+            if part[-1] in self.marks and part[-2:-1].isalpha():
+                ids = self.look_up(part[:-1]) + self.look_up(part[-1])
+            else:
+                ids = np.array(self.shortest_path(part), "<u4").tobytes()
+        self.known[part] = ids
+        return ids
 
     def decode(self, ids: np.ndarray) -> str:
         """The inverse machine: pieces to their characters, byte ids to bytes, signs to blanks, without the first blank."""
