@@ -114,7 +114,7 @@ def top_sign_agreement(spark, sf_dir):
     """
 WITH r AS (SELECT l_returnflag AS g, l_suppkey AS cluster, l_quantity AS x, l_extendedprice AS y FROM lineitem),
 c AS (SELECT g, cluster, row_number() OVER (PARTITION BY g ORDER BY cluster) AS slot, count(*) OVER (PARTITION BY g) AS k FROM (SELECT DISTINCT g, cluster FROM r)),
-d AS (SELECT c.g, b, ('0x' || substr(md5(concat_ws(':', 3, b, slot)), 1, 15))::BIGINT % k + 1 AS pick FROM c, range(0, 10) t(b)),
+d AS (SELECT c.g, b, ('0x' || substr(md5(concat_ws(':', 3, c.g, b, slot)), 1, 15))::BIGINT % k + 1 AS pick FROM c, range(0, 10) t(b)),
 e AS (SELECT d.g, d.b, r.x, r.y FROM d JOIN c ON c.g = d.g AND c.slot = d.pick JOIN r ON r.g = c.g AND r.cluster = c.cluster),
 k AS (SELECT g, b, rank() OVER (PARTITION BY g, b ORDER BY x) + (count(*) OVER (PARTITION BY g, b, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY g, b ORDER BY y) + (count(*) OVER (PARTITION BY g, b, y) - 1) / 2.0 AS ry FROM e),
 s AS (SELECT g, b, corr(rx, ry) AS rho FROM k GROUP BY 1, 2),
