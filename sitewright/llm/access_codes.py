@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import fresh_folder
-from .common import slices, texts_of
+from .common import text_slices
 from .tokens import encoder
 
 #: Bits of a chunk, and bits of a continuation bitmap covered by one entry of its rank directory.
@@ -130,9 +130,9 @@ def write_codes(
 
         for batch in batches:
             kind = kind or batch.schema.field(0).type
-            ids, texts = batch.column(0).to_pylist(), texts_of(batch, batch.schema.names[1])
-            for a, b in slices(texts):
-                for name, code in zip(ids[a:b], codes.encode(texts[a:b])):
+            ids = batch.column(0).to_pylist()
+            for a, b, texts in text_slices(batch.column(1)):
+                for name, code in zip(ids[a:b], codes.encode(texts)):
                     names.append(name)
                     sizes.append(len(code) // 4 + 1)
                     held.append(code + end)

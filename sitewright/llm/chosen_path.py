@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, staged, texts_of
+from .common import staged, text_slices
 from .components import components, local_roots
 
 #: Words known to a worker, and characters of texts that are parted into words at once.
-KEPT_WORDS, SLICE_WORDS = 400_000, 2_000_000
+KEPT_WORDS, SLICE_WORDS = 150_000, 1_500_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,9 +134,8 @@ def near_duplicate_classes(
         words = shingler(n)
         for batch in batches:
             keys, sizes, sketches = [], [], []
-            texts = texts_of(batch)
-            for a, b in slices(texts, SLICE_WORDS):
-                for grams in words.sets(texts[a:b]):
+            for _, _, texts in text_slices(batch.column("text"), SLICE_WORDS):
+                for grams in words.sets(texts):
                     sizes.append(len(grams))
                     keys.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)
                     sketches.append(sketch_of(grams, coordinates).tobytes())
@@ -278,9 +277,8 @@ def _verified(source: DataFrame, sets: DataFrame, groups: DataFrame, n: int, thr
     def shingled(batches):
         words = shingler(n)
         for batch in batches:
-            texts = texts_of(batch)
-            for a, b in slices(texts, SLICE_WORDS):
-                grams = [g.tobytes() for g in words.sets(texts[a:b])]
+            for a, b, texts in text_slices(batch.column("text"), SLICE_WORDS):
+                grams = [g.tobytes() for g in words.sets(texts)]
                 kept = batch.slice(a, b - a).select(["node", "copies", "group", "parts"])
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(grams, pa.binary())], names=[*kept.schema.names, "grams"])
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import fresh_folder
 
 #: Texts are worked on in slices of about so many characters, so a task's memory does not follow its Arrow batch.
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 4_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -26,16 +26,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Bounds of consecutive runs of texts of about ``limit`` characters; a longer text is a run of its own."""
+def text_slices(column, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int, list[str]]]:
+    """The slices of an Arrow column of texts with their bounds; only one is held as Python strings at a time."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     begin, size = 0, 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > limit:
-            yield begin, i
+    for i, own in enumerate([*sizes, None]):
+        if i > begin and (own is None or size + own > limit):
+            yield begin, i, [text or "" for text in column.slice(begin, i - begin).to_pylist()]
             begin, size = i, 0
-        size += len(text)
-    if begin < len(texts):
-        yield begin, len(texts)
+        size += own or 0
 
 
 def texts_of(batch, name: str = "text") -> list[str]:
@@ -64,8 +65,7 @@ def text_column_udf(make, returns):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         apply = make()
         for batch in batches:
-            texts = [text or "" for text in batch.to_pylist()]
-            parts = [apply(texts[a:b]) for a, b in slices(texts)]
+            parts = [apply(texts) for _, _, texts in text_slices(batch)]
             yield pa.concat_arrays(parts) if parts else apply([])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices, texts_of
+from .common import text_slices
 from .tokens import encoder
 
 PIECES = T.StructType(
@@ -131,9 +131,9 @@ def pack_sequences(
         schema = None
         for batch in batches:
             schema = schema or pa.schema([pa.field(id_column, batch.schema.field(0).type), *arrow_fields()])
-            names, texts = batch.column(0).to_pylist(), texts_of(batch, batch.schema.names[1])
-            for a, b in slices(texts):
-                for doc, ids in zip(names[a:b], codes.encode(texts[a:b])):
+            names = batch.column(0).to_pylist()
+            for a, b, texts in text_slices(batch.column(1)):
+                for doc, ids in zip(names[a:b], codes.encode(texts)):
                     ids += end
                     total = len(ids) // 4
                     whole = total - total % window

@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices, texts_of
+from .common import text_slices
 
 #: The default vocabulary's file name, the sign for a blank, and what is kept by a worker (parts in two generations).
 PIECE_MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
-KEPT_PARTS, KEPT_PAIRS = 250_000, 500_000
+KEPT_PARTS, KEPT_PAIRS = 175_000, 400_000
 FALLBACK, FALLBACK_COST = -1, 1e9
 
 
@@ -182,9 +182,7 @@ def encode_pieces(docs: DataFrame, vocabulary: str | None = None, id_column: str
     def run(batches):
         machine = transducer(vocabulary)
         for batch in batches:
-            texts, codes, back = texts_of(batch, batch.schema.names[1]), [], []
-            for a, b in slices(texts, 2_000_000):
-                codes += machine.encode(texts[a:b])
+            codes = [code for _, _, texts in text_slices(batch.column(1), 2_000_000) for code in machine.encode(texts)]
             back = [machine.decode(np.frombuffer(code, "<u4")) for code in codes]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(c) // 4 for c in codes], pa.int64()), pa.array(codes, pa.binary()), pa.array(back, pa.string())],

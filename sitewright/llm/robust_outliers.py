@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chosen_path import GOLDEN, KEPT_WORDS, SLICE_WORDS, mixed
-from .common import slices, staged, texts_of
+from .common import staged, text_slices
 
 WINDOW = 5
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -78,8 +78,7 @@ def text_statistics(docs: DataFrame, keep: list[str], text_column: str = "text")
 
     def run(batches):
         for batch in batches:
-            texts = texts_of(batch, text_column)
-            values = [row for a, b in slices(texts, SLICE_WORDS) for row in statistics(texts[a:b])]
+            values = [row for _, _, texts in text_slices(batch.column(len(keep)), SLICE_WORDS) for row in statistics(texts)]
             columns = list(zip(*values)) if values else [()] * len(STATISTICS)
             made = [pa.array(c, pa.int64()) for c in columns]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *made], names=[*names, *STATISTICS])

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keyed_rank, slices, texts_of
+from .common import keyed_rank, text_slices
 
 #: The base patterns (fixed values), and the least length of what counts in a match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -33,7 +33,7 @@ OFFSETS = (-3, -2, -1, 1)
 NAMES = re.compile(r"(?i)passw|secret|token|api_?key|credential|auth|private|bearer|pwd")
 CATEGORIES = ("edge", "name", "=", ":", "quote", "mark", "word", "capital", "number", "mixed", "space")
 #: Tokens of a learning window, characters of a learning text, tokens that are decoded as one block, tokens known to a worker.
-WINDOW, LEARN_CHARS, BLOCK, KEPT_TOKENS = 24, 20_000, 128, 300_000
+WINDOW, LEARN_CHARS, BLOCK, KEPT_TOKENS = 24, 20_000, 128, 150_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, int]]:
@@ -334,9 +334,8 @@ def scan_secrets(docs: DataFrame, model: Tagger, id_column: str = "doc_id", text
     def run(batches):
         for batch in batches:
             rows = []
-            texts = texts_of(batch, batch.schema.names[1])
-            for a, b in slices(texts, 1_000_000):
-                for text, found in zip(texts[a:b], tagged_spans(model, texts[a:b])):
+            for _, _, texts in text_slices(batch.column(1), 1_000_000):
+                for text, found in zip(texts, tagged_spans(model, texts)):
                     base = [s[:3] for s in base_spans(text)]
                     added = [(s, e, "crf") for s, e in found if not any(s < y and x < e for x, y, _ in base)]
                     both = sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))

@@ -27,7 +27,7 @@ BLANKS, CLOSING = (" ", "\n"), (".", ",", ";", ":", "!", "?")
 #: Such parts encoded by one call.
 GROUP = 64
 #: Parts that a worker keeps, in each of two generations.
-KEPT_PARTS = 250_000
+KEPT_PARTS = 175_000
 
 
 def vocabulary_path(path: str | None) -> str:
