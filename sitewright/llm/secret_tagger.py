@@ -32,6 +32,7 @@ OUTSIDE, BEGIN, INSIDE = range(3)
 OFFSETS = (-3, -2, -1, 1)
 NAMES = re.compile(r"(?i)passw|secret|token|api_?key|credential|auth|private|bearer|pwd")
 CATEGORIES = ("edge", "name", "=", ":", "quote", "mark", "word", "capital", "number", "mixed", "space")
+HEX_LETTERS = frozenset("abcdef")
 #: Tokens of a learning window, characters of a learning text, tokens that are decoded as one block, tokens known to a worker.
 WINDOW, LEARN_CHARS, BLOCK, KEPT_TOKENS = 24, 20_000, 128, 150_000
 
@@ -68,8 +69,22 @@ def category(token: str) -> int:
     return CATEGORIES.index(name)
 
 
+def plain_word(token: str) -> tuple | None:
+    """What the features of a short word of letters depend on; None for other tokens."""
+    if not (token.isalpha() and len(token) < 12) or NAMES.search(token):
+        return None
+    case = "a" if token.islower() else "A" if token.isupper() else "Aa" if token[0].isupper() else "aA"
+    return case, len(token), token.isascii(), HEX_LETTERS.issuperset(token)
+
+
 def own_features(token: str) -> list[str]:
     """Shape, length, alphabet and evenness of a token."""
+    if word := plain_word(token):
+        case, length, ascii_only, hexadecimal = word
+        letters = "hex" if hexadecimal else "upper" if case == "A" else "base64" if ascii_only else "other"
+        bucket = next(b for b in (1, 3, 5, 8, 12) if length <= b)
+        kind = "capital" if case[0] == "A" else "word"
+        return [f"shape {case}", f"kind {kind}", f"length {bucket}", f"letters {letters} {bucket}", "entropy word", "turns word", "end "]
     shape = re.sub(r"(.)\1+", r"\1+", re.sub(r"\d", "9", re.sub(r"[^\W\d_a-z]", "A", re.sub(r"[a-z]", "a", token[:64]))))
     kind = CATEGORIES[category(token)]
     length = len(token)
@@ -111,8 +126,9 @@ class Tagger:
     near: np.ndarray  # offset, category, label
     moves: np.ndarray  # from, to
     rows: dict[str, int] = field(default_factory=dict, repr=False)
-    table: list = field(default_factory=list, repr=False)
-    kinds: list = field(default_factory=list, repr=False)
+    table: np.ndarray = field(default_factory=lambda: np.zeros((1024, 3)), repr=False)
+    kinds: np.ndarray = field(default_factory=lambda: np.zeros(1024, np.int64), repr=False)
+    words: dict[tuple, tuple] = field(default_factory=dict, repr=False)
 
     def score(self, features: list[str]) -> np.ndarray:
         return sum((self.own[f] for f in features if f in self.own), np.zeros(3))
@@ -121,16 +137,25 @@ class Tagger:
         """The row of each token in the tables of its own scores and category."""
         if len(self.rows) > KEPT_TOKENS:
             self.rows.clear()
-            self.table.clear()
-            self.kinds.clear()
-        for token in set(tokens):
-            if token not in self.rows:
-                self.rows[token] = len(self.rows)
-                core = token.rstrip()
-                self.table.append(self.score(own_features(core)))
-                self.kinds.append(category(core))
+        fresh = [token for token in set(tokens) if token not in self.rows]
+        first = len(self.rows)
+        if first + len(fresh) > len(self.table):
+            room = 2 * (first + len(fresh))
+            self.table, self.kinds = np.resize(self.table, (room, 3)), np.resize(self.kinds, room)
+        for i, token in enumerate(fresh, first):
+            self.rows[token] = i
+            self.table[i], self.kinds[i] = self.described(token.rstrip())
         return np.fromiter(map(self.rows.__getitem__, tokens), np.int64, len(tokens))
 
+    def described(self, core: str) -> tuple[np.ndarray, int]:
+        """A token's own score and category; short words that are alike share them."""
+        word = plain_word(core)
+        if word is None:
+            return self.score(own_features(core)), category(core)
+        if word not in self.words:
+            self.words[word] = self.score(own_features(core)), category(core)
+        return self.words[word]
+
 
 def split_tokens(text: str) -> tuple[list[str], np.ndarray]:
     tokens = TOKEN.findall(text)
@@ -194,9 +219,7 @@ def emissions(model: Tagger, texts: list[str]):
     firsts = np.cumsum(counts) - counts
     tokens = list(chain.from_iterable(t for t, _ in parts))
     rows = model.known(tokens)
-    table, kinds = np.array(model.table).reshape(-1, 3), np.array(model.kinds, np.int64)
-    kind = kinds[rows] if len(rows) else rows
-    scores = table[rows] if len(rows) else np.zeros((0, 3))
+    kind, scores = model.kinds[rows], model.table[rows]
     text_of = np.repeat(np.arange(len(texts)), counts)
     place = np.arange(len(tokens)) - firsts[text_of]
     for k, offset in enumerate(OFFSETS):
@@ -334,7 +357,7 @@ def scan_secrets(docs: DataFrame, model: Tagger, id_column: str = "doc_id", text
     def run(batches):
         for batch in batches:
             rows = []
-            for _, _, texts in text_slices(batch.column(1), 1_000_000):
+            for _, _, texts in text_slices(batch.column(1), 1_500_000):
                 for text, found in zip(texts, tagged_spans(model, texts)):
                     base = [s[:3] for s in base_spans(text)]
                     added = [(s, e, "crf") for s, e in found if not any(s < y and x < e for x, y, _ in base)]
