@@ -70,21 +70,23 @@ def category(token: str) -> int:
 
 
 def plain_word(token: str) -> tuple | None:
-    """What the features of a short word of letters depend on; None for other tokens."""
-    if not (token.isalpha() and len(token) < 12) or NAMES.search(token):
+    """What the features of a word of letters, with or without a full stop, depend on; None for other tokens."""
+    stop = token[-1:] == "."
+    body = token[:-1] if stop else token
+    if not (body.isalpha() and len(body) < 20) or NAMES.search(body):
         return None
-    case = "a" if token.islower() else "A" if token.isupper() else "Aa" if token[0].isupper() else "aA"
-    return case, len(token), token.isascii(), HEX_LETTERS.issuperset(token)
+    case = "a" if body.islower() else "A" if body.isupper() else "Aa" if body[0].isupper() else "aA"
+    return case, len(body), body.isascii(), HEX_LETTERS.issuperset(body), stop
 
 
 def own_features(token: str) -> list[str]:
     """Shape, length, alphabet and evenness of a token."""
     if word := plain_word(token):
-        case, length, ascii_only, hexadecimal = word
+        case, length, ascii_only, hexadecimal, stop = word
         letters = "hex" if hexadecimal else "upper" if case == "A" else "base64" if ascii_only else "other"
-        bucket = next(b for b in (1, 3, 5, 8, 12) if length <= b)
+        bucket = next(b for b in (1, 3, 5, 8, 12, 16, 19) if length <= b)
         kind = "capital" if case[0] == "A" else "word"
-        return [f"shape {case}", f"kind {kind}", f"length {bucket}", f"letters {letters} {bucket}", "entropy word", "turns word", "end "]
+        return [f"shape {case}", f"kind {kind}", f"length {bucket}", f"letters {letters} {bucket}", "entropy word", "turns word", "end ." if stop else "end "]
     shape = re.sub(r"(.)\1+", r"\1+", re.sub(r"\d", "9", re.sub(r"[^\W\d_a-z]", "A", re.sub(r"[a-z]", "a", token[:64]))))
     kind = CATEGORIES[category(token)]
     length = len(token)
