@@ -22,8 +22,12 @@ SPACES = re.compile(r"[\x20\x09-\x0D]")
 UPPER = re.compile(r"[A-ZÀ-ÖØ-ÞА-Я]")
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 #: Least standard deviation of each part of the transformed vector, so that a statistic which most texts do not show at
-#: all (symbols, repeats) has a scale.
-FLOORS = (0.3, 0.15, 0.1, 0.15, 0.1, 0.05)
+#: all (symbols, repeats) has a scale. A part that scatters more in a pool keeps its own scatter.
+FLOORS = (0.1, 0.01, 0.04, 0.06, 0.03, 0.005)
+#: Parts that are means over a text's words or letters: their error falls with the root of the text's length.
+MEANS = (1, 5)
+#: Relative ridge, so that parts which move together in a pool still have an inverse.
+RIDGE = 1e-6
 SALTS = 16
 
 
@@ -122,7 +126,8 @@ def robust_outliers(
     windows. The others are judged in pools of one language and source; sources with fewer than ``least_rows`` such
     documents share a pool of their language, languages with fewer a common one, and if that is smaller still its documents are
     kept. In each pool the location and scatter with the smallest determinant are sought by concentration steps: from
-    medians and median deviations on, the ``inside`` share of rows nearest to the estimate gives the next one. Distances are
+    medians and median deviations on, the ``inside`` share of rows nearest to the estimate gives the next one. A pool's own
+    scatter counts; only a part that hardly varies in it is given ``FLOORS``. Distances are
     squared, and shrink so that a pool's median is at most that of a chi-square; ``kept`` is false above ``cutoff`` (about the 0.9999 quantile of that chi-square).
 
     Everything is estimated from all rows: each step is two grouped aggregates over the small table of statistics,
@@ -141,7 +146,7 @@ def robust_outliers(
     middle = [F.percentile_approx(F.col("v")[i], 0.5, 2000).alias(f"m{i}") for i in range(p)]
     centre = judged.groupBy("pool").agg(*middle).select("pool", F.array(*[f"m{i}" for i in range(p)]).alias("mean"))
     away = _salted(judged, staged(centre, "centre"))
-    spread = away.groupBy("pool", "mean").agg(*[F.percentile_approx(F.abs(F.col("v")[i] - F.col("mean")[i]), 0.5, 2000).alias(f"s{i}") for i in range(p)])
+    spread = away.groupBy("pool", "mean").agg(*[F.percentile_approx(F.abs(_deviation(i)), 0.5, 2000).alias(f"s{i}") for i in range(p)])
     scale = [F.greatest(1.4826 * F.col(f"s{i}"), F.lit(FLOORS[i])) for i in range(p)]
     inverse = F.array(*[1 / (s * s) if i == j else F.lit(0.0) for i, s in enumerate(scale) for j in range(p)])
     estimate = staged(spread.select("pool", "mean", inverse.alias("inverse")), "estimate")
@@ -149,9 +154,8 @@ def robust_outliers(
         near = _distances(judged, estimate)
         cut = near.groupBy("pool").agg(F.percentile_approx("distance", inside, 2000).alias("cut"))
         core = _salted(judged, staged(estimate.join(cut, "pool"), "cut")).withColumn("distance", _quadratic()).filter("distance <= cut")
-        v = F.col("v")
-        sums = [F.avg(v[i]).alias(f"a{i}") for i in range(p)]
-        sums += [F.covar_pop(v[i], v[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)]
+        sums = [F.avg(F.col("v")[i]).alias(f"a{i}") for i in range(p)]
+        sums += [F.covar_pop(_deviation(i), _deviation(j)).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)]
         estimate = staged(core.groupBy("pool").agg(*sums).mapInArrow(_inverted, "pool string, mean array<double>, inverse array<double>"), "estimate")
     near = _distances(judged, estimate)
     # the nearest share is less scattered than all rows: where half of the distances exceed the median of the chi-square
@@ -193,9 +197,16 @@ def _salted(rows: DataFrame, pools: DataFrame, how: str = "inner") -> DataFrame:
     return rows.join(spread, ["pool", "salt"], how)
 
 
+def _deviation(i: int) -> Column:
+    """A row's deviation from its pool's location; means of texts shorter than the pool's usual one shrink by the root of
+    the ratio of lengths, to the scale of a text of the usual length."""
+    away = F.col("v")[i] - F.col("mean")[i]
+    return away * F.least(F.lit(1.0), F.exp((F.col("v")[0] - F.col("mean")[0]) / 2)) if i in MEANS else away
+
+
 def _quadratic() -> Column:
     p = len(FLOORS)
-    d = [F.col("v")[i] - F.col("mean")[i] for i in range(p)]
+    d = [_deviation(i) for i in range(p)]
     return sum(F.col("inverse")[i * p + j] * d[i] * d[j] for i in range(p) for j in range(p))
 
 
@@ -204,17 +215,16 @@ def _distances(rows: DataFrame, estimate: DataFrame) -> DataFrame:
 
 
 def _inverted(batches):
-    """Per pool the mean and the inverse of the covariance; floors keep it positive definite."""
+    """Per pool the mean and the inverse of the covariance; variances below the square of their floor are raised to it."""
     p = len(FLOORS)
     for batch in batches:
         means, inverses = [], []
         for row in batch.to_pylist():
-            cov = np.diag(np.square(FLOORS))
+            cov = np.zeros((p, p))
             for i in range(p):
                 for j in range(i + 1):
-                    c = row[f"c{i}_{j}"] or 0.0
-                    cov[i, j] += c
-                    cov[j, i] += c if i != j else 0.0
+                    cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
+            np.fill_diagonal(cov, np.maximum(np.diag(cov), np.square(FLOORS)) * (1 + RIDGE))
             means.append([row[f"a{i}"] for i in range(p)])
             inverses.append(np.linalg.inv(cov).ravel().tolist())
         kind = pa.list_(pa.float64())

@@ -125,6 +125,24 @@ def test_statistics_and_pools(make_docs):
     assert all(r.kept for r in few)
 
 
+def test_moderate_junk_is_an_outlier(make_docs):
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in ("the", "of", "in", "on") for b in ("", "a", "er", "ing", "ly")]
+
+    def sentence():
+        return " ".join([rng.choice(words).capitalize(), *(rng.choice(words) + rng.choice("abcdefgh") for _ in range(rng.randrange(6, 12)))])
+
+    clean = ["\n".join(sentence() for _ in range(rng.randrange(2, 14))) for _ in range(200)]
+    menu = [" | ".join(rng.choice(words) + rng.choice(words) for _ in range(60)) for _ in range(4)]  # a tenth are symbols
+    # four of nine lines are repeated, too short for windows of repeated words
+    half = ["\n".join(line for _ in range(4) for line in [" ".join(rng.choice(words) + str(rng.randrange(900)) for _ in range(12))] + ["see more"]) for _ in range(4)]
+    half = ["\n".join([*t.split("\n"), "see more"]) for t in half]
+    capitals = ["\n".join(sentence().title() for _ in range(10)) for _ in range(4)]
+    rows = {r.doc_id: r for r in robust_outliers(make_docs([*clean, *menu, *half, *capitals])).collect()}
+    assert sum(rows[i].kept for i in range(200)) >= 198
+    assert not any(rows[i].kept or rows[i].base_failed for i in range(200, 212))
+
+
 def brute_spans(text):
     found = [
         ("assign", m.start(), m.end())
