@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
-from itertools import count, takewhile
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +20,8 @@ from .common import fresh_name, staged, texts_of
 FEMALE_TITLES = ("Mrs.", "Mrs", "Ms.", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra.", "Госпожа")
 MALE_TITLES = ("Mr.", "Mr", "Herr", "Monsieur", "Señor", "Sr.", "Господин")
 NEUTRAL_TITLES = ("Dr.", "Prof.")
+#: Lower-case words inside names (fixed values); they stay as they are.
+PARTICLES = frozenset("von vom van der den dem de del della di da do dos das du des la le las los el al bin ibn ben zu zum zur ter ten und y e".split())
 #: What surrogate names end in, by script, part and gender (fixed values); before it they are made of syllables.
 ENDINGS = {
     ("latin", "given"): {"f": "a", "m": "us", "n": "i"},
@@ -33,56 +36,113 @@ SYLLABLES = {
     "cyrillic": [c + v for c in "бвгдзклмнпрст" for v in "аеиоу"],
 }
 WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
+WORDS, LETTER_RUNS = re.compile(WORD), re.compile(r"[^\W\d_]+")
+#: White space inside a name: any, but no empty line.
+GAP = r"(?:[^\S\n]*\n)?[^\S\n]*"
+#: The next part of a name: white space, a word, and the full stop if it is an initial.
+PART = re.compile(rf"({GAP})({WORD})(?:(?<=\b[^\W\d_])\.)?")
+POSSESSIVE = re.compile(r"(?<=.)['’]s$", re.I)
 TITLE = "|".join(re.escape(t) for t in sorted((*FEMALE_TITLES, *MALE_TITLES, *NEUTRAL_TITLES), key=len, reverse=True))
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kinds in order of precedence; spans do not overlap.
 PATTERNS = re.compile(
     "|".join(
         (
-            r"(?P<email>(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})",
+            r"(?P<email>(?<![\w.%+-])[\w.%+-]+@(?:[^\W_]|-)+(?:\.(?:[^\W_]|-)+)*\.(?:xn--[A-Za-z0-9-]+|[^\W\d_]{2,}))",
             rf"(?P<address>(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?![\w]|\.\d))",
+            r"(?P<address6>(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,8}(?:(?:\.\d{1,3}){3})?(?![\w:]))",
             r"(?P<social>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
             r"(?P<account>(?<![\w])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w))",
-            r"(?P<phone>(?<![\w+])(?:\+\d{1,3}[\x20.-]?\(?\d{1,4}\)?(?:[\x20.-]?\d{2,4}){2,4}|\(\d{3}\)\x20?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\w))",
+            r"(?P<phone>(?<![\w+])(?:\+\d{1,3}[\x20.-]?\(?\d{1,4}\)?(?:[\x20.-]?\d{2,4}){2,4}|\(\d{3}\)\x20?\d{3}[.-]\d{4}|\d{3}-\d{3}-\d{4}|(?<!\.)\d{3}\.\d{3}\.\d{4}(?!\.\d))(?!\w))",
             r"(?P<card>(?<![\w])(?:\d{16}|\d{15}|\d{4}(?:[\x20-]\d{4}){3})(?!\w))",
-            rf"(?P<name>(?<!\w)(?:{TITLE})\x20{WORD}(?:\x20{WORD})?)",
+            rf"(?P<name>(?<!\w)(?:(?:{TITLE})\s+)+(?=[^\W\d_]))",
         )
     )
 )
 #: What a kind needs before the pattern is worth trying.
-HINT = re.compile(rf"[@\d]|(?:{TITLE})\x20")
+HINT = re.compile(rf"[@\d]|(?:{TITLE})\s")
 MARKS = re.compile(r"[^A-Z0-9+]")
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical form) of each entity: kinds never overlap. A name is what follows an honorific and is
-    capitalised; given and family name are entities of their own, so a person keeps both in full and in short.
-    Canonical forms ignore case in mail addresses and grouping marks in numbers."""
+    """(start, end, kind, canonical form) of each entity: kinds never overlap. A name is what follows honorifics: any number
+    of capitalised words, initials and particles. The last word is the family name and the others are given names,
+    entities of their own, so a person keeps them in full and in short; initials are given names, too. Where the text has a
+    word of such a name again without an honorific, it is the same entity. Canonical forms ignore case in
+    mail addresses, grouping marks in numbers and the way an address is shortened."""
     out = []
     if not HINT.search(text):
         return out
-    for found in PATTERNS.finditer(text):
+    at, known = 0, {}
+    while found := PATTERNS.search(text, at):
         kind, value, start = found.lastgroup, found.group(), found.start()
+        at = found.end()
         if kind == "name":
-            title, _, rest = value.partition(" ")
-            words = list(takewhile(lambda w: w[0].isupper(), rest.split(" ")))
-            at = start + len(title) + 1
-            for i, word in enumerate(words):
-                part = "given" if i + 1 < len(words) else "family"
+            parts = name_parts(text, at)
+            gender = next((g for g in map(gender_of, value.split()) if g != "n"), "n")
+            for i, (begin, end, word) in enumerate(parts):
+                part = "given" if i + 1 < len(parts) else "family"
                 script = script_of(word)
                 # Latin family names are the same for all; other names have a gender
-                gender = "n" if (script, part) == ("latin", "family") else gender_of(title)
-                out.append((at, at + len(word), f"{part}_{script}_{gender}", word.lower()))
-                at += len(word) + 1
+                own = "n" if (script, part) == ("latin", "family") else gender
+                out.append((begin, end, f"{part}_{script}_{own}", word.lower()))
+                if len(word) > 1:
+                    known.setdefault(word.lower(), f"{part}_{script}_{own}")
+                at = end
         elif kind == "email":
             out.append((start, found.end(), kind, value.lower()))
         elif kind == "address":
             out.append((start, found.end(), kind, value))
+        elif kind == "address6":
+            if (plain := plain_address(value)) is not None:
+                out.append((start, found.end(), kind, plain))
         else:
             out.append((start, found.end(), kind, MARKS.sub("", value)))
+    return bare_mentions(text, out, known) if known else out
+
+
+def name_parts(text: str, at: int) -> list[tuple[int, int, str]]:
+    """(start, end, word) of the capitalised words and initials of the name that begins at ``at``."""
+    out, after_initial = [], False
+    while found := PART.match(text, at):
+        gap, word, start = found[1], found[2], found.start(2)
+        if out and not gap and not after_initial:
+            break
+        word = POSSESSIVE.sub("", word)
+        if word[0].isupper():
+            whole = word == found[2]
+            after_initial = whole and text[found.end() - 1] == "."
+            out.append((start, found.end() if whole else start + len(word), word))
+            if not whole:
+                break
+        elif word not in PARTICLES:
+            break
+        at = found.end()
     return out
 
 
+def bare_mentions(text: str, spans: list[tuple[int, int, str, str]], known: dict[str, str]) -> list[tuple[int, int, str, str]]:
+    """``spans`` and, between them, every capitalised word of ``known``, on its own or inside a compound."""
+    more, low = [], 0
+    for high, following in [*((s, e) for s, e, _, _ in spans), (len(text), len(text))]:
+        for found in WORDS.finditer(text, low, high):
+            whole = found.group()
+            words = [(found.start(), whole)] if whole.lower() in known else [(found.start() + m.start(), m.group()) for m in LETTER_RUNS.finditer(whole)]
+            more += [(at, at + len(w), known[w.lower()], w.lower()) for at, w in words if w[0].isupper() and w.lower() in known]
+        low = following
+    return sorted(spans + more)
+
+
+def plain_address(value: str) -> str | None:
+    """The shortest form of an IPv6 address, None for what only looks like one (times, scopes in code)."""
+    if sum(map(bool, re.split("[:.]", value))) < 2 or not any(c.isdigit() for c in value):
+        return None
+    try:
+        return ipaddress.IPv6Address(value).compressed
+    except ValueError:
+        return None
+
+
 def gender_of(title: str) -> str:
     return "f" if title in FEMALE_TITLES else "m" if title in MALE_TITLES else "n"
 
@@ -120,6 +180,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         return f"{''.join(map(alike, body))}.{top}"
     if kind == "address":
         return ".".join(str(pick(range(1, 255))) for _ in range(4))
+    if kind == "address6":
+        return ":".join(["2001", *(f"{pick(range(0x1000, 0x10000)):x}" for _ in range(7))])
     if kind.startswith(("given", "family")):
         part, script, gender = kind.split("_")
         return "".join(pick(SYLLABLES[script]) for _ in range(4)) + ENDINGS[script, part][gender]
@@ -146,11 +208,13 @@ def check_digit(body: str) -> str:
 def dressed(written: str, kind: str, value: str) -> str:
     """A canonical surrogate in the way the entity is written: its case, and its grouping marks in numbers."""
     if kind == "email":
+        if len(written) != len(value):
+            return value
         return "".join(n.upper() if o.isupper() else n for o, n in zip(written, value))
-    if kind == "address":
+    if kind in ("address", "address6"):
         return value
     if kind.startswith(("given", "family")):
-        return value.upper() if len(written) > 1 and written.isupper() else value.capitalize()
+        return value.upper() if len(written.rstrip(".")) > 1 and written.isupper() else value.capitalize()
     marks = iter(value)
     return "".join(c if MARKS.match(c) else next(marks) for c in written)
 
@@ -160,6 +224,8 @@ def rewritten(text: str, names: dict[tuple[str, str], str]) -> str:
     for start, end, kind, value in entities(text):
         out.append(text[at:start])
         out.append(dressed(text[start:end], kind, names[kind, value]))
+        if text[end - 1] == "." and text[end : end + 1].isalpha():
+            out.append(" ")  # initials without a blank between become names
         at = end
     return "".join(out) + text[at:]
 

@@ -13,7 +13,7 @@ from sitewright.llm.language_centroids import fit_languages, identify_languages
 from sitewright.llm.quality_network import CHUNK, OVERLAP, chunked, fit_quality, probabilities, score_quality
 from sitewright.llm.robust_outliers import robust_outliers
 from sitewright.llm.secret_tagger import BLOCK, best_labels, fit_tagger, learn, scan_secrets, tagged_spans
-from sitewright.llm.surrogates import assign_surrogates, entities, replace_entities
+from sitewright.llm.surrogates import assign_surrogates, entities, replace_entities, rewritten, surrogate
 
 from .conftest import ODD
 
@@ -228,6 +228,30 @@ def test_surrogates(spark, make_docs):
     assert replace_entities(make_docs([])).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("Mrs. Anna Maria Schmidt left", ["Anna", "Maria", "Schmidt"]),
+        ("Mr. J. Smith and Mr. J.R. Jones", ["J.", "Smith", "J.", "R.", "Jones"]),
+        ("Herr von Neumann met Dr. van der Berg", ["Neumann", "Berg"]),
+        ("Herr Prof. Dr. Hans Weber kam", ["Hans", "Weber"]),
+        ("Mr.\nJohn  Smith and Dr.\tAda\u00a0King", ["John", "Smith", "Ada", "King"]),
+        ("Mr. John Smith came. Smith said that Smith's car and SMITH-Jones; a smith", ["John", "Smith", "Smith", "Smith", "SMITH"]),
+        ("Smith wrote to Mr. Smith's firm", ["Smith", "Smith"]),
+        ("from 2001:db8::8a2e:370:7334 or ::ffff:10.1.2.3, at 12:30:45 in std::a", ["2001:db8::8a2e:370:7334", "::ffff:10.1.2.3"]),
+        ("hans@müller.example or иван@почта.рф now", ["hans@müller.example", "иван@почта.рф"]),
+        ("call 555.123.4567 or (555) 123.4567, not 1.555.123.9999", ["555.123.4567", "(555) 123.4567"]),
+    ],
+)
+def test_forms_of_entities(text, found):
+    spans = entities(text)
+    assert [text[s:e] for s, e, _, _ in spans] == found
+    names = {(kind, value): surrogate(b"key", kind, value, 0) for _, _, kind, value in spans}
+    new = rewritten(text, names)
+    assert [v for _, _, _, v in entities(new)] == [names[k, v] for _, _, k, v in spans]
+    assert not any(re.search(rf"(?<!\w){re.escape(form)}(?!\w)", new) for form in found)
+
+
 def test_colliding_surrogates_are_drawn_again(spark):
     # more than half of all three-digit forms: draws must collide with one another and with real ones
     found = spark.createDataFrame([("pin", f"{i:03d}") for i in range(0, 900, 2)] * 2, "kind string, value string")
