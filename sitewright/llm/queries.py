@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from .access_codes import encode_codes
 from .chosen_path import near_duplicate_classes
+from .collocations import collocations
 from .common import documents, fold
+from .conversation_trie import prefix_trie
+from .decontamination import find_contamination
 from .language_centroids import fit_languages, identify_languages
+from .oracles import COLLOCATIONS, CONTAMINATION, PREFIX_TRIE
 from .packing import pack_sequences
 from .piece_transducer import encode_pieces
 from .quality_network import fit_quality, score_quality
@@ -23,9 +27,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str):
+def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
+        if sql:
+            ORACLES[name] = sql
         return fn
 
     return register
@@ -90,3 +96,20 @@ def piece_transducer(spark, sf_dir):
     pieces = encode_pieces(documents(spark, sf_dir))
     decoded = F.sha2(F.col("decoded").cast("binary"), 256)
     return pieces.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), decoded.alias("decoded_sha256"))
+
+
+@query("op11_prefix_trie", PREFIX_TRIE)
+def conversation_trie(spark, sf_dir):
+    return prefix_trie(documents(spark, sf_dir, "conversations"))
+
+
+@query("op12_collocations", COLLOCATIONS)
+def phrase_collocations(spark, sf_dir):
+    return collocations(documents(spark, sf_dir))
+
+
+@query("op13_contamination", CONTAMINATION)
+def contamination(spark, sf_dir):
+    found = find_contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+    listed = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed, "contaminated")
