@@ -105,10 +105,9 @@ def test_fingerprints_compose():
         assert combined(value(codes[:cut]), value(codes[cut:]), 20 - cut) == value(codes)
 
 
-def test_trie_differing_groups_fail(spark, monkeypatch):
-    # a hash that cannot tell turns apart: the stored halves of their digests do
-    monkeypatch.setattr(trie, "turn_code", lambda digest: 1)
-    rows = [(1, 0, "u", "a"), (1, 1, "u", "a"), (1, 2, "u", "a"), (1, 3, "u", "a"), (1, 4, "u", "a"), (1, 5, "u", "p")]
-    rows += [(2, k, "u", f"b{k}") for k in range(6)]
+def test_groups_of_one_fingerprint_and_different_turns_fail(spark):
+    root, one, other = (0, 0, 0, 0, 0, 0, 0), (5, 6, 0, 0, 1, 2, 9), (5, 6, 0, 0, 1, 3, 9)
+    spans = spark.createDataFrame([(1, 0, 1, [root, one]), (2, 0, 1, [root, other])], trie.SPANS)
+    convs = spark.createDataFrame([(1, 1, 5, 6, 0, 0, b"", [], []), (2, 1, 5, 6, 0, 0, b"", [], [])], trie.CONVS)
     with pytest.raises(Exception, match="fingerprint differ"):
-        prefix_trie(spark.createDataFrame(rows, SCHEMA), head=lambda c: c * 0).collect()
+        trie._summed(convs, spans).collect()
