@@ -19,7 +19,7 @@ PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 KIND = np.array([2 if c in PIECE_ENDS else 1 if c in BLANKS else 0 for c in range(256)], np.uint8)
 #: Bytes of texts that are parted at once, and distinct n-grams that a task holds before it hands them on.
-SLICE_BYTES, HELD = 2_000_000, 3_000_000
+SLICE_BYTES, HELD = 500_000, 1_000_000
 #: Odd bases of the two word hashes, with their inverses modulo 2^64.
 BASES = tuple((np.uint64(b), np.uint64(pow(b, -1, 2**64))) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
