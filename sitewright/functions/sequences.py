@@ -90,6 +90,16 @@ def set_base(s: str | Column, index0: str | Column | int, base: str | Column) ->
     return replace_segment(s, i, i + F.lit(1), base)
 
 
+def apply_edits(s: str | Column, edits: str | Column) -> Column:
+    """Carry out non-overlapping edits (start, stop, text; 0-based, half-open, ascending) on a sequence."""
+
+    def apply(text: Column, e: Column) -> Column:
+        return replace_segment(text, e["start"], e["stop"], e["text"])
+
+    # from the last to the first, so that places before an edit stay
+    return F.aggregate(F.reverse(col(edits)), col(s), apply)
+
+
 def content_hash(s: str | Column) -> Column:
     return F.sha2(col(s), 256)
 

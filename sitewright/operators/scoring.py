@@ -1,20 +1,34 @@
-"""Content-addressed batch scoring with a pluggable scorer, an append-only store and resumable scans."""
+"""Content-addressed batch scoring with a pluggable scorer, a sharded append-only store and resumable scans.
+
+A state is a region and a list of edits; its key is a hash of the region's content hash and the edits. Designs, dedupe
+and the anti join with the store carry keys and edits only; a region's sequence joins once, and a state's sequence is put
+together next to the scorer."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import sequences as sq
+from ..session import fresh_folder
 from .design import complement_windows, substitutions
 from .intervals import greedy_non_overlapping
 from .ranking import best_row
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
+#: Sequences of a frame to one array (positions x tracks) each.
+TrackScorer = Callable[[pd.Series], list[np.ndarray]]
+
+SIGNAL = "signal double, n_bases bigint"
+EDITS = "array<struct<start: int, stop: int, text: string>>"
+#: What a score store holds beside the key and the outputs: the call that made a row, and the attempts it took.
+CALLS = "call string, attempts int"
 
 
 def composition_scorer(frame: pd.DataFrame) -> pd.DataFrame:
@@ -25,85 +39,218 @@ def composition_scorer(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"signal": gc / size.where(size > 0), "n_bases": size.astype("int64")})
 
 
-def distinct_states(designs: DataFrame, *, key: str, sequence: str) -> DataFrame:
-    """One row per sequence hash: scoring cost does not depend on how many designs share a sequence."""
-    return designs.select(key, sequence).dropDuplicates([key])
+def weight_scorer(weights: dict[str, float]) -> Scorer:
+    """A closed-form scorer that edits do change: the sum of a weight per base."""
+
+    def score(frame: pd.DataFrame) -> pd.DataFrame:
+        text = frame["sequence"]
+        signal = sum((text.str.count(base) * weight for base, weight in weights.items()), text.str.len() * 0.0)
+        return pd.DataFrame({"signal": signal, "n_bases": text.str.len().astype("int64")})
+
+    return score
+
+
+# --- states -----------------------------------------------------------------------------------------------------------
+
+
+def no_edits() -> Column:
+    return F.array().cast(EDITS)
+
+
+def one_edit(start: str | Column, stop: str | Column, text: str | Column, native: str | Column) -> Column:
+    """The edit of a half-open slice (0-based), none where it changes nothing."""
+    at = [(F.col(c) if isinstance(c, str) else c) for c in (start, stop, text, native)]
+    edit = F.struct(at[0].cast("int").alias("start"), at[1].cast("int").alias("stop"), at[2].alias("text"))
+    return F.when(at[2] == at[3], no_edits()).otherwise(F.array(edit).cast(EDITS))
+
+
+def state_key(region_hash: str | Column, edits: str | Column) -> Column:
+    """The region's hash for its native state, else a hash of it and the edits in ascending order."""
+    h, e = (F.col(c) if isinstance(c, str) else c for c in (region_hash, edits))
+    parts = F.transform(e, lambda x: F.concat_ws(":", x["start"].cast("string"), x["stop"].cast("string"), x["text"]))
+    return F.when(F.size(e) == 0, h).otherwise(F.sha2(F.concat_ws("|", h, F.array_join(parts, "|")), 256))
+
+
+def with_region_hash(regions: DataFrame, *, sequence: str) -> DataFrame:
+    return regions.withColumn("region_hash", sq.content_hash(sequence))
+
+
+def native_states(regions: DataFrame, by: Sequence[str], *, sequence: str) -> DataFrame:
+    """The unedited state of every region that has a sequence."""
+    hashed = with_region_hash(regions.where(F.col(sequence).isNotNull()), sequence=sequence)
+    return hashed.select(*by, F.col("region_hash").alias("key"), no_edits().alias("edits"))
+
+
+def window_states(regions: DataFrame, by: Sequence[str], *, sequence: str, width: int, step: int) -> DataFrame:
+    """Complement windows of a coarse scan, with the region's hash and the native bases of each window."""
+    windows = complement_windows(with_region_hash(regions, sequence=sequence), sequence=sequence, width=width, step=step)
+    edits = one_edit("window_start", F.col("window_start") + width, "replacement", "native")
+    made = windows.select(*by, "region_hash", "window_start", "window_end", "native", edits.alias("edits"))
+    return made.withColumn("key", state_key("region_hash", "edits"))
+
+
+def substitution_states(
+    windows: DataFrame, by: Sequence[str], *, native: str = "native", start: str = "window_start"
+) -> DataFrame:
+    """The three substitutions of every base of each window. Windows bring their bases and the region's hash, so no
+    sequence is read."""
+    bases = windows.select(*by, "region_hash", start, F.posexplode(F.split(F.col(native), "")).alias("_i", "ref"))
+    bases = bases.where(sq.is_single_base("ref")).withColumn("alt", F.explode(F.array(*[F.lit(b) for b in "ACGT"])))
+    bases = bases.where(F.col("alt") != F.col("ref")).withColumn("position", F.col(start) + F.col("_i")).drop("_i")
+    made = bases.withColumn("edits", one_edit("position", F.col("position") + 1, "alt", "ref"))
+    return made.withColumn("key", state_key("region_hash", "edits"))
+
+
+def exhaustive_candidates(df: DataFrame, *, sequence: str, chrom: str, start_position: str | int = 1) -> DataFrame:
+    """All substitutions with their variant keys."""
+    return substitutions(df, sequence=sequence, start_position=start_position).withColumn(
+        "variant_key", F.concat(F.col(chrom).cast("string"), F.lit(":"), sq.variant_label("position", "ref", "alt"))
+    )
+
+
+# --- the scorer's side ------------------------------------------------------------------------------------------------
 
 
 def score_batches(
-    states: DataFrame,
-    scorer: Scorer,
-    *,
-    key: str,
-    sequence: str,
-    outputs: str,
-    batch_size: int = 64,
-    attempts: int = 3,
-    tasks: int | None = None,
+    states: DataFrame, scorer: Scorer, *, outputs: str, batch_size: int = 64, attempts: int = 3, extra: Sequence[str] = ()
 ) -> DataFrame:
-    """Run the scorer over Arrow batches of at most ``batch_size`` rows, retrying a failed batch. Task retry
-    covers lost executors; ``tasks`` spreads the states evenly over that many tasks."""
-    schema = StructType([states.schema[key]] + list(StructType.fromDDL(outputs).fields))
-    spread = states.repartition(tasks, key) if tasks else states
+    """Run the scorer over batches of at most ``batch_size`` rows of (key, sequence, extra...), retrying a failed batch;
+    a lost executor's batches are run again as a task. Each row names the call that made it (the key of its first row)
+    and the attempts that took, so counts taken from committed rows are right however often tasks were repeated."""
+    schema = StructType([states.schema["key"], *StructType.fromDDL(f"{outputs}, {CALLS}").fields])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), batch_size):
                 piece = frame.iloc[at : at + batch_size].reset_index(drop=True)
-                for attempt in range(attempts):
+                for attempt in range(1, attempts + 1):
                     try:
-                        scored = scorer(piece.rename(columns={sequence: "sequence"}))
+                        scored = scorer(piece).reset_index(drop=True)
                         break
                     except Exception:
-                        if attempt + 1 == attempts:
+                        if attempt == attempts:
                             raise
-                yield pd.concat([piece[[key]], scored.reset_index(drop=True)], axis=1)
+                yield pd.concat([piece[["key"]], scored], axis=1).assign(call=piece["key"].iloc[0], attempts=np.int32(attempt))
+
+    return states.select("key", "sequence", *extra).mapInPandas(run, schema)
+
+
+@dataclass(frozen=True)
+class Gene:
+    """A gene and the half-open window of a region (0-based) that its signal is the mean of."""
+
+    name: str
+    strand: str
+    start: int
+    stop: int
+
+
+@dataclass(frozen=True)
+class Track:
+    """What column of a scorer's array is which track."""
+
+    name: str
+    strand: str
+    modality: str
+
+
+TRACK_VALUES = "tracks array<struct<gene: string, track: string, modality: string, value: double>>"
 
-    return spread.select(key, sequence).mapInPandas(run, schema)
 
+def reduced_tracks(scorer: TrackScorer, tracks: Sequence[Track], genes: Sequence[Gene]) -> Scorer:
+    """A scorer with one list of values per state (``TRACK_VALUES``): for each gene and each strand-compatible track the
+    mean over the gene's window. Arrays are reduced where they are made; no full track leaves the task."""
+    pairs = [
+        (g, k, t) for g in genes for k, t in enumerate(tracks) if g.strand not in ("+", "-") or t.strand in (g.strand, ".")
+    ]
 
-def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The score store, empty before the first append."""
+    def score(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for array in scorer(frame["sequence"]):
+            if array.ndim != 2 or array.shape[1] != len(tracks):
+                raise ValueError(f"the scorer gave an array of shape {array.shape} for {len(tracks)} tracks")
+            row = []
+            for g, k, t in pairs:
+                part = array[g.start : g.stop, k]
+                part = part[~np.isnan(part)]
+                row.append({"gene": g.name, "track": t.name, "modality": t.modality, "value": float(part.mean()) if len(part) else None})
+            rows.append(row)
+        return pd.DataFrame({"tracks": pd.Series(rows, dtype=object)})
+
+    return score
+
+
+# --- the store --------------------------------------------------------------------------------------------------------
+
+
+def shard_of(key: str | Column = "key", prefix: int = 1) -> Column:
+    return F.substring(F.col(key) if isinstance(key, str) else key, 1, prefix)
+
+
+def read_store(spark: SparkSession, path: str, outputs: str, shards: Sequence[str] | None = None) -> DataFrame:
+    """The score store (key, outputs, call, attempts), empty before the first append. With ``shards`` only those folders
+    are read."""
+    schema = f"key string, {outputs}, {CALLS}"
     try:
-        stored = spark.read.schema(schema).parquet(path)
+        stored = spark.read.schema(f"{schema}, shard string").parquet(path)
         stored.columns
-        return stored
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema)
+    if shards is not None:
+        stored = stored.where(F.col("shard").isin(list(shards)))
+    return stored.drop("shard")
+
+
+def append_store(scored: DataFrame, path: str, prefix: int = 1) -> None:
+    """Append scored rows, each shard's in one folder and, per append, one file of rows sorted by key."""
+    sharded = scored.withColumn("shard", shard_of("key", prefix))
+    sharded.repartition("shard").sortWithinPartitions("shard", "key").write.mode("append").partitionBy("shard").parquet(path)
+
+
+def pending_states(spark: SparkSession, designs: DataFrame, by: Sequence[str], store_path: str, outputs: str, *, prefix: int = 1, prune: bool = False) -> DataFrame:
+    """Distinct states (key, by..., edits) that the store lacks. With ``prune`` the shards that the designs' keys lie in
+    are looked up first (at most 16 ** ``prefix`` names reach the driver) and only those are read: right for a
+    micro-batch, whereas a whole design touches every shard anyway."""
+    shards = None
+    if prune:
+        shards = [row.shard for row in designs.select(shard_of("key", prefix).alias("shard")).distinct().collect()]
+    states = designs.select("key", *by, "edits").dropDuplicates(["key"])
+    return states.join(read_store(spark, store_path, outputs, shards).select("key"), "key", "left_anti")
 
 
-def score_incrementally(
+def score_pending(
     spark: SparkSession,
     designs: DataFrame,
+    regions: DataFrame,
+    by: Sequence[str],
     store_path: str,
     scorer: Scorer,
     *,
-    key: str = "sequence_sha256",
-    sequence: str = "edited",
-    outputs: str = "signal double, n_bases bigint",
+    sequence: str,
+    outputs: str = SIGNAL,
+    extra: Sequence[str] = (),
     batch_size: int = 64,
-    tasks: int | None = None,
-    observation: Observation | None = None,
-) -> DataFrame:
-    """Score what the store does not hold yet, append it, and expand the scores to all design rows."""
-    schema = f"{key} string, {outputs}"
-    todo = distinct_states(designs, key=key, sequence=sequence).join(read_store(spark, store_path, schema).select(key), key, "left_anti")
-    scored = score_batches(todo, scorer, key=key, sequence=sequence, outputs=outputs, batch_size=batch_size, tasks=tasks)
-    if observation is not None:
-        scored = with_counters(scored, observation, batch_size)
-    scored.write.mode("append").parquet(store_path)
-    return designs.join(latest(spark.read.schema(schema).parquet(store_path), [key]), key, "left")
-
-
-def with_counters(scored: DataFrame, observation: Observation, batch_size: int) -> DataFrame:
-    """Count scored units and the batches needed for them while the job runs."""
-    return scored.observe(
-        observation,
-        F.count(F.lit(1)).alias("units"),
-        F.ceil(F.count(F.lit(1)) / F.lit(batch_size)).alias("requests"),
-    )
+    attempts: int = 3,
+    prefix: int = 1,
+    prune: bool = False,
+) -> None:
+    """Score the states of ``designs`` (by..., key, edits) that the store lacks and append them.
+
+    ``by`` names the region of a state; ``regions`` has its ``sequence`` and the ``extra`` columns that the scorer reads.
+    The join ships a region's sequence once, however many states it has; edited sequences cross no shuffle."""
+    todo = pending_states(spark, designs, by, store_path, outputs, prefix=prefix, prune=prune)
+    joined = todo.join(regions.select(*by, F.col(sequence).alias("_region"), *extra), list(by))
+    states = joined.select("key", sq.apply_edits("_region", "edits").alias("sequence"), *extra)
+    scored = score_batches(states, scorer, outputs=outputs, batch_size=batch_size, attempts=attempts, extra=extra)
+    append_store(scored, store_path, prefix)
+
+
+def with_scores(spark: SparkSession, designs: DataFrame, store_path: str, outputs: str = SIGNAL) -> DataFrame:
+    """Expand stored scores to all design rows."""
+    scores = latest(read_store(spark, store_path, outputs).drop("call", "attempts"), ["key"])
+    return designs.join(scores, "key", "left")
 
 
 def latest(store: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
@@ -113,35 +260,130 @@ def latest(store: DataFrame, keys: Sequence[str], order: Sequence[Column] | None
     return best_row(store, keys, order)
 
 
-def coarse_windows(df: DataFrame, *, sequence: str, width: int, step: int, key: str) -> DataFrame:
-    """Complement-window states of a coarse scan with the edited slice hashed together with its place."""
-    return complement_windows(df, sequence=sequence, width=width, step=step).withColumn(
-        "sequence_sha256", sq.content_hash(F.concat_ws(":", F.col(key), "window_start", "replacement"))
+def scoring_counters(store: DataFrame) -> DataFrame:
+    """Scored ``units``, scorer ``calls``, ``requests`` (attempts of all calls) and ``retries``, from the store's rows."""
+    calls = store.groupBy("call").agg(F.count(F.lit(1)).alias("units"), F.max("attempts").cast("bigint").alias("requests"))
+    return calls.agg(
+        F.coalesce(F.sum("units"), F.lit(0)).alias("units"),
+        F.count(F.lit(1)).alias("calls"),
+        F.coalesce(F.sum("requests"), F.lit(0)).alias("requests"),
+        F.coalesce(F.sum(F.col("requests") - 1), F.lit(0)).alias("retries"),
     )
 
 
-def fine_candidates(
-    scored_windows: DataFrame, by: Sequence[str], *, score: Column, native: str, width: int, limit: int
+# --- scans ------------------------------------------------------------------------------------------------------------
+
+
+def contrast_to_native(spark: SparkSession, states: DataFrame, store_path: str, *, signal: str = "signal", outputs: str = SIGNAL) -> DataFrame:
+    """States with their stored ``signal``, the ``native`` state's as ``native_signal``, and ``contrast`` between them."""
+    scores = latest(read_store(spark, store_path, outputs).select("key", F.col(signal).alias("signal")), ["key"])
+    native = scores.select(F.col("key").alias("region_hash"), F.col("signal").alias("native_signal"))
+    joined = states.join(scores, "key", "left").join(native, "region_hash", "left")
+    return joined.withColumn("contrast", F.col("signal") - F.col("native_signal"))
+
+
+def coarse_to_fine(
+    spark: SparkSession,
+    regions: DataFrame,
+    store_path: str,
+    scorer: Scorer,
+    *,
+    by: Sequence[str],
+    tile: str,
+    sequence: str,
+    width: int,
+    step: int,
+    limit: int,
+    owned: Column | None = None,
+    outputs: str = SIGNAL,
+    signal: str = "signal",
+    batch_size: int = 64,
+    prefix: int = 1,
 ) -> DataFrame:
-    """Second stage of a coarse-to-fine scan: the top non-overlapping windows of each key, every position they
-    cover, and the three substitutions there. Each window brings its own native bases, so no sequence is read
-    again; one window per start is expected."""
+    """Two-round scan of regions (``by`` and the start of their ``tile``): complement windows are scored, the ``limit``
+    windows of each ``by`` with the largest absolute contrast to the native state that do not overlap are taken (ties to
+    the first), and every substitution inside them is scored.
+
+    The second design is made from the first round's stored scores. Both rounds go through the store, so a scan that
+    stopped anywhere goes on where it was, and one that is repeated scores nothing. Windows that do not satisfy
+    ``owned`` (a halo's) are left to the next tile. One row per substitution: by..., tile, window_start and position in
+    absolute coordinates, ref, alt, window_contrast, native_signal, signal, effect."""
+    by, where = list(by), [*by, tile]
+    windows = window_states(regions, where, sequence=sequence, width=width, step=step)
+    if owned is not None:
+        windows = windows.where(owned)
+    run = dict(sequence=sequence, outputs=outputs, batch_size=batch_size, prefix=prefix)
+    coarse = windows.select(*where, "key", "edits").unionByName(native_states(regions, where, sequence=sequence))
+    score_pending(spark, coarse, regions, where, store_path, scorer, **run)
+
+    scored = contrast_to_native(spark, windows.drop("edits"), store_path, signal=signal, outputs=outputs)
+    scored = scored.withColumn("absolute_start", (F.col(tile) + F.col("window_start")).cast("bigint"))
+    scored = scored.select(*where, "region_hash", "window_start", "absolute_start", "native", "contrast", "native_signal")
     picked = greedy_non_overlapping(
-        scored_windows, by, start="window_start", width=width, order=[-score, F.col("window_start")], limit=limit, unique_starts=True
-    )
-    covered = picked.select(*by, "window_start", F.posexplode(F.split(F.col(native), "")).alias("_i", "ref")).where(
-        sq.is_single_base("ref")
-    )
-    return (
-        covered.select(*by, (F.col("window_start") + F.col("_i")).alias("position"), "ref")
-        .distinct()
-        .withColumn("alt", F.explode(F.array(*[F.lit(b) for b in "ACGT"])))
-        .where(F.col("alt") != F.col("ref"))
+        scored.where(F.col("contrast").isNotNull()), by, start="absolute_start", width=width, step=step, limit=limit,
+        order=[-F.abs("contrast"), F.col("absolute_start")], unique_starts=True,
+    )
+    folder = fresh_folder(spark, "picked")
+    picked.write.parquet(folder)  # a few rows per ``by``: the second round does not compute the first again
+    picked = spark.read.schema(picked.schema).parquet(folder)
+    fine = substitution_states(picked, [*where, "contrast", "native_signal", "absolute_start"])
+    score_pending(spark, fine, regions, where, store_path, scorer, **run)
+
+    found = with_scores(spark, fine, store_path, outputs)
+    return found.select(
+        *where,
+        F.col("absolute_start").alias("window_start"),
+        (F.col(tile) + F.col("position")).cast("bigint").alias("position"),
+        "ref",
+        "alt",
+        F.col("contrast").alias("window_contrast"),
+        "native_signal",
+        F.col(signal).alias("signal"),
+        (F.col(signal) - F.col("native_signal")).alias("effect"),
     )
 
 
-def exhaustive_candidates(df: DataFrame, *, sequence: str, chrom: str, start_position: str | int = 1) -> DataFrame:
-    """All substitutions with their variant keys."""
-    return substitutions(df, sequence=sequence, start_position=start_position).withColumn(
-        "variant_key", F.concat(F.col(chrom).cast("string"), F.lit(":"), sq.variant_label("position", "ref", "alt"))
+def variant_effects(
+    spark: SparkSession,
+    variants: DataFrame,
+    regions: DataFrame,
+    store_root: str,
+    regimes: dict[str, TrackScorer],
+    *,
+    by: Sequence[str],
+    variant: str,
+    sequence: str,
+    tracks: Sequence[Track],
+    genes: Sequence[Gene],
+    batch_size: int = 64,
+    prefix: int = 1,
+) -> DataFrame:
+    """Effects of variants (by..., variant, offset0, ref, alt) on genes, from scored states.
+
+    The reference and the alternative state of each variant are scored under every regime, each with a store of its own.
+    A variant whose reference base is not the region's fails the job. One row per (variant, regime, modality, gene):
+    means over strand-compatible tracks of both states, ``effect`` (alternative minus reference) and ``n_tracks``."""
+    by = list(by)
+    placed = variants.join(with_region_hash(regions, sequence=sequence).select(*by, "region_hash", sequence), by)
+    read = F.upper(sq.base_at(sequence, "offset0"))
+    told = F.concat(F.lit("reference base differs from the region: "), F.col(variant).cast("string"))
+    placed = placed.withColumn("_ok", F.when(read == F.col("ref"), F.lit(True)).otherwise(F.raise_error(told)))
+    alternative = one_edit("offset0", F.col("offset0") + 1, "alt", "ref")
+    sides = F.explode(F.array(
+        F.struct(F.lit("ref").alias("side"), no_edits().alias("edits")), F.struct(F.lit("alt").alias("side"), alternative.alias("edits"))
+    ))
+    states = placed.where("_ok").select(*by, variant, "region_hash", sides.alias("_s")).select(*by, variant, "region_hash", "_s.*")
+    states = states.withColumn("key", state_key("region_hash", "edits"))
+
+    scored = None
+    for regime, scorer in regimes.items():
+        store = f"{store_root}/{regime}"
+        reduced = reduced_tracks(scorer, tracks, genes)
+        score_pending(spark, states, regions, by, store, reduced, sequence=sequence, outputs=TRACK_VALUES, batch_size=batch_size, prefix=prefix)
+        own = with_scores(spark, states, store, TRACK_VALUES).select(*by, variant, "side", F.lit(regime).alias("regime"), F.inline("tracks"))
+        scored = own if scored is None else scored.unionByName(own)
+    mean = {side: F.avg(F.when(F.col("side") == side, F.col("value"))) for side in ("ref", "alt")}
+    effects = scored.groupBy(*by, variant, "regime", "modality", "gene").agg(
+        mean["ref"].alias("ref_value"), mean["alt"].alias("alt_value"), F.count_distinct("track").alias("n_tracks")
     )
+    return effects.withColumn("effect", F.col("alt_value") - F.col("ref_value"))
