@@ -155,7 +155,7 @@ TRACKS = {
     sc.Track("access", ".", "ATAC"): {"A": 1.0, "C": 3.0, "G": 3.0, "T": 2.0},
     sc.Track("access_plus", "+", "ATAC"): {"A": 5.0, "C": 1.0, "G": 2.0, "T": 2.0},
 }
-GENES = (sc.Gene("gene_a", "+", 64, 128), sc.Gene("gene_b", "-", 96, 128), sc.Gene("gene_c", ".", 100, 104))
+GENES = (sc.Gene("gene_a", "+", 88, 104), sc.Gene("gene_b", "-", 96, 112), sc.Gene("gene_c", ".", 100, 104))
 REGIMES = {"all_folds": 1.0, "held_out": 0.5}
 PLACE = 100
 
