@@ -10,7 +10,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,6 +109,7 @@ def near_duplicate_classes(
     sampling: float = 0.7,
     coordinates: int = 64,
     bucket: int = 128,
+    leaders: int = 16,
     block: int = 1024,
     id_column: str = "doc_id",
     text_column: str = "text",
@@ -119,7 +120,9 @@ def near_duplicate_classes(
 
     Equal sets are one node with a number of copies. In each of several runs every node follows sampled coordinates of
     its sketch; nodes that reach the same path share a bucket. Buckets of up to ``bucket`` nodes are compared by
-    sketch; larger ones are split again by their members' next coordinates, up to ``depth`` times, and a bucket that is
+    sketch. In larger ones every member is first compared with ``leaders`` members of the bucket: those that agree with
+    one are related to it, and those that all but equal it stop there, as whatever is similar to them is related to the
+    leader too. What is left is split again by its next coordinates, up to ``depth`` times, and a bucket that is
     still larger (many sets alike) is taken as related as a whole. The number of runs follows from ``recall`` at the
     threshold and the full depth. What is related so is then compared exactly, each group of related sets in blocks of
     ``block`` against one another, so links are counted once and no list of pairs is made.
@@ -152,7 +155,7 @@ def near_duplicate_classes(
     sets = staged(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
 
     runs = math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, sampling, depth)))
-    related = _related(sets.select("node", "sketch"), runs, threshold, depth, sampling, bucket)
+    related = _related(sets.select("node", "sketch"), runs, threshold, depth, sampling, bucket, leaders)
     groups = staged(components(related), "groups")
     links = _verified(source, sets, groups, n, threshold, block)
     roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -174,7 +177,7 @@ def near_duplicate_classes(
     )
 
 
-def _related(sets: DataFrame, runs: int, threshold: float, depth: int, sampling: float, bucket: int) -> DataFrame:
+def _related(sets: DataFrame, runs: int, threshold: float, depth: int, sampling: float, bucket: int, leaders: int) -> DataFrame:
     """Links (a, b) between nodes that met in a bucket and may be similar; linear in the members of buckets."""
 
     def expand(first: bool):
@@ -208,12 +211,62 @@ def _related(sets: DataFrame, runs: int, threshold: float, depth: int, sampling:
         edges = met.mapInArrow(_bucket_links(threshold), "a long, b long")
         if last:
             edges = edges.union(large.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        else:
+            judged = staged(_led(large.select("path", "node"), sets, leaders, threshold), "led")
+            edges = edges.union(judged.select(F.col("node").alias("a"), F.explode("leaders").alias("b")))
+            large = judged.filter("NOT tight").select("path", "node")
         edges = staged(edges.distinct(), "related")
         compared = edges if compared is None else compared.union(edges)
         if last:
             return compared
 
 
+#: Members that agree with a leader in more than this share of a sketch are left to it.
+TIGHT = 0.9
+
+
+def _led(members: DataFrame, sets: DataFrame, leaders: int, threshold: float) -> DataFrame:
+    """Members of large buckets with the leaders that they are related to, and whether they are tight to one.
+
+    The leaders of a path are those of its members with the smallest hashes. A tight member's distance to its leader is
+    about ``1 - TIGHT``; a set similar to the member is at most that much less similar to the leader, and the bar for
+    being related to a leader is lower by as much. So a tight member can leave the path without losing a link: its group
+    and that of the similar set are one."""
+    order = Window.partitionBy("path").orderBy(F.xxhash64("path", "node"), "node")
+    chosen = members.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= leaders)
+    chosen = chosen.join(sets.select("node", "sketch"), "node").groupBy("path").agg(
+        F.collect_list(F.struct("node", "sketch")).alias("led")
+    )
+    rows = members.join(sets.select("node", "sketch"), "node").join(chosen, "path")
+
+    def run(batches):
+        for batch in batches:
+            paths, nodes = (batch.column(c).to_numpy() for c in ("path", "node"))
+            own = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(len(nodes), -1)
+            links, tight = [[] for _ in nodes], np.zeros(len(nodes), bool)
+            for path in np.unique(paths):
+                here = np.flatnonzero(paths == path)
+                led = batch.column("led")[int(here[0])].as_py()
+                ids = np.array([x["node"] for x in led])
+                theirs = np.frombuffer(b"".join(x["sketch"] for x in led), np.uint32).reshape(len(ids), -1)
+                coordinates = theirs.shape[1]
+                least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / coordinates) - (1 - TIGHT)
+                bar = max(least * coordinates, 1)
+                # leaders that are related are one: a link to the first of them is enough
+                left, right = np.nonzero(np.triu(np.array([(theirs == t).sum(axis=1) for t in theirs]) >= bar, 1))
+                roots = local_roots(len(ids), left, right)
+                agree = np.array([(own[here] == t).sum(axis=1) for t in theirs])
+                leads = np.isin(nodes[here], ids)
+                for r in np.unique(roots):
+                    for i in here[(agree[roots == r] >= bar).any(axis=0) & (nodes[here] != ids[r])]:
+                        links[i].append(int(ids[r]))
+                tight[here] = (agree >= TIGHT * coordinates).any(axis=0) & ~leads
+            columns = [batch.column("path"), batch.column("node"), pa.array(links, pa.list_(pa.int64())), pa.array(tight)]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "node", "leaders", "tight"])
+
+    return rows.select("path", "node", "sketch", "led").mapInArrow(run, "path long, node long, leaders array<long>, tight boolean")
+
+
 def grouped(batches, keys: list[str]):
     """Runs of equal keys of a partition that is sorted by them, as tables."""
     held, current = [], None

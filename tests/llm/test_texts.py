@@ -73,6 +73,26 @@ def test_chosen_path_join(make_docs, options):
     assert got == sorted((i is not None, i or 0, c, n) for i, c, n in own)
 
 
+def test_chosen_path_join_large_group(make_docs):
+    # one group of many near copies, some of them hardly related: large buckets go through leaders
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(120)]
+    texts = []
+    for _ in range(700):
+        own = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        texts.append(" ".join(own))
+    texts += near_copies(7)
+    want = expected_classes(list(enumerate(texts)))
+    rows = near_duplicate_classes(make_docs(texts), bucket=64, leaders=8, block=256).collect()
+    got = {r.doc_id: (r.class_id, r.n_links) for r in rows}
+    assert sum(got[i][0] == w[0] for i, w in enumerate(want)) >= 0.99 * len(texts)
+    assert sum(n for _, n in got.values()) >= 0.99 * sum(n for _, n in want)
+    assert all(got[i][1] <= n for i, (_, n) in enumerate(want))
+
+
 def test_one_document_of_each_class_stays(make_docs):
     texts = near_copies(4) + ["", None]
     rows = near_duplicate_classes(make_docs(texts)).collect()
