@@ -1,5 +1,5 @@
 """Statistics that the analysis plans specify: matched sampling, ranking quality, exact intervals, adjusted
-p-values, control-adjusted effects and a bootstrap of rank correlations."""
+p-values and control-adjusted effects; their bootstraps are in ``replicates``."""
 
 from __future__ import annotations
 
@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.expressions import guarded_ratio, keyed_digest
-from .association import complete_pairs, spearman
 from .ranking import SPLIT_EVERY, exact_quantiles, join_back, row_positions, top_rows, value_ranks, with_cells
-from .resampling import cluster_draws
 
 
 def matched_sample(
@@ -156,19 +154,3 @@ def top_sign_agreement(df: DataFrame, by: Sequence[str], *, order: Sequence[Colu
     return top.groupBy(*by).agg(
         F.avg((F.signum(x) == F.signum(y)).cast("double")).alias("sign_agreement"), F.count(F.lit(1)).alias("n")
     )
-
-
-def bootstrap_spearman(
-    df: DataFrame, by: Sequence[str], x: str, y: str, *, cluster: str, replicates: int, seed: int, split_every: int = SPLIT_EVERY
-) -> DataFrame:
-    """Rank correlation with a percentile interval over resampled clusters; ranks are redone in every replicate."""
-    by = list(by)
-    pairs = complete_pairs(df, x, y)
-    draws = cluster_draws(pairs.select(*by, cluster).distinct(), by, cluster=cluster, replicates=replicates, seed=seed, split_every=split_every)
-    drawn = join_back(pairs, draws.select(*by, cluster, "_b", "_times"), [*by, cluster])
-    resampled = spearman(drawn, [*by, "_b"], x, y, weight="_times", split_every=split_every)
-    # at most ``replicates`` values per key
-    interval = resampled.groupBy(*by).agg(F.percentile("spearman", [0.025, 0.975]).alias("_ci"))
-    point = spearman(pairs, by, x, y, split_every=split_every)
-    joined = join_back(point, interval, by)
-    return joined.select(*by, "n", "spearman", F.col("_ci")[0].alias("ci_low"), F.col("_ci")[1].alias("ci_high"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import Z95, guarded_ratio, hash_index, keyed_digest
+from ..session import staged
 from .ranking import SPLIT_EVERY, exact_quantiles, join_back, row_positions, value_ranks
 
 
@@ -38,7 +39,8 @@ def cluster_bootstrap(
     (cluster, replicate) before they meet the clusters. "poisson" gives every cluster its own Poisson(1)
     weight per replicate and needs no join, for very many clusters."""
     by = list(by)
-    clusters = cluster_counts(df, by, cluster, positive)
+    # one row per cluster, read by the point estimate, the draws and the sums
+    clusters = staged(cluster_counts(df, by, cluster, positive), "clusters")
     point = clusters.groupBy(*by).agg(
         F.sum("_size").cast("bigint").alias("n"),
         F.count(F.lit(1)).alias("n_clusters"),

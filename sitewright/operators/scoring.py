@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import sequences as sq
-from ..session import fresh_folder
+from ..session import staged
 from .design import complement_windows, substitutions
 from .intervals import greedy_non_overlapping
 from .ranking import best_row
@@ -323,9 +323,7 @@ def coarse_to_fine(
         scored.where(F.col("contrast").isNotNull()), by, start="absolute_start", width=width, step=step, limit=limit,
         order=[-F.abs("contrast"), F.col("absolute_start")], unique_starts=True,
     )
-    folder = fresh_folder(spark, "picked")
-    picked.write.parquet(folder)  # a few rows per ``by``: the second round does not compute the first again
-    picked = spark.read.schema(picked.schema).parquet(folder)
+    picked = staged(picked, "picked")  # a few rows per ``by``: the second round does not compute the first again
     fine = substitution_states(picked, [*where, "contrast", "native_signal", "absolute_start"])
     score_pending(spark, fine, regions, where, store_path, scorer, **run)
 

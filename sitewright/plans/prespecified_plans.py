@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import prespecified as ps
 from ..operators import ranking as rk
+from ..operators import replicates as rp
 from ..session import fresh_folder
 from .registry import cents, query, rounded, table
 
@@ -56,6 +57,41 @@ def ranking_quality(spark, sf_dir):
     return rounded(ps.ranking_quality(rows, ["l_returnflag"], score="s", positive=F.col("l_discount") > 0.06))
 
 
+@query(
+    "ranking_quality_bootstrap",
+    f"""
+WITH r AS (SELECT l_returnflag AS g, l_suppkey AS cluster, floor(l_extendedprice)::DOUBLE AS price, l_quantity::DOUBLE AS quantity, CASE WHEN l_discount > 0.06 THEN 1 ELSE 0 END AS y FROM lineitem),
+c AS (SELECT g, cluster, row_number() OVER (PARTITION BY g ORDER BY cluster) AS slot, count(*) OVER (PARTITION BY g) AS k FROM (SELECT DISTINCT g, cluster FROM r)),
+d AS (SELECT c.g, b, ('0x' || substr(md5(concat_ws(':', 5, c.g, b, slot)), 1, 15))::BIGINT % k + 1 AS pick FROM c, range(0, 40) t(b)),
+e AS (SELECT d.g, d.b, r.price, r.quantity, r.y FROM d JOIN c ON c.g = d.g AND c.slot = d.pick JOIN r ON r.g = c.g AND r.cluster = c.cluster
+      UNION ALL SELECT g, -1, price, quantity, y FROM r),
+l AS (SELECT g, b, 'price' AS score, price AS s, y FROM e UNION ALL SELECT g, b, 'quantity', quantity, y FROM e),
+v AS (SELECT g, b, score, s, count(*) AS n, sum(y) AS p FROM l GROUP BY ALL),
+w AS (SELECT *, coalesce(sum(n - p) OVER (PARTITION BY g, b, score ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below,
+      sum(n) OVER (PARTITION BY g, b, score ORDER BY s DESC) AS n_ge, sum(p) OVER (PARTITION BY g, b, score ORDER BY s DESC) AS p_ge,
+      sum(n) OVER (PARTITION BY g, b, score) AS nt, sum(p) OVER (PARTITION BY g, b, score) AS pt FROM v),
+a AS (SELECT g, b, score, max(nt) AS n, max(pt) AS n_positive, sum(p * (neg_below + 0.5 * (n - p)))::DOUBLE / (max(pt) * (max(nt) - max(pt))) AS roc, sum(p * p_ge / n_ge::DOUBLE) / max(pt) AS pr FROM w GROUP BY 1, 2, 3),
+x AS (SELECT a.*, a.roc - f.roc AS roc_d, a.pr - f.pr AS pr_d FROM a JOIN a f ON f.g = a.g AND f.b = a.b AND f.score = 'price')
+SELECT g, score, max(n)FILTER (WHERE b = -1)::BIGINT AS n, max(n_positive) FILTER (WHERE b = -1)::BIGINT AS n_positive,
+{", ".join(
+    f"round(max({c}) FILTER (WHERE b = -1 AND {w}), 6) AS {name}, round(quantile_cont({c}, 0.025) FILTER (WHERE b >= 0 AND {w}), 6) AS {name}_low, round(quantile_cont({c}, 0.975) FILTER (WHERE b >= 0 AND {w}), 6) AS {name}_high"
+    for c, name, w in (("roc", "roc_auc", "true"), ("pr", "pr_auc", "true"), ("roc_d", "roc_difference", "score <> 'price'"), ("pr_d", "pr_difference", "score <> 'price'"))
+)}
+FROM x GROUP BY g, score
+""",
+)
+def ranking_quality_bootstrap(spark, sf_dir):
+    """Both areas of two scores on the same draws, and the paired difference between them."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("g"), F.col("l_suppkey").alias("cluster"), F.floor("l_extendedprice").cast("double").alias("price"),
+        F.col("l_quantity").cast("double").alias("quantity"), "l_discount",
+    )
+    out = rp.ranking_quality_bootstrap(
+        rows, ["g"], scores=["price", "quantity"], positive=F.col("l_discount") > 0.06, cluster="cluster", replicates=40, seed=5
+    )
+    return rounded(out)
+
+
 @query("binomial_interval")
 def binomial_interval(spark, sf_dir):
     """Exact interval of the discounted share per supplier."""
@@ -114,7 +150,7 @@ def top_sign_agreement(spark, sf_dir):
     """
 WITH r AS (SELECT l_returnflag AS g, l_suppkey AS cluster, l_quantity AS x, l_extendedprice AS y FROM lineitem),
 c AS (SELECT g, cluster, row_number() OVER (PARTITION BY g ORDER BY cluster) AS slot, count(*) OVER (PARTITION BY g) AS k FROM (SELECT DISTINCT g, cluster FROM r)),
-d AS (SELECT c.g, b, ('0x' || substr(md5(concat_ws(':', 3, c.g, b, slot)), 1, 15))::BIGINT % k + 1 AS pick FROM c, range(0, 10) t(b)),
+d AS (SELECT c.g, b, ('0x' || substr(md5(concat_ws(':', 3, c.g, b, slot)), 1, 15))::BIGINT % k + 1 AS pick FROM c, range(0, 200) t(b)),
 e AS (SELECT d.g, d.b, r.x, r.y FROM d JOIN c ON c.g = d.g AND c.slot = d.pick JOIN r ON r.g = c.g AND r.cluster = c.cluster),
 k AS (SELECT g, b, rank() OVER (PARTITION BY g, b ORDER BY x) + (count(*) OVER (PARTITION BY g, b, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY g, b ORDER BY y) + (count(*) OVER (PARTITION BY g, b, y) - 1) / 2.0 AS ry FROM e),
 s AS (SELECT g, b, corr(rx, ry) AS rho FROM k GROUP BY 1, 2),
@@ -126,4 +162,4 @@ def bootstrap_spearman(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_returnflag").alias("g"), F.col("l_suppkey").alias("cluster"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y")
     )
-    return rounded(ps.bootstrap_spearman(rows, ["g"], "x", "y", cluster="cluster", replicates=10, seed=3))
+    return rounded(rp.bootstrap_spearman(rows, ["g"], "x", "y", cluster="cluster", replicates=200, seed=3))
