@@ -161,10 +161,11 @@ def component_design(
     components: Sequence[tuple[str, str, Sequence[tuple[int, int]]]],
     seeds: Sequence[int],
     alleles: dict[str, str],
+    region: Sequence[str] = (),
 ) -> DataFrame:
     """Scramble each component's intervals (offsets from the anchor, inclusive) without the anchor base, for every
     seed, and set each allele at the anchor. A component without intervals is the native state. The states of
-    one background must differ from each other at the anchor alone."""
+    one background must differ from each other at the anchor alone. ``region`` names the background in the shuffle key."""
     interval = "array<struct<a:int,b:int>>"
     levels = F.array(
         *[
@@ -187,7 +188,7 @@ def component_design(
     def scramble(acc: Column, span: Column) -> Column:
         a, b = F.col(anchor) + span["a"], F.col(anchor) + span["b"] + 1
         inside = (F.col(anchor) >= a) & (F.col(anchor) < b)
-        key = [F.col("seed"), F.col("component"), acc["g"]]
+        key = [F.col("seed"), F.col("component"), acc["g"], *map(F.col, region)]
         with_anchor = shuffle_range(acc["s"], a, b, *key, must_differ=True, anchor0=F.col(anchor))
         plain = shuffle_range(acc["s"], a, b, *key, must_differ=True)
         return F.struct(F.when(inside, with_anchor).otherwise(plain).alias("s"), (acc["g"] + 1).alias("g"))
@@ -217,15 +218,16 @@ def with_alleles(df: DataFrame, *, background: str, anchor: str, alleles: dict[s
 
 
 def arm_template(
-    df: DataFrame, *, sequence: str, anchor: str, half: int, seed: Column, protect_from: int, protect_to: int, name: str = "template"
-) -> DataFrame:
+    df: DataFrame, *, sequence: str, anchor: str, half: int, seed: Column, protect_from: int, protect_to: int, name: str = "template",
+    region: Sequence[str] = (),
+) -> DataFrame:
     """Shuffle the two arms of the anchor's neighbourhood independently; offsets protect_from..protect_to stay.
     Composition of each arm is kept by construction."""
     a, n = F.col(anchor), F.length(sequence)
     left0, left1 = F.greatest(a - half, F.lit(0)), a + protect_from
     right0, right1 = a + protect_to + 1, F.least(a + half + 1, n)
-    once = shuffle_range(F.col(sequence), left0, left1, seed, F.lit("left"))
-    return df.withColumn(name, once).withColumn(name, shuffle_range(F.col(name), right0, right1, seed, F.lit("right")))
+    once = shuffle_range(F.col(sequence), left0, left1, seed, F.lit("left"), *map(F.col, region))
+    return df.withColumn(name, once).withColumn(name, shuffle_range(F.col(name), right0, right1, seed, F.lit("right"), *map(F.col, region)))
 
 
 def copy_native(background: Column, native: Column, start0: Column, end0: Column) -> Column:
@@ -247,12 +249,14 @@ def recovery_design(
     protect_from: int,
     protect_to: int,
     alleles: dict[str, str],
+    region: Sequence[str] = (),
 ) -> DataFrame:
     """Native state, motif-only baseline, and one-sided recovery of native sequence by growing extents."""
     seeded = df.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
     based = arm_template(
-        seeded, sequence=sequence, anchor=anchor, half=half, seed=F.col("seed"), protect_from=protect_from, protect_to=protect_to
-    )
+        seeded, sequence=sequence, anchor=anchor, half=half, seed=F.col("seed"), protect_from=protect_from, protect_to=protect_to,
+        region=region,
+    )
 
     def level(condition: str, arm: str, extent: int) -> Column:
         return F.struct(F.lit(condition).alias("condition"), F.lit(arm).alias("arm"), F.lit(extent).alias("extent"))
@@ -281,11 +285,12 @@ def boundary_design(
     upstream: tuple[int, int],
     downstream: tuple[int, int],
     alleles: dict[str, str],
+    region: Sequence[str] = (),
 ) -> DataFrame:
     """All (upstream, downstream) windows x seeds x {outside scrambled, inside scrambled} x alleles. The template
     leaves only the anchor base alone."""
     seeded = df.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    based = arm_template(seeded, sequence=sequence, anchor=anchor, half=half, seed=F.col("seed"), protect_from=0, protect_to=0)
+    based = arm_template(seeded, sequence=sequence, anchor=anchor, half=half, seed=F.col("seed"), protect_from=0, protect_to=0, region=region)
     grid = (
         based.withColumn("upstream", F.explode(F.sequence(F.lit(upstream[0]), F.lit(upstream[1]))))
         .withColumn("downstream", F.explode(F.sequence(F.lit(downstream[0]), F.lit(downstream[1]))))
@@ -299,7 +304,7 @@ def boundary_design(
     return with_alleles(grid.withColumn("background", background).drop("template"), background="background", anchor=anchor, alleles=alleles)
 
 
-def donor_fragments(df: DataFrame, *, sequence: str, anchor: str, upstream: int, downstream: int, native_base: str, other_base: str, seed: int) -> DataFrame:
+def donor_fragments(df: DataFrame, *, sequence: str, anchor: str, upstream: int, downstream: int, native_base: str, other_base: str, seed: int, region: Sequence[str] = ()) -> DataFrame:
     """Native-allele, other-allele and scrambled-control fragments around the anchor; the scramble keeps the
     anchor base and the composition. A background without the expected base fails the job."""
     fragment = F.substring(F.col(sequence), F.col(anchor) - upstream + 1, F.lit(upstream + downstream + 1))
@@ -309,7 +314,7 @@ def donor_fragments(df: DataFrame, *, sequence: str, anchor: str, upstream: int,
         F.concat(F.lit("unexpected base at the anchor: "), sq.base_at(sequence, F.col(anchor))),
     )
     other = sq.set_base("_native", upstream, other_base)
-    scrambled = shuffled(F.col("_other"), F.lit(seed), protected=F.array(F.lit(upstream)))
+    scrambled = shuffled(F.col("_other"), F.lit(seed), *map(F.col, region), protected=F.array(F.lit(upstream)))
     keep = [c for c in df.columns if c != sequence]
     return cut.withColumn("_other", other).select(
         *keep,
@@ -397,10 +402,10 @@ def combined_edits(
     ).drop("_e")
 
 
-def junction_audit(
+def junction_facts(
     df: DataFrame,
     *,
-    edited: str,
+    sequence: str,
     cut: str,
     upstream: str,
     downstream: str,
@@ -409,49 +414,39 @@ def junction_audit(
     features: dict[str, tuple[str, str]],
     flank: int = 20,
 ) -> DataFrame:
-    """Audit of a deletion's junction: overlap with named inclusive features, pattern hits around the junction,
-    hits that cross it, where the anchor ends up, and the resulting status.
-
-    ``cut``, ``anchor`` and the features are 1-based; ``edited`` starts at position 1. The deletion removes
-    positions cut-upstream+1 .. cut+downstream."""
-    first, last = F.col(cut) - F.col(upstream) + 1, F.col(cut) + F.col(downstream)
-    window_start = F.col(cut) - flank + 1
-    local = F.substring(F.col(edited), window_start.cast("int"), F.lit(2 * flank))
-    junction = first - window_start
-    k = len(pattern)
-    out = df.withColumn("event_start", first).withColumn("event_end", last).withColumn("local_sequence", local)
+    """What a deletion does around its junction. ``sequence`` is the native one; ``cut``, ``anchor`` and the inclusive
+    features are 1-based positions in it, and positions cut-upstream+1 .. cut+downstream go.
+
+    Adds the deleted span (``event_start``, ``event_end``), ``<feature>_overlap``, the 2 * ``flank`` bases around the
+    junction after the deletion (only those are put together), the index of the junction in them, ``hits`` of the pattern,
+    ``crossing`` (those that the junction runs through) and ``anchor_index`` (NULL where the anchor is gone). What such
+    facts amount to is the caller's: see ``labelled``."""
+    out = df.withColumn("event_start", F.col(cut) - F.col(upstream) + 1).withColumn("event_end", F.col(cut) + F.col(downstream))
     for name, (a, b) in features.items():
         out = out.withColumn(f"{name}_overlap", overlap_length("event_start", "event_end", F.col(a), F.col(b)))
-    out = out.withColumn("_hits", sq.occurrences("local_sequence", pattern)).withColumn("junction_index", junction)
-    crossing = F.filter("_hits", lambda h: (h < F.col("junction_index")) & (F.col("junction_index") <= h + (k - 1)))
-    deleted = F.col(anchor).between(F.col("event_start"), F.col("event_end"))
-    shifted = (
-        F.when(deleted, F.lit(None))
-        .when(F.col(anchor) < F.col("event_start"), F.col(anchor) - window_start)
-        .otherwise(F.col(anchor) - window_start - (F.col("event_end") - F.col("event_start") + 1))
-    )
-    out = out.withColumn("_crossing", crossing).withColumn("anchor_index", shifted)
-    has_hits, has_crossing = F.size("_hits") > 0, F.size("_crossing") > 0
-    status = (
-        F.when((F.col(downstream) == 0) & has_hits, "retained")
-        .when(has_crossing, "junction_restored")
-        .when(F.col("anchor_index").isNotNull(), "disrupted_anchor_retained")
-        .otherwise("disrupted_anchor_deleted")
-    )
-    group = F.concat(
-        F.lit("d"),
-        F.col(downstream).cast("string"),
-        F.when(F.col(downstream) == 0, "_intact").when(status == "junction_restored", "_restored").otherwise("_disrupted"),
-    )
-    return (
-        out.withColumn("hits", F.array_join(F.transform("_hits", lambda h: h.cast("string")), ";"))
-        .withColumn("crossing_hits", F.array_join(F.transform("_crossing", lambda h: h.cast("string")), ";"))
-        .withColumn("status", status)
-        .withColumn("display_group", group)
-        .drop("_hits", "_crossing")
+    begin = F.col(cut) - flank + 1
+    kept = F.col("event_start") - begin  # bases of the window before the junction
+    before = F.substring(F.col(sequence), begin.cast("int"), kept.cast("int"))
+    after = F.substring(F.col(sequence), (F.col("event_end") + 1).cast("int"), (F.lit(2 * flank) - kept).cast("int"))
+    out = out.withColumn("junction_index", kept).withColumn("local_sequence", F.concat(before, after))
+    out = out.withColumn("hits", sq.occurrences("local_sequence", pattern))
+    at, size = F.col("junction_index"), F.lit(len(pattern))
+    lost = F.col("event_end") - F.col("event_start") + 1
+    place = F.col(anchor) - begin - F.when(F.col(anchor) > F.col("event_end"), lost).otherwise(F.lit(0))
+    gone = (F.col(anchor) >= F.col("event_start")) & (F.col(anchor) <= F.col("event_end"))
+    return out.withColumn("crossing", F.filter("hits", lambda h: (h < at) & (h + size > at))).withColumn(
+        "anchor_index", F.when(~gone, place)
     )
 
 
+def labelled(df: DataFrame, name: str, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """Add the label of the first rule (a SQL condition and its label) that holds, NULL where none does."""
+    label = F.lit(None).cast("string")
+    for condition, text in reversed(list(rules)):
+        label = F.when(F.expr(condition), F.lit(text)).otherwise(label)
+    return df.withColumn(name, label)
+
+
 def reference_allele_report(df: DataFrame, *, sequence: str, index0: str | Column, candidates: Sequence[str]) -> DataFrame:
     """Which of the candidate alleles the reference sequence carries at the position; ``reference_ok`` is false
     when none does."""

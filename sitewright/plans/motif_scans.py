@@ -9,7 +9,7 @@ from ..operators import design as ds
 from ..operators import motifs as mt
 from ..operators import ranking as rk
 from ..sources import readers
-from .designs import NUC_SQL, long_sequences, nucleotides
+from .designs import NUC_SQL, designed, long_sequences, nuc_sql, nucleotides
 from .registry import query, rounded, table
 
 LENGTH, TILE = 8, 1024
@@ -110,21 +110,25 @@ dis AS (SELECT e.*, greatest(0.0, score_fraction - (escore - lowest) / greatest(
 """
 
 
-@query(
+#: From the first to the last base of the windows around the middle one.
+WINDOWS_ROOM = 63
+
+
+@designed(
     "motif_disruption",
     f"""
-WITH {NUC_SQL}, {PFM_SQL}, {best_scan_sql()}, {DISRUPTION_SQL}
+WITH {nuc_sql(WINDOWS_ROOM)}, {PFM_SQL}, {best_scan_sql()}, {DISRUPTION_SQL}
 SELECT doc_id, win AS "window", upper(matrix_id) AS family, round(max(score_fraction * loss * ov), 6) AS disruption FROM dis GROUP BY 1, 2, 3
 """,
+    room=WINDOWS_ROOM,
 )
 def motif_disruption(spark, sf_dir):
-    base = long_sequences(spark, sf_dir)
-    i = F.filter(F.split("seq", ""), lambda c: c != "")
-    edited = F.array_join(F.transform(i, lambda c, k: F.when(k % 5 == 0, F.translate(c, "ACGT", "CATG")).otherwise(c)), "")
-    middle = base.select("doc_id", "a", "n", F.greatest(F.col("a") - 60, F.lit(0)).alias("origin"), "seq", edited.alias("edited"))
-    pieces = middle.select(
-        "doc_id", "origin", F.substring(F.col("seq"), F.col("origin") + 1, F.lit(140)).alias("native"), F.substring(F.col("edited"), F.col("origin") + 1, F.lit(140)).alias("edited")
-    )
+    base = long_sequences(spark, sf_dir, WINDOWS_ROOM)
+    cut = base.select("doc_id", F.greatest(F.col("a") - 60, F.lit(0)).alias("origin"), "a", "seq")
+    cut = cut.select("doc_id", "origin", F.substring(F.col("seq"), F.col("origin") + 1, F.lit(140)).alias("native"))
+    letters = F.filter(F.split("native", ""), lambda c: c != "")
+    every_fifth = F.transform(letters, lambda c, k: F.when((k + F.col("origin")) % 5 == 0, F.translate(c, "ACGT", "CATG")).otherwise(c))
+    pieces = cut.withColumn("edited", F.array_join(every_fifth, ""))
     tiles = pieces.withColumn("tile_start", F.lit(0)).withColumn("text", F.col("native"))
     hits = mt.scan_matrices(tiles, packed(spark, sf_dir), sequence="text", tile=TILE, min_fraction=0.7)
     hits = hits.withColumn("start", F.col("start") + F.col("origin")).withColumn("end", F.col("end") + F.col("origin"))
@@ -143,16 +147,19 @@ def motif_disruption(spark, sf_dir):
 @query(
     "displayed_families",
     f"""
-WITH {NUC_SQL}, {PFM_SQL}, {best_scan_sql()}, {DISRUPTION_SQL},
+WITH {nuc_sql(WINDOWS_ROOM)}, {PFM_SQL}, {best_scan_sql()}, {DISRUPTION_SQL},
 fam AS (SELECT win, matrix_id AS family, max(score_fraction * loss * ov) AS s FROM dis GROUP BY 1, 2),
 rk AS (SELECT family, max(s) AS best FROM fam GROUP BY 1),
 o AS (SELECT *, row_number() OVER (ORDER BY best DESC, family) AS r FROM rk),
 f AS (SELECT coalesce(max(r), 0) AS fr FROM o WHERE family = 'es'),
 k AS (SELECT o.* FROM o, f WHERE r < 2 OR (r = 2 AND fr <= 2) OR family = 'es')
-SELECT family, round(best, 6) AS best, row_number() OVER (ORDER BY family <> 'es', best DESC, family) AS rank FROM k
+SELECT family, round(best, 6) AS best, row_number() OVER (ORDER BY family <> 'es', best DESC, family) AS rank,
+       (SELECT count(*) FROM nuc WHERE coalesce(length(seq), 0) < {WINDOWS_ROOM}) AS n_short_texts FROM k
 """,
 )
 def displayed_families(spark, sf_dir):
     best = motif_disruption(spark, sf_dir).groupBy(F.lower("family").alias("family")).agg(F.max("disruption").alias("best"))
     top = rk.force_member(best, [], [F.desc("best"), F.col("family")], 2, F.col("family") == "es")
-    return rounded(top.select("family", "best", F.col("rank").cast("bigint").alias("rank")))
+    short = nucleotides(spark, sf_dir).where(F.coalesce(F.length("seq"), F.lit(0)) < WINDOWS_ROOM).agg(F.count(F.lit(1)).alias("n_short_texts"))
+    named = top.select("family", "best", F.col("rank").cast("bigint").alias("rank"))
+    return rounded(named.join(F.broadcast(short), F.lit(True)))
