@@ -212,9 +212,9 @@ def _related(sets: DataFrame, runs: int, threshold: float, depth: int, sampling:
         if last:
             edges = edges.union(large.select(F.col("node").alias("a"), F.col("root").alias("b")))
         else:
-            judged = staged(_led(large.select("path", "node"), sets, leaders, threshold), "led")
-            edges = edges.union(judged.select(F.col("node").alias("a"), F.explode("leaders").alias("b")))
-            large = judged.filter("NOT tight").select("path", "node")
+            judged = _judged(large.select("path", "node"), sets, leaders, threshold)
+            edges = edges.union(judged.select(F.col("node").alias("a"), F.explode("roots").alias("b")))
+            large = judged.filter("NOT tight").join(_one_group(judged), "path", "left_anti").select("path", "node")
         edges = staged(edges.distinct(), "related")
         compared = edges if compared is None else compared.union(edges)
         if last:
@@ -225,15 +225,39 @@ def _related(sets: DataFrame, runs: int, threshold: float, depth: int, sampling:
 TIGHT = 0.9
 
 
-def _led(members: DataFrame, sets: DataFrame, leaders: int, threshold: float) -> DataFrame:
-    """Members of large buckets with the leaders that they are related to, and whether they are tight to one.
+def _judged(members: DataFrame, sets: DataFrame, leaders: int, threshold: float) -> DataFrame:
+    """Members of large buckets with the ``roots`` they are related to, and whether they are ``tight`` to a leader or
+    ``leading`` themselves: a first round of leaders from all members, a second from those related to none."""
+    first = staged(_led(members, members, sets, leaders, threshold), "led")
+    alone = first.filter("size(roots) = 0 AND NOT leading").select("path", "node")
+    again = _led(members.join(alone.select("path").distinct(), "path", "left_semi"), alone, sets, leaders, threshold)
+    return staged(
+        first.union(again).groupBy("path", "node").agg(
+            F.flatten(F.collect_list("roots")).alias("roots"), F.max("tight").alias("tight"), F.max("leading").alias("leading")
+        ),
+        "led",
+    )
+
+
+def _one_group(judged: DataFrame) -> DataFrame:
+    """The paths of buckets where all members that do not lead are related to one and the same leader. They are one group,
+    and the leaders were compared with every member, so no pair of the bucket is left to find."""
+    led = judged.filter("NOT leading")
+    sizes = led.groupBy("path").agg(F.count("*").alias("members"))
+    roots = led.select("path", F.explode("roots").alias("root")).groupBy("path", "root").agg(F.count("*").alias("held"))
+    return sizes.join(roots.groupBy("path").agg(F.max("held").alias("held")), "path").filter("held = members").select("path")
+
+
+def _led(members: DataFrame, choices: DataFrame, sets: DataFrame, leaders: int, threshold: float) -> DataFrame:
+    """Members with the leaders that they are related to (of leaders related to one another the first), and whether they
+    are tight to one or lead.
 
-    The leaders of a path are those of its members with the smallest hashes. A tight member's distance to its leader is
+    The leaders of a path are those of ``choices`` with the smallest hashes. A tight member's distance to its leader is
     about ``1 - TIGHT``; a set similar to the member is at most that much less similar to the leader, and the bar for
     being related to a leader is lower by as much. So a tight member can leave the path without losing a link: its group
     and that of the similar set are one."""
     order = Window.partitionBy("path").orderBy(F.xxhash64("path", "node"), "node")
-    chosen = members.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= leaders)
+    chosen = choices.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= leaders)
     chosen = chosen.join(sets.select("node", "sketch"), "node").groupBy("path").agg(
         F.collect_list(F.struct("node", "sketch")).alias("led")
     )
@@ -243,7 +267,7 @@ def _led(members: DataFrame, sets: DataFrame, leaders: int, threshold: float) ->
         for batch in batches:
             paths, nodes = (batch.column(c).to_numpy() for c in ("path", "node"))
             own = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(len(nodes), -1)
-            links, tight = [[] for _ in nodes], np.zeros(len(nodes), bool)
+            links, tight, leading = [[] for _ in nodes], np.zeros(len(nodes), bool), np.zeros(len(nodes), bool)
             for path in np.unique(paths):
                 here = np.flatnonzero(paths == path)
                 led = batch.column("led")[int(here[0])].as_py()
@@ -256,15 +280,16 @@ def _led(members: DataFrame, sets: DataFrame, leaders: int, threshold: float) ->
                 left, right = np.nonzero(np.triu(np.array([(theirs == t).sum(axis=1) for t in theirs]) >= bar, 1))
                 roots = local_roots(len(ids), left, right)
                 agree = np.array([(own[here] == t).sum(axis=1) for t in theirs])
-                leads = np.isin(nodes[here], ids)
+                leads = leading[here] = np.isin(nodes[here], ids)
                 for r in np.unique(roots):
                     for i in here[(agree[roots == r] >= bar).any(axis=0) & (nodes[here] != ids[r])]:
                         links[i].append(int(ids[r]))
                 tight[here] = (agree >= TIGHT * coordinates).any(axis=0) & ~leads
-            columns = [batch.column("path"), batch.column("node"), pa.array(links, pa.list_(pa.int64())), pa.array(tight)]
-            yield pa.RecordBatch.from_arrays(columns, names=["path", "node", "leaders", "tight"])
+            columns = [batch.column("path"), batch.column("node"), pa.array(links, pa.list_(pa.int64())), pa.array(tight), pa.array(leading)]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "node", "roots", "tight", "leading"])
 
-    return rows.select("path", "node", "sketch", "led").mapInArrow(run, "path long, node long, leaders array<long>, tight boolean")
+    kinds = "path long, node long, roots array<long>, tight boolean, leading boolean"
+    return rows.select("path", "node", "sketch", "led").mapInArrow(run, kinds)
 
 
 def grouped(batches, keys: list[str]):
