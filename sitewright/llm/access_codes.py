@@ -110,14 +110,14 @@ def write_codes(
         def segment():
             nonlocal number, first, names, sizes, held, total
             levels = Segment.encode(np.frombuffer(b"".join(held), "<u4"))
-            index = [{"id": n, "n_tokens": s} for n, s in zip(names, sizes)]
+            index = pa.StructArray.from_arrays([pa.array(names, kind), pa.array(sizes, pa.int64())], names=["id", "n_tokens"])
             row = pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()),
                     pa.array([number], pa.int32()),
                     pa.array([first], pa.int64()),
                     pa.array([total], pa.int64()),
-                    pa.array([index], pa.list_(pa.struct([("id", kind), ("n_tokens", pa.int64())]))),
+                    pa.ListArray.from_arrays(pa.array([0, len(index)], pa.int32()), index),
                     pa.array(
                         [[dict(zip(("chunks", "continues", "ranks"), level)) for level in levels]],
                         pa.list_(pa.struct([(n, pa.binary()) for n in ("chunks", "continues", "ranks")])),
@@ -160,25 +160,30 @@ def write_codes(
 
 def read_codes(segments: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """One row per document of written segments: its id, ``start`` (ids of all documents before it), ``n_tokens`` and
-    ``ids`` (little-endian unsigned 32-bit), decoded from the levels."""
+    ``ids`` (little-endian unsigned 32-bit), decoded from the levels; one place of every document is read by random access
+    as well and compared."""
     kind = segments.schema["index"].dataType.elementType["id"].dataType
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = Segment([(x["chunks"], x["continues"], x["ranks"]) for x in row["levels"]]).decode().astype("<u4")
-                ends = np.cumsum([d["n_tokens"] for d in row["index"]])
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                arrow = batch.schema.field("index").type.value_type.field(0).type
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([d["id"] for d in row["index"]], arrow),
-                        pa.array(starts + row["base"], pa.int64()),
-                        pa.array(ends - starts, pa.int64()),
-                        pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
-                    ],
-                    names=[id_column, "start", "n_tokens", "ids"],
-                )
+            for i in range(batch.num_rows):
+                index = batch.column("index")[i].values
+                segment = Segment([(x["chunks"], x["continues"], x["ranks"]) for x in batch.column("levels")[i].as_py()])
+                ids, sizes = segment.decode().astype("<u4"), index.field("n_tokens").to_numpy()
+                ends = np.cumsum(sizes)
+                starts = ends - sizes
+                # one place of every document is also reached by itself
+                places = starts + (starts * 7919 + 13) % sizes
+                if (segment.access(places) != ids[places]).any():
+                    raise ValueError("a token reached through the rank directories differs from the decoded one")
+                offsets = pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int32))
+                columns = [
+                    index.field("id"),
+                    pa.array(starts + batch.column("base")[i].as_py(), pa.int64()),
+                    pa.array(sizes, pa.int64()),
+                    pa.Array.from_buffers(pa.binary(), len(index), [None, offsets, pa.py_buffer(ids)]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_column, "start", "n_tokens", "ids"])
 
     schema = T.StructType(
         [

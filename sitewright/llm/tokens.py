@@ -18,12 +18,14 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A run of white space with what follows it. The vocabulary's own pre-splitting never joins a character and the white
 #: space after it, so a text's ids are the ids of these parts in order.
 PART = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Stands for a line end while a text is split at blanks.
-MARK = "\x01"
-#: A text with this is split by ``PART``: white space before a blank or line end, or the mark.
-UNEVEN = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}][ \n]|\x01"
-#: What a part that can stand within a text begins with, and marks that end a word.
-BLANKS, CLOSING = (" ", "\n"), (".", ",", ";", ":", "!", "?")
+#: Stand for a line end, and before a mark that ends a word, while a text is split at blanks.
+MARK, JOINED = "\x01", "\x02"
+#: A text with this is split by ``PART``: white space before a blank or line end, or one of the two signs.
+UNEVEN = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}][ \n]|\x01|\x02"
+#: What a part that can stand within a text begins with.
+BLANKS = (" ", "\n")
+#: A letter and a mark after it never share an id, so a mark that ends a word is a part of its own.
+CLOSING = r"(\pL)([.,;:!?])( |$)"
 #: Such parts encoded by one call.
 GROUP = 64
 #: Parts that a worker keeps, in each of two generations.
@@ -80,13 +82,14 @@ class Encoder:
         those, number the distinct parts, and the parts' ids are laid out by number."""
         if not len(column):
             return []
-        split = pc.split_pattern(pc.replace_substring(column, "\n", f" {MARK}"), " ")
+        lines = pc.replace_substring(column, "\n", f" {MARK}")
+        split = pc.split_pattern(pc.replace_substring_regex(lines, CLOSING, f"\\1 {JOINED}\\2\\3"), " ")
         counts = np.diff(split.offsets.to_numpy())
         coded = split.flatten().dictionary_encode()
         numbers, values = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
         firsts = np.concatenate([[0], np.cumsum(counts)[:-1]])
         opening = [values[n] for n in numbers[firsts]]
-        parts = [f"\n{v[1:]}" if v[:1] == MARK else f" {v}" for v in values]
+        parts = [f" {v}" if v[:1] > JOINED else f"\n{v[1:]}" if v[:1] == MARK else v[1:] if v[:1] == JOINED else f" {v}" for v in values]
         # a text's first part has no blank before it; one that starts with a line end is an empty part and another
         numbers[firsts] = np.arange(len(parts), len(parts) + len(firsts))
         parts += opening
@@ -101,21 +104,16 @@ class Encoder:
         return [laid[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
 
     def look_up(self, parts: list[str]) -> list[bytes]:
-        """The ids of parts, encoding those not known. A letter and a mark after it never share an id, so a word before a
-        mark is known if the word is."""
+        """The ids of parts, encoding those not known."""
         known, older = self.known, self.older
         out = list(map(known.get, parts))
         places = [i for i, ids in enumerate(out) if ids is None]
-        cut = {parts[i]: parts[i][:-1] for i in places if parts[i][-1:] in CLOSING and parts[i][-2:-1].isalpha()}
-        need = {parts[i] for i in places}.difference(cut).union(cut.values(), (part[-1] for part in cut))
-        need = [part for part in need if part not in known]
+        need = {parts[i] for i in places}
         known.update((part, older[part]) for part in need if part in older)
-        need = [part for part in need if part not in known]
+        need = need.difference(older)
         inner = [part for part in need if part[:1] in BLANKS and not part[-1].isspace()]
         self.learn(inner, GROUP)
-        self.learn(list(set(need).difference(inner)), 1)
-        for part, head in cut.items():
-            known[part] = known[head] + known[part[-1]]
+        self.learn(list(need.difference(inner)), 1)
         for i in places:
             out[i] = known[parts[i]]
         return out
