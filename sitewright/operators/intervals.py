@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .ranking import best_row, join_back, window_order
 
 TILE = 1 << 18
@@ -50,6 +51,34 @@ def merge_intervals(df: DataFrame, by: Sequence[str], start: str, end: str, *, t
     )
 
 
+#: Each level of nested bins is this many times as wide as the one below.
+FAN, LEVELS = 8, 8
+
+
+def _nested_bins(df: DataFrame, start: str, end: str, bin_width: int, *, first: bool) -> DataFrame:
+    """One row per place (``_level``, ``_bin``, ``_side``) at which an inclusive interval meets others.
+
+    An interval is at home at the level whose bins are at least as long as it, in the one or two bins it touches there; it
+    also shows in the bins above its home. A pair meets where the longer one is at home. ``_side`` tells homes from shows,
+    so that two shows never meet; of a pair at home on one level, the ``first`` table's is the home. The number of rows
+    does not depend on the interval's length (up to the width of the top level's bins)."""
+    s, e = F.col(start).cast("bigint"), F.col(end).cast("bigint")
+    widths = [bin_width * FAN**level for level in range(LEVELS + 1)]
+    level = F.size(F.filter(F.array(*[F.lit(w).cast("bigint") for w in widths[:-1]]), lambda w: w < e - s + 1))
+
+    def places(at: Column, side: int) -> Column:
+        width = F.element_at(F.array(*[F.lit(w).cast("bigint") for w in widths]), at.cast("int") + 1)
+        bins = F.sequence(F.floor(s / width).cast("bigint"), F.floor(e / width).cast("bigint"))
+        return F.transform(bins, lambda b: F.struct(at.cast("int").alias("_level"), b.alias("_bin"), F.lit(side).alias("_side")))
+
+    shown = F.sequence(level, F.lit(LEVELS))
+    shown = F.filter(shown, lambda at: at > level) if first else shown
+    homes = places(level, 0 if first else 1)
+    shows = F.flatten(F.transform(shown, lambda at: places(at, 1 if first else 0)))
+    rows = df.where((s <= e)).withColumn("_place", F.explode(F.concat(homes, shows)))
+    return rows.select("*", "_place.*").drop("_place")
+
+
 def overlap_join(
     left: DataFrame,
     right: DataFrame,
@@ -61,17 +90,16 @@ def overlap_join(
     other_end: str,
     bin_width: int,
 ) -> DataFrame:
-    """Pairs of overlapping inclusive intervals through shared bins; each pair is emitted only in the first bin
-    both touch, so no duplicate removal is needed."""
-    by = list(by)
-
-    def binned(df: DataFrame, s: str, e: str) -> DataFrame:
-        return df.withColumn("_bin", F.explode(F.sequence(_tile_of(F.col(s), bin_width), _tile_of(F.col(e), bin_width))))
-
-    joined = binned(left, start, end).join(binned(right, other_start, other_end), [*by, "_bin"])
-    first_shared = _tile_of(F.greatest(F.col(start), F.col(other_start)), bin_width)
+    """Pairs of overlapping inclusive intervals of any length through nested bins of ``bin_width`` and up; each pair is
+    emitted only in the bin of its first shared position, so no duplicate removal is needed."""
+    keys = [*by, "_level", "_bin", "_side"]
+    joined = _nested_bins(left, start, end, bin_width, first=True).join(
+        _nested_bins(right, other_start, other_end, bin_width, first=False), keys
+    )
+    width = F.pow(F.lit(FAN), F.col("_level")).cast("bigint") * bin_width
+    first_shared = F.floor(F.greatest(F.col(start).cast("bigint"), F.col(other_start).cast("bigint")) / width)
     touches = (F.col(start) <= F.col(other_end)) & (F.col(end) >= F.col(other_start))
-    return joined.where(touches & (F.col("_bin") == first_shared)).drop("_bin")
+    return joined.where(touches & (F.col("_bin") == first_shared)).drop("_level", "_bin", "_side")
 
 
 def flag_overlaps_merged(
@@ -79,24 +107,62 @@ def flag_overlaps_merged(
 ) -> DataFrame:
     """Whether each half-open [start, end) meets any interval of a merged, disjoint set.
 
-    Distinct query intervals are probed once against binned set members and joined back."""
+    Distinct query intervals are probed once against the set through nested bins and joined back."""
     by = list(by)
     spans = df.select(*by, start, end).distinct()
-    probe = spans.withColumn(
-        "_bin", F.explode(F.sequence(_tile_of(F.col(start), bin_width), _tile_of(F.col(end) - 1, bin_width)))
-    )
-    members = merged.select(
-        *by, F.col("start").alias("_ms"), F.col("end").alias("_me"),
-        F.explode(F.sequence(_tile_of(F.col("start"), bin_width), _tile_of(F.greatest(F.col("end") - 1, F.col("start")), bin_width))).alias("_bin"),
-    )
-    renamed = members.select(*[F.col(c).alias(f"_k_{c}") for c in [*by, "_bin"]], "_ms", "_me")
+    probe = _nested_bins(spans.withColumn("_last", F.greatest(F.col(end) - 1, F.col(start))), start, "_last", bin_width, first=True)
+    closed = merged.select(*by, F.col("start").alias("_ms"), F.col("end").alias("_me"), F.greatest(F.col("end") - 1, F.col("start")).alias("_ml"))
+    members = _nested_bins(closed, "_ms", "_ml", bin_width, first=False)
+    keys = [*by, "_level", "_bin", "_side"]
+    renamed = members.select(*[F.col(c).alias(f"_k_{c}") for c in keys], "_ms", "_me")
     condition = (F.col("_ms") < F.col(end)) & (F.col("_me") > F.col(start))
-    for c in [*by, "_bin"]:
+    for c in keys:
         condition = condition & (F.col(c) == F.col(f"_k_{c}"))
     hits = probe.join(renamed, condition, "left_semi").select(*by, start, end).distinct().withColumn("_hit", F.lit(True))
     return df.join(hits, [*by, start, end], "left").withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
+def greedy_intervals(
+    df: DataFrame,
+    by: Sequence[str],
+    *,
+    key: str,
+    start: str,
+    end: str,
+    order: Sequence[Column],
+    bin_width: int,
+    limit: int | None = None,
+) -> DataFrame:
+    """Take inclusive intervals of any widths in ``order`` (ties by ``key``), skipping those that overlap a taken one, up
+    to ``limit`` per group; ``pick`` is the order in which they were taken.
+
+    Rounds of local bests give what one pass in order would: an interval is taken when it comes first among all that it
+    may meet in its nested bins, then what overlaps a taken one goes, and the rest has another round. Bests are kept per
+    bin, so no pairs of candidates are formed however crowded a locus is; every round's rest is written once."""
+    by = list(by)
+    group = F.to_json(F.struct(*by)) if by else F.lit("")  # never NULL, so a group of NULL keys is one like others
+    placed = df.select(
+        group.alias("_g"), *by, F.col(key).alias("_key"), F.col(start).cast("bigint").alias("start"), F.col(end).cast("bigint").alias("end"),
+        F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*order, F.col(key)])]).alias("_o"),
+    )
+    rest, taken, cell = staged(placed, "candidates"), None, ["_g", "_level", "_bin"]
+    while not rest.isEmpty():
+        shown = _nested_bins(rest, "start", "end", bin_width, first=False)  # side 1: at home, side 0: at home or above
+        bests = shown.groupBy(*cell).agg(F.min(F.when(F.col("_side") == 1, F.col("_o"))).alias("_home"), F.min("_o").alias("_any"))
+        # at home everything in the bin counts, above it what is at home there
+        ahead = F.when(F.col("_side") == 1, F.col("_any")).otherwise(F.col("_home"))
+        firsts = shown.join(bests, cell).groupBy("_g", *by, "_key", "start", "end", "_o").agg(F.min(ahead).alias("_ahead"))
+        firsts = staged(firsts.where(F.col("_ahead") >= F.col("_o")).drop("_ahead"), "taken")
+        spans = firsts.select("_g", "start", (F.col("end") + 1).alias("end"))
+        flagged = flag_overlaps_merged(rest.withColumn("_stop", F.col("end") + 1), spans, ["_g"], start="start", end="_stop", bin_width=bin_width)
+        rest = staged(flagged.where("NOT overlaps").drop("overlaps", "_stop"), "candidates")  # a taken one overlaps itself
+        taken = firsts if taken is None else taken.unionByName(firsts)
+    found = placed.limit(0) if taken is None else taken
+    numbered = found.withColumn("pick", F.row_number().over(Window.partitionBy("_g").orderBy("_o")))
+    kept = numbered if limit is None else numbered.where(F.col("pick") <= limit)
+    return kept.select(*by, F.col("_key").alias(key), F.col("start").alias(start), F.col("end").alias(end), "pick")
+
+
 def neighbour_run(df: DataFrame, by: Sequence[str], *, position: str, eligible: Column, step: int, name: str = "in_run") -> DataFrame:
     """True where the row and both neighbours exactly one ``step`` away are eligible."""
     by = list(by)

@@ -381,3 +381,25 @@ def generated_vs_golden_sides(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     g, r = (lines.where(F.col("l_returnflag") != f).groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n")) for f in ("A", "N"))
     return jn.compare_sides(g, r, ["l_partkey"], ["n"])
+
+
+@query(
+    "greedy_unequal_windows",
+    """
+WITH RECURSIVE w AS (SELECT p_brand, p_partkey, (p_partkey * 977) % 100000 AS s, (p_partkey * 977) % 100000 + p_size * 40 AS e,
+  row_number() OVER (PARTITION BY p_brand ORDER BY -p_size, p_partkey) AS r FROM part),
+g AS (
+  SELECT p_brand, p_partkey, s, e, r, [{'s': s, 'e': e}] AS kept, true AS took FROM w WHERE r = 1
+  UNION ALL
+  SELECT w.p_brand, w.p_partkey, w.s, w.e, w.r,
+         CASE WHEN len(list_filter(g.kept, lambda k: k.s <= w.e AND k.e >= w.s)) = 0 THEN list_append(g.kept, {'s': w.s, 'e': w.e}) ELSE g.kept END,
+         len(list_filter(g.kept, lambda k: k.s <= w.e AND k.e >= w.s)) = 0
+  FROM g JOIN w ON w.p_brand = g.p_brand AND w.r = g.r + 1)
+SELECT p_brand, p_partkey, s AS start, e AS "end", (row_number() OVER (PARTITION BY p_brand ORDER BY r))::INTEGER AS pick FROM g WHERE took
+""",
+)
+def greedy_unequal_windows(spark, sf_dir):
+    """The widest windows first, without overlaps, per brand."""
+    at = (F.col("p_partkey") * 977) % 100000
+    windows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", at.alias("start"), (at + F.col("p_size") * 40).alias("end"), "p_size")
+    return op.greedy_intervals(windows, ["p_brand"], key="p_partkey", start="start", end="end", order=[-F.col("p_size")], bin_width=256)

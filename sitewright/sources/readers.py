@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import missing_to_null
 from ..functions.intervals import bin_start
 from ..functions.sequences import base_identifier, packed_field
+from ..operators.intervals import overlap_join
 from ..operators.joins import matching
 from ..operators.ranking import best_row, join_back, row_positions
 
@@ -203,13 +204,12 @@ def tissue_expression(spark: SparkSession, path: str, *, tissue: str, eligible:
 
 def lift_positions(variants: DataFrame, blocks: DataFrame, *, chrom: str, pos: str, key: Sequence[str], bin_width: int = 1 << 20) -> DataFrame:
     """Map 1-based positions through chain blocks: the covering block of the best chain, strand-aware."""
-    zero = F.col(pos) - 1
-    binned = blocks.withColumn(
-        "_bin", F.explode(F.sequence(F.floor(F.col("source_start") / bin_width), F.floor((F.col("source_end") - 1) / bin_width)))
+    zero = F.col("_zero")
+    placed = variants.withColumn("_zero", F.col(pos) - 1).withColumn("source_chrom", F.col(chrom))
+    spans = blocks.withColumn("_last", F.col("source_end") - 1)
+    candidates = overlap_join(
+        placed, spans, ["source_chrom"], start="_zero", end="_zero", other_start="source_start", other_end="_last", bin_width=bin_width
     )
-    candidates = variants.withColumn("_bin", F.floor(zero / bin_width)).withColumn("source_chrom", F.col(chrom)).join(
-        binned, ["source_chrom", "_bin"]
-    ).where((zero >= F.col("source_start")) & (zero < F.col("source_end")))
     offset = F.col("target_start") + zero - F.col("source_start")
     lifted = F.when(F.col("target_strand") == "-", F.col("target_size") - offset).otherwise(offset + 1)
     best = best_row(

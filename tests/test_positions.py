@@ -51,3 +51,48 @@ def test_runs_need_both_neighbours(spark):
     df = spark.createDataFrame([("c", b, ok) for b, ok in [(0, True), (5, True), (10, True), (15, False), (20, True), (30, True)]], "c string, b bigint, ok boolean")
     got = {r.b: r.in_run for r in op.neighbour_run(df, ["c"], position="b", eligible=F.col("ok"), step=5).collect()}
     assert got == {0: False, 5: True, 10: False, 15: False, 20: False, 30: False}
+
+
+def spans(seed, n, longest):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        a = rng.randrange(-500, 5000)
+        out.append((rng.choice(["x", "y", None]), i, a, a + rng.choice([0, 3, 40, rng.randrange(longest)])))
+    return out
+
+
+@pytest.mark.parametrize("bin_width", [1, 16, 4096])
+def test_overlap_join_of_any_length(spark, bin_width):
+    rows, others = spans(1, 120, 5000), spans(2, 120, 900)
+    left = spark.createDataFrame(rows, "g string, i int, s long, e long")
+    right = spark.createDataFrame(others, "g string, j int, s2 long, e2 long")
+    pairs = op.overlap_join(left, right, ["g"], start="s", end="e", other_start="s2", other_end="e2", bin_width=bin_width)
+    got = sorted((r.i, r.j) for r in pairs.collect())
+    assert got == sorted((i, j) for g, i, s, e in rows for h, j, s2, e2 in others if g == h and g and s <= e2 and e >= s2)
+
+
+def test_long_intervals_make_few_rows(spark):
+    df = spark.createDataFrame([(0, 10**9), (5, 5)], "s long, e long")
+    assert op._nested_bins(df, "s", "e", 64, first=False).count() <= 2 * 2 * (op.LEVELS + 2)
+
+
+@pytest.mark.parametrize("bin_width, limit", [(1, None), (16, 4), (1024, None)])
+def test_greedy_intervals(spark, bin_width, limit):
+    rows = spans(3, 200, 700)
+    df = spark.createDataFrame(rows, "g string, i int, s long, e long")
+    found = op.greedy_intervals(df, ["g"], key="i", start="s", end="e", order=[F.col("i") % 5], bin_width=bin_width, limit=limit)
+    want = []
+    for g in {r[0] for r in rows}:
+        kept = []
+        for _, i, s, e in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] % 5, r[1])):
+            if all(s > e2 or e < s2 for _, s2, e2 in kept) and (limit is None or len(kept) < limit):
+                kept.append((i, s, e))
+        want += [(g, i, s, e, k + 1) for k, (i, s, e) in enumerate(kept)]
+    key = lambda r: (r[0] or "", r[4])
+    assert sorted((tuple(r) for r in found.collect()), key=key) == sorted(want, key=key)
+
+
+def test_greedy_intervals_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "g string, i int, s long, e long")
+    assert op.greedy_intervals(df, ["g"], key="i", start="s", end="e", order=[F.col("i")], bin_width=8).collect() == []
