@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from .common import fold, keyed_rank, text_column_udf
 
 UNDETERMINED = "und"
+#: Letters and other signs that count as word characters, such as fractions and circled numbers.
 LETTER = re.compile(r"[^\W\d_]")
 DIMENSIONS = 1 << 13
 #: ASCII bytes that are no lower-case letter count as a space.
@@ -42,6 +43,10 @@ def term_counts(text: str) -> np.ndarray:
     return np.bincount(codes, minlength=DIMENSIONS)
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def size_class(counts: np.ndarray) -> int:
     return int(np.log2(1 + counts.sum()))
 
@@ -62,7 +67,7 @@ class LanguageModel:
     def identify(self, texts: list[str]) -> list[tuple[str, float, bool]]:
         out = []
         for text in texts:
-            if not self.languages or not LETTER.search(text):
+            if not self.languages or not has_letter(text):
                 out.append((UNDETERMINED, 0.0, True))
                 continue
             counts = term_counts(text)
@@ -148,5 +153,6 @@ def language_of(model: LanguageModel, text: Column | str) -> Column:
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the id, ``lang_pred``, ``score`` and ``rejected``."""
+    """One row per row of ``docs``: the id, ``lang_pred``, ``score`` and ``rejected``. Null texts and texts without a letter
+    are ``und`` with score 0, rejected; repeated rows give a row each, an empty table none; other columns are not read."""
     return docs.select(id_column, language_of(model, text_column).alias("found")).select(id_column, "found.*")

@@ -322,3 +322,14 @@ def test_language_on_held_out_rows(spark, make_docs):
     assert none[0].lang_pred == "und" and none[0].rejected
 
 
+
+
+def test_language_of_signs_that_are_no_letters(make_docs):
+    from sitewright.llm.language_centroids import fit_languages, identify_languages
+
+    docs = make_docs(["the of and to in " * 20, "der die und das ein " * 20] * 20, langs=["en", "de"] * 20)
+    model = fit_languages(docs)
+    odd = make_docs(["½ ² ① Ⅷ", "123", "½a"]).withColumns({"found": F.lit(1), "score": F.lit("x"), "lang_pred": F.lit(2)})
+    rows = {r.doc_id: r for r in identify_languages(odd, model).collect()}
+    assert [rows[i].lang_pred for i in (0, 1)] == ["und"] * 2 and rows[2].lang_pred in ("en", "de")
+    assert identify_languages(make_docs([]), model).count() == 0
