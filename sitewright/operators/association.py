@@ -5,13 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from ..functions.expressions import Z95, col, finite, fisher_bound, fisher_z, guarded_ratio
+from ..functions.expressions import Z95, bound, col, finite, fisher_bound, fisher_z, guarded_ratio
 from .ranking import SPLIT_EVERY, join_back, mid_rank, value_ranks
 
 
@@ -76,24 +73,44 @@ def linear_fit(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     )
 
 
-def _chi2_tails(q: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """P(X > q) for chi-squares with df degrees of freedom, by the two-step recurrence in df, whole columns at once."""
-    half = np.maximum(q, 1e-300) / 2.0
-    even = df % 2 == 0
-    tail = np.where(even, np.exp(-half), np.vectorize(math.erfc, otypes=[float])(np.sqrt(half)))
-    k = np.where(even, 2, 1)
-    while (more := k < df).any():
-        step = np.exp((k / 2.0) * np.log(half) - half - np.vectorize(math.lgamma, otypes=[float])(k / 2.0 + 1.0))
-        tail, k = tail + np.where(more, step, 0.0), k + 2
-    return np.where((q <= 0) | (df <= 0), 1.0, np.minimum(tail, 1.0))
-
-
-@F.pandas_udf(DoubleType())
-def chi2_tail(q: pd.Series, df: pd.Series) -> pd.Series:
-    """Upper chi-square tail; NULL where either is missing."""
-    known = (q.notna() & df.notna()).to_numpy()
-    tails = _chi2_tails(q.fillna(0.0).to_numpy(float), df.fillna(0).to_numpy(np.int64)) if len(q) else np.zeros(0)
-    return pd.Series(np.where(known, tails, np.nan))
+def erfc(z: Column) -> Column:
+    """Complementary error function of non-negative values: a series of positive terms below 2, a continued fraction above."""
+    tiny = F.greatest(z, F.lit(1e-300))
+    # erf(z) = 2 / sqrt(pi) exp(-z^2) sum of 2^n z^(2n+1) / (2n+1)!!
+    start = F.struct(tiny.alias("t"), tiny.alias("s"))
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(60)),
+        start,
+        lambda acc, n: F.struct(
+            (acc["t"] * 2 * tiny * tiny / (2 * n + 1)).alias("t"), (acc["s"] + acc["t"] * 2 * tiny * tiny / (2 * n + 1)).alias("s")
+        ),
+    )["s"]
+    fraction = F.aggregate(F.sequence(F.lit(80), F.lit(1)), z, lambda acc, k: z + k / 2 / acc)
+    scale = F.exp(-z * z) / math.sqrt(math.pi)
+    return F.when(z < 2, 1 - 2 * scale * series).otherwise(scale / fraction)
+
+
+def chi2_tail(q: str | Column, df: str | Column) -> Column:
+    """Upper chi-square tail: a finite sum for even degrees of freedom, for odd ones erfc and the same recurrence; terms are
+    carried as logarithms. 1 without degrees of freedom, NULL where either is missing."""
+    df = col(df).cast("int")
+
+    def tail(half: Column) -> Column:
+        even = df % 2 == 0
+        first = F.when(even, -half).otherwise(F.log(half) / 2 - half - math.lgamma(1.5))
+        steps = F.when(df >= 2, F.sequence(F.lit(1), F.floor(df / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
+        # term k of 0, 2, ... or 1, 3, ...: half^(k/2) exp(-half) / gamma(k/2 + 1)
+        k = lambda j: F.when(even, 2.0 * j - 2).otherwise(2.0 * j - 1)
+        total = F.aggregate(
+            steps,
+            F.struct(first.alias("t"), F.lit(0.0).alias("s")),
+            lambda acc, j: F.struct((acc["t"] + F.log(half) - F.log(k(j) / 2 + 1)).alias("t"), (acc["s"] + F.exp(acc["t"])).alias("s")),
+        )["s"]
+        return F.least(F.lit(1.0), F.when(even, total).otherwise(erfc(F.sqrt(half)) + total))
+
+    value = col(q).cast("double")
+    tails = F.when((value <= 0) | (df <= 0), F.lit(1.0)).otherwise(bound(F.greatest(value, F.lit(1e-300)) / 2, tail))
+    return F.when(value.isNotNull() & df.isNotNull(), tails)
 
 
 def random_effects(df: DataFrame, by: Sequence[str], *, r: str, n: str, with_p: bool = True) -> DataFrame:

@@ -359,12 +359,16 @@ t AS (SELECT modality, k, q, greatest(0.0, (q - (k - 1)) / (sw - sw2 / sw)) AS t
 p AS (SELECT z.modality, t.k, t.q, t.tau2, sum(z.z / (1.0 / z.w + t.tau2)) / sum(1.0 / (1.0 / z.w + t.tau2)) AS pz, sqrt(1.0 / sum(1.0 / (1.0 / z.w + t.tau2))) AS se
       FROM z JOIN t USING (modality) GROUP BY 1, 2, 3, 4)
 SELECT modality, k, round(tanh(pz), 6) AS pooled, round(tanh(pz - 1.96 * se), 6) AS pooled_low, round(tanh(pz + 1.96 * se), 6) AS pooled_high,
-       round(tau2, 6) AS tau2, round(q, 6) AS q, (k - 1)::BIGINT AS q_df, round(CASE WHEN q > 0 THEN greatest(0.0, (q - (k - 1)) / q) * 100 ELSE 0.0 END, 6) AS i2_percent
+       round(tau2, 6) AS tau2, round(q, 6) AS q, (k - 1)::BIGINT AS q_df, round(CASE WHEN q > 0 THEN greatest(0.0, (q - (k - 1)) / q) * 100 ELSE 0.0 END, 6) AS i2_percent,
+       round(CASE WHEN q <= 0 OR k <= 1 THEN 1.0 ELSE
+         CASE WHEN (k - 1) % 2 = 0 THEN 0.0 WHEN q > 100 THEN 0.0
+              ELSE 1.0 - exp(-q / 2) * list_sum(list_transform(range(0, 200), lambda m: exp((2 * m + 1) * ln(sqrt(q / 2)) - lgamma(m + 1.5)))) END
+         + coalesce(list_sum(list_transform(range(0, (k - 1) // 2), lambda m: exp((m + ((k - 1) % 2) / 2.0) * ln(q / 2) - q / 2 - lgamma(m + ((k - 1) % 2) / 2.0 + 1)))), 0.0) END, 6) AS q_p
 FROM p
 """,
 )
 def random_effects(spark, sf_dir):
-    return rounded(asn.random_effects(correlations(spark, sf_dir), ["modality"], r="spearman", n="n", with_p=False))
+    return rounded(asn.random_effects(correlations(spark, sf_dir), ["modality"], r="spearman", n="n"))
 
 
 @query(
