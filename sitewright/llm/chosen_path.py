@@ -211,7 +211,7 @@ def _related(sets: DataFrame, runs: int, threshold: float, depth: int, sampling:
         edges = met.mapInArrow(_bucket_links(threshold), "a long, b long")
         if last:
             edges = edges.union(large.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        else:
+        elif level == 1:
             judged = _judged(large.select("path", "node"), sets, leaders, threshold)
             edges = edges.union(judged.select(F.col("node").alias("a"), F.explode("roots").alias("b")))
             large = judged.filter("NOT tight").join(_one_group(judged), "path", "left_anti").select("path", "node")
