@@ -120,10 +120,11 @@ def near_duplicate_classes(
 
     Equal sets are one node with a number of copies. In each of several runs every node follows sampled coordinates of
     its sketch; nodes that reach the same path share a bucket. Buckets of up to ``bucket`` nodes are compared by
-    sketch. In larger ones of the first split every member is first compared with ``leaders`` members of the bucket: those that agree with
-    one are related to it, and those that all but equal it stop there, as whatever is similar to them is related to the
-    leader too. What is left is split again by its next coordinates, up to ``depth`` times, and a bucket that is
-    still larger (many sets alike) is taken as related as a whole. The number of runs follows from ``recall`` at the
+    sketch. In larger ones of the first split every member is first compared with ``leaders`` members of the
+    bucket, then with as many of those that were related to none. A bucket whose other members are all related to one
+    leader is done, as they are one group; else members that all but equal a leader stop there, as whatever is similar
+    to them is related to the leader too. What is left is split again by its next coordinates, up to ``depth`` times, and
+    a bucket that is still larger (many sets alike) is taken as related as a whole. The number of runs follows from ``recall`` at the
     threshold and the full depth. What is related so is then compared exactly, each group of related sets in blocks of
     ``block`` against one another, so links are counted once and no list of pairs is made.
 
