@@ -214,8 +214,11 @@ def _related(sets: DataFrame, runs: int, threshold: float, depth: int, sampling:
             edges = edges.union(large.select(F.col("node").alias("a"), F.col("root").alias("b")))
         elif level == 1:
             judged = _judged(large.select("path", "node"), sets, leaders, threshold)
-            edges = edges.union(judged.select(F.col("node").alias("a"), F.explode("roots").alias("b")))
-            large = judged.filter("NOT tight").join(_one_group(judged), "path", "left_anti").select("path", "node")
+            done = staged(_one_group(judged), "done")
+            # links of those that leave the path here, and of the leaders; all others go on to be compared
+            leave = judged.filter("tight OR leading").union(judged.join(done, "path", "left_semi").select(judged.columns))
+            edges = edges.union(leave.select(F.col("node").alias("a"), F.explode("roots").alias("b")))
+            large = judged.filter("NOT tight").join(done, "path", "left_anti").select("path", "node")
         edges = staged(edges.distinct(), "related")
         compared = edges if compared is None else compared.union(edges)
         if last:
