@@ -403,3 +403,28 @@ def greedy_unequal_windows(spark, sf_dir):
     at = (F.col("p_partkey") * 977) % 100000
     windows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", at.alias("start"), (at + F.col("p_size") * 40).alias("end"), "p_size")
     return op.greedy_intervals(windows, ["p_brand"], key="p_partkey", start="start", end="end", order=[-F.col("p_size")], bin_width=256)
+
+
+@query(
+    "distant_positions",
+    """
+WITH RECURSIVE w AS (SELECT p_brand, p_partkey, (p_partkey * 977) % 100000 AS pos, row_number() OVER (PARTITION BY p_brand ORDER BY -p_size, p_partkey) AS r FROM (
+  SELECT *, row_number() OVER (PARTITION BY p_brand, (p_partkey * 977) % 100000 ORDER BY -p_size, p_partkey) AS rn FROM part) WHERE rn = 1),
+g AS (
+  SELECT p_brand, p_partkey, pos, r, [pos] AS kept, true AS took FROM w WHERE r = 1
+  UNION ALL
+  SELECT w.p_brand, w.p_partkey, w.pos, w.r,
+         CASE WHEN len(g.kept) < 5 AND len(list_filter(g.kept, lambda t: abs(t - w.pos) <= 499)) = 0 THEN list_append(g.kept, w.pos) ELSE g.kept END,
+         len(g.kept) < 5 AND len(list_filter(g.kept, lambda t: abs(t - w.pos) <= 499)) = 0
+  FROM g JOIN w ON w.p_brand = g.p_brand AND w.r = g.r + 1 WHERE len(g.kept) < 5)
+SELECT p_brand, p_partkey, pos AS position, (row_number() OVER (PARTITION BY p_brand ORDER BY r))::INTEGER AS pick FROM g WHERE took
+""",
+)
+def distant_positions(spark, sf_dir):
+    """The first five positions per brand that lie at least 500 apart from one another."""
+    at = (F.col("p_partkey") * 977) % 100000
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", at.alias("position"), "p_size")
+    out = op.greedy_non_overlapping(
+        rows, ["p_brand"], start="position", width=1, margin=499, limit=5, order=[-F.col("p_size"), F.col("p_partkey")]
+    )
+    return out.select("p_brand", "p_partkey", "position", "pick")

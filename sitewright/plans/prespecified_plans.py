@@ -92,7 +92,25 @@ def ranking_quality_bootstrap(spark, sf_dir):
     return rounded(out)
 
 
-@query("binomial_interval")
+def bisected(side: str) -> str:
+    """Bisection in SQL for the share at which a binomial tail (``k`` or more, or ``k`` or fewer, of n) is 2.5%."""
+    terms = "range(k, n + 1)" if side == "low" else "range(0, k + 1)"
+    middle = "((a.lo + a.hi) / 2)"
+    tail = (
+        f"list_sum(list_transform({terms}, lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({middle}) + (n - i) * ln(1 - {middle}))))"
+    )
+    up, down = f"{{'lo': {middle}, 'hi': a.hi}}", f"{{'lo': a.lo, 'hi': {middle}}}"
+    step = f"CASE WHEN {tail} < 0.025 THEN {up if side == 'low' else down} ELSE {down if side == 'low' else up} END"
+    return f"list_reduce(list_transform(range(0, 41), lambda i: {{'lo': 0.0::DOUBLE, 'hi': 1.0::DOUBLE}}), lambda a, b: {step}).lo"
+
+
+@query(
+    "binomial_interval",
+    f"""
+WITH c AS (SELECT l_suppkey, count(*) FILTER (WHERE l_discount > 0.05) AS k, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT l_suppkey, k, n, round(CASE WHEN k = 0 THEN 0.0 ELSE {bisected('low')} END, 6) AS low, round(CASE WHEN k = n THEN 1.0 ELSE {bisected('high')} END, 6) AS high FROM c
+""",
+)
 def binomial_interval(spark, sf_dir):
     """Exact interval of the discounted share per supplier."""
     counts = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(
