@@ -122,8 +122,7 @@ def near_duplicate_classes(
     its sketch; nodes that reach the same path share a bucket. Buckets of up to ``bucket`` nodes are compared by
     sketch. In larger ones of the first split every member is first compared with ``leaders`` members of the
     bucket, then with as many of those that were related to none. A bucket whose other members are all related to one
-    leader is done, as they are one group; else members that all but equal a leader stop there, as whatever is similar
-    to them is related to the leader too. What is left is split again by its next coordinates, up to ``depth`` times, and
+    leader is done, as they are one group. What is left is split again by its next coordinates, up to ``depth`` times, and
     a bucket that is still larger (many sets alike) is taken as related as a whole. The number of runs follows from ``recall`` at the
     threshold and the full depth. What is related so is then compared exactly, each group of related sets in blocks of
     ``block`` against one another, so links are counted once and no list of pairs is made.
@@ -215,29 +214,27 @@ def _related(sets: DataFrame, runs: int, threshold: float, depth: int, sampling:
         elif level == 1:
             judged = _judged(large.select("path", "node"), sets, leaders, threshold)
             done = staged(_one_group(judged), "done")
-            # links of those that leave the path here, and of the leaders; all others go on to be compared
-            leave = judged.filter("tight OR leading").union(judged.join(done, "path", "left_semi").select(judged.columns))
-            edges = edges.union(leave.select(F.col("node").alias("a"), F.explode("roots").alias("b")))
-            large = judged.filter("NOT tight").join(done, "path", "left_anti").select("path", "node")
+            edges = edges.union(judged.join(done, "path", "left_semi").select(F.col("node").alias("a"), F.explode("roots").alias("b")))
+            large = judged.join(done, "path", "left_anti").select("path", "node")
         edges = staged(edges.distinct(), "related")
         compared = edges if compared is None else compared.union(edges)
         if last:
             return compared
 
 
-#: Members that agree with a leader in more than this share of a sketch are left to it.
-TIGHT = 0.9
+#: Members are related to a leader from this much less than the least agreement of two sets to be compared.
+LOWER = 0.1
 
 
 def _judged(members: DataFrame, sets: DataFrame, leaders: int, threshold: float) -> DataFrame:
-    """Members of large buckets with the ``roots`` they are related to, and whether they are ``tight`` to a leader or
-    ``leading`` themselves: a first round of leaders from all members, a second from those related to none."""
+    """Members of large buckets with the ``roots`` they are related to, and whether they are ``leading`` themselves: a first
+    round of leaders from all members, a second from those related to none."""
     first = staged(_led(members, members, sets, leaders, threshold), "led")
     alone = first.filter("size(roots) = 0 AND NOT leading").select("path", "node")
     again = _led(members.join(alone.select("path").distinct(), "path", "left_semi"), alone, sets, leaders, threshold)
     return staged(
         first.union(again).groupBy("path", "node").agg(
-            F.flatten(F.collect_list("roots")).alias("roots"), F.max("tight").alias("tight"), F.max("leading").alias("leading")
+            F.flatten(F.collect_list("roots")).alias("roots"), F.max("leading").alias("leading")
         ),
         "led",
     )
@@ -254,12 +251,7 @@ def _one_group(judged: DataFrame) -> DataFrame:
 
 def _led(members: DataFrame, choices: DataFrame, sets: DataFrame, leaders: int, threshold: float) -> DataFrame:
     """Members with the leaders that they are related to (of leaders related to one another the first), and whether they
-    are tight to one or lead.
-
-    The leaders of a path are those of ``choices`` with the smallest hashes. A tight member's distance to its leader is
-    about ``1 - TIGHT``; a set similar to the member is at most that much less similar to the leader, and the bar for
-    being related to a leader is lower by as much. So a tight member can leave the path without losing a link: its group
-    and that of the similar set are one."""
+    lead. The leaders of a path are those of ``choices`` with the smallest hashes."""
     order = Window.partitionBy("path").orderBy(F.xxhash64("path", "node"), "node")
     chosen = choices.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= leaders)
     chosen = chosen.join(sets.select("node", "sketch"), "node").groupBy("path").agg(
@@ -271,28 +263,27 @@ def _led(members: DataFrame, choices: DataFrame, sets: DataFrame, leaders: int,
         for batch in batches:
             paths, nodes = (batch.column(c).to_numpy() for c in ("path", "node"))
             own = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(len(nodes), -1)
-            links, tight, leading = [[] for _ in nodes], np.zeros(len(nodes), bool), np.zeros(len(nodes), bool)
+            links, leading = [[] for _ in nodes], np.zeros(len(nodes), bool)
             for path in np.unique(paths):
                 here = np.flatnonzero(paths == path)
                 led = batch.column("led")[int(here[0])].as_py()
                 ids = np.array([x["node"] for x in led])
                 theirs = np.frombuffer(b"".join(x["sketch"] for x in led), np.uint32).reshape(len(ids), -1)
                 coordinates = theirs.shape[1]
-                least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / coordinates) - (1 - TIGHT)
+                least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / coordinates) - LOWER
                 bar = max(least * coordinates, 1)
                 # leaders that are related are one: a link to the first of them is enough
                 left, right = np.nonzero(np.triu(np.array([(theirs == t).sum(axis=1) for t in theirs]) >= bar, 1))
                 roots = local_roots(len(ids), left, right)
                 agree = np.array([(own[here] == t).sum(axis=1) for t in theirs])
-                leads = leading[here] = np.isin(nodes[here], ids)
+                leading[here] = np.isin(nodes[here], ids)
                 for r in np.unique(roots):
                     for i in here[(agree[roots == r] >= bar).any(axis=0) & (nodes[here] != ids[r])]:
                         links[i].append(int(ids[r]))
-                tight[here] = (agree >= TIGHT * coordinates).any(axis=0) & ~leads
-            columns = [batch.column("path"), batch.column("node"), pa.array(links, pa.list_(pa.int64())), pa.array(tight), pa.array(leading)]
-            yield pa.RecordBatch.from_arrays(columns, names=["path", "node", "roots", "tight", "leading"])
+            columns = [batch.column("path"), batch.column("node"), pa.array(links, pa.list_(pa.int64())), pa.array(leading)]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "node", "roots", "leading"])
 
-    kinds = "path long, node long, roots array<long>, tight boolean, leading boolean"
+    kinds = "path long, node long, roots array<long>, leading boolean"
     return rows.select("path", "node", "sketch", "led").mapInArrow(run, kinds)
 
 
