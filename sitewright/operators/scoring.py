@@ -58,17 +58,18 @@ def no_edits() -> Column:
 
 
 def one_edit(start: str | Column, stop: str | Column, text: str | Column, native: str | Column) -> Column:
-    """The edit of a half-open slice (0-based), none where it changes nothing."""
+    """The edit of a half-open slice (0-based), none where it changes nothing, NULL where there is no text to put there."""
     at = [(F.col(c) if isinstance(c, str) else c) for c in (start, stop, text, native)]
     edit = F.struct(at[0].cast("int").alias("start"), at[1].cast("int").alias("stop"), at[2].alias("text"))
-    return F.when(at[2] == at[3], no_edits()).otherwise(F.array(edit).cast(EDITS))
+    return F.when(at[2] == at[3], no_edits()).when(at[2].isNotNull(), F.array(edit).cast(EDITS))
 
 
 def state_key(region_hash: str | Column, edits: str | Column) -> Column:
-    """The region's hash for its native state, else a hash of it and the edits in ascending order."""
+    """The region's hash for its native state, else a hash of it and the edits in ascending order; NULL without a state."""
     h, e = (F.col(c) if isinstance(c, str) else c for c in (region_hash, edits))
     parts = F.transform(e, lambda x: F.concat_ws(":", x["start"].cast("string"), x["stop"].cast("string"), x["text"]))
-    return F.when(F.size(e) == 0, h).otherwise(F.sha2(F.concat_ws("|", h, F.array_join(parts, "|")), 256))
+    keyed = F.sha2(F.concat_ws("|", h, F.array_join(parts, "|")), 256)
+    return F.when(F.size(e) == 0, h).when(e.isNotNull(), keyed)
 
 
 def with_region_hash(regions: DataFrame, *, sequence: str) -> DataFrame:

@@ -111,3 +111,19 @@ def test_families_by_first_matching_prefix(spark):
     df = spark.createDataFrame([("CEBPB",), ("Foxa2",), ("NR1H4",), ("HNF4A",), ("SPI1",), ("ZNF5",), ("XYZ",)], "n string")
     got = [r.f for r in df.select(mt.classify_by_prefix("n").alias("f")).collect()]
     assert got == ["C/EBP/bZIP", "FOX/forkhead", "nuclear receptor", "HNF4/nuclear receptor", "KLF/SP", "zinc finger", "XYZ"]
+
+
+def test_a_component_without_another_order_has_no_state(spark):
+    from sitewright.operators import scoring as sc
+    from sitewright.plans.designs import keyed_states
+
+    rows = [(1, "h1", 0, 8, "ACGTTTTT", 1), (2, "h2", 0, 8, "ACGTACGA", 1)]
+    df = spark.createDataFrame(rows, "id int, region_hash string, at int, stop int, seq string, a int")
+    states = ds.component_design(
+        df, sequence="seq", anchor="a", components=[("arm", "arm", [(3, 6)])], seeds=[3], alleles={"REF": "G"}, region=["id"]
+    )
+    found = {r.id: (r.edited, r.state_key) for r in keyed_states(states).collect()}
+    assert found[1] == (None, None)
+    assert found[2][0] is not None and found[2][1] not in (None, "h2")
+    text = F.lit(None).cast("string")
+    assert spark.range(1).select(sc.state_key(F.lit("h"), sc.one_edit(F.lit(0), F.lit(1), text, F.lit("A")))).first()[0] is None
