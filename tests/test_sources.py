@@ -28,3 +28,13 @@ def test_appended_results(spark, tmp_path):
     for df in (first, spark.createDataFrame([(2, "b")], "k int, v string")):
         writers.append_results(df, str(tmp_path / "out"))
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "a"), (2, "b")]
+
+
+def test_general_floats_are_rounded_from_their_exact_value(spark):
+    from pyspark.sql import functions as F
+
+    from sitewright.functions.expressions import format_general
+
+    values = [16516654225.0, 2395.2356725, 1e-5, -0.5, 0.0, 1e23, 123.0, None]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, x double").select("i", format_general(F.col("x")).alias("t")).collect()
+    assert {r.i: r.t for r in rows} == {i: None if v is None else "%.10g" % v for i, v in enumerate(values)}
