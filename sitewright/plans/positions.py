@@ -21,11 +21,13 @@ spans AS (
            + l_quantity::BIGINT AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey))
 """
 
+# equal intervals are one row here: the two windows would order such ties each in its own way
 MERGED_SQL = """
-flags AS (SELECT grp, start, "end", CASE WHEN start > max("end") OVER (PARTITION BY grp ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-                 OR row_number() OVER (PARTITION BY grp ORDER BY start, "end") = 1 THEN 1 ELSE 0 END AS opened FROM spans),
+uniq AS (SELECT grp, start, "end", count(*) AS n FROM spans GROUP BY 1, 2, 3),
+flags AS (SELECT *, CASE WHEN start > max("end") OVER (PARTITION BY grp ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                 OR row_number() OVER (PARTITION BY grp ORDER BY start, "end") = 1 THEN 1 ELSE 0 END AS opened FROM uniq),
 isl AS (SELECT *, sum(opened) OVER (PARTITION BY grp ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM flags),
-merged AS (SELECT grp, min(start) AS start, max("end") AS "end", count(*) AS n_merged FROM isl GROUP BY grp, island)
+merged AS (SELECT grp, min(start) AS start, max("end") AS "end", sum(n)::BIGINT AS n_merged FROM isl GROUP BY grp, island)
 """
 
 

@@ -96,3 +96,23 @@ def test_greedy_intervals(spark, bin_width, limit):
 def test_greedy_intervals_of_an_empty_table(spark):
     df = spark.createDataFrame([], "g string, i int, s long, e long")
     assert op.greedy_intervals(df, ["g"], key="i", start="s", end="e", order=[F.col("i")], bin_width=8).collect() == []
+
+
+@pytest.mark.parametrize("name", ["merged_intervals", "overlaps_merged_set"])
+def test_the_sql_of_merged_intervals_does_not_depend_on_ties(name):
+    import duckdb
+
+    from sitewright.plans import ORACLES
+
+    con = duckdb.connect()
+    # equal intervals everywhere: each group has four islands of three distinct intervals, every one 50 times
+    con.execute("CREATE TABLE orders AS SELECT i AS o_orderkey, i // 12 % 500 AS o_custkey, DATE '1995-01-01' + (i % 4 * 100 + i % 3)::INTEGER AS o_orderdate FROM range(300000) t(i)")
+    con.execute("CREATE TABLE lineitem AS SELECT o_orderkey AS l_orderkey, 1 AS l_linenumber, 20.0::DOUBLE AS l_quantity FROM orders")
+    con.execute("CREATE TABLE customer AS SELECT DISTINCT o_custkey AS c_custkey FROM orders")
+    for _ in range(3):
+        if name == "merged_intervals":
+            found = con.execute(ORACLES[name]).fetchall()
+            assert len(found) == 2000 and {(r[1], r[2], r[3]) for r in found} == {(100 * k, 100 * k + 23, 150) for k in range(4)}
+        else:
+            told = '"overlaps" <> (a % 100 < 23 AND a < 400 OR b > a // 100 * 100 + 100 AND a < 300)'
+            assert con.execute(f"SELECT count(*) FROM ({ORACLES[name]}) WHERE {told}").fetchone()[0] == 0
