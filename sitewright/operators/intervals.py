@@ -55,23 +55,24 @@ def merge_intervals(df: DataFrame, by: Sequence[str], start: str, end: str, *, t
 FAN, LEVELS = 8, 8
 
 
-def _nested_bins(df: DataFrame, start: str, end: str, bin_width: int, *, first: bool) -> DataFrame:
+def _nested_bins(df: DataFrame, start: str, end: str, bin_width: int, *, first: bool, levels: int = LEVELS) -> DataFrame:
     """One row per place (``_level``, ``_bin``, ``_side``) at which an inclusive interval meets others.
 
     An interval is at home at the level whose bins are at least as long as it, in the one or two bins it touches there; it
     also shows in the bins above its home. A pair meets where the longer one is at home. ``_side`` tells homes from shows,
     so that two shows never meet; of a pair at home on one level, the ``first`` table's is the home. The number of rows
-    does not depend on the interval's length (up to the width of the top level's bins)."""
+    does not depend on the interval's length (up to the width of the top level's bins, the one above ``levels`` others)."""
     s, e = F.col(start).cast("bigint"), F.col(end).cast("bigint")
-    widths = [bin_width * FAN**level for level in range(LEVELS + 1)]
-    level = F.size(F.filter(F.array(*[F.lit(w).cast("bigint") for w in widths[:-1]]), lambda w: w < e - s + 1))
+    widths = [bin_width * FAN**level for level in range(levels + 1)]
+    lower = F.array(*[F.lit(w).cast("bigint") for w in widths[:-1]]).cast("array<bigint>")
+    level = F.size(F.filter(lower, lambda w: w < e - s + 1))
 
     def places(at: Column, side: int) -> Column:
         width = F.element_at(F.array(*[F.lit(w).cast("bigint") for w in widths]), at.cast("int") + 1)
         bins = F.sequence(F.floor(s / width).cast("bigint"), F.floor(e / width).cast("bigint"))
         return F.transform(bins, lambda b: F.struct(at.cast("int").alias("_level"), b.alias("_bin"), F.lit(side).alias("_side")))
 
-    shown = F.sequence(level, F.lit(LEVELS))
+    shown = F.sequence(level, F.lit(levels))
     shown = F.filter(shown, lambda at: at > level) if first else shown
     homes = places(level, 0 if first else 1)
     shows = F.flatten(F.transform(shown, lambda at: places(at, 1 if first else 0)))
@@ -89,19 +90,54 @@ def overlap_join(
     other_start: str,
     other_end: str,
     bin_width: int,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """Pairs of overlapping inclusive intervals of any length through nested bins of ``bin_width`` and up; each pair is
-    emitted only in the bin of its first shared position, so no duplicate removal is needed."""
+    emitted only in the bin of its first shared position, so no duplicate removal is needed. Every row is copied to each
+    of ``levels`` levels above its home: where intervals are no longer than a few bins, 0 gives plain bins and the same
+    pairs from one or two copies."""
     keys = [*by, "_level", "_bin", "_side"]
-    joined = _nested_bins(left, start, end, bin_width, first=True).join(
-        _nested_bins(right, other_start, other_end, bin_width, first=False), keys
-    )
+    # sizes are judged before rows are copied to their bins, so a side that looks small may be too large to broadcast
+    others = _nested_bins(right, other_start, other_end, bin_width, first=False, levels=levels)
+    met = others.where((F.col("_side") == 0) | (F.col("_level") < levels))  # nothing shows above the top level
+    joined = _nested_bins(left, start, end, bin_width, first=True, levels=levels).hint("merge").join(met, keys)
     width = F.pow(F.lit(FAN), F.col("_level")).cast("bigint") * bin_width
     first_shared = F.floor(F.greatest(F.col(start).cast("bigint"), F.col(other_start).cast("bigint")) / width)
     touches = (F.col(start) <= F.col(other_end)) & (F.col(end) >= F.col(other_start))
     return joined.where(touches & (F.col("_bin") == first_shared)).drop("_level", "_bin", "_side")
 
 
+def covering_nodes(df: DataFrame, start: str, end: str) -> DataFrame:
+    """One row per node (``_level``, ``_node``) of those that make up a half-open interval: at each level, whose nodes are
+    ``FAN`` times as wide as those of the one below, whole nodes that are in no whole node of the level above. A position
+    lies in one node per level, so it meets an interval in exactly one of its nodes."""
+    s, e = F.col(start).cast("bigint"), F.col(end).cast("bigint")
+
+    def whole(width: int) -> tuple[Column, Column]:
+        return F.ceil(s / width).cast("bigint"), F.floor(e / width).cast("bigint")
+
+    def run(level: int, first: Column, stop: Column) -> Column:
+        nodes = F.when(first < stop, F.sequence(first, F.greatest(stop - 1, first))).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(nodes, lambda n: F.struct(F.lit(level).alias("_level"), n.alias("_node")))
+
+    runs = []
+    for level in range(LEVELS + 1):
+        first, stop = whole(FAN**level)
+        if level == LEVELS:
+            runs.append(run(level, first, stop))
+        else:
+            above, beyond = (x * FAN for x in whole(FAN ** (level + 1)))
+            nested = above < beyond
+            runs += [run(level, first, F.when(nested, above).otherwise(stop)), run(level, F.when(nested, beyond).otherwise(stop), stop)]
+    return df.where(s < e).withColumn("_n", F.explode(F.concat(*runs))).select("*", "_n.*").drop("_n")
+
+
+def nodes_of_position(position: Column) -> Column:
+    """The node of every level that holds a position."""
+    nodes = [F.struct(F.lit(k).alias("_level"), F.floor(position / FAN**k).cast("bigint").alias("_node")) for k in range(LEVELS + 1)]
+    return F.array(*nodes)
+
+
 def flag_overlaps_merged(
     df: DataFrame, merged: DataFrame, by: Sequence[str], *, start: str, end: str, bin_width: int, name: str = "overlaps"
 ) -> DataFrame:

@@ -84,8 +84,9 @@ FROM probes p JOIN spans s ON s.grp = p.grp AND p.a <= s."end" AND p.b >= s.star
 """,
 )
 def interval_overlap_pairs(spark, sf_dir):
+    # spans of days: an order line's lasts as many as its quantity
     pairs = op.overlap_join(
-        probe_spans(spark, sf_dir), order_spans(spark, sf_dir), ["grp"], start="a", end="b", other_start="start", other_end="end", bin_width=64
+        probe_spans(spark, sf_dir), order_spans(spark, sf_dir), ["grp"], start="a", end="b", other_start="start", other_end="end", bin_width=64, levels=0
     )
     shared = iv.overlap_length("a", "b", "start", "end")
     return rounded(
