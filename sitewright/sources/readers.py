@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.expressions import missing_to_null
 from ..functions.intervals import bin_start
 from ..functions.sequences import base_identifier, packed_field
-from ..operators.intervals import overlap_join
+from ..operators.intervals import covering_nodes, nodes_of_position
 from ..operators.joins import matching
-from ..operators.ranking import best_row, join_back, row_positions
+from ..operators.ranking import best_row, join_back, nulls_last, row_positions
 
 ASSOCIATION = "SNP_hg19 string, rsid string, A1 string, A2 string, beta double, se double, `P-value` double"
 EQTL = "gene_id string, variant_id string, slope double, slope_se double, pval_nominal double"
@@ -203,21 +203,32 @@ def tissue_expression(spark: SparkSession, path: str, *, tissue: str, eligible:
 
 
 def lift_positions(variants: DataFrame, blocks: DataFrame, *, chrom: str, pos: str, key: Sequence[str], bin_width: int = 1 << 20) -> DataFrame:
-    """Map 1-based positions through chain blocks: the covering block of the best chain, strand-aware."""
-    zero = F.col("_zero")
-    placed = variants.withColumn("_zero", F.col(pos) - 1).withColumn("source_chrom", F.col(chrom))
-    spans = blocks.withColumn("_last", F.col("source_end") - 1)
-    candidates = overlap_join(
-        placed, spans, ["source_chrom"], start="_zero", end="_zero", other_start="source_start", other_end="_last", bin_width=bin_width
+    """Map 1-based positions through chain blocks: the covering block of the best chain, strand-aware.
+
+    Every block is cut into nodes of growing width, of which a position lies in one per level. A node keeps the best block
+    of each strand, so a position meets a few of them however many blocks cover it; positions are looked up once each.
+    (``bin_width`` no longer matters.)"""
+    zero, strand = F.col("_zero"), F.col("target_strand")
+    # equal chains on one strand differ by what they add to a position, so the order among them is the same everywhere
+    shift = F.when(strand == "-", F.col("target_size") - F.col("target_start") + F.col("source_start")).otherwise(
+        F.col("target_start") - F.col("source_start") + 1
     )
-    offset = F.col("target_start") + zero - F.col("source_start")
-    lifted = F.when(F.col("target_strand") == "-", F.col("target_size") - offset).otherwise(offset + 1)
-    best = best_row(
-        candidates.select(*key, "target_chrom", lifted.alias("lifted_pos"), F.col("target_strand").alias("lifted_strand"), "score", "chain_id"),
-        key,
-        [-F.col("score"), F.col("chain_id"), F.col("lifted_pos")],
-    ).drop("score", "chain_id")
-    return variants.join(best, list(key), "left")
+    order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(nulls_last([-F.col("score"), F.col("chain_id"), shift]))])
+    block = F.struct("score", "chain_id", shift.alias("shift"), strand.alias("strand"), "target_chrom")
+    nodes = covering_nodes(blocks, "source_start", "source_end").withColumn("_minus", F.coalesce(strand == "-", F.lit(False)))
+    best_blocks = nodes.groupBy("source_chrom", "_level", "_node", "_minus").agg(F.min_by(block, order).alias("_b"))
+
+    placed = variants.select(*key, F.col(chrom).alias("source_chrom"), (F.col(pos) - 1).cast("bigint").alias("_zero"))
+    places = placed.select("source_chrom", "_zero").distinct()
+    looked = places.withColumn("_n", F.explode(nodes_of_position(zero))).select("source_chrom", "_zero", "_n.*")
+    met = looked.join(best_blocks, ["source_chrom", "_level", "_node"]).select("source_chrom", "_zero", "_b.*")
+    lifted = F.when(F.col("strand") == "-", F.col("shift") - zero).otherwise(F.col("shift") + zero)
+    choice = [-F.col("score"), F.col("chain_id"), F.col("lifted_pos")]
+    best = best_row(met.withColumn("lifted_pos", lifted), ["source_chrom", "_zero"], choice)
+    found = placed.join(best, ["source_chrom", "_zero"])
+    # a key that names several positions keeps the best of theirs
+    chosen = best_row(found, key, choice).select(*key, "target_chrom", "lifted_pos", F.col("strand").alias("lifted_strand"))
+    return variants.join(chosen, list(key), "left")
 
 
 def select_tracks(tracks: DataFrame, by: Sequence[str], wanted: Column) -> DataFrame:

@@ -116,3 +116,45 @@ def test_the_sql_of_merged_intervals_does_not_depend_on_ties(name):
         else:
             told = '"overlaps" <> (a % 100 < 23 AND a < 400 OR b > a // 100 * 100 + 100 AND a < 300)'
             assert con.execute(f"SELECT count(*) FROM ({ORACLES[name]}) WHERE {told}").fetchone()[0] == 0
+
+
+@pytest.mark.parametrize("levels", [0, 2])
+def test_overlap_join_with_fewer_levels(spark, levels):
+    rows, others = spans(3, 120, 500), spans(4, 120, 300)
+    left = spark.createDataFrame(rows, "g string, i int, s long, e long")
+    right = spark.createDataFrame(others, "g string, j int, s2 long, e2 long")
+    pairs = op.overlap_join(left, right, ["g"], start="s", end="e", other_start="s2", other_end="e2", bin_width=64, levels=levels)
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.i, r.j) for r in pairs.collect())
+    assert got == sorted((i, j) for g, i, s, e in rows for h, j, s2, e2 in others if g == h and g and s <= e2 and e >= s2)
+    short = spark.createDataFrame([(0, 40), (70, 75)], "s long, e long")
+    assert op._nested_bins(short, "s", "e", 64, first=False, levels=levels).count() == 2 * (2 + levels)
+
+
+def lifted_by_hand(pos, blocks):
+    best = None
+    for chain, score, s, e, t, strand in blocks:
+        if s <= pos - 1 < e:
+            lifted = 9000 - (t + pos - 1 - s) if strand == "-" else t + pos - s
+            best = min(best or (1, 0, 0, ""), (-score, chain, lifted, strand))
+    return (best[2], best[3]) if best else (None, None)
+
+
+def test_lift_over_many_covering_blocks(spark):
+    from sitewright.sources import readers
+
+    rng = random.Random(5)
+    blocks = []
+    for i in range(300):
+        s = rng.randrange(0, 900)
+        blocks.append((i // 2, i % 5 + 1, s, s + rng.choice([0, 1, 7, 64, 513, 4000]), rng.randrange(3000), rng.choice("+-")))
+    told = [(c, k, "x", s, e, "t", t, d, 9000) for c, k, s, e, t, d in blocks]
+    table = spark.createDataFrame(told, "chain_id long, score long, source_chrom string, source_start long, source_end long, target_chrom string, target_start long, target_strand string, target_size long")
+    variants = spark.createDataFrame([(i, c, p) for i, (c, p) in enumerate([(c, p) for c in ("x", "y", None) for p in [*range(1, 1500, 7), 5000, None]])], "id int, chrom string, pos long")
+    found = readers.lift_positions(variants, table, chrom="chrom", pos="pos", key=["id"]).collect()
+    assert len(found) == variants.count()
+    for r in found:
+        want = lifted_by_hand(r.pos, blocks) if r.chrom == "x" and r.pos is not None else (None, None)
+        assert (r.lifted_pos, r.lifted_strand) == want
+    # as many rows meet a position as there are levels, not as many as blocks cover it
+    assert op.covering_nodes(table.select(F.lit(0).alias("s"), F.lit(4096).alias("e")), "s", "e").count() == 300
