@@ -127,3 +127,22 @@ def test_a_component_without_another_order_has_no_state(spark):
     assert found[2][0] is not None and found[2][1] not in (None, "h2")
     text = F.lit(None).cast("string")
     assert spark.range(1).select(sc.state_key(F.lit("h"), sc.one_edit(F.lit(0), F.lit(1), text, F.lit("A")))).first()[0] is None
+
+
+def test_motifs_are_scored_where_they_are(spark):
+    weights = spark.createDataFrame([("m", k, b, float(10 * k + i)) for k in range(2) for i, b in enumerate("ACGT")], "m string, o int, b string, log_odds double")
+    rows = [(1, "m", "AC"), (1, "m", "AC"), (2, "m", "TT"), (3, "m", "AN"), (4, "m", ""), (5, "m", None), (6, "other", "AC")]
+    df = spark.createDataFrame(rows, "i int, m string, s string")
+    found = mt.score_oriented(df, weights, ["i"], matrix="m", offset="o", base="b", motif="s", name="v").collect()
+    low = float("-inf")
+    assert sorted((r.i, r.v) for r in found if r.v is not None) == [(1, 11.0), (1, 11.0), (2, 16.0), (3, low), (6, low)]
+    assert sorted(r.i for r in found if r.v is None) == [4, 5]
+
+
+def test_scan_passes_tiles_without_a_sequence(spark):
+    counts = spark.createDataFrame([("m", k, b, 9 if b == "ACG"[k] else 0) for k in range(3) for b in "ACGT"], "matrix_id string, offset int, base string, count int")
+    packed = mt.pack_matrices(mt.log_odds(counts, matrix="matrix_id", offset="offset", base="base", count="count"), matrix="matrix_id", offset="offset", base="base")
+    # more bases than are scanned at a time
+    tiles = spark.createDataFrame([(0, 0, None), *((i, 0, "TACGT" + "T" * 995) for i in range(1, 600))], "id int, tile_start int, seq string")
+    hits = mt.scan_matrices(tiles.repartition(1), packed, sequence="seq", tile=1000, min_fraction=0.99).collect()
+    assert sorted((r.id, r.start, r.strand) for r in hits if r.strand == "+") == [(i, 1, "+") for i in range(1, 600)]
