@@ -146,3 +146,11 @@ def test_scan_passes_tiles_without_a_sequence(spark):
     tiles = spark.createDataFrame([(0, 0, None), *((i, 0, "TACGT" + "T" * 995) for i in range(1, 600))], "id int, tile_start int, seq string")
     hits = mt.scan_matrices(tiles.repartition(1), packed, sequence="seq", tile=1000, min_fraction=0.99).collect()
     assert sorted((r.id, r.start, r.strand) for r in hits if r.strand == "+") == [(i, 1, "+") for i in range(1, 600)]
+
+
+def test_whole_texts_are_shuffled_as_pieces_are(spark):
+    rows = [(1, DNA), (2, "ACNNGT-TTé"), (3, ""), (None, "ACGTTGCA"), (5, None), (6, "A")]
+    df = spark.createDataFrame(rows, "i int, s string")
+    keys = (F.lit("20"), F.col("i"))
+    for r in df.select(ds.shuffled(F.col("s"), *keys).alias("a"), ds.shuffled_texts(F.col("s"), *keys).alias("b")).collect():
+        assert r.a == r.b
