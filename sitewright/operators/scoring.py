@@ -188,6 +188,12 @@ def shard_of(key: str | Column = "key", prefix: int = 1) -> Column:
     return F.substring(F.col(key) if isinstance(key, str) else key, 1, prefix)
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """The side of a join that must not be broadcast. Stores and designs shrink in their files (one region's rows share a
+    hash, a call's rows its name), so Spark takes them for small and would hold many times that size on the driver."""
+    return df.hint("merge")
+
+
 def read_store(spark: SparkSession, path: str, outputs: str, shards: Sequence[str] | None = None) -> DataFrame:
     """The score store (key, outputs, call, attempts), empty before the first append. With ``shards`` only those folders
     are read."""
@@ -218,7 +224,7 @@ def pending_states(spark: SparkSession, designs: DataFrame, by: Sequence[str], s
     if prune:
         shards = [row.shard for row in designs.select(shard_of("key", prefix).alias("shard")).distinct().collect()]
     states = designs.select("key", *by, "edits").dropDuplicates(["key"])
-    return states.join(read_store(spark, store_path, outputs, shards).select("key"), "key", "left_anti")
+    return states.join(sorted_side(read_store(spark, store_path, outputs, shards).select("key")), "key", "left_anti")
 
 
 def score_pending(
@@ -242,7 +248,7 @@ def score_pending(
     ``by`` names the region of a state; ``regions`` has its ``sequence`` and the ``extra`` columns that the scorer reads.
     The join ships a region's sequence once, however many states it has; edited sequences cross no shuffle."""
     todo = pending_states(spark, designs, by, store_path, outputs, prefix=prefix, prune=prune)
-    joined = todo.join(regions.select(*by, F.col(sequence).alias("_region"), *extra), list(by))
+    joined = todo.join(sorted_side(regions.select(*by, F.col(sequence).alias("_region"), *extra)), list(by))
     states = joined.select("key", sq.apply_edits("_region", "edits").alias("sequence"), *extra)
     scored = score_batches(states, scorer, outputs=outputs, batch_size=batch_size, attempts=attempts, extra=extra)
     append_store(scored, store_path, prefix)
@@ -251,7 +257,7 @@ def score_pending(
 def with_scores(spark: SparkSession, designs: DataFrame, store_path: str, outputs: str = SIGNAL) -> DataFrame:
     """Expand stored scores to all design rows."""
     scores = latest(read_store(spark, store_path, outputs).drop("call", "attempts"), ["key"])
-    return designs.join(scores, "key", "left")
+    return designs.join(sorted_side(scores), "key", "left")
 
 
 def latest(store: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
@@ -279,7 +285,7 @@ def contrast_to_native(spark: SparkSession, states: DataFrame, store_path: str,
     """States with their stored ``signal``, the ``native`` state's as ``native_signal``, and ``contrast`` between them."""
     scores = latest(read_store(spark, store_path, outputs).select("key", F.col(signal).alias("signal")), ["key"])
     native = scores.select(F.col("key").alias("region_hash"), F.col("signal").alias("native_signal"))
-    joined = states.join(scores, "key", "left").join(native, "region_hash", "left")
+    joined = states.join(sorted_side(scores), "key", "left").join(sorted_side(native), "region_hash", "left")
     return joined.withColumn("contrast", F.col("signal") - F.col("native_signal"))
 
 

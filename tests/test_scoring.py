@@ -254,3 +254,15 @@ def test_window_states_of_tiles(spark):
     states = sc.window_states(tiles, ["doc", "tile_start"], sequence="seq", width=3, step=2)
     edited = states.join(tiles, ["doc", "tile_start"]).select("tile_start", "window_start", sq.apply_edits("seq", "edits").alias("s"))
     assert {tuple(r) for r in edited.collect()} == {(0, 0, "TGCTAC"), (0, 2, "ACCATC"), (4, 0, "TGCTAC"), (4, 2, "ACCATC")}
+
+
+def test_stores_are_not_broadcast(spark, tmp_path):
+    regions = spark.createDataFrame([(1, "ACGT"), (2, "TTTT")], "doc int, seq string")
+    designs, store = sc.native_states(regions, ["doc"], sequence="seq"), str(tmp_path / "store")
+    sc.score_pending(spark, designs, regions, ["doc"], store, sc.composition_scorer, sequence="seq")
+    states = designs.withColumn("region_hash", F.col("key"))
+    for found in (
+        sc.pending_states(spark, designs, ["doc"], store, sc.SIGNAL), sc.with_scores(spark, designs, store), sc.contrast_to_native(spark, states, store),
+    ):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
