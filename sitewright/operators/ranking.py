@@ -18,6 +18,7 @@ from .joins import null_matching_join
 
 SPLIT_EVERY = 4096
 SPLIT_POINTS = 255
+SPREAD = 32
 
 UP_TO_PREVIOUS = (Window.unboundedPreceding, -1)
 
@@ -29,6 +30,16 @@ def join_back(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(F.broadcast(right), F.lit(True), how)
 
 
+def join_spread(left: DataFrame, right: DataFrame, keys: Sequence[str], on: Column, how: str = "inner") -> DataFrame:
+    """``join_back`` of one row per group where a few groups may hold most rows: each group is dealt over ``SPREAD`` parts
+    by a hash of ``on``, and its one row goes to all of them."""
+    if not keys:
+        return join_back(left, right, keys, how)
+    parted = left.withColumn("_part", F.pmod(F.xxhash64(on), F.lit(SPREAD)).cast("int"))
+    copies = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return join_back(parted, copies, [*keys, "_part"], how).drop("_part")
+
+
 def nulls_last(order: Sequence[Column]) -> list[Column]:
     """The ascending ``order`` with missing values after all others."""
     return [part for c in order for part in (c.isNull(), c)]
@@ -41,7 +52,10 @@ def window_order(order: Sequence[Column]) -> list[Column]:
 
 
 def _cut_points(df: DataFrame, by: list[str], value: str, split_every: int) -> DataFrame:
-    hashed = df.select(*by, value, F.xxhash64(F.col(value)).alias("_h")).where(F.pmod("_h", F.lit(split_every)) == 0)
+    """At most ``SPLIT_POINTS`` cut points per group, each once. The grid is the group's own, so that even a value that
+    all groups have is a cut point in a few of them only: there are about as many points as entries / ``split_every``."""
+    hashed = df.where(F.col(value).isNotNull()).select(*by, value, F.xxhash64(*by, value).alias("_h"))
+    hashed = hashed.where(F.pmod("_h", F.lit(split_every)) == 0).distinct()
     if not by:
         hashed = hashed.orderBy("_h", value).limit(SPLIT_POINTS)
         return hashed.agg(F.sort_array(F.collect_list(value)).alias("_cuts"))
@@ -55,12 +69,17 @@ def _cut_points(df: DataFrame, by: list[str], value: str, split_every: int) -> D
 
 
 def with_cells(df: DataFrame, by: Sequence[str], value: str, *, split_every: int = SPLIT_EVERY) -> DataFrame:
-    """Add ``_cell``, a bucket number that grows with ``value`` inside each group (0 everywhere in small groups)."""
+    """Add ``_cell``, a bucket number that grows with ``value`` inside each group (0 everywhere in small groups).
+
+    Groups without cut points are not in the small table of cuts, so it is broadcast: a join on the groups alone would
+    send each group to one task."""
     by = list(by)
-    cuts = _cut_points(df, by, value, split_every)
+    cuts = F.broadcast(_cut_points(df, by, value, split_every))
     entry = F.col(value)
     joined = join_back(df, cuts, by, "left")
-    cell = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("_cuts", lambda c: c < entry)))
+    # bisection: the number of cuts below the entry, in as many steps as SPLIT_POINTS has bits
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(SPLIT_POINTS.bit_length()))])
+    cell = F.aggregate(steps, F.lit(0), lambda at, n: at + F.when(F.get("_cuts", at + n - 1) < entry, n).otherwise(F.lit(0)))
     return joined.withColumn("_cell", cell).drop("_cuts")
 
 
@@ -113,15 +132,17 @@ def row_positions(
     keyed = df.withColumn("_order", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
     celled = with_cells(keyed, by, "_order", split_every=split_every)
     across = Window.partitionBy(*by).orderBy("_cell").rowsBetween(*UP_TO_PREVIOUS)
+    # nothing lies before a first cell, so there are no more rows than cut points: few enough to broadcast
     before = (
         celled.groupBy(*by, "_cell")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*by, "_cell", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_before"))
+        .select(*by, "_cell", F.sum("_n").over(across).alias("_before"))
+        .where(F.col("_cell") > 0)
     )
     within = Window.partitionBy(*by, "_cell").orderBy("_order")
     return (
-        join_back(celled, before, [*by, "_cell"])
-        .withColumn(name, (F.col("_before") + F.row_number().over(within)).cast("bigint"))
+        join_back(celled, F.broadcast(before), [*by, "_cell"], "left")
+        .withColumn(name, (F.coalesce("_before", F.lit(0)) + F.row_number().over(within)).cast("bigint"))
         .drop("_order", "_cell", "_before")
     )
 

@@ -12,7 +12,7 @@ from ..functions.intervals import bin_start
 from ..functions.sequences import base_identifier, packed_field
 from ..operators.intervals import covering_nodes, nodes_of_position
 from ..operators.joins import matching
-from ..operators.ranking import best_row, join_back, nulls_last, row_positions
+from ..operators.ranking import best_row, join_spread, nulls_last, row_positions
 
 ASSOCIATION = "SNP_hg19 string, rsid string, A1 string, A2 string, beta double, se double, `P-value` double"
 EQTL = "gene_id string, variant_id string, slope double, slope_se double, pval_nominal double"
@@ -185,7 +185,7 @@ def repair_outcomes(df: DataFrame, *, experiment: str) -> DataFrame:
         F.col("position").cast("string"), F.regexp_replace("Cons", r"^\*/", ""),
     )
     return (
-        join_back(ranked, totals, [experiment])
+        join_spread(ranked, totals, [experiment], F.col("rank_in_experiment"))
         .withColumn("share", F.col("reads") / F.col("_t"))
         .withColumn("edit_id", F.translate(label, "+/", "__"))
         .drop("_t")

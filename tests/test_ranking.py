@@ -82,3 +82,24 @@ def test_force_member_takes_the_last_place(spark):
     df = spark.createDataFrame([("a", 5), ("b", 4), ("c", 3), ("must", 1)], "k string, s int")
     rows = rk.force_member(df, [], [F.desc("s"), F.col("k")], 2, F.col("k") == "must").orderBy("rank").collect()
     assert [r.k for r in rows] == ["must", "a"]
+
+
+def test_cells_count_the_cuts_below(spark):
+    """Cuts reach the rows without sending each group to one task, and bisection counts as comparing with all does."""
+    rows = spark.createDataFrame([(g, (7 * i) % 1009 / 3) for g in ("a", "b", None) for i in range(1500)] + [("a", None)], "g string, v double")
+    celled = rk.with_cells(rows, ["g"], "v", split_every=2)
+    joins = [line for line in celled._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line]
+    assert len(joins) == 1 and "BroadcastHashJoin" in joins[0]
+    cuts = {r.g: r._cuts for r in rk._cut_points(rows, ["g"], "v", 2).collect()}
+    assert all(200 < len(set(c)) == len(c) <= rk.SPLIT_POINTS for c in cuts.values()) and len(cuts) == 3
+    for r in celled.collect():
+        assert r._cell == (0 if r.v is None else sum(c < r.v for c in cuts[r.g]))
+
+
+def test_spread_join_keeps_rows_and_parts_groups(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(200)] + [(None, 1), ("z", 2)], "g string, i int")
+    totals = spark.createDataFrame([("a", 10), (None, 20)], "g string, t int")
+    joined = rk.join_spread(rows, totals, ["g"], F.col("i"), "left")
+    assert "_part" in joined._jdf.queryExecution().optimizedPlan().toString()
+    found = sorted(((r.g, r.i, r.t) for r in joined.collect()), key=str)
+    assert found == sorted([("a", i, 10) for i in range(200)] + [(None, 1, 20), ("z", 2, None)], key=str)

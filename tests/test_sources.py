@@ -38,3 +38,12 @@ def test_general_floats_are_rounded_from_their_exact_value(spark):
     values = [16516654225.0, 2395.2356725, 1e-5, -0.5, 0.0, 1e23, 123.0, None]
     rows = spark.createDataFrame(list(enumerate(values)), "i int, x double").select("i", format_general(F.col("x")).alias("t")).collect()
     assert {r.i: r.t for r in rows} == {i: None if v is None else "%.10g" % v for i, v in enumerate(values)}
+
+
+def test_repair_shares_do_not_send_an_experiment_to_one_task(spark):
+    rows = spark.createDataFrame([("e", str(10 + i % 7), str(i), "*/+A") for i in range(50)] + [(None, "3", "1", "*/-C")], ["experiment", "Reads", "Position (hg18)", "Cons"])
+    found = readers.repair_outcomes(rows, experiment="experiment")
+    assert "_part" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = found.collect()
+    assert sorted(r.rank_in_experiment for r in got if r.experiment) == list(range(1, 51))
+    assert abs(sum(r.share for r in got if r.experiment) - 1) < 1e-12 and [r.share for r in got if r.experiment is None] == [1.0]
