@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import Z95, guarded_ratio, hash_index, keyed_digest
 from ..session import staged
-from .ranking import SPLIT_EVERY, exact_quantiles, join_back, row_positions, value_ranks
+from .ranking import SPLIT_EVERY, exact_quantiles, join_back, join_spread, row_positions, value_ranks
+
+#: Draws of clusters that one task makes or counts.
+DRAWS_PER_TASK = 1 << 18
 
 
 def cluster_counts(df: DataFrame, by: Sequence[str], cluster: str, positive: Column) -> DataFrame:
@@ -72,20 +75,36 @@ def cluster_draws(
 ) -> DataFrame:
     """How often (``_times``) each cluster enters each replicate (``_b``); ``clusters`` has one row per cluster."""
     by = list(by)
-    numbers = F.sequence(F.lit(0), F.lit(replicates - 1))
     if method == "poisson":
-        drawn = clusters.withColumn("_b", F.explode(numbers))
+        drawn = clusters.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
         return drawn.withColumn("_times", poisson_weight(seed, F.col(cluster), F.col("_b"), *[F.col(c) for c in by]))
+    packed = packed_draws(clusters, by, cluster=cluster, replicates=replicates, seed=seed, split_every=split_every)
+    return packed.select(*clusters.columns, F.inline("_d"))
+
+
+def packed_draws(
+    clusters: DataFrame, by: Sequence[str], *, cluster: str, replicates: int, seed: int, split_every: int = SPLIT_EVERY
+) -> DataFrame:
+    """The clusters that any replicate draws, with ``_d``: a list of (``_b``, ``_times``).
+
+    Draws are made and counted in as many tasks as there are ``DRAWS_PER_TASK`` of them, whatever the number of groups, and
+    leave their task as one list per cluster. Clusters are counted first, so they should be staged."""
+    by = list(by)
+    tasks = -(-clusters.count() * replicates // DRAWS_PER_TASK) or 1
     indexed = row_positions(clusters, by, [F.col(cluster)], name="_slot", split_every=split_every)
     sizes = clusters.groupBy(*by).agg(F.count(F.lit(1)).alias("_k"))
-    slots = join_back(indexed, sizes, by)
+    slots = join_back(indexed.select(*by, "_slot"), sizes, by).repartition(tasks, *by, "_slot")
+    drawn = hash_index(F.col("_k"), seed, *[F.col(c) for c in by], F.col("_b"), F.col("_slot")) + 1
     draws = (
-        slots.select(*by, "_slot", "_k", F.explode(numbers).alias("_b"))
-        .select(*by, "_b", (hash_index(F.col("_k"), seed, *[F.col(c) for c in by], F.col("_b"), F.col("_slot")) + 1).alias("_slot"))
+        slots.select(*by, "_slot", "_k", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_b"))
+        .select(*by, drawn.alias("_slot"), "_b")
+        .repartition(tasks, *by, "_slot")
         .groupBy(*by, "_slot", "_b")
         .agg(F.count(F.lit(1)).alias("_times"))
+        .groupBy(*by, "_slot")
+        .agg(F.collect_list(F.struct("_b", "_times")).alias("_d"))
     )
-    return join_back(draws, indexed, [*by, "_slot"])
+    return join_back(indexed, draws, [*by, "_slot"])
 
 
 def poisson_weight(seed: int, *key: Column) -> Column:
@@ -124,7 +143,7 @@ def quantile_bins(
     probs = {f"_e{i}": i / bins for i in range(bins + 1)}
     edges = exact_quantiles(df, by, value, probs, split_every=split_every)
     packed = edges.select(*by, F.array_sort(F.array_distinct(F.array(*probs))).alias("_edges"))
-    joined = join_back(df, packed, by, "left")
+    joined = join_spread(df, packed, by, F.col(value), "left")
     v = F.col(value)
     below = F.size(F.filter("_edges", lambda e: e < v))
     inside = v.isNotNull() & (F.size("_edges") > 1)
