@@ -20,7 +20,7 @@ from ..session import staged
 from .association import complete_pairs
 from .joins import null_matching_join
 from .ranking import SPLIT_EVERY, with_cells
-from .resampling import cluster_draws
+from .resampling import cluster_draws, packed_draws
 
 #: Partial sums that a task holds before it hands them on.
 HELD_GROUPS = 4096
@@ -32,8 +32,12 @@ def multiplicities(
 ) -> DataFrame:
     """``_m`` of every cluster (one row each): how often it enters each replicate, a byte each, and a closing 1."""
     by = list(by)
-    draws = cluster_draws(clusters, by, cluster=cluster, replicates=replicates, seed=seed, method=method, split_every=split_every)
-    drawn = draws.groupBy(*by, cluster).agg(F.collect_list(F.struct("_b", F.col("_times").cast("long").alias("_times"))).alias("_d"))
+    if method == "multinomial":
+        drawn = packed_draws(clusters, by, cluster=cluster, replicates=replicates, seed=seed, split_every=split_every)
+        drawn = drawn.select(*by, cluster, "_d")
+    else:
+        draws = cluster_draws(clusters, by, cluster=cluster, replicates=replicates, seed=seed, method=method, split_every=split_every)
+        drawn = draws.groupBy(*by, cluster).agg(F.collect_list(F.struct("_b", F.col("_times").cast("long").alias("_times"))).alias("_d"))
     every = null_matching_join(clusters.select(*by, cluster), drawn, [*by, cluster], how="left")
 
     def dense(batches):

@@ -122,3 +122,18 @@ def test_bootstrap_plans_few_scans(spark):
     found = rp.bootstrap_spearman(rows, ["g"], "a", "b", cluster="c", replicates=5, seed=1)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") <= 10
+
+
+def test_draws_are_dealt_over_tasks(spark, monkeypatch):
+    from sitewright.operators import resampling as rs
+
+    clusters = spark.createDataFrame([("a", f"c{i:02}") for i in range(40)] + [(None, "d")], "g string, c string")
+
+    def draws():
+        return rs.cluster_draws(clusters, ["g"], cluster="c", replicates=25, seed=3)
+
+    whole = sorted(map(str, draws().collect()))
+    monkeypatch.setattr(rs, "DRAWS_PER_TASK", 100)
+    assert "_slot#" in (plan := draws()._jdf.queryExecution().executedPlan().toString()) and plan.count(", 11), REPARTITION_BY_NUM") >= 2
+    assert sorted(map(str, draws().collect())) == whole
+    assert sum(r._times for r in draws().collect()) == 41 * 25
