@@ -14,6 +14,8 @@ from ..session import staged
 from .ranking import best_row, join_back, window_order
 
 TILE = 1 << 18
+#: Candidates of ``greedy_intervals`` that one task puts into their bins.
+CANDIDATES_PER_TASK = 1 << 15
 UP_TO_PREVIOUS = (Window.unboundedPreceding, -1)
 
 
@@ -182,7 +184,9 @@ def greedy_intervals(
         F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*order, F.col(key)])]).alias("_o"),
     )
     rest, taken, cell = staged(placed, "candidates"), None, ["_g", "_level", "_bin"]
-    while not rest.isEmpty():
+    while n_left := rest.count():
+        # every candidate becomes a row per level, which small files packed into one task would not show
+        rest = rest.repartition(-(-n_left // CANDIDATES_PER_TASK), "_g", "_key")
         shown = _nested_bins(rest, "start", "end", bin_width, first=False)  # side 1: at home, side 0: at home or above
         bests = shown.groupBy(*cell).agg(F.min(F.when(F.col("_side") == 1, F.col("_o"))).alias("_home"), F.min("_o").alias("_any"))
         # at home everything in the bin counts, above it what is at home there

@@ -93,6 +93,19 @@ def test_greedy_intervals(spark, bin_width, limit):
     assert sorted((tuple(r) for r in found.collect()), key=key) == sorted(want, key=key)
 
 
+def test_greedy_intervals_are_dealt_over_tasks(spark, monkeypatch):
+    df = spark.createDataFrame(spans(3, 60, 300)[:40], "g string, i int, s long, e long").coalesce(1)
+
+    def run():
+        found = op.greedy_intervals(df, ["g"], key="i", start="s", end="e", order=[F.col("i") % 5], bin_width=16)
+        return sorted(map(str, found.collect()))
+
+    whole, seen, dealt = run(), [], type(df).repartition
+    monkeypatch.setattr(op, "CANDIDATES_PER_TASK", 15)
+    monkeypatch.setattr(type(df), "repartition", lambda self, n, *by: (seen.append(n), dealt(self, n, *by))[1])
+    assert run() == whole and seen[0] == -(-df.count() // 15) and min(seen) < seen[0]
+
+
 def test_greedy_intervals_of_an_empty_table(spark):
     df = spark.createDataFrame([], "g string, i int, s long, e long")
     assert op.greedy_intervals(df, ["g"], key="i", start="s", end="e", order=[F.col("i")], bin_width=8).collect() == []
