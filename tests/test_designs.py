@@ -154,3 +154,13 @@ def test_whole_texts_are_shuffled_as_pieces_are(spark):
     keys = (F.lit("20"), F.col("i"))
     for r in df.select(ds.shuffled(F.col("s"), *keys).alias("a"), ds.shuffled_texts(F.col("s"), *keys).alias("b")).collect():
         assert r.a == r.b
+
+
+def test_occurrences_are_not_looked_up_at_every_place(spark):
+    texts = ["ATATATATGATAT", "ATAT", "TAT", "", None, "é\U0001f600ATATATxATAT\nATAT", "x.+x.+x"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    for pattern in ("ATAT", ".+x"):
+        found = df.select("s", sq.occurrences("s", pattern).alias("o"))
+        assert "sequence(" not in found._jdf.queryExecution().optimizedPlan().toString()
+        for r in found.collect():
+            assert r.o == [i for i in range(len(r.s or "")) if r.s[i:].startswith(pattern)]
