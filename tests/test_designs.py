@@ -164,3 +164,10 @@ def test_occurrences_are_not_looked_up_at_every_place(spark):
         assert "sequence(" not in found._jdf.queryExecution().optimizedPlan().toString()
         for r in found.collect():
             assert r.o == [i for i in range(len(r.s or "")) if r.s[i:].startswith(pattern)]
+
+
+def test_canonical_count(spark):
+    df = spark.createDataFrame([("ACGTN-acgé",), ("",), (None,)], "s string")
+    counted = df.select(sq.canonical_count("s").alias("n"))
+    assert "regexp" not in counted._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.n for r in counted.collect()] == [4, 0, None]
