@@ -137,3 +137,12 @@ def test_draws_are_dealt_over_tasks(spark, monkeypatch):
     assert "_slot#" in (plan := draws()._jdf.queryExecution().executedPlan().toString()) and plan.count(", 11), REPARTITION_BY_NUM") >= 2
     assert sorted(map(str, draws().collect())) == whole
     assert sum(r._times for r in draws().collect()) == 41 * 25
+
+
+def test_quantile_bins_part_their_groups(spark):
+    from sitewright.operators import resampling as rs
+
+    rows = spark.createDataFrame([(g, i) for g in ("a", None) for i in range(20)], "g string, v int")
+    binned = rs.quantile_bins(rows, ["g"], "v", 4)
+    assert "_part" in binned._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.quantile_bin for r in binned.collect()) == sorted(2 * [1, 2, 3, 4] * 5)
