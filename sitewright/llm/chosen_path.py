@@ -108,7 +108,7 @@ def near_duplicate_classes(
     depth: int = 4,
     sampling: float = 0.7,
     coordinates: int = 64,
-    bucket: int = 128,
+    bucket: int = 16_384,
     leaders: int = 16,
     block: int = 1024,
     id_column: str = "doc_id",
@@ -120,9 +120,10 @@ def near_duplicate_classes(
 
     Equal sets are one node with a number of copies. In each of several runs every node follows sampled coordinates of
     its sketch; nodes that reach the same path share a bucket. Buckets of up to ``bucket`` nodes are compared by
-    sketch. In larger ones of the first split every member is first compared with ``leaders`` members of the
-    bucket, then with as many of those that were related to none. A bucket whose other members are all related to one
-    leader is done, as they are one group. What is left is split again by its next coordinates, up to ``depth`` times, and
+    sketch, each member with those that no group has yet, so that alike ones cost a comparison or two and a bucket makes no
+    more rows than it has members. In larger ones every member is first compared with ``leaders`` members of the
+    bucket, then with as many of those that were related to none. A bucket whose other members are all related to leaders
+    that hang together is done, as they are one group. What is left is split again by its next coordinates, up to ``depth`` times, and
     a bucket that is still larger (many sets alike) is taken as related as a whole. The number of runs follows from ``recall`` at the
     threshold and the full depth. What is related so is then compared exactly, each group of related sets in blocks of
     ``block`` against one another, so links are counted once and no list of pairs is made.
@@ -207,11 +208,11 @@ def _related(sets: DataFrame, runs: int, threshold: float, depth: int, sampling:
         large = members.filter(F.col("members") > bucket)
         last = level == depth or large.isEmpty()
         # a bucket of two or more is compared by sketch: at most ``bucket`` rows of a path meet in a task
-        met = small.select("path", "node").join(sets, "node").repartition("path").sortWithinPartitions("path")
+        met = small.select("path", "node").join(sets, "node").repartition("path").sortWithinPartitions("path", "node")
         edges = met.mapInArrow(_bucket_links(threshold), "a long, b long")
         if last:
             edges = edges.union(large.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        elif level == 1:
+        else:
             judged = _judged(large.select("path", "node"), sets, leaders, threshold)
             done = staged(_one_group(judged), "done")
             edges = edges.union(judged.join(done, "path", "left_semi").select(F.col("node").alias("a"), F.explode("roots").alias("b")))
@@ -241,12 +242,23 @@ def _judged(members: DataFrame, sets: DataFrame, leaders: int, threshold: float)
 
 
 def _one_group(judged: DataFrame) -> DataFrame:
-    """The paths of buckets where all members that do not lead are related to one and the same leader. They are one group,
-    and the leaders were compared with every member, so no pair of the bucket is left to find."""
-    led = judged.filter("NOT leading")
-    sizes = led.groupBy("path").agg(F.count("*").alias("members"))
-    roots = led.select("path", F.explode("roots").alias("root")).groupBy("path", "root").agg(F.count("*").alias("held"))
-    return sizes.join(roots.groupBy("path").agg(F.max("held").alias("held")), "path").filter("held = members").select("path")
+    """The paths of buckets where all members that do not lead are related to leaders, and these hang together through
+    members they share. They are one group, and the leaders were compared with every member, so no pair of the bucket is
+    left to find."""
+    # per path at most the square of its leaders, whatever its members
+    led = judged.filter("NOT leading").select("path", F.size("roots").alias("size"), F.get("roots", F.lit(0)).alias("a"), F.explode_outer("roots").alias("b"))
+    led = led.groupBy("path").agg(F.min("size").alias("least"), F.collect_set(F.struct("a", "b")).alias("held")).filter("least > 0")
+
+    def run(batches):
+        for batch in batches:
+            one = []
+            for held in batch.column("held").to_pylist():
+                ids, places = np.unique([[pair["a"], pair["b"]] for pair in held], return_inverse=True)
+                left, right = places.reshape(-1, 2).T
+                one.append(not local_roots(len(ids), left, right).any())
+            yield pa.RecordBatch.from_arrays([batch.column("path").filter(pa.array(one, pa.bool_()))], names=["path"])
+
+    return led.select("path", "held").mapInArrow(run, "path long")
 
 
 def _led(members: DataFrame, choices: DataFrame, sets: DataFrame, leaders: int, threshold: float) -> DataFrame:
@@ -307,6 +319,23 @@ def grouped(batches, keys: list[str]):
         yield current, pa.Table.from_batches(held)
 
 
+def sketch_roots(sketches: np.ndarray, bar: float) -> np.ndarray:
+    """Per sketch the first one that it hangs together with through pairs which agree at ``bar`` coordinates or more. Each
+    is compared with those that no group holds yet, so memory follows the number of sketches and not of their pairs."""
+    roots = np.arange(len(sketches))
+    rest, left = np.arange(len(sketches)), sketches
+    while len(rest) > 1:
+        root, todo = rest[0], [left[0]]
+        rest, left = rest[1:], left[1:]
+        while todo and len(rest):
+            alike = (left == todo.pop()).sum(axis=1, dtype=np.uint16) >= bar
+            if alike.any():
+                roots[rest[alike]] = root
+                todo.extend(left[alike])
+                rest, left = rest[~alike], left[~alike]
+    return roots
+
+
 def _bucket_links(threshold: float):
     def run(batches):
         out_a, out_b = [], []
@@ -316,11 +345,9 @@ def _bucket_links(threshold: float):
             coordinates = sketches.shape[1]
             # four standard errors below the threshold
             least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / coordinates)
-            agree = np.array([(sketches == s).sum(axis=1) for s in sketches])
-            left, right = np.nonzero(np.triu(agree >= least * coordinates, 1))
-            if len(left):
-                roots = local_roots(len(nodes), left, right)
-                moved = np.flatnonzero(roots != np.arange(len(nodes)))
+            roots = sketch_roots(sketches, least * coordinates)
+            moved = np.flatnonzero(roots != np.arange(len(nodes)))
+            if len(moved):
                 out_a.append(nodes[moved])
                 out_b.append(nodes[roots[moved]])
             if len(out_a) >= 1000:

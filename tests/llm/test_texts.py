@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sitewright.llm.chosen_path import near_duplicate_classes
+from sitewright.llm.chosen_path import _one_group, near_duplicate_classes, sketch_roots
+from sitewright.llm.components import local_roots
 from sitewright.llm.language_centroids import fit_languages, identify_languages
 from sitewright.llm.quality_network import CHUNK, OVERLAP, chunked, fit_quality, probabilities, score_quality
 from sitewright.llm.robust_outliers import robust_outliers
@@ -93,6 +94,43 @@ def test_chosen_path_join_large_group(make_docs):
     assert all(got[i][1] <= n for i, (_, n) in enumerate(want))
 
 
+def test_bucket_is_one_group_through_shared_members(spark):
+    # path 1: leaders 10 and 20 share member 2; path 2: they share none; path 3: a member is related to none
+    held = [(1, 1, [10]), (1, 2, [10, 20]), (1, 3, [20]), (2, 1, [10]), (2, 3, [20]), (3, 1, [10]), (3, 4, []), (4, 1, [10])]
+    rows = [(path, node, roots, False) for path, node, roots in held] + [(path, 20, [], True) for path in (1, 2, 3, 4)]
+    judged = spark.createDataFrame(rows, "path long, node long, roots array<long>, leading boolean")
+    assert sorted(r.path for r in _one_group(judged).collect()) == [1, 4]
+
+
+def test_sketch_roots_brute_force():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 5, (6, 64)).astype(np.uint32)
+    sketches = base[rng.integers(0, 6, 90)]
+    sketches = np.where(rng.random(sketches.shape) < 0.3, rng.integers(0, 99, sketches.shape), sketches).astype(np.uint32)
+    left, right = np.nonzero(np.triu([(sketches == s).sum(axis=1) >= 36 for s in sketches], 1))
+    want = local_roots(len(sketches), left, right)
+    assert 6 < len(set(want)) < 90
+    assert (sketch_roots(sketches, 36) == want).all()
+    # a group of alike ones makes one link a member, to its first
+    assert (sketch_roots(np.repeat(base[:1], 5000, axis=0), 36) == 0).all()
+    assert sketch_roots(sketches[:0], 36).size == 0
+
+
+def test_hundreds_alike_are_compared_without_a_split(make_docs):
+    # more alike texts than a bucket held before; a row of a node and path was made for each split of them
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    texts = []
+    for _ in range(300):
+        own = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            own[rng.randrange(len(own))] = f"w{rng.randrange(3000)}"
+        texts.append(" ".join(own))
+    want = expected_classes(list(enumerate(texts)))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicate_classes(make_docs(texts)).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_one_document_of_each_class_stays(make_docs):
     texts = near_copies(4) + ["", None]
     rows = near_duplicate_classes(make_docs(texts)).collect()
