@@ -122,6 +122,7 @@ def score_batches(
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            done = []  # the calls of a frame leave the task together, not as a small Arrow batch each
             for at in range(0, len(frame), batch_size):
                 piece = frame.iloc[at : at + batch_size].reset_index(drop=True)
                 for attempt in range(1, attempts + 1):
@@ -131,7 +132,9 @@ def score_batches(
                     except Exception:
                         if attempt == attempts:
                             raise
-                yield pd.concat([piece[["key"]], scored], axis=1).assign(call=piece["key"].iloc[0], attempts=np.int32(attempt))
+                done.append(pd.concat([piece[["key"]], scored], axis=1).assign(call=piece["key"].iloc[0], attempts=np.int32(attempt)))
+            if done:
+                yield pd.concat(done, ignore_index=True)
 
     return states.select("key", "sequence", *extra).mapInPandas(run, schema)
 
@@ -165,17 +168,31 @@ def reduced_tracks(scorer: TrackScorer, tracks: Sequence[Track], genes: Sequence
         (g, k, t) for g in genes for k, t in enumerate(tracks) if g.strand not in ("+", "-") or t.strand in (g.strand, ".")
     ]
 
+    names = [{"gene": g.name, "track": t.name, "modality": t.modality} for g, _, t in pairs]
+    windows = list(dict.fromkeys((g.start, g.stop) for g in genes))
+    places = [windows.index((g.start, g.stop)) * len(tracks) + k for g, k, _ in pairs]
+
     def score(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for array in scorer(frame["sequence"]):
+        arrays = scorer(frame["sequence"])
+        alike: dict[int, list[int]] = {}
+        for i, array in enumerate(arrays):
             if array.ndim != 2 or array.shape[1] != len(tracks):
                 raise ValueError(f"the scorer gave an array of shape {array.shape} for {len(tracks)} tracks")
-            row = []
-            for g, k, t in pairs:
-                part = array[g.start : g.stop, k]
-                part = part[~np.isnan(part)]
-                row.append({"gene": g.name, "track": t.name, "modality": t.modality, "value": float(part.mean()) if len(part) else None})
-            rows.append(row)
+            alike.setdefault(len(array), []).append(i)
+        rows: list = [None] * len(arrays)
+        for of in alike.values():
+            # arrays of a length are reduced together, all tracks of a window at once
+            means, missing = np.zeros((2, len(of), len(windows), len(tracks)))
+            for w, (start, stop) in enumerate(windows):
+                part = np.stack([arrays[i][start:stop] for i in of]).astype(np.float64)
+                there = ~np.isnan(part)
+                counts = there.sum(axis=1)
+                np.divide(np.where(there, part, 0.0).sum(axis=1), counts, out=means[:, w], where=counts > 0)
+                missing[:, w] = counts == 0
+            given = means.reshape(len(of), -1)[:, places].astype(object)
+            given[missing.reshape(len(of), -1)[:, places] > 0] = None
+            for i, values in zip(of, given.tolist()):
+                rows[i] = [{**name, "value": value} for name, value in zip(names, values)]
         return pd.DataFrame({"tracks": pd.Series(rows, dtype=object)})
 
     return score
@@ -378,15 +395,18 @@ def variant_effects(
         F.struct(F.lit("ref").alias("side"), no_edits().alias("edits")), F.struct(F.lit("alt").alias("side"), alternative.alias("edits"))
     ))
     states = placed.where("_ok").select(*by, variant, "region_hash", sides.alias("_s")).select(*by, variant, "region_hash", "_s.*")
-    states = states.withColumn("key", state_key("region_hash", "edits"))
+    # every regime reads the states twice: their join with the regions and the hashes are made once
+    states = staged(states.withColumn("key", state_key("region_hash", "edits")), "states")
 
     scored = None
     for regime, scorer in regimes.items():
         store = f"{store_root}/{regime}"
         reduced = reduced_tracks(scorer, tracks, genes)
         score_pending(spark, states, regions, by, store, reduced, sequence=sequence, outputs=TRACK_VALUES, batch_size=batch_size, prefix=prefix)
-        own = with_scores(spark, states, store, TRACK_VALUES).select(*by, variant, "side", F.lit(regime).alias("regime"), F.inline("tracks"))
+        own = with_scores(spark, states, store, TRACK_VALUES).select(*by, variant, "side", F.lit(regime).alias("regime"), "tracks")
         scored = own if scored is None else scored.unionByName(own)
+    # a state's values travel as one row; both groupings below keep to the partitions of its variant
+    scored = scored.repartition(*by, variant).select(*by, variant, "side", "regime", F.inline("tracks"))
     mean = {side: F.avg(F.when(F.col("side") == side, F.col("value"))) for side in ("ref", "alt")}
     effects = scored.groupBy(*by, variant, "regime", "modality", "gene").agg(
         mean["ref"].alias("ref_value"), mean["alt"].alias("alt_value"), F.count_distinct("track").alias("n_tracks")
