@@ -6,6 +6,7 @@ together next to the scorer."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -119,22 +120,30 @@ def score_batches(
     a lost executor's batches are run again as a task. Each row names the call that made it (the key of its first row)
     and the attempts that took, so counts taken from committed rows are right however often tasks were repeated."""
     schema = StructType([states.schema["key"], *StructType.fromDDL(f"{outputs}, {CALLS}").fields])
+    named = StructType.fromDDL(outputs).names
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            done = []  # the calls of a frame leave the task together, not as a small Arrow batch each
+            done, sizes, tries = [], [], []  # the calls of a frame leave the task together, not as a small Arrow batch each
             for at in range(0, len(frame), batch_size):
                 piece = frame.iloc[at : at + batch_size].reset_index(drop=True)
                 for attempt in range(1, attempts + 1):
                     try:
-                        scored = scorer(piece).reset_index(drop=True)
+                        scored = scorer(piece)
                         break
                     except Exception:
                         if attempt == attempts:
                             raise
-                done.append(pd.concat([piece[["key"]], scored], axis=1).assign(call=piece["key"].iloc[0], attempts=np.int32(attempt)))
+                if len(scored) != len(piece):
+                    raise ValueError(f"the scorer gave {len(scored)} rows for {len(piece)} sequences")
+                done.append(scored)
+                sizes.append(len(piece))
+                tries.append(attempt)
             if done:
-                yield pd.concat(done, ignore_index=True)
+                # columns are joined, not frames: a frame per call costs more than many a scorer
+                columns = {name: np.concatenate([part[name].to_numpy() for part in done]) for name in named}
+                calls = np.repeat(frame["key"].to_numpy()[::batch_size], sizes)
+                yield pd.DataFrame({"key": frame["key"].to_numpy(), **columns, "call": calls, "attempts": np.repeat(np.array(tries, np.int32), sizes)})
 
     return states.select("key", "sequence", *extra).mapInPandas(run, schema)
 
@@ -158,19 +167,41 @@ class Track:
     modality: str
 
 
-TRACK_VALUES = "tracks array<struct<gene: string, track: string, modality: string, value: double>>"
+#: What a track store holds of a state: a value per entry of ``gene_tracks`` and their mean per entry of ``gene_cells``,
+#: NULL where the scorer gave none.
+TRACK_VALUES = "tracks array<double>, cells array<double>"
 
 
-def reduced_tracks(scorer: TrackScorer, tracks: Sequence[Track], genes: Sequence[Gene]) -> Scorer:
-    """A scorer with one list of values per state (``TRACK_VALUES``): for each gene and each strand-compatible track the
-    mean over the gene's window. Arrays are reduced where they are made; no full track leaves the task."""
-    pairs = [
-        (g, k, t) for g in genes for k, t in enumerate(tracks) if g.strand not in ("+", "-") or t.strand in (g.strand, ".")
-    ]
+def gene_tracks(tracks: Sequence[Track], genes: Sequence[Gene]) -> list[tuple[Gene, int, Track]]:
+    """Each gene with the strand-compatible tracks and their columns, those of a modality and gene side by side."""
+    pairs = [(g, k, t) for g in genes for k, t in enumerate(tracks) if g.strand not in ("+", "-") or t.strand in (g.strand, ".")]
+    return sorted(pairs, key=lambda pair: (pair[2].modality, pair[0].name))
+
+
+def gene_cells(pairs: Sequence[tuple[Gene, int, Track]]) -> dict[tuple[str, str], list[int]]:
+    """The places in ``gene_tracks`` of each (modality, gene)."""
+    cells: dict[tuple[str, str], list[int]] = {}
+    for i, (gene, _, track) in enumerate(pairs):
+        cells.setdefault((track.modality, gene.name), []).append(i)
+    return cells
+
 
-    names = [{"gene": g.name, "track": t.name, "modality": t.modality} for g, _, t in pairs]
+def reduced_tracks(scorer: TrackScorer, tracks: Sequence[Track], genes: Sequence[Gene]) -> Scorer:
+    """A scorer with two lists per state (``TRACK_VALUES``): for each gene and strand-compatible track the mean over the
+    gene's window, and their means per modality and gene. Arrays are reduced where they are made; no full track leaves the
+    task, and no name is repeated per state."""
     windows = list(dict.fromkeys((g.start, g.stop) for g in genes))
+    pairs = gene_tracks(tracks, genes)
     places = [windows.index((g.start, g.stop)) * len(tracks) + k for g, k, _ in pairs]
+    starts = [run[0] for run in gene_cells(pairs).values()]
+
+    def means(sums: np.ndarray, counts: np.ndarray) -> list:
+        rows = np.divide(sums, counts, out=np.zeros(sums.shape), where=counts > 0)
+        if (counts > 0).all():
+            return list(rows)
+        rows = rows.astype(object)
+        rows[counts == 0] = None
+        return rows.tolist()
 
     def score(frame: pd.DataFrame) -> pd.DataFrame:
         arrays = scorer(frame["sequence"])
@@ -179,21 +210,22 @@ def reduced_tracks(scorer: TrackScorer, tracks: Sequence[Track], genes: Sequence
             if array.ndim != 2 or array.shape[1] != len(tracks):
                 raise ValueError(f"the scorer gave an array of shape {array.shape} for {len(tracks)} tracks")
             alike.setdefault(len(array), []).append(i)
-        rows: list = [None] * len(arrays)
+        rows, cells = np.empty(len(arrays), dtype=object), np.empty(len(arrays), dtype=object)
         for of in alike.values():
             # arrays of a length are reduced together, all tracks of a window at once
-            means, missing = np.zeros((2, len(of), len(windows), len(tracks)))
+            sums, counts = np.zeros((2, len(of), len(windows), len(tracks)))
             for w, (start, stop) in enumerate(windows):
-                part = np.stack([arrays[i][start:stop] for i in of]).astype(np.float64)
+                part = np.array([arrays[i][start:stop] for i in of], dtype=np.float64)
                 there = ~np.isnan(part)
-                counts = there.sum(axis=1)
-                np.divide(np.where(there, part, 0.0).sum(axis=1), counts, out=means[:, w], where=counts > 0)
-                missing[:, w] = counts == 0
-            given = means.reshape(len(of), -1)[:, places].astype(object)
-            given[missing.reshape(len(of), -1)[:, places] > 0] = None
-            for i, values in zip(of, given.tolist()):
-                rows[i] = [{**name, "value": value} for name, value in zip(names, values)]
-        return pd.DataFrame({"tracks": pd.Series(rows, dtype=object)})
+                counts[:, w] = there.sum(axis=1)
+                sums[:, w] = np.where(there, part, 0.0).sum(axis=1)
+            sums, counts = (x.reshape(len(of), -1)[:, places] for x in (sums, counts))
+            given = np.divide(sums, counts, out=np.zeros(sums.shape), where=counts > 0)
+            held = [means(sums, counts)]
+            held.append(means(np.add.reduceat(given, starts, axis=1), np.add.reduceat(counts > 0, starts, axis=1, dtype=int)) if starts else held[0])
+            for i, values, shared in zip(of, *held):
+                rows[i], cells[i] = values, shared
+        return pd.DataFrame({"tracks": rows, "cells": cells})
 
     return score
 
@@ -221,16 +253,19 @@ def read_store(spark: SparkSession, path: str, outputs: str, shards: Sequence[st
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], schema)
+        # no rows without a Python task
+        none = StructType.fromDDL(schema)
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in none])
     if shards is not None:
         stored = stored.where(F.col("shard").isin(list(shards)))
     return stored.drop("shard")
 
 
 def append_store(scored: DataFrame, path: str, prefix: int = 1) -> None:
-    """Append scored rows, each shard's in one folder and, per append, one file of rows sorted by key."""
+    """Append scored rows, each shard's in one folder and, per append, up to 16 files of rows sorted by key: shards alone
+    would be fewer tasks than a cluster has cores."""
     sharded = scored.withColumn("shard", shard_of("key", prefix))
-    sharded.repartition("shard").sortWithinPartitions("shard", "key").write.mode("append").partitionBy("shard").parquet(path)
+    sharded.repartition("shard", shard_of("key", prefix + 1)).sortWithinPartitions("shard", "key").write.mode("append").partitionBy("shard").parquet(path)
 
 
 def pending_states(spark: SparkSession, designs: DataFrame, by: Sequence[str], store_path: str, outputs: str, *, prefix: int = 1, prune: bool = False) -> DataFrame:
@@ -398,17 +433,36 @@ def variant_effects(
     # every regime reads the states twice: their join with the regions and the hashes are made once
     states = staged(states.withColumn("key", state_key("region_hash", "edits")), "states")
 
-    scored = None
-    for regime, scorer in regimes.items():
-        store = f"{store_root}/{regime}"
+    pairs = gene_tracks(tracks, genes)
+    # a store's values have places, not names: other genes or tracks make another store
+    places = hashlib.sha256(repr(pairs).encode()).hexdigest()[:16]
+    scored = states.select(*by, variant, "side", "key")
+    for n, (regime, scorer) in enumerate(regimes.items()):
+        store = f"{store_root}/{regime}-{places}"
         reduced = reduced_tracks(scorer, tracks, genes)
         score_pending(spark, states, regions, by, store, reduced, sequence=sequence, outputs=TRACK_VALUES, batch_size=batch_size, prefix=prefix)
-        own = with_scores(spark, states, store, TRACK_VALUES).select(*by, variant, "side", F.lit(regime).alias("regime"), "tracks")
-        scored = own if scored is None else scored.unionByName(own)
-    # a state's values travel as one row; both groupings below keep to the partitions of its variant
-    scored = scored.repartition(*by, variant).select(*by, variant, "side", "regime", F.inline("tracks"))
-    mean = {side: F.avg(F.when(F.col("side") == side, F.col("value"))) for side in ("ref", "alt")}
-    effects = scored.groupBy(*by, variant, "regime", "modality", "gene").agg(
-        mean["ref"].alias("ref_value"), mean["alt"].alias("alt_value"), F.count_distinct("track").alias("n_tracks")
+        stored = latest(read_store(spark, store, TRACK_VALUES).select("key", F.col("cells").alias(f"_{n}")), ["key"])
+        scored = scored.join(sorted_side(stored), "key", "left")
+
+    # both states of a variant meet in one row, which holds their means under all regimes
+    def of(side: str, n: int) -> Column:
+        return F.collect_list(F.when(F.col("side") == side, F.col(f"_{n}"))).alias(side)
+
+    packed = F.array(*[F.struct(F.lit(regime).alias("regime"), of("ref", n), of("alt", n)) for n, regime in enumerate(regimes)])
+    per_regime = scored.groupBy(*by, variant).agg(packed.alias("_r")).select(*by, variant, F.inline("_r"))
+    cells = [
+        F.struct(F.lit(modality).alias("modality"), F.lit(gene).alias("gene"), F.lit(len({pairs[i][2].name for i in run})).cast("bigint").alias("n_tracks"), F.lit(n).alias("_at"))
+        for n, ((modality, gene), run) in enumerate(gene_cells(pairs).items())
+    ]
+    each = per_regime.where(F.size("ref") + F.size("alt") > 0).select(
+        "*", F.inline(F.array(*cells).cast("array<struct<modality: string, gene: string, n_tracks: bigint, _at: int>>"))
     )
+
+    def mean(lists: str) -> Column:
+        """The cell's value, or the mean over the rows of a variant that has several."""
+        held = F.filter(F.transform(lists, lambda c: F.get(c, F.col("_at"))), F.isnotnull)
+        several = F.aggregate(held, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(held), F.lit(0))
+        return F.when(F.size(lists) == 1, F.get(F.get(lists, F.lit(0)), F.col("_at"))).otherwise(several)
+
+    effects = each.select(*by, variant, "regime", "modality", "gene", mean("ref").alias("ref_value"), mean("alt").alias("alt_value"), "n_tracks")
     return effects.withColumn("effect", F.col("alt_value") - F.col("ref_value"))

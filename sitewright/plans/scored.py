@@ -8,7 +8,7 @@ from ..functions import sequences as sq
 from ..operators import design as ds
 from ..operators import joins as jn
 from ..operators import scoring as sc
-from ..session import fresh_folder
+from ..session import fresh_folder, staged
 from ..streaming.incremental_scan import start_scan
 from .designs import NUC_SQL, nucleotides
 from .registry import query, rounded, table
@@ -170,7 +170,10 @@ def base_tracks(scale: float):
             table[ord(base), k] = scale * weight
 
     def score(sequences):
-        return [table[np.frombuffer(s.encode(), np.uint8)] for s in sequences]
+        texts = list(sequences)
+        stops = np.cumsum([len(s) for s in texts])
+        whole = table.take(np.frombuffer("".join(texts).encode(), np.uint8), axis=0)
+        return [whole[stop - len(s) : stop] for s, stop in zip(texts, stops)]
 
     return score
 
@@ -209,7 +212,8 @@ SELECT doc_id, regime, modality, gene, count(*) AS n_variants, sum(n_tracks)::BI
 def scored_track_extraction(spark, sf_dir):
     """A variant in the middle of every tile of every text, its two states scored under two regimes, and the effects on
     the genes of the tile over strand-compatible tracks."""
-    tiles = ds.tile_sequences(nucleotides(spark, sf_dir), sequence="seq", tile=TILE)
+    # read for the variants, their states and both regimes: texts are folded once
+    tiles = staged(ds.tile_sequences(nucleotides(spark, sf_dir), sequence="seq", tile=TILE), "tiles")
     placed = tiles.where(F.length("seq") > PLACE)
     base = sq.base_at("seq", PLACE)
     variants = placed.select(

@@ -266,3 +266,39 @@ def test_stores_are_not_broadcast(spark, tmp_path):
     ):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_track_stores_hold_values_without_names_and_belong_to_their_genes(spark, tmp_path):
+    regions = spark.createDataFrame([(1, "ACGTACGT"), (2, "TTTTTTTT")], "region int, seq string")
+    variants = spark.createDataFrame([(1, "v1", 4, "A", "G"), (2, "v2", 0, "T", "C")], "region int, variant string, offset0 int, ref string, alt string")
+
+    def run(genes, tracker=track_scorer):
+        found = sc.variant_effects(
+            spark, variants, regions, str(tmp_path / "stores"), {"x": tracker}, by=["region"], variant="variant", sequence="seq", tracks=TRACKS, genes=genes,
+        )
+        return {(r.variant, r.gene, r.modality): r for r in found.collect()}
+
+    first = run(GENES)
+    stores = list((tmp_path / "stores").iterdir())
+    values = spark.read.parquet(str(stores[0])).schema["tracks"].dataType.simpleString()
+    assert len(stores) == 1 and values == "array<double>"
+    assert run(GENES, None) == first  # all states are stored: no scorer is asked
+    moved = [sc.Gene("moved", ".", 0, 8)]
+    assert {k[1] for k in run(moved)} == {"moved"}
+    part_missing = run([sc.Gene("n", ".", 1, 3)], lambda s: [np.where(np.arange(len(TRACKS)) == 0, np.nan, a) for a in track_scorer(s)])
+    of = [k for k, t in enumerate(TRACKS) if t.modality == TRACKS[0].modality and k]
+    for name, ref in (("v1", "ACGTACGT"), ("v2", "TTTTTTTT")):
+        row = part_missing[name, "n", TRACKS[0].modality]
+        expected = np.mean([track_scorer([ref])[0][1:3, k].mean() for k in of]) if of else None
+        assert row.ref_value == (pytest.approx(expected) if of else None) and row.n_tracks == len(of) + 1
+
+
+def test_appended_shards_are_more_tasks_than_folders(spark, tmp_path):
+    rows = [(f"{i:02x}" + "0" * 62, 1.0, 1, "c", 1) for i in range(256)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # 256 rows would be one task
+    try:
+        sc.append_store(spark.createDataFrame(rows, f"key string, {sc.SIGNAL}, {sc.CALLS}").repartition(4), str(tmp_path / "s"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = sc.read_store(spark, str(tmp_path / "s"), sc.SIGNAL)
+    assert found.count() == 256 and len(found.inputFiles()) > 16
