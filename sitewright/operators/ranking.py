@@ -77,10 +77,13 @@ def with_cells(df: DataFrame, by: Sequence[str], value: str, *, split_every: int
     cuts = F.broadcast(_cut_points(df, by, value, split_every))
     entry = F.col(value)
     joined = join_back(df, cuts, by, "left")
-    # bisection: the number of cuts below the entry, in as many steps as SPLIT_POINTS has bits
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(SPLIT_POINTS.bit_length()))])
-    cell = F.aggregate(steps, F.lit(0), lambda at, n: at + F.when(F.get("_cuts", at + n - 1) < entry, n).otherwise(F.lit(0)))
-    return joined.withColumn("_cell", cell).drop("_cuts")
+    # bisection: the number of cuts below the entry, in as many steps as SPLIT_POINTS has bits. Each step is a column of its
+    # own, which Spark compiles; a higher-order function would be interpreted for every row
+    joined = joined.withColumn("_cell", F.lit(0))
+    for k in reversed(range(SPLIT_POINTS.bit_length())):
+        below = F.get("_cuts", F.col("_cell") + F.lit((1 << k) - 1)) < entry
+        joined = joined.withColumn("_cell", F.col("_cell") + F.when(below, F.lit(1 << k)).otherwise(F.lit(0)))
+    return joined.drop("_cuts")
 
 
 def _ranked(

@@ -24,6 +24,8 @@ from .resampling import cluster_draws, packed_draws
 
 #: Partial sums that a task holds before it hands them on.
 HELD_GROUPS = 4096
+#: Rows of a batch with the same value from which on they are added up before the shuffle.
+OFTEN = 16
 
 
 def multiplicities(
@@ -63,13 +65,32 @@ def multiplicities(
 
 
 def _matrix(column: pa.Array, kind) -> np.ndarray:
-    """The rows of a binary column, all of one length, as a matrix."""
-    data = b"".join(column.to_pylist())
-    return np.frombuffer(data, kind).reshape(len(column), -1)
+    """The rows of a binary column, all of one length, as a matrix over the column's own bytes."""
+    ends, data = column.buffers()[1:]
+    places = np.frombuffer(ends, np.int64 if pa.types.is_large_binary(column.type) else np.int32)
+    first, last = places[column.offset], places[column.offset + len(column)]
+    if first == last:
+        return np.zeros((len(column), 0), kind)
+    return np.frombuffer(data, kind, (last - first) // np.dtype(kind).itemsize, first).reshape(len(column), -1)
 
 
 def _bytes(rows: np.ndarray) -> pa.Array:
-    return pa.array([np.ascontiguousarray(row, np.float64).tobytes() for row in rows], pa.binary())
+    rows = np.ascontiguousarray(rows, np.float64)
+    size = rows.shape[1] * rows.itemsize
+    if not size or rows.nbytes >= 1 << 31:
+        return pa.array([row.tobytes() for row in rows], pa.binary())
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(size)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+
+
+def _codes(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
+    """Equal numbers for rows with equal keys, from 0 without gaps; nulls are equal."""
+    codes = np.zeros(batch.num_rows, np.int64)
+    for name in names:
+        coded = pc.dictionary_encode(batch.column(name), null_encoding="encode")
+        codes = codes * len(coded.dictionary) + coded.indices.to_numpy()
+        codes = np.unique(codes, return_inverse=True)[1].reshape(-1)
+    return codes
 
 
 def _changes(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
@@ -90,11 +111,18 @@ def _whole(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[
     for batch in batches:
         if not batch.num_rows:
             continue
-        joined = pa.concat_batches([*held, batch])
-        at = int(np.flatnonzero(_changes(joined, names))[-1]) if names else 0
-        if at:
-            yield joined.slice(0, at)
-        held = [joined.slice(at)]
+        changes = np.zeros(batch.num_rows, bool)
+        if held:
+            changes = _changes(pa.concat_batches([held[-1].slice(held[-1].num_rows - 1), batch]), names)[1:]
+        elif names:
+            changes[1:] = _changes(batch, names)[1:]
+        found = np.flatnonzero(changes)
+        if not len(found):
+            held.append(batch)  # a run over many batches is joined once
+            continue
+        at = int(found[-1])
+        yield pa.concat_batches([*held, batch.slice(0, at)])
+        held = [batch.slice(at)]
     if held:
         yield pa.concat_batches(held)
 
@@ -121,13 +149,13 @@ def _summed(rows: DataFrame, keys: Sequence[str], vectors: Callable[[pa.RecordBa
             if not batch.num_rows:
                 continue
             arrow.update({k: batch.schema.field(k).type for k in keys})
-            codes, names = np.zeros(batch.num_rows, np.int64), list(zip(*(batch.column(k).to_pylist() for k in keys))) or [()] * batch.num_rows
-            seen: dict[tuple, int] = {}
-            for i, name in enumerate(names):
-                codes[i] = seen.setdefault(name, len(seen))
+            codes = _codes(batch, keys)
             order = np.argsort(codes, kind="stable")
-            firsts = np.searchsorted(codes[order], np.arange(len(seen)))
-            for name, sums in zip(seen, np.add.reduceat(vectors(batch)[order], firsts, axis=0)):
+            sorted_rows = batch.take(pa.array(order))
+            firsts = np.searchsorted(codes[order], np.arange(codes[order[-1]] + 1))
+            heads = sorted_rows.take(pa.array(firsts))
+            names = list(zip(*(heads.column(k).to_pylist() for k in keys))) or [()]
+            for name, sums in zip(names, np.add.reduceat(vectors(sorted_rows), firsts, axis=0)):
                 held[name] = held[name] + sums if name in held else sums
             if len(held) > HELD_GROUPS:
                 yield emitted(held)
@@ -152,9 +180,61 @@ def _summed(rows: DataFrame, keys: Sequence[str], vectors: Callable[[pa.RecordBa
 
 
 def _weights(batch: pa.RecordBatch, counts: Sequence[str]) -> np.ndarray:
-    """Per row and replicate the weighted counts, those of the first count first."""
-    m = _matrix(batch.column("_m"), np.uint8).astype(np.float64)
-    return np.concatenate([m * batch.column(c).to_numpy()[:, None] for c in counts], axis=1)
+    """Per row and replicate the weighted counts, those of the first count first; a row of ``_gathered`` has them added up."""
+    added = batch.column("_added").is_valid().to_numpy(zero_copy_only=False) if "_added" in batch.schema.names else None
+    if added is not None and added.all():
+        return _matrix(batch.column("_added"), np.float64)
+    single = batch if added is None or not added.any() else batch.filter(pa.array(~added))
+    m = _matrix(single.column("_m"), np.uint8)
+    own = np.empty((single.num_rows, m.shape[1] * len(counts)))
+    for i, c in enumerate(counts):
+        np.multiply(m, single.column(c).to_numpy().astype(np.float64)[:, None], out=own[:, i * m.shape[1] : (i + 1) * m.shape[1]])
+    if single is batch:
+        return own
+    out = np.empty((batch.num_rows, own.shape[1]))
+    out[~added] = own
+    out[added] = _matrix(batch.column("_added").filter(pa.array(added)), np.float64)
+    return out
+
+
+def _gathered(rows: DataFrame, keys: Sequence[str], counts: Sequence[str]) -> DataFrame:
+    """Rows with ``_m``, those whose keys a batch has ``OFTEN`` times or more added up in their task to one row with
+    ``_added``: few values shared by many clusters would else be one cell's rows, however many there are."""
+    keys = list(keys)
+    rows = rows.select(*keys, *counts, "_m")
+    names = [*keys, *counts, "_m", "_added"]
+
+    def run(batches):
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = _codes(batch, keys)
+            often = np.bincount(codes)[codes] >= OFTEN
+            if not often.all():
+                rare = batch.filter(pa.array(~often))
+                yield pa.RecordBatch.from_arrays([*rare.columns, pa.nulls(rare.num_rows, pa.binary())], names=names)
+            if often.any():
+                places = np.flatnonzero(often)
+                places = places[np.argsort(codes[places], kind="stable")]
+                taken = batch.take(pa.array(places))
+                firsts = np.flatnonzero(np.diff(codes[places], prepend=-1))
+                heads = taken.take(pa.array(firsts))
+                for name, sums in zip(zip(*(heads.column(k).to_pylist() for k in keys)), np.add.reduceat(_weights(taken, counts), firsts, axis=0)):
+                    held[name] = held[name] + sums if name in held else sums
+            if len(held) > HELD_GROUPS:
+                yield emitted(held, batch.schema)
+                held = {}
+        if held:
+            yield emitted(held, batch.schema)
+
+    def emitted(held, schema):
+        columns = [pa.array([name[i] for name in held], schema.field(k).type) for i, k in enumerate(keys)]
+        columns += [pa.nulls(len(held), schema.field(c).type) for c in [*counts, "_m"]]
+        return pa.RecordBatch.from_arrays([*columns, _bytes(np.array(list(held.values())))], names=names)
+
+    fields = [StructField(f.name, f.dataType) for f in rows.schema]
+    return rows.mapInArrow(run, StructType([*fields, StructField("_added", BinaryType())]))
 
 
 def _with_leads(rows: DataFrame, by: Sequence[str], value: str, vectors: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
@@ -294,7 +374,8 @@ def ranking_quality_bootstrap(
     clusters = staged(counts.where("_axis = 0").select(*by, cluster).distinct(), "clusters")
     m = staged(multiplicities(clusters, by, cluster=cluster, replicates=replicates, seed=seed, split_every=split_every), "multiplicities")
     rows = null_matching_join(_cells(counts, axis, "_v", split_every), m, [*by, cluster], how="inner")
-    ordered = _with_leads(rows.select(*axis, "_cell", "_v", "_p", "_t", "_m"), axis, "_v", lambda batch: _weights(batch, ["_p", "_t"]))
+    rows = _gathered(rows, [*axis, "_cell", "_v"], ["_p", "_t"])
+    ordered = _with_leads(rows, axis, "_v", lambda batch: _weights(batch, ["_p", "_t"]))
     fields = [df.schema[k] for k in by]
     keyed = StructType([*fields, StructField("_axis", IntegerType()), StructField("sums", BinaryType())])
 

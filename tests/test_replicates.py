@@ -146,3 +146,29 @@ def test_quantile_bins_part_their_groups(spark):
     binned = rs.quantile_bins(rows, ["g"], "v", 4)
     assert "_part" in binned._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r.quantile_bin for r in binned.collect()) == sorted(2 * [1, 2, 3, 4] * 5)
+
+
+def test_rows_of_frequent_values_are_added_up_before_they_meet(spark):
+    n, m = 400, bytes([2, 0, 1])
+    shared = spark.createDataFrame([(None if i % 2 else "g", float(i % 4 // 2), i, 1, bytearray(m)) for i in range(n)], "g string, v double, p bigint, t bigint, _m binary")
+    rare = spark.createDataFrame([("g", 100.0 + i, 1, 1, bytearray(m)) for i in range(9)], shared.schema)
+    found = rp._gathered(shared.unionByName(rare).coalesce(1), ["g", "v"], ["p", "t"]).collect()
+    assert len(found) == 4 + 9 and sum(r._added is None for r in found) == 9
+    for r in found:
+        if r._added is not None:
+            p = sum(i for i in range(n) if (None if i % 2 else "g") == r.g and float(i % 4 // 2) == r.v)
+            assert np.frombuffer(bytes(r._added)).tolist() == [2 * p, 0, p, 2 * 100, 0, 100]
+
+
+def test_cells_are_not_interpreted_row_by_row(spark):
+    from sitewright.operators.ranking import with_cells
+
+    rows = spark.range(3000).selectExpr("id % 3 AS g", "id AS v")
+    celled = with_cells(rows, ["g"], "v", split_every=8)
+    plan = celled._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(array" not in plan and "lambdafunction" not in plan.split("_cell", 1)[1].split("Join")[0]
+    got = celled.groupBy("g", "_cell").agg({"v": "min", "*": "count"}).orderBy("g", "_cell").collect()
+    for g in range(3):
+        of = [r for r in got if r.g == g]
+        assert [r._cell for r in of] == list(range(len(of))) and len(of) > 50
+        assert [r["min(v)"] for r in of] == sorted(r["min(v)"] for r in of)
