@@ -68,6 +68,18 @@ def _cut_points(df: DataFrame, by: list[str], value: str, split_every: int) -> D
     )
 
 
+def count_below(df: DataFrame, cuts: str, entry: Column, most: int, *, name: str) -> DataFrame:
+    """How many of a row's ascending ``cuts`` (``most`` at the most, NULL is none) lie below the ``entry``.
+
+    A bisection in as many steps as ``most`` has bits. Each step is a column of its own, which Spark compiles; a
+    higher-order function would be interpreted for every row."""
+    df = df.withColumn(name, F.lit(0))
+    for k in reversed(range(most.bit_length())):
+        below = F.get(cuts, F.col(name) + F.lit((1 << k) - 1)) < entry
+        df = df.withColumn(name, F.col(name) + F.when(below, F.lit(1 << k)).otherwise(F.lit(0)))
+    return df
+
+
 def with_cells(df: DataFrame, by: Sequence[str], value: str, *, split_every: int = SPLIT_EVERY) -> DataFrame:
     """Add ``_cell``, a bucket number that grows with ``value`` inside each group (0 everywhere in small groups).
 
@@ -77,13 +89,7 @@ def with_cells(df: DataFrame, by: Sequence[str], value: str, *, split_every: int
     cuts = F.broadcast(_cut_points(df, by, value, split_every))
     entry = F.col(value)
     joined = join_back(df, cuts, by, "left")
-    # bisection: the number of cuts below the entry, in as many steps as SPLIT_POINTS has bits. Each step is a column of its
-    # own, which Spark compiles; a higher-order function would be interpreted for every row
-    joined = joined.withColumn("_cell", F.lit(0))
-    for k in reversed(range(SPLIT_POINTS.bit_length())):
-        below = F.get("_cuts", F.col("_cell") + F.lit((1 << k) - 1)) < entry
-        joined = joined.withColumn("_cell", F.col("_cell") + F.when(below, F.lit(1 << k)).otherwise(F.lit(0)))
-    return joined.drop("_cuts")
+    return count_below(joined, "_cuts", entry, SPLIT_POINTS, name="_cell").drop("_cuts")
 
 
 def _ranked(

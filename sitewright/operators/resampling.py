@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import Z95, guarded_ratio, hash_index, keyed_digest
 from ..session import staged
-from .ranking import SPLIT_EVERY, exact_quantiles, join_back, join_spread, row_positions, value_ranks
+from .ranking import SPLIT_EVERY, count_below, exact_quantiles, join_back, join_spread, row_positions, value_ranks
 
 #: Draws of clusters that one task makes or counts.
 DRAWS_PER_TASK = 1 << 18
@@ -144,10 +144,9 @@ def quantile_bins(
     edges = exact_quantiles(df, by, value, probs, split_every=split_every)
     packed = edges.select(*by, F.array_sort(F.array_distinct(F.array(*probs))).alias("_edges"))
     joined = join_spread(df, packed, by, F.col(value), "left")
-    v = F.col(value)
-    below = F.size(F.filter("_edges", lambda e: e < v))
-    inside = v.isNotNull() & (F.size("_edges") > 1)
-    return joined.withColumn(name, F.when(inside, F.greatest(below, F.lit(1)))).drop("_edges")
+    counted = count_below(joined, "_edges", F.col(value), bins + 1, name="_below")
+    inside = F.col(value).isNotNull() & (F.size("_edges") > 1)
+    return counted.withColumn(name, F.when(inside, F.greatest("_below", F.lit(1)))).drop("_edges", "_below")
 
 
 def observed_in_null(

@@ -172,3 +172,14 @@ def test_cells_are_not_interpreted_row_by_row(spark):
         of = [r for r in got if r.g == g]
         assert [r._cell for r in of] == list(range(len(of))) and len(of) > 50
         assert [r["min(v)"] for r in of] == sorted(r["min(v)"] for r in of)
+
+
+def test_quantile_bins_are_not_interpreted_row_by_row(spark):
+    from sitewright.operators import resampling as rs
+
+    rows = spark.createDataFrame([("a", float(i)) for i in range(20)] + [("a", None), (None, 1.0), (None, 1.0)], "g string, v double")
+    binned = rs.quantile_bins(rows, ["g"], "v", 4)
+    assert "filter(_edges" not in binned._jdf.queryExecution().optimizedPlan().toString()
+    edges = np.quantile(np.arange(20), [0, 0.25, 0.5, 0.75, 1])
+    found = {(r.g, r.v): r.quantile_bin for r in binned.collect()}
+    assert found == {**{("a", float(i)): max(1, int((edges < i).sum())) for i in range(20)}, ("a", None): None, (None, 1.0): None}
