@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
 from ..functions.intervals import shared_span_start
+from ..session import staged
 from .aggregates import modal_value
 from .design import regions_from_tiles
 from .ranking import best_row, row_positions
@@ -102,6 +103,10 @@ def site_composition(sites: DataFrame, tiles: DataFrame, by: Sequence[str], *, c
     return sites.join(composed, [*by, center], "left")
 
 
+#: Eligible profile rows that one task of ``matched_controls`` holds; each takes part in some thirty pools.
+PROFILE_ROWS_PER_TASK = 1 << 15
+
+
 def matched_controls(
     profile: DataFrame,
     by: Sequence[str],
@@ -130,8 +135,12 @@ def matched_controls(
     join on bins and pairs are formed inside one row."""
     by = list(by)
     bin_, contact, smooth = F.col("target_bin"), F.col("contact"), F.col("contact_smooth3")
-    eligible = profile.where("eligible")
-    peaks = eligible.where("in_run")
+    # read by four branches, and counted: a key stays in one task, and tasks hold a fixed number of rows however large the
+    # input is (the sizes that Spark goes by are compressed ones)
+    eligible = staged(profile.where("eligible"), "eligible")
+    tasks = -(-eligible.count() // PROFILE_ROWS_PER_TASK) or 1
+    placed = eligible.repartition(tasks, *by, "target_bin")
+    peaks = eligible.where("in_run").repartition(tasks, *by)
     tied = F.count(F.lit(1)).over(Window.partitionBy(*by, "contact_smooth3"))
     size = F.count(F.lit(1)).over(Window.partitionBy(*by))
     average_rank = F.rank().over(Window.partitionBy(*by).orderBy("contact_smooth3")) + (tied - 1) / F.lit(2.0)
@@ -145,7 +154,7 @@ def matched_controls(
     around = ranked.withColumn(
         "target_bin", F.explode(F.array(*[F.col("_peak_bin") + d for d in (-resolution, 0, resolution)]))
     ).drop("_peak_bin")
-    neighbourhood = around.join(eligible, [*by, "target_bin"])
+    neighbourhood = around.repartition(tasks, *by, "target_bin").join(placed, [*by, "target_bin"]).repartition(tasks, *by)
     highs = best_row(
         neighbourhood,
         [*by, "peak_rank"],
@@ -161,7 +170,8 @@ def matched_controls(
     reach = (caliper // resolution + 1) * resolution
     pool = (
         high.withColumn("target_bin", F.explode(F.sequence(F.col("high_target_bin") - reach, F.col("high_target_bin") + reach, F.lit(resolution).cast("bigint"))))
-        .join(eligible.select(*by, *carried), [*by, "target_bin"])
+        .repartition(tasks, *by, "target_bin")
+        .join(placed.select(*by, *carried), [*by, "target_bin"])
         .where(
             (F.signum(F.col("signed_distance").cast("double")) == F.signum(F.col("high_signed_distance").cast("double")))
             & (F.abs(F.col("absolute_distance") - F.col("high_absolute_distance")) <= caliper)
@@ -181,7 +191,7 @@ def matched_controls(
         gc_gap.alias("gc_gap"),
     )
     # pools are bounded by the caliper, so the exact percentile and the list stay small
-    gathered = pool.groupBy(*high_columns).agg(
+    gathered = pool.repartition(tasks, *by).groupBy(*high_columns).agg(
         F.percentile("contact", low_quantile).alias("_threshold"), F.array_sort(F.collect_list(member)).alias("_pool")
     ).where(F.size("_pool") >= 2)
     lows = F.filter(

@@ -161,6 +161,10 @@ def virtual_profile(full: DataFrame, anchors: DataFrame, by: Sequence[str], *, n
     return smooth_three(profile, [*by, "anchor"], "bin", "contact", name="smoothed")
 
 
+#: Profile rows that one task smooths.
+PROFILE_ROWS_PER_TASK = 1 << 17
+
+
 def anchored_profile(
     records: DataFrame,
     anchors: DataFrame,
@@ -204,6 +208,9 @@ def anchored_profile(
         "contact", F.coalesce("_v", F.lit(0.0))
     )
     # an anchor has at most 2 * max_distance / resolution + 4 bins, so its window is small by construction
+    # ... and tasks hold a fixed number of them: Spark sizes tasks by compressed bytes, and profiles shrink to a few
+    tasks = -(-anchors.count() * (2 * max_distance // resolution + 4) // PROFILE_ROWS_PER_TASK) or 1
+    dense = dense.repartition(tasks, *by, anchor_id)
     along = Window.partitionBy(*by, anchor_id).orderBy("target_bin")
     smooth = (
         F.coalesce(F.lag("contact").over(along), F.lit(0.0)) + F.col("contact") + F.coalesce(F.lead("contact").over(along), F.lit(0.0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import contacts as cm
 from ..operators import intervals as op
 from ..operators import resampling as rs
+from ..session import staged
 from .registry import cents, query, rounded, table
 
 N = 64
@@ -278,6 +279,7 @@ def matched_controls(spark, sf_dir):
         .withColumn("eligible", kept & F.col("flank_gc").isNotNull())
         .withColumn("flank_ambiguous", F.lit(0.0))
     )
+    profile = staged(profile, "profile")  # its rows are met by their own neighbours
     marked = op.neighbour_run(profile, ["promoter"], position="target_bin", eligible=F.col("eligible"), step=RES)
     out = match(
         marked, ["promoter"], anchor="tss", resolution=RES, slot=10, span=800, bound=LENGTH, min_smooth=1.0, min_percentile=0.8, caliper=420,

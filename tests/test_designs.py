@@ -171,3 +171,16 @@ def test_canonical_count(spark):
     counted = df.select(sq.canonical_count("s").alias("n"))
     assert "regexp" not in counted._jdf.queryExecution().optimizedPlan().toString()
     assert [r.n for r in counted.collect()] == [4, 0, None]
+
+
+def test_profiles_and_controls_are_dealt_by_their_rows(spark, monkeypatch):
+    from sitewright.operators import catalog, contacts
+    from sitewright.plans import contact_maps
+
+    small = "/root/testdata/sf0.001"
+    whole = sorted(contact_maps.matched_controls(spark, small).collect())
+    monkeypatch.setattr(contacts, "PROFILE_ROWS_PER_TASK", 60)
+    monkeypatch.setattr(catalog, "PROFILE_ROWS_PER_TASK", 60)
+    profile = contact_maps.day_profile(spark, small)
+    assert profile.rdd.getNumPartitions() >= 10  # the session shuffles to 4
+    assert len(whole) > 0 and sorted(contact_maps.matched_controls(spark, small).collect()) == whole
