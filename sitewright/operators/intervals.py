@@ -302,22 +302,19 @@ def greedy_non_overlapping(
     if not unique_starts:
         df = best_row(df, [*by, start], list(order))
     ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*window_order(order), start))).where(F.col("_r") <= needed)
-    starts = ranked.groupBy(*by).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct(F.col("_r"), F.col(start).cast("bigint").alias("s")))), lambda x: x["s"]
-        ).alias("_starts")
-    )
+    # every row is given its group's few candidates, so that it tells by itself whether it is taken: no second pass
+    candidate = F.struct(F.col("_r"), F.col(start).cast("bigint").alias("s"))
+    listed = ranked.withColumn("_c", F.array_sort(F.collect_list(candidate).over(Window.partitionBy(*by))))
     taken = F.aggregate(
-        "_starts",
+        "_c",
         F.array().cast("array<bigint>"),
-        lambda kept, s: F.when(
-            (F.size(kept) >= limit) | F.exists(kept, lambda t: F.abs(t - s) <= F.lit(reach)), kept
-        ).otherwise(F.array_append(kept, s)),
-    )
-    picks = starts.select(*by, F.posexplode(taken).alias("_i", start)).select(
-        *by, F.col(start), (F.col("_i") + 1).alias("pick")
+        lambda kept, c: F.when(
+            (F.size(kept) >= limit) | F.exists(kept, lambda t: F.abs(t - c["s"]) <= F.lit(reach)), kept
+        ).otherwise(F.array_append(kept, c["s"])),
     )
-    return join_back(ranked.drop("_r"), picks.withColumn(start, F.col(start).cast(df.schema[start].dataType)), [*by, start])
+    same = F.transform(F.col("_t"), lambda t: t.eqNullSafe(F.col(start).cast("bigint")))
+    picked = listed.withColumn("_t", F.explode(F.array(taken))).withColumn("pick", F.array_position(same, F.lit(True)).cast("int"))
+    return picked.where(F.col("pick") > 0).select(*df.columns, "pick")
 
 
 def covered_positions(df: DataFrame, by: Sequence[str], *, start: str, end: str) -> DataFrame:

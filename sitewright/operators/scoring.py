@@ -2,7 +2,10 @@
 
 A state is a region and a list of edits; its key is a hash of the region's content hash and the edits. Designs, dedupe
 and the anti join with the store carry keys and edits only; a region's sequence joins once, and a state's sequence is put
-together next to the scorer."""
+together next to the scorer.
+
+Scans of very many states per region go further: their states are named by places in a region, and a region's places and
+stored scores cross a shuffle as one row each (``score_places``, ``scores_in_regions``)."""
 
 from __future__ import annotations
 
@@ -44,9 +47,11 @@ def weight_scorer(weights: dict[str, float]) -> Scorer:
     """A closed-form scorer that edits do change: the sum of a weight per base."""
 
     def score(frame: pd.DataFrame) -> pd.DataFrame:
-        text = frame["sequence"]
-        signal = sum((text.str.count(base) * weight for base, weight in weights.items()), text.str.len() * 0.0)
-        return pd.DataFrame({"signal": signal, "n_bases": text.str.len().astype("int64")})
+        texts = list(frame["sequence"])
+        signal = np.zeros(len(texts))
+        for base, weight in weights.items():
+            signal += np.array([text.count(base) for text in texts], dtype=np.float64) * weight
+        return pd.DataFrame({"signal": signal, "n_bases": np.array([len(text) for text in texts], dtype=np.int64)})
 
     return score
 
@@ -73,6 +78,24 @@ def state_key(region_hash: str | Column, edits: str | Column) -> Column:
     return F.when(F.size(e) == 0, h).when(e.isNotNull(), keyed)
 
 
+#: Hex digits that the keys of a region's states have in common in a store, and those after them that tell them apart: 64
+#: bits among the states of one region, so that any two of 100 million regions of 100 states share a key by chance of 3e-8.
+REGION_DIGITS, STATE_DIGITS = 32, 16
+
+
+def region_of(key: str | Column) -> Column:
+    """The digits of a stored key, or of a region's hash, that name the region."""
+    return F.substring(F.col(key) if isinstance(key, str) else key, 1, REGION_DIGITS)
+
+
+def stored_key(region_hash: str | Column, edits: str | Column) -> Column:
+    """The key of a scan's state: the region's hash for its native state, else the digits that name the region and the
+    first of ``state_key``. The states of a region begin alike, so they share a shard, lie side by side and are found by
+    their region."""
+    h, e = (F.col(c) if isinstance(c, str) else c for c in (region_hash, edits))
+    return F.when(F.size(e) == 0, h).otherwise(F.concat(region_of(h), F.substring(state_key(h, e), 1, STATE_DIGITS)))
+
+
 def with_region_hash(regions: DataFrame, *, sequence: str) -> DataFrame:
     return regions.withColumn("region_hash", sq.content_hash(sequence))
 
@@ -88,7 +111,7 @@ def window_states(regions: DataFrame, by: Sequence[str], *, sequence: str, width
     windows = complement_windows(with_region_hash(regions, sequence=sequence), sequence=sequence, width=width, step=step)
     edits = one_edit("window_start", F.col("window_start") + width, "replacement", "native")
     made = windows.select(*by, "region_hash", "window_start", "window_end", "native", edits.alias("edits"))
-    return made.withColumn("key", state_key("region_hash", "edits"))
+    return made.withColumn("key", stored_key("region_hash", "edits"))
 
 
 def substitution_states(
@@ -100,7 +123,7 @@ def substitution_states(
     bases = bases.where(sq.is_single_base("ref")).withColumn("alt", F.explode(F.array(*[F.lit(b) for b in "ACGT"])))
     bases = bases.where(F.col("alt") != F.col("ref")).withColumn("position", F.col(start) + F.col("_i")).drop("_i")
     made = bases.withColumn("edits", one_edit("position", F.col("position") + 1, "alt", "ref"))
-    return made.withColumn("key", state_key("region_hash", "edits"))
+    return made.withColumn("key", stored_key("region_hash", "edits"))
 
 
 def exhaustive_candidates(df: DataFrame, *, sequence: str, chrom: str, start_position: str | int = 1) -> DataFrame:
@@ -261,11 +284,15 @@ def read_store(spark: SparkSession, path: str, outputs: str, shards: Sequence[st
     return stored.drop("shard")
 
 
-def append_store(scored: DataFrame, path: str, prefix: int = 1) -> None:
+def append_store(scored: DataFrame, path: str, prefix: int = 1, *, gathered: bool = True) -> None:
     """Append scored rows, each shard's in one folder and, per append, up to 16 files of rows sorted by key: shards alone
-    would be fewer tasks than a cluster has cores."""
+    would be fewer tasks than a cluster has cores. Not ``gathered``, rows are written by the tasks that scored them, one
+    file per task and shard, and cross no shuffle."""
     sharded = scored.withColumn("shard", shard_of("key", prefix))
-    sharded.repartition("shard", shard_of("key", prefix + 1)).sortWithinPartitions("shard", "key").write.mode("append").partitionBy("shard").parquet(path)
+    if gathered:
+        sharded = sharded.repartition("shard", shard_of("key", prefix + 1))
+    # keys are digits of a hash: zstd halves them, which snappy cannot
+    sharded.sortWithinPartitions("shard", "key").write.mode("append").option("compression", "zstd").partitionBy("shard").parquet(path)
 
 
 def pending_states(spark: SparkSession, designs: DataFrame, by: Sequence[str], store_path: str, outputs: str, *, prefix: int = 1, prune: bool = False) -> DataFrame:
@@ -333,12 +360,98 @@ def scoring_counters(store: DataFrame) -> DataFrame:
 # --- scans ------------------------------------------------------------------------------------------------------------
 
 
-def contrast_to_native(spark: SparkSession, states: DataFrame, store_path: str, *, signal: str = "signal", outputs: str = SIGNAL) -> DataFrame:
-    """States with their stored ``signal``, the ``native`` state's as ``native_signal``, and ``contrast`` between them."""
-    scores = latest(read_store(spark, store_path, outputs).select("key", F.col(signal).alias("signal")), ["key"])
-    native = scores.select(F.col("key").alias("region_hash"), F.col("signal").alias("native_signal"))
-    joined = states.join(sorted_side(scores), "key", "left").join(sorted_side(native), "region_hash", "left")
-    return joined.withColumn("contrast", F.col("signal") - F.col("native_signal"))
+def is_empty_store(spark: SparkSession, path: str) -> bool:
+    """Whether nothing was ever appended."""
+    try:
+        spark.read.schema("key string").parquet(path).columns
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return True
+    return False
+
+
+def _state_id(key: str) -> Column:
+    """What tells the states of one region apart: the digits of their stored keys after the region's, as a number."""
+    return F.conv(F.substring(F.col(key), REGION_DIGITS + 1, STATE_DIGITS), 16, -10).cast("bigint")
+
+
+def _by_region(spark: SparkSession, store_path: str, outputs: str, value: str | None = None) -> DataFrame:
+    """One row per region (``_region``) with its stored states' ``_ids`` and, in the same order, their ``_values``; states
+    without a value are left out. A region's rows lie together in the store, so lists are made before the shuffle."""
+    there = [] if value is None else [F.col(value).alias("_value")]
+    rows = read_store(spark, store_path, outputs).select(region_of("key").alias("_region"), _state_id("key").alias("_id"), *there)
+    for column in rows.columns[1:]:
+        rows = rows.where(F.col(column).isNotNull())  # lists leave out what is missing, each for itself
+    return rows.groupBy("_region").agg(F.collect_list("_id").alias("_ids"), *[F.collect_list("_value").alias("_values") for _ in there])
+
+
+def scores_in_regions(
+    spark: SparkSession,
+    rows: DataFrame,
+    store_path: str,
+    make: Callable[[DataFrame, list[str]], DataFrame],
+    names: dict[str, str],
+    *,
+    value: str = "signal",
+    outputs: str = SIGNAL,
+) -> DataFrame:
+    """The states that ``make`` makes of ``rows`` (region_hash), with the stored ``value`` of the state that each column of
+    ``names`` holds the ``stored_key`` of, NULL where there is none.
+
+    Rows meet their region's scores before they become states, so neither is shuffled per state. ``make`` is given the
+    joined rows and the columns it has to keep."""
+    lists, kept = _by_region(spark, store_path, outputs, value), ["_ids", "_values"]
+    joined = rows.withColumn("_region", region_of("region_hash")).join(sorted_side(lists), "_region", "left").drop("_region")
+    found = [F.get("_values", F.array_position("_ids", _state_id(key)).cast("int") - 1).alias(name) for key, name in names.items()]
+    # a generator row: filters on what was found stay above it instead of looking it up again
+    made = make(joined, kept)
+    return made.select("*", F.inline(F.array(F.struct(*found)))).drop(*kept)
+
+
+def score_places(
+    spark: SparkSession,
+    places: DataFrame,
+    regions: DataFrame,
+    store_path: str,
+    scorer: Scorer,
+    make: Callable[[DataFrame, list[str]], DataFrame],
+    *,
+    sequence: str,
+    outputs: str = SIGNAL,
+    batch_size: int = 64,
+    attempts: int = 3,
+    prefix: int = 1,
+) -> None:
+    """Score the states of ``places`` (region_hash, place) that the store lacks and append them.
+
+    ``make`` turns rows (region_hash, sequence, place) into states (edits, and ``key`` by ``stored_key``) and keeps the
+    columns it is told; different places of a region must make different states, NULL edits make none. The places of a
+    region and its ``sequence`` meet in one row, made before the shuffle, so no row per state crosses one."""
+    region = region_of(sq.content_hash(sequence)).alias("_region")
+    known = regions.where(F.col(sequence).isNotNull()).select(region, F.col(sequence).alias("sequence"), F.lit(None).cast(places.schema["place"].dataType).alias("place"))
+    wanted = places.select(region_of("region_hash").alias("_region"), F.lit(None).cast("string").alias("sequence"), "place")
+    packed = known.unionByName(wanted).groupBy("_region").agg(F.max("sequence").alias("sequence"), F.collect_set("place").alias("_places"))
+    packed, kept = packed.where(F.size("_places") > 0), ["sequence"]
+    first = is_empty_store(spark, store_path)
+    if not first:
+        packed, kept = packed.join(sorted_side(_by_region(spark, store_path, outputs)), "_region", "left"), ["sequence", "_ids"]
+    placed = with_region_hash(packed.where(F.col("sequence").isNotNull()), sequence="sequence")
+    states = make(placed.select("region_hash", *kept, F.explode("_places").alias("place")), kept).where(F.col("edits").isNotNull())
+    if not first:
+        states = states.where(~F.coalesce(F.array_contains("_ids", _state_id("key")), F.lit(False)))
+    ready = states.select("key", sq.apply_edits("sequence", "edits").alias("sequence"))
+    append_store(score_batches(ready, scorer, outputs=outputs, batch_size=batch_size, attempts=attempts), store_path, prefix, gathered=False)
+
+
+def contrast_to_native(
+    spark: SparkSession, rows: DataFrame, store_path: str, *, make: Callable[[DataFrame, list[str]], DataFrame] | None = None, signal: str = "signal", outputs: str = SIGNAL
+) -> DataFrame:
+    """States (key, region_hash) with their stored ``signal``, the native state's as ``native_signal``, and ``contrast``
+    between them. With ``make`` rows become states after they met their region's scores (``scores_in_regions``)."""
+    made = make or (lambda joined, _: joined)
+    found = scores_in_regions(spark, rows, store_path, made, {"key": "signal", "region_hash": "native_signal"}, value=signal, outputs=outputs)
+    return found.withColumn("contrast", F.col("signal") - F.col("native_signal"))
 
 
 def coarse_to_fine(
@@ -368,14 +481,28 @@ def coarse_to_fine(
     ``owned`` (a halo's) are left to the next tile. One row per substitution: by..., tile, window_start and position in
     absolute coordinates, ref, alt, window_contrast, native_signal, signal, effect."""
     by, where = list(by), [*by, tile]
-    windows = window_states(regions, where, sequence=sequence, width=width, step=step)
-    if owned is not None:
-        windows = windows.where(owned)
+
+    def windows_of(rows: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
+        windows = window_states(rows, [*where, *kept], sequence=sequence, width=width, step=step)
+        return windows if owned is None else windows.where(owned)
+
+    def complemented(rows: DataFrame, kept: Sequence[str]) -> DataFrame:
+        """The complement window at a place; place -1 is the native state, which a window without bases would repeat."""
+        native = F.substring(F.upper("sequence"), F.col("place") + 1, F.lit(width))
+        edits = one_edit("place", F.col("place") + width, sq.complement(native), native)
+        made = rows.withColumn("edits", F.when(F.col("place") < 0, no_edits()).when(native != sq.complement(native), edits))
+        return made.select("region_hash", *kept, "edits", stored_key("region_hash", "edits").alias("key"))
+
+    def substituted(rows: DataFrame, kept: Sequence[str]) -> DataFrame:
+        return substitution_states(rows.withColumn("native", F.upper(sq.base_at("sequence", "place"))), kept, start="place")
+
     run = dict(sequence=sequence, outputs=outputs, batch_size=batch_size, prefix=prefix)
-    coarse = windows.select(*where, "key", "edits").unionByName(native_states(regions, where, sequence=sequence))
-    score_pending(spark, coarse, regions, where, store_path, scorer, **run)
+    native = with_region_hash(regions.where(F.col(sequence).isNotNull()), sequence=sequence).select("region_hash", F.lit(-1).alias("place"))
+    coarse = windows_of(regions).select("region_hash", F.col("window_start").alias("place")).unionByName(native)
+    score_places(spark, coarse, regions, store_path, scorer, complemented, **run)
 
-    scored = contrast_to_native(spark, windows.drop("edits"), store_path, signal=signal, outputs=outputs)
+    hashed = with_region_hash(regions.select(*where, sequence), sequence=sequence)
+    scored = contrast_to_native(spark, hashed, store_path, make=windows_of, signal=signal, outputs=outputs)
     scored = scored.withColumn("absolute_start", (F.col(tile) + F.col("window_start")).cast("bigint"))
     scored = scored.select(*where, "region_hash", "window_start", "absolute_start", "native", "contrast", "native_signal")
     picked = greedy_non_overlapping(
@@ -383,10 +510,13 @@ def coarse_to_fine(
         order=[-F.abs("contrast"), F.col("absolute_start")], unique_starts=True,
     )
     picked = staged(picked, "picked")  # a few rows per ``by``: the second round does not compute the first again
-    fine = substitution_states(picked, [*where, "contrast", "native_signal", "absolute_start"])
-    score_pending(spark, fine, regions, where, store_path, scorer, **run)
+    bases = F.sequence(F.col("window_start"), F.col("window_start") + F.length("native") - 1)
+    score_places(spark, picked.select("region_hash", F.explode(bases).alias("place")), regions, store_path, scorer, substituted, **run)
+
+    def fine(rows: DataFrame, kept: Sequence[str]) -> DataFrame:
+        return substitution_states(rows, [*where, "contrast", "native_signal", "absolute_start", *kept])
 
-    found = with_scores(spark, fine, store_path, outputs)
+    found = scores_in_regions(spark, picked, store_path, fine, {"key": "_signal"}, value=signal, outputs=outputs)
     return found.select(
         *where,
         F.col("absolute_start").alias("window_start"),
@@ -395,8 +525,8 @@ def coarse_to_fine(
         "alt",
         F.col("contrast").alias("window_contrast"),
         "native_signal",
-        F.col(signal).alias("signal"),
-        (F.col(signal) - F.col("native_signal")).alias("effect"),
+        F.col("_signal").alias("signal"),
+        (F.col("_signal") - F.col("native_signal")).alias("effect"),
     )
 
 

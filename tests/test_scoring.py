@@ -302,3 +302,58 @@ def test_appended_shards_are_more_tasks_than_folders(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     found = sc.read_store(spark, str(tmp_path / "s"), sc.SIGNAL)
     assert found.count() == 256 and len(found.inputFiles()) > 16
+
+
+def test_states_of_a_region_are_made_after_the_shuffle(spark, regions, tmp_path):
+    store, tiles = str(tmp_path / "store"), regions.where("doc < 6")
+    scan = dict(by=["doc"], tile="tile", sequence="seq", width=6, step=3, limit=2, owned=F.col("window_start") < 40)
+    found = sc.coarse_to_fine(spark, tiles, store, sc.weight_scorer(WEIGHTS), **scan)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # parents come first: substitutions are made of rows that met their region's scores
+    assert 0 < plan.index("Generate posexplode") < plan.index("SortMergeJoin") < plan.index("Exchange")
+    # all states of a region have its digits, and a region's scores are one row
+    keys = [r.key for r in sc.read_store(spark, store, sc.SIGNAL).select("key").collect()]
+    hashes = {r[0] for r in tiles.where("seq IS NOT NULL").select(sq.content_hash("seq")).collect()}
+    assert len(keys) == len(set(keys)) and {k[: sc.REGION_DIGITS] for k in keys} == {h[: sc.REGION_DIGITS] for h in hashes}
+    lists = sc._by_region(spark, store, sc.SIGNAL, "signal").collect()
+    assert len(lists) == len(hashes) and sum(len(r._ids) for r in lists) == sum(len(r._values) for r in lists) == len(keys)
+
+
+def test_scan_leaves_out_what_has_no_score(spark, regions, tmp_path):
+    tiles = regions.where("doc IN (1, 2)")
+
+    def scan(rows, store, scorer=sc.weight_scorer(WEIGHTS)):
+        found = sc.coarse_to_fine(spark, rows, store, scorer, by=["doc"], tile="tile", sequence="seq", width=6, step=6, limit=1)
+        return sorted((r.doc, r.window_start, r.position, r.alt, r.signal, r.effect) for r in found.collect())
+
+    once = scan(tiles, str(tmp_path / "a"))
+    assert len(once) == 2 * 18 and scan(tiles.unionByName(tiles), str(tmp_path / "b")) == once  # one candidate is enough
+
+    def without_native(frame):
+        scored = sc.weight_scorer(WEIGHTS)(frame)
+        return scored.assign(signal=scored["signal"].where(frame["key"].str.len() < 64))
+
+    assert scan(tiles, str(tmp_path / "c"), without_native) == []
+
+
+def test_windows_without_bases_are_the_native_state(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0, "NNNNNNACGTAC"), (2, 0, "acgtNNNNNNNN")], "doc int, tile int, seq string")
+    log = tmp_path / "asked"
+    found = sc.coarse_to_fine(
+        spark, rows, str(tmp_path / "s"), counting(sc.weight_scorer(WEIGHTS), log), by=["doc"], tile="tile", sequence="seq", width=6, step=6, limit=2
+    ).collect()
+    assert len(asked(log)) == len(set(asked(log)))
+    of = {(r.doc, r.window_start): set() for r in found}
+    for r in found:
+        of[r.doc, r.window_start].add((r.position, r.ref, r.alt))
+    assert {k: len(v) for k, v in of.items()} == {(1, 6): 18, (2, 0): 12}  # lower-case bases are bases
+
+
+def test_states_that_a_store_has_no_value_for_stay_without_one(spark, tmp_path):
+    store = str(tmp_path / "store")
+    h = "ab" * 32
+    rows = [(h, 1.5, 3, "c", 1), (h[:32] + "f" * 16, None, 3, "c", 1), (h[:32] + "0" * 15 + "1", 4.0, 3, "c", 1)]
+    sc.append_store(spark.createDataFrame(rows, f"key string, {sc.SIGNAL}, {sc.CALLS}"), store)
+    states = spark.createDataFrame([(r[0], h) for r in rows] + [(h[:32] + "e" * 16, h)], "key string, region_hash string")
+    got = {r.key: (r.signal, r.native_signal, r.contrast) for r in sc.contrast_to_native(spark, states, store).collect()}
+    assert got == {rows[0][0]: (1.5, 1.5, 0.0), rows[1][0]: (None, 1.5, None), rows[2][0]: (4.0, 1.5, 2.5), h[:32] + "e" * 16: (None, 1.5, None)}
