@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -266,11 +268,34 @@ def design_inputs(spark: SparkSession, path: str, schema: str, *, fmt: str = "cs
     return reader.csv(path, header=True) if fmt == "csv" else reader.json(path, multiLine=True)
 
 
+#: Bytes of a file that its task holds at a time.
+BLOCK = 1 << 22
+
+
+def _digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        found = []
+        for path in frame["path"]:
+            digest = hashlib.sha256()
+            with open(path.removeprefix("file:"), "rb") as file:
+                while block := file.read(BLOCK):
+                    digest.update(block)
+            found.append(digest.hexdigest())
+        yield frame.assign(sha256=found)
+
+
 def file_manifest(spark: SparkSession, path: str, *, pattern: str = "*") -> DataFrame:
-    """Path, bytes and SHA-256 of every file below a folder."""
+    """Path, bytes and SHA-256 of every file below a folder.
+
+    Spark lists the files and deals them over tasks. Files that tasks can open are read there by blocks, whatever their
+    size; in a store that only Spark reads, a file is one value, which may have 2 GB."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     )
+    listed = files.select("path", F.col("length").alias("bytes"))
+    one = listed.first()  # all lie in one file system
+    if one is not None and one.path.startswith("file:"):
+        return listed.mapInPandas(_digests, "path string, bytes bigint, sha256 string")
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 

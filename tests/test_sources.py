@@ -23,6 +23,37 @@ def test_whole_texts_and_manifest(spark, tmp_path):
     assert found["b.txt"] == (5, hashlib.sha256(b"three").hexdigest()) and len(found) == 3
 
 
+def test_manifest_of_a_file_above_two_gigabytes(spark, tmp_path):
+    import hashlib
+
+    size, last = (1 << 31) + 5, b"the end"
+    (tmp_path / "sub dir").mkdir()
+    with open(tmp_path / "sub dir" / "large%20é.bin", "wb") as file:  # a sparse file takes no room
+        file.seek(size)
+        file.write(last)
+    (tmp_path / "small.bin").write_bytes(b"small")
+    expected, zeros = hashlib.sha256(), bytes(1 << 20)
+    for at in range(0, size, len(zeros)):
+        expected.update(zeros[: size - at])
+    expected.update(last)
+    found = {r.path.rsplit("/", 1)[1]: (r.bytes, r.sha256) for r in readers.file_manifest(spark, str(tmp_path)).collect()}
+    assert found == {"large%20é.bin": (size + len(last), expected.hexdigest()), "small.bin": (5, hashlib.sha256(b"small").hexdigest())}
+    assert readers.file_manifest(spark, str(tmp_path), pattern="*.none").collect() == []
+
+
+def test_manifest_of_a_store_that_only_spark_reads(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a.bin").write_bytes(b"\n\x00\xff")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.manifest.link./in", f"file://{tmp_path}")
+    try:
+        rows = readers.file_manifest(spark, "viewfs://manifest/in").collect()
+    finally:
+        conf.unset("fs.viewfs.mounttable.manifest.link./in")
+    assert [(r.path, r.bytes, r.sha256) for r in rows] == [("viewfs://manifest/in/a.bin", 3, hashlib.sha256(b"\n\x00\xff").hexdigest())]
+
+
 def test_appended_results(spark, tmp_path):
     first = spark.createDataFrame([(1, "a")], "k int, v string")
     for df in (first, spark.createDataFrame([(2, "b")], "k int, v string")):
