@@ -371,16 +371,22 @@ def is_empty_store(spark: SparkSession, path: str) -> bool:
     return False
 
 
-def _state_id(key: str) -> Column:
+def _region_id(key: str | Column) -> Column:
+    """``region_of`` as bytes."""
+    return F.unhex(region_of(key))
+
+
+def _state_id(key: str | Column) -> Column:
     """What tells the states of one region apart: the digits of their stored keys after the region's, as a number."""
-    return F.conv(F.substring(F.col(key), REGION_DIGITS + 1, STATE_DIGITS), 16, -10).cast("bigint")
+    key = F.col(key) if isinstance(key, str) else key
+    return F.conv(F.substring(key, REGION_DIGITS + 1, STATE_DIGITS), 16, -10).cast("bigint")
 
 
 def _by_region(spark: SparkSession, store_path: str, outputs: str, value: str | None = None) -> DataFrame:
     """One row per region (``_region``) with its stored states' ``_ids`` and, in the same order, their ``_values``; states
     without a value are left out. A region's rows lie together in the store, so lists are made before the shuffle."""
     there = [] if value is None else [F.col(value).alias("_value")]
-    rows = read_store(spark, store_path, outputs).select(region_of("key").alias("_region"), _state_id("key").alias("_id"), *there)
+    rows = read_store(spark, store_path, outputs).select(_region_id("key").alias("_region"), _state_id("key").alias("_id"), *there)
     for column in rows.columns[1:]:
         rows = rows.where(F.col(column).isNotNull())  # lists leave out what is missing, each for itself
     return rows.groupBy("_region").agg(F.collect_list("_id").alias("_ids"), *[F.collect_list("_value").alias("_values") for _ in there])
@@ -389,55 +395,67 @@ def _by_region(spark: SparkSession, store_path: str, outputs: str, value: str |
 def scores_in_regions(
     spark: SparkSession,
     rows: DataFrame,
-    store_path: str,
-    make: Callable[[DataFrame, list[str]], DataFrame],
-    names: dict[str, str],
+    stores: dict[str, dict[str, str]],
+    make: Callable[[DataFrame, list[str]], DataFrame] | None = None,
     *,
     value: str = "signal",
     outputs: str = SIGNAL,
 ) -> DataFrame:
-    """The states that ``make`` makes of ``rows`` (region_hash), with the stored ``value`` of the state that each column of
-    ``names`` holds the ``stored_key`` of, NULL where there is none.
+    """The states that ``make`` makes of ``rows`` (region_hash), or the rows themselves, with stored ``value``s: ``stores``
+    gives for each store the columns that hold a ``stored_key`` and what to call the value of that state there, NULL where
+    there is none. Rows may have ``_region_id`` and ``_state_id`` (``_region`` and numbers as keys) instead.
 
     Rows meet their region's scores before they become states, so neither is shuffled per state. ``make`` is given the
     joined rows and the columns it has to keep."""
-    lists, kept = _by_region(spark, store_path, outputs, value), ["_ids", "_values"]
-    joined = rows.withColumn("_region", region_of("region_hash")).join(sorted_side(lists), "_region", "left").drop("_region")
-    found = [F.get("_values", F.array_position("_ids", _state_id(key)).cast("int") - 1).alias(name) for key, name in names.items()]
+    joined, kept, wanted = rows if "_region" in rows.columns else rows.withColumn("_region", _region_id("region_hash")), [], []
+    for n, (path, names) in enumerate(stores.items()):
+        ids, values = f"_ids{n}", f"_values{n}"
+        lists = _by_region(spark, path, outputs, value).withColumnsRenamed({"_ids": ids, "_values": values})
+        joined = joined.join(sorted_side(lists), "_region", "left")
+        kept += [ids, values]
+        wanted += [(key, ids, values, name) for key, name in names.items()]
+    made = joined.drop("_region") if make is None else make(joined.drop("_region"), kept)
+    numbers = {f.name for f in made.schema.fields if f.dataType.typeName() == "long"}
+    found = [
+        F.get(values, F.array_position(ids, F.col(key) if key in numbers else _state_id(key)).cast("int") - 1).alias(name) for key, ids, values, name in wanted
+    ]
     # a generator row: filters on what was found stay above it instead of looking it up again
-    made = make(joined, kept)
     return made.select("*", F.inline(F.array(F.struct(*found)))).drop(*kept)
 
 
+def placed_regions(places: DataFrame, regions: DataFrame, *, sequence: str) -> DataFrame:
+    """One row (_region, sequence, _places) per region content that has ``places`` (region_hash or its id, place). What the places of
+    a region and its sequence add to the row is gathered before the shuffle."""
+    region, kind = _region_id(sq.content_hash(sequence)).alias("_region"), places.schema["place"].dataType
+    known = regions.where(F.col(sequence).isNotNull()).select(region, F.col(sequence).alias("sequence"), F.lit(None).cast(kind).alias("place"))
+    named = F.col("_region") if "_region" in places.columns else _region_id("region_hash").alias("_region")
+    wanted = places.select(named, F.lit(None).cast("string").alias("sequence"), "place")
+    rows = known.unionByName(wanted).groupBy("_region").agg(F.max("sequence").alias("sequence"), F.collect_set("place").alias("_places"))
+    return rows.where(F.col("sequence").isNotNull() & (F.size("_places") > 0))
+
+
 def score_places(
     spark: SparkSession,
-    places: DataFrame,
-    regions: DataFrame,
+    placed: DataFrame,
     store_path: str,
     scorer: Scorer,
     make: Callable[[DataFrame, list[str]], DataFrame],
     *,
-    sequence: str,
     outputs: str = SIGNAL,
     batch_size: int = 64,
     attempts: int = 3,
     prefix: int = 1,
 ) -> None:
-    """Score the states of ``places`` (region_hash, place) that the store lacks and append them.
+    """Score the states of ``placed_regions`` that the store lacks and append them.
 
     ``make`` turns rows (region_hash, sequence, place) into states (edits, and ``key`` by ``stored_key``) and keeps the
-    columns it is told; different places of a region must make different states, NULL edits make none. The places of a
-    region and its ``sequence`` meet in one row, made before the shuffle, so no row per state crosses one."""
-    region = region_of(sq.content_hash(sequence)).alias("_region")
-    known = regions.where(F.col(sequence).isNotNull()).select(region, F.col(sequence).alias("sequence"), F.lit(None).cast(places.schema["place"].dataType).alias("place"))
-    wanted = places.select(region_of("region_hash").alias("_region"), F.lit(None).cast("string").alias("sequence"), "place")
-    packed = known.unionByName(wanted).groupBy("_region").agg(F.max("sequence").alias("sequence"), F.collect_set("place").alias("_places"))
-    packed, kept = packed.where(F.size("_places") > 0), ["sequence"]
-    first = is_empty_store(spark, store_path)
+    columns it is told; different places of a region must make different states, NULL edits make none. No row per state
+    crosses a shuffle."""
+    kept, first = ["sequence"], is_empty_store(spark, store_path)
     if not first:
-        packed, kept = packed.join(sorted_side(_by_region(spark, store_path, outputs)), "_region", "left"), ["sequence", "_ids"]
-    placed = with_region_hash(packed.where(F.col("sequence").isNotNull()), sequence="sequence")
-    states = make(placed.select("region_hash", *kept, F.explode("_places").alias("place")), kept).where(F.col("edits").isNotNull())
+        placed, kept = placed.join(sorted_side(_by_region(spark, store_path, outputs)), "_region", "left"), ["sequence", "_ids"]
+    rows = with_region_hash(placed, sequence="sequence").select("region_hash", *kept, F.explode("_places").alias("place"))
+    states = make(rows, kept).where(F.col("edits").isNotNull())
     if not first:
         states = states.where(~F.coalesce(F.array_contains("_ids", _state_id("key")), F.lit(False)))
     ready = states.select("key", sq.apply_edits("sequence", "edits").alias("sequence"))
@@ -449,8 +467,8 @@ def contrast_to_native(
 ) -> DataFrame:
     """States (key, region_hash) with their stored ``signal``, the native state's as ``native_signal``, and ``contrast``
     between them. With ``make`` rows become states after they met their region's scores (``scores_in_regions``)."""
-    made = make or (lambda joined, _: joined)
-    found = scores_in_regions(spark, rows, store_path, made, {"key": "signal", "region_hash": "native_signal"}, value=signal, outputs=outputs)
+    names = {"key": "signal", "region_hash": "native_signal"}
+    found = scores_in_regions(spark, rows, {store_path: names}, make, value=signal, outputs=outputs)
     return found.withColumn("contrast", F.col("signal") - F.col("native_signal"))
 
 
@@ -496,10 +514,10 @@ def coarse_to_fine(
     def substituted(rows: DataFrame, kept: Sequence[str]) -> DataFrame:
         return substitution_states(rows.withColumn("native", F.upper(sq.base_at("sequence", "place"))), kept, start="place")
 
-    run = dict(sequence=sequence, outputs=outputs, batch_size=batch_size, prefix=prefix)
+    run = dict(outputs=outputs, batch_size=batch_size, prefix=prefix)
     native = with_region_hash(regions.where(F.col(sequence).isNotNull()), sequence=sequence).select("region_hash", F.lit(-1).alias("place"))
     coarse = windows_of(regions).select("region_hash", F.col("window_start").alias("place")).unionByName(native)
-    score_places(spark, coarse, regions, store_path, scorer, complemented, **run)
+    score_places(spark, placed_regions(coarse, regions, sequence=sequence), store_path, scorer, complemented, **run)
 
     hashed = with_region_hash(regions.select(*where, sequence), sequence=sequence)
     scored = contrast_to_native(spark, hashed, store_path, make=windows_of, signal=signal, outputs=outputs)
@@ -511,12 +529,13 @@ def coarse_to_fine(
     )
     picked = staged(picked, "picked")  # a few rows per ``by``: the second round does not compute the first again
     bases = F.sequence(F.col("window_start"), F.col("window_start") + F.length("native") - 1)
-    score_places(spark, picked.select("region_hash", F.explode(bases).alias("place")), regions, store_path, scorer, substituted, **run)
+    places = picked.select("region_hash", F.explode(bases).alias("place"))
+    score_places(spark, placed_regions(places, regions, sequence=sequence), store_path, scorer, substituted, **run)
 
     def fine(rows: DataFrame, kept: Sequence[str]) -> DataFrame:
         return substitution_states(rows, [*where, "contrast", "native_signal", "absolute_start", *kept])
 
-    found = scores_in_regions(spark, picked, store_path, fine, {"key": "_signal"}, value=signal, outputs=outputs)
+    found = scores_in_regions(spark, picked, {store_path: {"key": "_signal"}}, fine, value=signal, outputs=outputs)
     return found.select(
         *where,
         F.col("absolute_start").alias("window_start"),
@@ -544,41 +563,45 @@ def variant_effects(
     genes: Sequence[Gene],
     batch_size: int = 64,
     prefix: int = 1,
+    together: Sequence[str] | None = None,
 ) -> DataFrame:
     """Effects of variants (by..., variant, offset0, ref, alt) on genes, from scored states.
 
     The reference and the alternative state of each variant are scored under every regime, each with a store of its own.
     A variant whose reference base is not the region's fails the job. One row per (variant, regime, modality, gene):
-    means over strand-compatible tracks of both states, ``effect`` (alternative minus reference) and ``n_tracks``."""
+    means over strand-compatible tracks of both states, ``effect`` (alternative minus reference) and ``n_tracks``. Rows
+    alike in the columns ``together`` of ``by`` come in one partition, so that grouping by them takes no other shuffle;
+    name columns of many values."""
     by = list(by)
-    placed = variants.join(with_region_hash(regions, sequence=sequence).select(*by, "region_hash", sequence), by)
+    placed = with_region_hash(variants.join(sorted_side(regions.select(*by, sequence)), by), sequence=sequence)
     read = F.upper(sq.base_at(sequence, "offset0"))
     told = F.concat(F.lit("reference base differs from the region: "), F.col(variant).cast("string"))
     placed = placed.withColumn("_ok", F.when(read == F.col("ref"), F.lit(True)).otherwise(F.raise_error(told)))
-    alternative = one_edit("offset0", F.col("offset0") + 1, "alt", "ref")
-    sides = F.explode(F.array(
-        F.struct(F.lit("ref").alias("side"), no_edits().alias("edits")), F.struct(F.lit("alt").alias("side"), alternative.alias("edits"))
-    ))
-    states = placed.where("_ok").select(*by, variant, "region_hash", sides.alias("_s")).select(*by, variant, "region_hash", "_s.*")
-    # every regime reads the states twice: their join with the regions and the hashes are made once
-    states = staged(states.withColumn("key", state_key("region_hash", "edits")), "states")
+    edited = placed.where("_ok").withColumn("edits", one_edit("offset0", F.col("offset0") + 1, "alt", "ref"))
+    ids = _region_id("region_hash").alias("_region"), _state_id("region_hash").alias("_native"), _state_id(stored_key("region_hash", "edits")).alias("_edited")
+    # a row per variant that scoring and every regime read: the join with the regions and the hashes are made once
+    states = staged(edited.select(*by, variant, *ids, "edits"), "states", compression="zstd")
+    places = states.select("_region", F.explode(F.array(no_edits(), "edits")).alias("place"))
+    gathered = staged(placed_regions(places, regions, sequence=sequence), "places", compression="zstd")
+
+    def at_place(rows: DataFrame, kept: Sequence[str]) -> DataFrame:
+        return rows.select(*kept, F.col("place").alias("edits"), stored_key("region_hash", "place").alias("key"))
 
     pairs = gene_tracks(tracks, genes)
     # a store's values have places, not names: other genes or tracks make another store
-    places = hashlib.sha256(repr(pairs).encode()).hexdigest()[:16]
-    scored = states.select(*by, variant, "side", "key")
+    named = hashlib.sha256(repr(pairs).encode()).hexdigest()[:16]
+    stores = {}
     for n, (regime, scorer) in enumerate(regimes.items()):
-        store = f"{store_root}/{regime}-{places}"
-        reduced = reduced_tracks(scorer, tracks, genes)
-        score_pending(spark, states, regions, by, store, reduced, sequence=sequence, outputs=TRACK_VALUES, batch_size=batch_size, prefix=prefix)
-        stored = latest(read_store(spark, store, TRACK_VALUES).select("key", F.col("cells").alias(f"_{n}")), ["key"])
-        scored = scored.join(sorted_side(stored), "key", "left")
-
-    # both states of a variant meet in one row, which holds their means under all regimes
-    def of(side: str, n: int) -> Column:
-        return F.collect_list(F.when(F.col("side") == side, F.col(f"_{n}"))).alias(side)
-
-    packed = F.array(*[F.struct(F.lit(regime).alias("regime"), of("ref", n), of("alt", n)) for n, regime in enumerate(regimes)])
+        store, reduced = f"{store_root}/{regime}-{named}", reduced_tracks(scorer, tracks, genes)
+        score_places(spark, gathered, store, reduced, at_place, outputs=TRACK_VALUES, batch_size=batch_size, prefix=prefix)
+        stores[store] = {"_native": f"_ref{n}", "_edited": f"_alt{n}"}
+    scored = scores_in_regions(spark, states.drop("edits"), stores, value="cells", outputs=TRACK_VALUES).drop("_native", "_edited")
+    scored = scored.repartition(*together) if together else scored
+
+    # a row per variant holds the means of both states under all regimes; a variant may have several
+    packed = F.array(*[
+        F.struct(F.lit(regime).alias("regime"), F.collect_list(f"_ref{n}").alias("ref"), F.collect_list(f"_alt{n}").alias("alt")) for n, regime in enumerate(regimes)
+    ])
     per_regime = scored.groupBy(*by, variant).agg(packed.alias("_r")).select(*by, variant, F.inline("_r"))
     cells = [
         F.struct(F.lit(modality).alias("modality"), F.lit(gene).alias("gene"), F.lit(len({pairs[i][2].name for i in run})).cast("bigint").alias("n_tracks"), F.lit(n).alias("_at"))

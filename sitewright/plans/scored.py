@@ -213,7 +213,7 @@ def scored_track_extraction(spark, sf_dir):
     """A variant in the middle of every tile of every text, its two states scored under two regimes, and the effects on
     the genes of the tile over strand-compatible tracks."""
     # read for the variants, their states and both regimes: texts are folded once
-    tiles = staged(ds.tile_sequences(nucleotides(spark, sf_dir), sequence="seq", tile=TILE), "tiles")
+    tiles = staged(ds.tile_sequences(nucleotides(spark, sf_dir), sequence="seq", tile=TILE), "tiles", compression="zstd")
     placed = tiles.where(F.length("seq") > PLACE)
     base = sq.base_at("seq", PLACE)
     variants = placed.select(
@@ -222,7 +222,7 @@ def scored_track_extraction(spark, sf_dir):
     )
     effects = sc.variant_effects(
         spark, variants, tiles, fresh_folder(spark, "scores"), {name: base_tracks(scale) for name, scale in REGIMES.items()},
-        by=["doc_id", "tile_start"], variant="variant", sequence="seq", tracks=list(TRACKS), genes=GENES,
+        by=["doc_id", "tile_start"], variant="variant", sequence="seq", tracks=list(TRACKS), genes=GENES, together=["doc_id"],
     )
     return effects.groupBy("doc_id", "regime", "modality", "gene").agg(
         F.count(F.lit(1)).alias("n_variants"),

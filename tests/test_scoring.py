@@ -357,3 +357,54 @@ def test_states_that_a_store_has_no_value_for_stay_without_one(spark, tmp_path):
     states = spark.createDataFrame([(r[0], h) for r in rows] + [(h[:32] + "e" * 16, h)], "key string, region_hash string")
     got = {r.key: (r.signal, r.native_signal, r.contrast) for r in sc.contrast_to_native(spark, states, store).collect()}
     assert got == {rows[0][0]: (1.5, 1.5, 0.0), rows[1][0]: (None, 1.5, None), rows[2][0]: (4.0, 1.5, 2.5), h[:32] + "e" * 16: (None, 1.5, None)}
+
+
+def test_variants_meet_scores_by_region_and_new_ones_are_scored_alone(spark, tmp_path):
+    log, stores = tmp_path / "asked", str(tmp_path / "stores")
+    regions = spark.createDataFrame([(1, "ACGTACGT"), (2, "ACGTACGT"), (3, "TTTTTTTT"), (4, "CCCC")], "region int, seq string")
+    gene = [sc.Gene("g", ".", 0, 8)]
+
+    def tracker(sequences):
+        with open(log, "a") as out:
+            out.write("".join(f"{s}\n" for s in sequences))
+        return track_scorer(sequences)
+
+    def run(rows):
+        variants = spark.createDataFrame(rows, "region int, variant string, offset0 int, ref string, alt string")
+        return sc.variant_effects(
+            spark, variants, regions, stores, {"x": tracker}, by=["region"], variant="variant", sequence="seq", tracks=TRACKS, genes=gene,
+        )
+
+    def value(text):
+        return np.mean([track_scorer([text])[0][:, k].mean() for k in range(2)])
+
+    first = [(1, "a", 4, "A", "G"), (2, "b", 4, "A", "G"), (2, "b", 4, "A", "G"), (1, "c", 0, "A", None)]
+    found = run(first)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_region" in plan and "hashpartitioning(key" not in plan and "Broadcast" not in plan
+    got = {r.variant: (r.ref_value, r.alt_value) for r in found.where("modality = 'RNA'").collect()}
+    ref, alt = value("ACGTACGT"), value("ACGTGCGT")
+    assert got == {"a": (ref, alt), "b": (ref, alt), "c": (ref, None)}
+    assert sorted(asked(log)) == ["ACGTACGT", "ACGTGCGT"]  # two regions of one content
+    more = run([*first, (1, "d", 0, "A", "C"), (3, "e", 7, "T", "T")])
+    got = {r.variant: (r.ref_value, r.alt_value) for r in more.where("modality = 'RNA'").collect()}
+    same = value("TTTTTTTT")
+    assert got == {"a": (ref, alt), "b": (ref, alt), "c": (ref, None), "d": (ref, value("CCGTACGT")), "e": (same, same)}
+    assert sorted(asked(log)[2:]) == ["CCGTACGT", "TTTTTTTT"]
+    keys = [r.key for r in sc.read_store(spark, f"{stores}/{os.listdir(stores)[0]}", sc.TRACK_VALUES).collect()]
+    assert len(keys) == 4 and len({k[: sc.REGION_DIGITS] for k in keys}) == 2
+
+
+def test_effects_that_come_together_are_grouped_without_another_shuffle(spark, tmp_path):
+    regions = spark.createDataFrame([(i % 3, i, "ACGTACGT") for i in range(9)], "doc int, tile int, seq string")
+    variants = regions.select("doc", "tile", F.concat_ws(":", "doc", "tile").alias("variant"), F.lit(4).alias("offset0"), F.lit("A").alias("ref"), F.lit("G").alias("alt"))
+
+    def run(together):
+        effects = sc.variant_effects(
+            spark, variants, regions, str(tmp_path / "stores"), {"x": track_scorer}, by=["doc", "tile"], variant="variant", sequence="seq", tracks=TRACKS, genes=GENES, together=together,
+        )
+        grouped = effects.groupBy("doc", "gene", "modality").agg(F.count(F.lit(1)).alias("n"), F.sum("effect").alias("effect"))
+        return grouped._jdf.queryExecution().executedPlan().toString().count("Exchange"), sorted(tuple(r) for r in grouped.collect())
+
+    (more, spread), (fewer, near) = run(None), run(["doc"])
+    assert spread == near and len(near) == 3 * 6 and {r[3] for r in near} == {3} and fewer == more - 1
