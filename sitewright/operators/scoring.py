@@ -73,9 +73,13 @@ def one_edit(start: str | Column, stop: str | Column, text: str | Column, native
 def state_key(region_hash: str | Column, edits: str | Column) -> Column:
     """The region's hash for its native state, else a hash of it and the edits in ascending order; NULL without a state."""
     h, e = (F.col(c) if isinstance(c, str) else c for c in (region_hash, edits))
-    parts = F.transform(e, lambda x: F.concat_ws(":", x["start"].cast("string"), x["stop"].cast("string"), x["text"]))
-    keyed = F.sha2(F.concat_ws("|", h, F.array_join(parts, "|")), 256)
-    return F.when(F.size(e) == 0, h).when(e.isNotNull(), keyed)
+
+    def told(x: Column) -> Column:
+        return F.concat_ws(":", x["start"].cast("string"), x["stop"].cast("string"), x["text"])
+
+    # one edit, which most states have, is not left to a function that Spark interprets
+    listed = F.when(F.size(e) == 1, told(F.get(e, F.lit(0)))).otherwise(F.array_join(F.transform(e, told), "|"))
+    return F.when(F.size(e) == 0, h).when(e.isNotNull(), F.sha2(F.concat_ws("|", h, listed), 256))
 
 
 #: Hex digits that the keys of a region's states have in common in a store, and those after them that tell them apart: 64
@@ -360,6 +364,11 @@ def scoring_counters(store: DataFrame) -> DataFrame:
 # --- scans ------------------------------------------------------------------------------------------------------------
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns from a generator row: filters on them stay above it and do not work them out again."""
+    return df.select("*", F.inline(F.array(F.struct(*[column.alias(name) for name, column in columns.items()]))))
+
+
 def is_empty_store(spark: SparkSession, path: str) -> bool:
     """Whether nothing was ever appended."""
     try:
@@ -416,18 +425,18 @@ def scores_in_regions(
         wanted += [(key, ids, values, name) for key, name in names.items()]
     made = joined.drop("_region") if make is None else make(joined.drop("_region"), kept)
     numbers = {f.name for f in made.schema.fields if f.dataType.typeName() == "long"}
-    found = [
-        F.get(values, F.array_position(ids, F.col(key) if key in numbers else _state_id(key)).cast("int") - 1).alias(name) for key, ids, values, name in wanted
-    ]
-    # a generator row: filters on what was found stay above it instead of looking it up again
-    return made.select("*", F.inline(F.array(F.struct(*found)))).drop(*kept)
+    found = {
+        name: F.get(values, F.array_position(ids, F.col(key) if key in numbers else _state_id(key)).cast("int") - 1) for key, ids, values, name in wanted
+    }
+    return _once(made, **found).drop(*kept)
 
 
-def placed_regions(places: DataFrame, regions: DataFrame, *, sequence: str) -> DataFrame:
-    """One row (_region, sequence, _places) per region content that has ``places`` (region_hash or its id, place). What the places of
+def placed_regions(places: DataFrame, regions: DataFrame, *, sequence: str, always: Column | None = None) -> DataFrame:
+    """One row (_region, sequence, _places) per region content that has ``places`` (region_hash or its id, place), or of
+    every region with the place that it ``always`` has. What the places of
     a region and its sequence add to the row is gathered before the shuffle."""
     region, kind = _region_id(sq.content_hash(sequence)).alias("_region"), places.schema["place"].dataType
-    known = regions.where(F.col(sequence).isNotNull()).select(region, F.col(sequence).alias("sequence"), F.lit(None).cast(kind).alias("place"))
+    known = regions.where(F.col(sequence).isNotNull()).select(region, F.col(sequence).alias("sequence"), (F.lit(None) if always is None else always).cast(kind).alias("place"))
     named = F.col("_region") if "_region" in places.columns else _region_id("region_hash").alias("_region")
     wanted = places.select(named, F.lit(None).cast("string").alias("sequence"), "place")
     rows = known.unionByName(wanted).groupBy("_region").agg(F.max("sequence").alias("sequence"), F.collect_set("place").alias("_places"))
@@ -457,6 +466,7 @@ def score_places(
     rows = with_region_hash(placed, sequence="sequence").select("region_hash", *kept, F.explode("_places").alias("place"))
     states = make(rows, kept).where(F.col("edits").isNotNull())
     if not first:
+        states = _once(states.withColumnRenamed("key", "_key"), key=F.col("_key"))
         states = states.where(~F.coalesce(F.array_contains("_ids", _state_id("key")), F.lit(False)))
     ready = states.select("key", sq.apply_edits("sequence", "edits").alias("sequence"))
     append_store(score_batches(ready, scorer, outputs=outputs, batch_size=batch_size, attempts=attempts), store_path, prefix, gathered=False)
@@ -506,18 +516,18 @@ def coarse_to_fine(
 
     def complemented(rows: DataFrame, kept: Sequence[str]) -> DataFrame:
         """The complement window at a place; place -1 is the native state, which a window without bases would repeat."""
-        native = F.substring(F.upper("sequence"), F.col("place") + 1, F.lit(width))
-        edits = one_edit("place", F.col("place") + width, sq.complement(native), native)
-        made = rows.withColumn("edits", F.when(F.col("place") < 0, no_edits()).when(native != sq.complement(native), edits))
-        return made.select("region_hash", *kept, "edits", stored_key("region_hash", "edits").alias("key"))
+        made = _once(rows, native=F.substring(F.upper("sequence"), F.col("place") + 1, F.lit(width)))
+        made = _once(made, replacement=sq.complement("native"))
+        edits = one_edit("place", F.col("place") + width, "replacement", "native")
+        made = _once(made, edits=F.when(F.col("place") < 0, no_edits()).when(F.col("native") != F.col("replacement"), edits))
+        return made.select(*kept, "edits", stored_key("region_hash", "edits").alias("key"))
 
     def substituted(rows: DataFrame, kept: Sequence[str]) -> DataFrame:
-        return substitution_states(rows.withColumn("native", F.upper(sq.base_at("sequence", "place"))), kept, start="place")
+        return substitution_states(rows.withColumn("native", sq.base_at(F.upper("sequence"), "place")), kept, start="place")
 
     run = dict(outputs=outputs, batch_size=batch_size, prefix=prefix)
-    native = with_region_hash(regions.where(F.col(sequence).isNotNull()), sequence=sequence).select("region_hash", F.lit(-1).alias("place"))
-    coarse = windows_of(regions).select("region_hash", F.col("window_start").alias("place")).unionByName(native)
-    score_places(spark, placed_regions(coarse, regions, sequence=sequence), store_path, scorer, complemented, **run)
+    coarse = windows_of(regions).select("region_hash", F.col("window_start").alias("place"))
+    score_places(spark, placed_regions(coarse, regions, sequence=sequence, always=F.lit(-1)), store_path, scorer, complemented, **run)
 
     hashed = with_region_hash(regions.select(*where, sequence), sequence=sequence)
     scored = contrast_to_native(spark, hashed, store_path, make=windows_of, signal=signal, outputs=outputs)

@@ -408,3 +408,23 @@ def test_effects_that_come_together_are_grouped_without_another_shuffle(spark, t
 
     (more, spread), (fewer, near) = run(None), run(["doc"])
     assert spread == near and len(near) == 3 * 6 and {r[3] for r in near} == {3} and fewer == more - 1
+
+
+def test_one_edit_is_keyed_and_carried_out_as_several_are(spark):
+    import hashlib
+
+    rows = [("ACGTACGT", [(1, 3, "T")]), ("ACGTACGT", [(0, 0, "GG")]), ("ACGTACGT", [(7, 8, "")]), ("ACGTACGT", [(1, 3, "T"), (4, 4, "GGG")]), ("ACGT", []), ("ACGT", None)]
+    df = spark.createDataFrame(rows, f"s string, e {sc.EDITS}")
+    got = [tuple(r) for r in df.select(sq.apply_edits("s", "e"), sc.state_key(F.lit("h"), "e")).collect()]
+
+    def told(edits):
+        return hashlib.sha256("|".join(["h", *(f"{a}:{b}:{t}" for a, b, t in edits)]).encode()).hexdigest()
+
+    texts = ["ATTACGT", "GGACGTACGT", "ACGTACG", "ATTGGGACGT", "ACGT", None]
+    assert got == [*((text, told(e)) for text, (_, e) in zip(texts[:4], rows)), ("ACGT", "h"), (None, None)]
+
+
+def test_scan_of_letters_whose_capitals_are_longer_finds_its_own_scores(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0, "acgt\u00dfACGTACGTTTGA")], "doc int, tile int, seq string")
+    found = sc.coarse_to_fine(spark, rows, str(tmp_path / "s"), sc.weight_scorer(WEIGHTS), by=["doc"], tile="tile", sequence="seq", width=4, step=2, limit=3).collect()
+    assert len(found) > 18 and all(r.signal is not None for r in found)
