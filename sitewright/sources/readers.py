@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from ..functions.sequences import base_identifier, packed_field
 from ..operators.intervals import covering_nodes, nodes_of_position
 from ..operators.joins import matching
 from ..operators.ranking import best_row, join_spread, nulls_last, row_positions
+from ..session import fresh_folder
 
 ASSOCIATION = "SNP_hg19 string, rsid string, A1 string, A2 string, beta double, se double, `P-value` double"
 EQTL = "gene_id string, variant_id string, slope double, slope_se double, pval_nominal double"
@@ -284,11 +287,48 @@ def _digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.assign(sha256=found)
 
 
-def file_manifest(spark: SparkSession, path: str, *, pattern: str = "*") -> DataFrame:
+def _line_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digest of the file that a partition has the lines of (path, bytes, line), in their order."""
+    digest, done, path = hashlib.sha256(), 0, None
+    for batch in batches:
+        paths, sizes, lines = (column.to_pylist() for column in batch.columns)
+        if not lines:
+            continue
+        if path is None:
+            path, size = paths[0], sizes[0]
+        else:
+            lines.insert(0, b"")
+        if set(paths) != {path}:
+            raise ValueError("a partition has the lines of several files")
+        piece = b"\n".join(lines)
+        digest.update(piece)
+        done += len(piece)
+    if path is not None:
+        if done == size - 1:  # the last line has an end
+            digest.update(b"\n")
+        elif done != size:  # a byte order mark or a packed file, whose bytes Spark keeps to itself
+            raise ValueError(f"{path} has {size} bytes, its lines {done}")
+        yield pa.RecordBatch.from_pydict({"path": [unquote(path)], "bytes": [size], "sha256": [digest.hexdigest()]})
+
+
+def _manifest_by_lines(spark: SparkSession, path: str, pattern: str, above: int) -> DataFrame:
+    """The manifest of files of more than ``above`` bytes, which Spark reads in order, a task each, without a whole file in
+    memory: as lines, whose bytes and ends make up any file."""
+    session = spark.newSession()  # its own settings: a file is not cut and shares its partition with no other
+    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        session.conf.set(name, str(1 << 44))
+    lines = session.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(path)
+    about = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")]
+    lines = lines.select(*about, F.col("value").cast("binary").alias("line")).where(F.col("bytes") > above)
+    return lines.mapInArrow(_line_digests, "path string, bytes bigint, sha256 string")
+
+
+def file_manifest(spark: SparkSession, path: str, *, pattern: str = "*", largest_value: int = 1 << 30) -> DataFrame:
     """Path, bytes and SHA-256 of every file below a folder.
 
     Spark lists the files and deals them over tasks. Files that tasks can open are read there by blocks, whatever their
-    size; in a store that only Spark reads, a file is one value, which may have 2 GB."""
+    size. In a store that only Spark reads, a file of up to ``largest_value`` bytes is one value; the lines of a larger one
+    stream through a task."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     )
@@ -296,7 +336,12 @@ def file_manifest(spark: SparkSession, path: str, *, pattern: str = "*") -> Data
     one = listed.first()  # all lie in one file system
     if one is not None and one.path.startswith("file:"):
         return listed.mapInPandas(_digests, "path string, bytes bigint, sha256 string")
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    small = files.where(F.col("length") <= largest_value).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    if listed.where(F.col("bytes") > largest_value).isEmpty():
+        return small
+    folder = fresh_folder(spark, "manifest")  # a row per file, from a session with other settings
+    _manifest_by_lines(spark, path, pattern, largest_value).write.parquet(folder)
+    return small.unionByName(spark.read.schema("path string, bytes bigint, sha256 string").parquet(folder))
 
 
 def whole_texts(spark: SparkSession, path: str, *, pattern: str = "*") -> DataFrame:

@@ -54,6 +54,30 @@ def test_manifest_of_a_store_that_only_spark_reads(spark, tmp_path):
     assert [(r.path, r.bytes, r.sha256) for r in rows] == [("viewfs://manifest/in/a.bin", 3, hashlib.sha256(b"\n\x00\xff").hexdigest())]
 
 
+def test_manifest_of_large_files_of_a_store_that_only_spark_reads(spark, tmp_path):
+    import hashlib
+
+    import pytest
+
+    rng = __import__("random").Random(5)
+    files = {
+        "random.bin": rng.randbytes(300_000), "ends.bin": b"a\n\nb\r\n\xff\xfe\n", "no end.bin": b"\n\n\x00\r" * 9 + b"z", "newlines.bin": b"\n" * 25_000,
+        "one%20line.bin": b"x" * 70_000, "small.bin": b"small",
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    conf, mount = spark.sparkContext._jsc.hadoopConfiguration(), "fs.viewfs.mounttable.large.link./in"
+    conf.set(mount, f"file://{tmp_path}")
+    try:
+        found = {r.path: (r.bytes, r.sha256) for r in readers.file_manifest(spark, "viewfs://large/in", largest_value=8).collect()}
+        assert found == {f"viewfs://large/in/{n}": (len(c), hashlib.sha256(c).hexdigest()) for n, c in files.items()}
+        (tmp_path / "marked.bin").write_bytes(b"\xef\xbb\xbf" + b"x" * 20)
+        with pytest.raises(Exception, match="its lines"):  # never another file's digest
+            readers.file_manifest(spark, "viewfs://large/in", largest_value=8)
+    finally:
+        conf.unset(mount)
+
+
 def test_appended_results(spark, tmp_path):
     first = spark.createDataFrame([(1, "a")], "k int, v string")
     for df in (first, spark.createDataFrame([(2, "b")], "k int, v string")):
