@@ -260,6 +260,10 @@ def reduced_tracks(scorer: TrackScorer, tracks: Sequence[Track], genes: Sequence
 # --- the store --------------------------------------------------------------------------------------------------------
 
 
+#: Files that a task writes at the same time.
+MOST_OPEN_FILES = 16
+
+
 def shard_of(key: str | Column = "key", prefix: int = 1) -> Column:
     return F.substring(F.col(key) if isinstance(key, str) else key, 1, prefix)
 
@@ -290,13 +294,20 @@ def read_store(spark: SparkSession, path: str, outputs: str, shards: Sequence[st
 
 def append_store(scored: DataFrame, path: str, prefix: int = 1, *, gathered: bool = True) -> None:
     """Append scored rows, each shard's in one folder and, per append, up to 16 files of rows sorted by key: shards alone
-    would be fewer tasks than a cluster has cores. Not ``gathered``, rows are written by the tasks that scored them, one
-    file per task and shard, and cross no shuffle."""
-    sharded = scored.withColumn("shard", shard_of("key", prefix))
+    would be fewer tasks than a cluster has cores. Not ``gathered``, rows are written by the tasks that scored them in the
+    order in which they come, one file per task and shard, and cross neither a shuffle nor a sort."""
+    sharded, open_files = scored.withColumn("shard", shard_of("key", prefix)), "spark.sql.maxConcurrentOutputFileWriters"
     if gathered:
-        sharded = sharded.repartition("shard", shard_of("key", prefix + 1))
-    # keys are digits of a hash: zstd halves them, which snappy cannot
-    sharded.sortWithinPartitions("shard", "key").write.mode("append").option("compression", "zstd").partitionBy("shard").parquet(path)
+        sharded = sharded.repartition("shard", shard_of("key", prefix + 1)).sortWithinPartitions("shard", "key")
+    conf = scored.sparkSession.conf
+    before = conf.get(open_files)
+    if not gathered and int(before) < 16**prefix <= MOST_OPEN_FILES:
+        conf.set(open_files, str(16**prefix))  # else Spark sorts all rows of a task by shard first
+    try:
+        # keys are digits of a hash: zstd halves them, which snappy cannot
+        sharded.write.mode("append").option("compression", "zstd").partitionBy("shard").parquet(path)
+    finally:
+        conf.set(open_files, before)
 
 
 def pending_states(spark: SparkSession, designs: DataFrame, by: Sequence[str], store_path: str, outputs: str, *, prefix: int = 1, prune: bool = False) -> DataFrame:

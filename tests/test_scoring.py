@@ -428,3 +428,16 @@ def test_scan_of_letters_whose_capitals_are_longer_finds_its_own_scores(spark, t
     rows = spark.createDataFrame([(1, 0, "acgt\u00dfACGTACGTTTGA")], "doc int, tile int, seq string")
     found = sc.coarse_to_fine(spark, rows, str(tmp_path / "s"), sc.weight_scorer(WEIGHTS), by=["doc"], tile="tile", sequence="seq", width=4, step=2, limit=3).collect()
     assert len(found) > 18 and all(r.signal is not None for r in found)
+
+
+def test_rows_written_where_they_were_scored_are_not_sorted_and_settings_stay(spark, tmp_path):
+    name, rows = "spark.sql.maxConcurrentOutputFileWriters", [(f"{i:02x}" + "0" * 46, 1.0, 1, "c", 1) for i in range(255, -1, -1)]
+    scored = spark.createDataFrame(rows, f"key string, {sc.SIGNAL}, {sc.CALLS}").coalesce(1)
+    before = spark.conf.get(name)
+    for prefix in (1, 2):  # 256 folders are too many to be open at a time: those rows are sorted
+        sc.append_store(scored, str(tmp_path / f"p{prefix}"), prefix, gathered=False)
+        found = sc.read_store(spark, str(tmp_path / f"p{prefix}"), sc.SIGNAL)
+        assert sorted(r.key for r in found.collect()) == sorted(r[0] for r in rows) and len(found.inputFiles()) == 16**prefix
+        assert spark.conf.get(name) == before
+    one = spark.read.parquet(*[f for f in sc.read_store(spark, str(tmp_path / "p1"), sc.SIGNAL).inputFiles() if "shard=a" in f])
+    assert [r.key[:2] for r in one.collect()] == [f"a{c}" for c in "fedcba9876543210"]
